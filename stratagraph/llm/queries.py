@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, mixing, shards
+from . import decontaminate, fingerprint, lines, mixing, shards
 from .common import text_or_empty
 
 
@@ -35,7 +35,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repetitions")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination, op7_fingerprints, op8_shards, op9_mixing)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op5_decontamination, op7_fingerprints, op8_shards, op9_mixing, op10_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
