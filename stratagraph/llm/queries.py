@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, lines, mixing, shards, toxicity
+from . import decontaminate, fingerprint, jaccard_join, licenses, lines, mixing, pii, shards, toxicity
 from .common import text_or_empty
 
 
@@ -23,6 +23,16 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, threshold="0.9")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="a key for tests")
+    return found.select("doc_id", "n_found", F.array_join("kinds", ",").alias("kinds"), F.sha2(F.coalesce("pseudonymised", F.lit("")), 256).alias("text_sha256"), "pseudonymised")
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.license", ",").alias("license_ids"), F.coalesce(F.array_max("licenses.containment"), F.lit(0.0)).alias("best"), "licenses")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -50,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op5_decontamination, op7_fingerprints, op8_shards, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_pii, op4_licenses, op5_decontamination, op7_fingerprints, op8_shards, op9_mixing, op10_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
