@@ -184,16 +184,16 @@ def _sketches(k: int, num: int, den: int, ranges: int):
                 cuts = np.searchsorted((key >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1))
                 low = key.astype(np.uint32)
                 some = np.flatnonzero(np.diff(cuts))
-                yield rows(range=pa.array(some, pa.int32()), keys=pa.array([low[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary()), owners=pa.array([owner[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary()), ids=pa.array([_ids(ids, owner[cuts[r] : cuts[r + 1]]) for r in some], pa.binary()))
+                parts = [(low[cuts[r] : cuts[r + 1]].tobytes(), *_places(ids, owner[cuts[r] : cuts[r + 1]])) for r in some]
+                yield rows(range=pa.array(some, pa.int32()), **{c: pa.array([x[i] for x in parts], pa.binary()) for i, c in enumerate(("keys", "owners", "ids"))})
 
     return run
 
 
-def _ids(ids: np.ndarray, owner: np.ndarray) -> bytes:
-    """Document ids that a range's owners stand for: owners become places among them (in place)."""
+def _places(ids: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
+    """Places of a range's owners among the documents that it has, and those documents' ids."""
     some, place = np.unique(owner, return_inverse=True)
-    owner[:] = place
-    return ids[some].tobytes()
+    return place.astype(np.uint16 if len(some) <= 1 << 16 else np.uint32).tobytes(), ids[some].tobytes()
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -202,7 +202,7 @@ def _meet(table: pa.Table) -> pa.Table:
     ids = [np.frombuffer(x.as_py(), np.int64) for x in table.column("ids")]
     for k, o, i in zip(table.column("keys"), table.column("owners"), ids, strict=True):
         keys.append(np.frombuffer(k.as_py(), np.uint32))
-        owners.append(np.frombuffer(o.as_py(), np.uint32).astype(np.int64) + at)
+        owners.append(np.frombuffer(o.as_py(), np.uint16 if len(i) <= 1 << 16 else np.uint32).astype(np.int64) + at)
         at += len(i)
     key, owner, ids = np.concatenate(keys), np.concatenate(owners), np.concatenate(ids)
     order = np.lexsort((ids[owner], key))
