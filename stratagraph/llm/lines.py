@@ -4,10 +4,11 @@ A text is cut at newlines; each line has a 64-bit hash, and a rolling hash over
 ends a chunk where it is 0 modulo DIVISOR, or at MOST_LINES. Boundaries depend on nearby lines only, so an inserted line
 moves none but those around it. A chunk of at least two lines whose bytes occur more than once in the corpus is kept
 where it stands first (least doc_id, then text hash, then place) and removed elsewhere. Chunks that agree in hash are
-compared byte by byte with the one kept; a chunk that differs stays.
+compared byte by byte: only chunks with the same bytes are one.
 
-Only (hash, place) rows are shuffled to find repeated chunks; texts are shuffled for repeated chunks only, and once to cut
-the removed ones out. Counts are aggregated before the shuffle, and hot chunks meet their first one in a join that AQE can split.
+Only (hash, place) rows are shuffled to find repeated chunks; for the comparison the bodies of repeated chunks are counted by their
+bytes, pre-aggregated before the shuffle; documents are shuffled once, to cut the removed chunks out. Hot chunks meet
+their first one in a join that AQE can split.
 
 Nulls: a null text has no lines and stays null; rows with a null doc_id come last in the order of places. Rows equal in
 doc_id and text share one result. Empty lines count as lines; a chunk of empty lines only is treated like any other.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bare, let, unpacked, written
+from .common import bare, let, small, unpacked, written
 
 WINDOW = 2
 DIVISOR = 4
@@ -49,19 +50,20 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """docs' columns, then n_lines, n_removed (lines) and kept_text (the lines left, joined by newlines)."""
     base = bare(docs, ["doc_id", "text"]).withColumn("th", F.xxhash64("_text"))
     cut = base.where("_text is not null").select("_doc_id", "th", F.explode(chunks(F.col("_text"), **options)).alias("c")).where("c.lines > 1")
+    cut = cut.select("_doc_id", "th", F.col("c.at").alias("at"), F.col("c.lines").alias("lines"), F.xxhash64("c.body").alias("h"), F.col("c.body").alias("body"))
     place = F.struct(F.col("_doc_id").isNull().alias("late"), F.col("_doc_id").alias("doc_id"), F.col("th").alias("th"), F.col("at").alias("at"))
-    narrow = written(cut.select("_doc_id", "th", F.col("c.at").alias("at"), F.xxhash64("c.body").alias("h")), "line-chunks")
-    firsts = narrow.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
+    narrow = written(cut.drop("body"), "line-chunks")
+    firsts = narrow.groupBy(F.col("h").alias("f_h")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("f_h", "first")
     firsts = written(firsts, "line-firsts")
-    repeated = narrow.join(firsts, "h").select("_doc_id", "th", "at", "h", (place == F.col("first")).alias("kept"), "first")
-    by_text = repeated.groupBy("_doc_id", "th").agg(F.collect_set(F.struct("at", "h", "kept")).alias("places"))
-    wanted = written(by_text.withColumnsRenamed({"_doc_id": "w_id", "th": "w_th"}), "line-places")
-    held = base.select(F.col("_doc_id"), "th", F.col("_text")).join(wanted, F.col("_doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
-    held = held.select("_doc_id", "th", F.explode(let(F.split("_text", "\n"), lambda lines: let(chunks(F.col("_text"), **options), lambda cs: F.transform(F.col("places"), lambda p: F.struct(
-        p["at"].alias("at"), p["h"].alias("h"), p["kept"].alias("kept"), F.get(F.filter(cs, lambda c: c["at"] == p["at"]), F.lit(0)).alias("c")))))).alias("p"))
-    held = written(held.select("_doc_id", "th", "p.at", "p.h", "p.kept", F.col("p.c.lines").alias("lines"), F.col("p.c.body").alias("body")), "line-bodies")
-    kept = held.where("kept").groupBy(F.col("h").alias("k_h")).agg(F.first("body").alias("k_body"))
-    gone = held.where("not kept").join(kept, (F.col("h") == F.col("k_h")) & (F.col("body") == F.col("k_body")))
+    # the comparison of bytes: a repeated hash with one body stands for that body; the others are taken body by body
+    bodies = cut.join(small(firsts.select("f_h")), F.col("h") == F.col("f_h"), "left_semi").groupBy("h", "body").agg(F.count(F.lit(1)).alias("n"))
+    clashing = written(bodies.groupBy(F.col("h").alias("x_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x_h"), "line-clashes")
+    gone = narrow.join(firsts, F.col("h") == F.col("f_h")).where(place != F.col("first")).select("_doc_id", "th", "at", "lines", "h")
+    if not clashing.isEmpty():
+        gone = gone.join(clashing, F.col("h") == F.col("x_h"), "left_anti")
+        held = cut.join(clashing, F.col("h") == F.col("x_h"), "left_semi")
+        kept = held.groupBy(F.col("h").alias("k_h"), F.col("body").alias("k_body")).agg(F.min(place).alias("first"))
+        gone = gone.unionByName(held.join(kept, (F.col("h") == F.col("k_h")) & (F.col("body") == F.col("k_body"))).where(place != F.col("first")).select("_doc_id", "th", "at", "lines", "h"))
     gone = written(gone.groupBy(F.col("_doc_id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_set(F.struct("at", "lines")).alias("gone")), "line-gone")
     final = base.join(gone, F.col("_doc_id").eqNullSafe(F.col("g_id")) & F.col("th").eqNullSafe(F.col("g_th")), "left")
     def left_over(lines: Column) -> Column:
