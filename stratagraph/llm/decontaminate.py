@@ -72,6 +72,7 @@ def _hits(symbols: np.ndarray, piece: dict, width: int) -> tuple[np.ndarray, np.
     if not len(piece["phrases"]) or not len(symbols):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     index = FMIndex(symbols)
+    index.suffixes = None
     shifted = np.where(piece["phrases"] > 0, piece["phrases"] + 2, 0)
     lo, hi = index.search(shifted, piece["lengths"])
     some = np.flatnonzero(hi > lo)

@@ -100,6 +100,7 @@ class FMIndex:
         self.n = len(s)
         self.bits = max(1, int(s.max()).bit_length())
         sa = suffix_array(s)
+        self.suffixes: np.ndarray | None = sa  # whole only until the caller drops it
         last = s[sa - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=(1 << self.bits)))])
         self.wave = WaveletMatrix(last, self.bits)

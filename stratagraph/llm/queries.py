@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, licenses, lines, mixing, pii, shards, toxicity
+from . import decontaminate, fingerprint, jaccard_join, licenses, lines, mixing, pii, shards, substring, toxicity
 from .common import text_or_empty
 
 
@@ -39,6 +39,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint.encoded(F.col("sketch")).alias("fingerprint"), fingerprint.encoded(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
@@ -60,7 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_pii, op4_licenses, op5_decontamination, op7_fingerprints, op8_shards, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_pii, op4_licenses, op5_decontamination, op6_substrings, op7_fingerprints, op8_shards, op9_mixing, op10_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -89,6 +94,17 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op6_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+m AS (SELECT h, min(doc_id) AS m FROM v GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM v JOIN m USING (h) WHERE doc_id > m),
+x AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS k FROM d),
+r AS (SELECT x.doc_id, string_agg(t, ' ' ORDER BY k) AS s FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.k = g.k GROUP BY x.doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id)
 """,
     "op9_mixing": r"""
 WITH d AS (
