@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
         kept = held.groupBy(F.col("h").alias("k_h"), F.col("body").alias("k_body")).agg(F.min(place).alias("first"))
         gone = gone.unionByName(held.join(kept, (F.col("h") == F.col("k_h")) & (F.col("body") == F.col("k_body"))).where(place != F.col("first")).select("_doc_id", "th", "at", "lines", "h"))
     gone = written(gone.groupBy(F.col("_doc_id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_set(F.struct("at", "lines")).alias("gone")), "line-gone")
-    final = base.join(gone, F.col("_doc_id").eqNullSafe(F.col("g_id")) & F.col("th").eqNullSafe(F.col("g_th")), "left")
+    final = base.join(gone.hint("merge"), F.col("_doc_id").eqNullSafe(F.col("g_id")) & F.col("th").eqNullSafe(F.col("g_th")), "left")
     def left_over(lines: Column) -> Column:
         dropped = F.flatten(F.transform(F.col("gone"), lambda g: F.sequence(g["at"], g["at"] + g["lines"] - 1)))
         marks = F.sequence(F.lit(0), F.size(lines) - 1)
