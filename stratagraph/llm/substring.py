@@ -260,7 +260,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shar
     gone = spans.groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     gone = written(gone, "substring-spans")
     rec = docs.select(F.struct(*[docs[f.name] for f in kept]).alias("rec"), docs["doc_id"].cast("bigint").alias("j_id"), F.hash(docs["text"]).alias("j_th"), docs["text"].alias("text"))
-    joined = rec.join(gone, (F.col("j_id") == F.col("g_id")) & (F.col("j_th") == F.col("g_th")), "left")
+    joined = rec.join(gone.hint("merge"), (F.col("j_id") == F.col("g_id")) & (F.col("j_th") == F.col("g_th")), "left")
     cut = joined.select("rec", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
     rec_type = cut.schema["rec"].dataType.simpleString()
     done = cut.mapInArrow(_cut(["rec"]), f"rec {rec_type}, n_words long, n_removed long, kept_text string")
