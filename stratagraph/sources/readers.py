@@ -1,0 +1,70 @@
+"""Sources as DataFrames: source trees, coverage reports, ledgers, issues and runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text as X
+
+MOST_BYTES = 4 * 1024 * 1024
+# Folders that are never read.
+SKIPPED = [".git", ".build", ".swiftpm", "DerivedData", "node_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", "Pods", "Carthage", "dist", "target", "build", "SourcePackages"]
+
+
+def source_tree(spark: SparkSession, root: str) -> DataFrame:
+    """path, blob_hash, size, lang, text of the files under a folder, in any store that Spark reads.
+
+    Skipped folders, project bundles, hidden files and hidden folders but .github are left out. A file of over MOST_BYTES keeps its path and
+    size, with the hash of nothing, no language and no text; text that isn't UTF-8 is null.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = root.rstrip("/").split(":")[-1].lstrip("/")
+    rel = F.regexp_replace("path", "^.*?" + base.replace(".", "[.]") + "/", "")
+    parts = F.split("rel", "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    bad = F.exists(folders, lambda d: d.isin(SKIPPED) | d.rlike(r"\.(xcodeproj|xcworkspace)$") | (d.startswith(".") & (d != ".github"))) | F.element_at(parts, -1).startswith(".")
+    rows = raw.withColumn("rel", rel).where(~bad)
+    large = F.col("length") > MOST_BYTES
+    return rows.select(F.col("rel").alias("path"), F.when(large, F.sha2(F.lit(""), 256)).otherwise(F.sha2("content", 256)).alias("blob_hash"), F.col("length").alias("size"), F.when(~large, X.language(F.col("rel"))).alias("lang"), F.when(~large, F.expr("try_validate_utf8(cast(content as string))")).alias("text"))
+
+
+def blobs(files: DataFrame) -> DataFrame:
+    """Each content once: what a content-addressed store holds."""
+    return files.dropDuplicates(["blob_hash"])
+
+
+_REGION = T.ArrayType(T.ArrayType(T.LongType()))
+COVERAGE = T.StructType([T.StructField("data", T.ArrayType(T.StructType([
+    T.StructField("files", T.ArrayType(T.StructType([T.StructField("filename", T.StringType()), T.StructField("summary", T.StructType([T.StructField("lines", T.StructType([T.StructField("percent", T.DoubleType())]))]))]))),
+    T.StructField("functions", T.ArrayType(T.StructType([T.StructField("filenames", T.ArrayType(T.StringType())), T.StructField("name", T.StringType()), T.StructField("regions", _REGION)]))),
+])))])
+
+
+def coverage(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of llvm-cov exports (json): (path, fraction) of files, and (path, function, start, end, hits) of function regions."""
+    data = reports.select(F.explode(F.from_json("json", COVERAGE)["data"]).alias("d"))
+    files = data.select(F.explode("d.files").alias("f")).select(F.col("f.filename").alias("path"), (F.col("f.summary.lines.percent") / 100).alias("fraction"))
+    functions = data.select(F.explode("d.functions").alias("f")).select(F.get("f.filenames", F.lit(0)).alias("path"), F.col("f.name").alias("function"), F.explode("f.regions").alias("r"))
+    return files, functions.select("path", "function", F.get("r", F.lit(0)).alias("start"), F.get("r", F.lit(2)).alias("end"), F.get("r", F.lit(4)).alias("hits"))
+
+
+def ledger(cells: DataFrame) -> DataFrame:
+    """Typed ledger rows of cells (array<string>): commit, date, model, tokens and cost; what is no number is null."""
+    c = lambda i: F.get("cells", F.lit(i))
+    number = lambda i, t: F.expr(f"try_cast(regexp_replace(get(cells, {i}), '[$,]', '') as {t})")
+    names = ["input", "output", "cache_read", "cache_write"]
+    return cells.select(c(0).alias("commit"), c(1).alias("date"), c(2).alias("model"), *[number(i + 3, "bigint").alias(n) for i, n in enumerate(names)], number(7, "double").alias("cost"), F.array_join(F.slice("cells", 9, 1 << 20), " | ").alias("summary"))
+
+
+def factory_audit(files: DataFrame, expectations: DataFrame, markers: list[str]) -> DataFrame:
+    """position, path, state (real, stub, missing), marker: of each expectation (position, alternates) the first alternate that is there.
+
+    files: path, text (null: unreadable). A text with a marker is a stub, and so is one that can't be read.
+    """
+    alternates = expectations.select("position", F.posexplode("alternates").alias("choice", "path"))
+    found = alternates.join(files, "path").groupBy("position").agg(F.min_by(F.struct("path", "text"), "choice").alias("f"))
+    marker = F.get(F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(F.col("f.text"), m)), F.lit(0))
+    state = F.when(F.col("f").isNull(), "missing").when(F.col("f.text").isNull() | marker.isNotNull(), "stub").otherwise("real")
+    return expectations.join(found, "position", "left").select("position", F.coalesce("f.path", F.get("alternates", F.lit(0))).alias("path"), state.alias("state"), marker.alias("marker"))
