@@ -554,3 +554,90 @@ def session_debounce(t: Tables) -> DataFrame:
 @query("""SELECT source, lang, language_hint, test, n FROM (SELECT source, lang, 'markdown' AS language_hint, source IN ('src1') AND false AS test, count(*) AS n FROM documents GROUP BY source, lang)""")
 def classify_paths(t: Tables) -> DataFrame:
     return files(t).join(t.documents.select("doc_id", "source", "lang"), "doc_id").groupBy("source", "lang", X.language(F.col("path")).alias("language_hint"), X.is_test(F.col("path")).alias("test")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- files, builds, geometry, streams
+
+
+@query("""SELECT doc_id, i AS position, cell FROM (SELECT doc_id, string_split(trim(line, '|'), '|') AS cells FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(line, ' | ')), LATERAL (SELECT unnest(range(len(cells))) AS i), LATERAL (SELECT trim(cells[i + 1]) AS cell)""")
+def table_cells(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").contains(" | "))
+    cells = F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|")
+    return rows.select("doc_id", F.posexplode(F.transform(cells, lambda c: F.trim(c))).alias("position", "cell")).withColumn("position", F.col("position").cast("long"))
+
+
+@query("""SELECT lang, count(*) AS runs, count(*) FILTER (toxic = 1) AS failed, count(*) FILTER (quality = 1) AS open FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+def issue_counts(t: Tables) -> DataFrame:
+    return t.documents.join(t.labels, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("toxic") == 1).alias("failed"), F.count_if(F.col("quality") == 1).alias("open"))
+
+
+@query("""SELECT c_nationkey AS repo, round(sum(o_totalprice), 2) AS spend, count(*) AS orders, max(o_orderdate) AS last FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey""")
+def ledger_spend(t: Tables) -> DataFrame:
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy(F.col("c_nationkey").alias("repo")).agg(F.round(F.sum("o_totalprice"), 2).alias("spend"), F.count(F.lit(1)).alias("orders"), F.max("o_orderdate").alias("last"))
+
+
+@query("""WITH e(position, alternates) AS (VALUES (0, ['src0', 'src1']), (1, ['none', 'src2']), (2, ['none'])), f AS (SELECT source AS path, max(CASE WHEN lang = 'en' THEN text END) AS text FROM documents GROUP BY source),
+c AS (SELECT position, unnest(alternates) AS path, unnest(range(len(alternates))) AS choice FROM e), b AS (SELECT position, arg_min(path, choice) AS path FROM c JOIN f USING (path) GROUP BY position)
+SELECT CAST(e.position AS INT) AS position, coalesce(b.path, alternates[1]) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN f.text IS NULL OR contains(f.text, 'License') THEN 'stub' ELSE 'real' END AS state FROM e LEFT JOIN b USING (position) LEFT JOIN f ON b.path = f.path""")
+def factory_audit(t: Tables) -> DataFrame:
+    from ..sources import readers
+
+    f = t.documents.groupBy(F.col("source").alias("path")).agg(F.max(F.when(F.col("lang") == "en", F.col("text"))).alias("text"))
+    expected = t.spark.createDataFrame([(0, ["src0", "src1"]), (1, ["none", "src2"]), (2, ["none"])], "position int, alternates array<string>")
+    return readers.factory_audit(f, expected, ["License"]).select("position", "path", "state")
+
+
+@query()
+def chunk_plan(t: Tables) -> DataFrame:
+    from ..operators import layout
+
+    f = files(t).select(F.col("path").alias("blob_hash"), "text", F.size(X.lines(F.col("text"))).alias("n"))
+    decls = f.where("n > 12").select("blob_hash", F.explode(F.array(F.struct(F.lit("outer").alias("key"), F.lit(3).alias("start"), F.col("n").alias("end")), F.struct(F.lit("inner").alias("key"), F.lit(6).alias("start"), F.lit(11).alias("end")))).alias("d")).select("blob_hash", "d.*")
+    return layout.plan_chunks(f, decls)
+
+
+@query()
+def cluster_hulls(t: Tables) -> DataFrame:
+    from ..operators import layout
+
+    e = t.embeddings.select(F.col("label").alias("cluster"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    return layout.cluster_hulls(e)
+
+
+@query()
+def semantic_search(t: Tables) -> DataFrame:
+    from ..operators import layout
+
+    docs = t.documents.select("doc_id", layout.hashed_embedding("text").alias("embedding"))
+    q = docs.where("doc_id = 1").first()["embedding"]
+    return search.vector_top(docs, q, 10, key="doc_id").withColumn("score", F.round("score", 5))
+
+
+@query()
+def ci_flow(t: Tables) -> DataFrame:
+    from ..operators import layout
+    from ..sources import parsers
+
+    text = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(x["role"], F.lit("_"), x["turn"], F.lit(": "), F.when(x["turn"] > 0, F.lit("system_0 user_0")).otherwise(""), F.lit("\n\techo step"))))
+    made = t.conversations.groupBy(F.concat(F.lit("c"), "conv_id", F.lit("/Makefile")).alias("path")).agg(text.alias("text"))
+    return layout.ci_flow(parsers.build_observations(made))
+
+
+@query("SELECT user_id AS run, count(*) AS starts FROM events GROUP BY user_id")
+def build_tracker(t: Tables) -> DataFrame:
+    """The stateful tracker over events as a stream of log lines, run until all is taken; its starts are counted here."""
+    import uuid
+
+    from ..streaming.watch import track_builds
+
+    spark, name = t.spark, f"builds_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet*")
+    log = stream.select(F.col("user_id").cast("string").alias("run"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.concat(F.lit("> "), "event_type", F.lit("-"), "event_id").alias("line"))
+    from ..operators.graph import _shared
+
+    base = _shared(spark) or "/tmp"
+    out = f"{base}/stratagraph/{name}"
+    q = track_builds(log).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).where("state = 'active'").groupBy(F.col("run").cast("long").alias("run")).agg(F.count(F.lit(1)).alias("starts"))
