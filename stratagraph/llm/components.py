@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     step = written(edges.where("u <> v").select("u", "v").distinct(), name)
     state = None
     while True:
-        step = written(_small_star(_large_star(step).distinct()).distinct(), name)
+        before, step = step, written(_small_star(_large_star(step).distinct()).distinct(), name)
+        dropped(before)
         now = step.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == state:
             break

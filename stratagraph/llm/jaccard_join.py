@@ -5,7 +5,9 @@
    follows from their sizes; with the token universe cut into parts by hash, so that a set fills more than D of them, at
    least one filled part holds the same tokens in both. A node's signatures are the hashes of its filled parts, for every
    number of parts that a partner of a permitted size may agree on, so no link is lost. A set that fills too few also signs a
-   second cut of the universe (and so on), and after the last cut its empty parts. Nodes connected by signatures are a cluster.
+   second cut of the universe (and so on), and after the last cut its empty parts. Signatures that many documents share (they
+   come from passages) are left out by every set that fills more than D parts without them; this decides cost only, as one of the
+   others must agree. Nodes connected by signatures are a cluster.
 3. A cluster is partitioned into groups of similar nodes; the token-group matrix holds each group's token union. The
    overlap of a node with a union bounds its overlap with every member, and only groups whose bound reaches what the
    sizes require are opened; members there are compared exactly.
@@ -29,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, small, written
 from .components import components
 from .tokens import U, Words, list_array, mixed, space_words, text_slices, window_hash
 
 BLOCK = 1024
 GROUP = 32
 CUTS = 5
+#: A signature that so many documents of single partitions share is frequent; so many frequent ones are broadcast at most.
+FREQUENT, MOST_FREQUENT = 8, 2_000_000
+#: The documents of a signature are compared with one another up to so many, with the first beyond.
+PAIRED = 8
 LADDER = 1.5
 RANGE_BYTES = 4 << 20
 _SALT = [0x1B873593 + 0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(CUTS)]
@@ -91,8 +97,8 @@ def parts_for(n: int, num: int, den: int, steps: np.ndarray) -> np.ndarray:
     return steps[a : b + 1]
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part signatures of all sets: (signature, set number)."""
+def signatures(hashes: np.ndarray, first: np.ndarray, num: int, den: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Part signatures of all sets: (signature, set number). frequent: signatures, ascending, that a set leaves out where it can."""
     sizes = np.diff(first)
     steps = ladder(max(2, most_different(int(sizes.max()) * 3 + 3, num, den) + 2)) if len(sizes) else ladder(2)
     plans = {int(n): parts_for(int(n), num, den, steps) for n in np.unique(sizes) if n}
@@ -122,9 +128,14 @@ def signatures(hashes: np.ndarray, first: np.ndarray, num: int, den: int) -> tup
         filled = slot[begin]
         of = np.searchsorted(base, filled, "right") - 1
         name = mixed(total ^ mixed((filled - base[of]).astype(U) * U(0x100000001B3) + parts[of].astype(U) * U(0xC2B2AE3D27D4EB4F) + U(cut)))
-        out.append(name)
-        owner.append(which[of])
         some = np.bincount(of, minlength=len(which))
+        keep = np.ones(len(name), bool)
+        if frequent is not None and len(frequent):
+            common = frequent[np.minimum(np.searchsorted(frequent, name), len(frequent) - 1)] == name
+            rare = some - np.bincount(of[common], minlength=len(which))
+            keep = ~(common & (rare >= need)[of])  # enough filled parts are rare: one of those is equal in any partner
+        out.append(name[keep])
+        owner.append(which[of[keep]])
         lacking = np.flatnonzero(some < need)
         if cut == CUTS - 1 and len(lacking):
             for j in lacking.tolist():
@@ -138,20 +149,86 @@ def signatures(hashes: np.ndarray, first: np.ndarray, num: int, den: int) -> tup
 
 
 #: Rows of three kinds: a document (doc_id, n, s1, s2), a link seen within a slice (doc_id, other), a range's signatures of a slice.
-SKETCH = "doc_id long, n long, s1 long, s2 long, other long, range int, keys binary, owners binary, ids binary"
+SKETCH = "doc_id long, n long, s1 long, s2 long, other long, range int, keys binary, owners binary, ids binary, buckets binary"
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """key ascending: the first entry of each key, and how many there are."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return start, np.diff(np.append(start, len(key)))
 
 
 def _stars(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """key ascending: which entries are the first of their key, and the distinct (owner, first owner) pairs of the others."""
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = key[1:] != key[:-1]
-    pivot = owner[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(key) else owner
-    other = pivot != owner
+    """Entries of keys with over PAIRED entries: the flags of all but the first of them, and distinct (owner, first owner) pairs."""
+    start, n = _groups(key)
+    large = np.repeat(n > PAIRED, n)
+    pivot = np.repeat(owner[start], n)
+    other = large & (pivot != owner)
+    later = large.copy()
+    later[start] = False
     pairs = np.unique(np.stack([owner[other], pivot[other]], 1), axis=0) if other.any() else np.empty((0, 2), owner.dtype)
-    return fresh, pairs[:, 0], pairs[:, 1]
+    return later, pairs[:, 0], pairs[:, 1]
+
+
+def _pairs(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Distinct pairs of different owners of keys with PAIRED entries at most."""
+    start, n = _groups(key)
+    out = [np.empty((0, 2), owner.dtype)]
+    for size in range(2, PAIRED + 1):
+        at = start[n == size]
+        out += [np.stack([owner[at + i], owner[at + j]], 1) for i in range(size) for j in range(i + 1, size)]
+    pairs = np.concatenate(out)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return np.unique(np.sort(pairs, 1), axis=0)
+
+
+def bucket_counts(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Per set, how many tokens fall into each of about n/3 buckets (a power of two): the token-group matrix's row of one set."""
+    low = mixed(hashes + U(7)).astype(np.uint32)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        wide = 1 << min(14, max(4, ((b - a) // 3).bit_length()))
+        out.append(np.bincount(low[a:b] & np.uint32(wide - 1), minlength=wide).astype(np.uint16).tobytes())
+    return out
+
+
+def _may_link(num: int, den: int):
+    """Of pairs with both rows of counts, those whose bound on the overlap reaches what their sizes require."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for i, (x, y) in enumerate(zip(batch.column("ub"), batch.column("vb"), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint16).astype(np.int64), np.frombuffer(y.as_py(), np.uint16).astype(np.int64)
+                total, w = int(x.sum() + y.sum()), min(len(x), len(y))
+                keep[i] = np.minimum(x.reshape(-1, w).sum(0), y.reshape(-1, w).sum(0)).sum() * (num + den) >= total * num
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("u", "v")], ["u", "v"])
+
+    return run
+
+
+def _shared_signatures(k: int, num: int, den: int, most: int = 4_000_000):
+    """Signatures that several documents of a partition have, with their number."""
+    is_word = space_words()
+
+    def counted(keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch, "text"):
+                held.append(signatures(*shingle_sets(Words(data, offsets, is_word, lower=True), k), num, den)[0])
+                if sum(map(len, held)) > most:
+                    yield counted(held)
+                    held = []
+        if held:
+            yield counted(held)
+
+    return run
 
 
-def _sketches(k: int, num: int, den: int, ranges: int):
+def _sketches(k: int, num: int, den: int, ranges: int, frequent):
     is_word = space_words()
 
     def rows(**columns) -> pa.RecordBatch:
@@ -170,17 +247,17 @@ def _sketches(k: int, num: int, den: int, ranges: int):
                     sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(hashes + U(salt)), dtype=U)])
                     names.append(mixed(sums[first[1:]] - sums[first[:-1]] + sizes.astype(U)).view(np.int64))
                 ids = batch.column("doc_id").slice(a, b - a)
-                yield rows(doc_id=ids, n=pa.array(sizes, pa.int64()), s1=pa.array(names[0]), s2=pa.array(names[1]))
+                yield rows(doc_id=ids, n=pa.array(sizes, pa.int64()), s1=pa.array(names[0]), s2=pa.array(names[1]), buckets=pa.array(bucket_counts(hashes, first), pa.binary()))
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 ids = ids.fill_null(0).to_numpy()
-                key, owner = signatures(hashes, first, num, den)
+                key, owner = signatures(hashes, first, num, den, frequent.value)
                 key, owner = key[known[owner]], owner[known[owner]]
                 order = np.argsort(key)
                 key, owner = key[order], owner[order]
-                fresh, u, v = _stars(key, owner)
+                later, u, v = _stars(key, owner)
                 if len(u):
                     yield rows(doc_id=pa.array(ids[u]), other=pa.array(ids[v]))
-                key, owner = key[fresh], owner[fresh].astype(np.uint32)
+                key, owner = key[~later], owner[~later].astype(np.uint32)
                 cuts = np.searchsorted((key >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1))
                 low = key.astype(np.uint32)
                 some = np.flatnonzero(np.diff(cuts))
@@ -206,8 +283,10 @@ def _meet(table: pa.Table) -> pa.Table:
         at += len(i)
     key, owner, ids = np.concatenate(keys), np.concatenate(owners), np.concatenate(ids)
     order = np.lexsort((ids[owner], key))
-    _, u, v = _stars(key[order], ids[owner[order]])
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+    key, owner = key[order], ids[owner[order]]
+    _, u, v = _stars(key, owner)
+    pairs = _pairs(key, owner)
+    return pa.table({"u": np.concatenate([u, pairs[:, 0]]), "v": np.concatenate([v, pairs[:, 1]]), "paired": np.arange(len(u) + len(pairs)) >= len(u)})
 
 
 def _token_sets(k: int):
@@ -304,19 +383,29 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: str = "0.9", bloc
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     ranges = max(1, math.ceil(total / RANGE_BYTES))
-    sketched = written(docs.mapInArrow(_sketches(k, num, den, ranges), SKETCH), "join-sketches")
+    shared = docs.mapInArrow(_shared_signatures(k, num, den), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    shared = written(shared.select("key"), "join-frequent")
+    few = shared.count() <= MOST_FREQUENT  # beyond, nothing is left out: the same links at a higher cost
+    frequent = np.sort(shared.toArrow().column("key").to_numpy().view(U)) if few else np.empty(0, U)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sketched = written(docs.mapInArrow(_sketches(k, num, den, ranges, frequent), SKETCH), "join-sketches")
     rows = sketched.where("n is not null").select("doc_id", "n", "s1", "s2")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     members = written(rows.join(classes, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "join-members")
-    met = sketched.where("range is not null").select("range", "keys", "owners", "ids").groupBy("range").applyInArrow(lambda t: _meet(t), "u long, v long")
-    near = sketched.where("other is not null").select(F.col("doc_id").alias("u"), F.col("other").alias("v")).unionByName(met).distinct()
+    met = sketched.where("range is not null").select("range", "keys", "owners", "ids").groupBy("range").applyInArrow(lambda t: _meet(t), "u long, v long, paired boolean")
+    near = sketched.where("other is not null").select(F.col("doc_id").alias("u"), F.col("other").alias("v"), F.lit(False).alias("paired")).unionByName(met)
     node_of = members.where("node is not null").select("doc_id", "node").distinct()
     near = near.join(node_of.withColumnsRenamed({"doc_id": "u", "node": "un"}), "u").join(node_of.withColumnsRenamed({"doc_id": "v", "node": "vn"}), "v")
-    near = near.where("un <> vn").select(F.col("un").alias("u"), F.col("vn").alias("v"))
+    near = near.where("un <> vn").groupBy(F.least("un", "vn").alias("u"), F.greatest("un", "vn").alias("v")).agg(F.min("paired").alias("paired"))
+    near = written(near, "join-near")
+    vectors = sketched.where("n > 0").join(classes, ["s1", "s2"]).where("doc_id = node").select("node", "buckets")
+    paired = near.where("paired").join(vectors.withColumnsRenamed({"node": "u", "buckets": "ub"}), "u").join(vectors.withColumnsRenamed({"node": "v", "buckets": "vb"}), "v").select("u", "v", "ub", "vb")
+    near = written(near.where("not paired").select("u", "v").unionByName(paired.mapInArrow(_may_link(num, den), "u long, v long")), "join-likely")
+    dropped(sketched)
     clusters = written(components(near, "join-clusters"), "join-clusters")
     sized = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = written(clusters.join(sized, "component").select("node", F.col("component").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "join-placed")
-    texts = docs.join(placed, docs["doc_id"] == placed["node"]).select("node", "cluster", "block", "blocks", "text")
+    texts = docs.join(small(placed), docs["doc_id"] == placed["node"]).select("node", "cluster", "block", "blocks", "text")
     tokens = written(texts.mapInArrow(_token_sets(k), "node long, cluster long, block int, blocks int, tokens array<long>"), "join-tokens")
     n_bins = max(1, math.ceil(placed.where("blocks = 1").count() / block))
     alone = tokens.where("blocks = 1").select(F.pmod(F.xxhash64("cluster"), F.lit(n_bins)).cast("long").alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "cluster", "node", F.lit(0).alias("side"), "tokens")
