@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, bare, small, text_or_empty, unpacked, written
 
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 HASH_SPAN = 1 << 60
 ADDED = ["size", "source_size", "target", "repetitions"]
 
