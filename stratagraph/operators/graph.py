@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _shared(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir; on a local master without it, a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/") if named else f"/tmp/stratagraph-{spark.sparkContext.applicationId}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: a reliable checkpoint in the shared folder (a temporary one on a local master without a setting)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if _shared(spark) is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(f"/tmp/stratagraph-{uuid.uuid4().hex}")
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -98,15 +97,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Forward colouring: each node takes the least label that reaches it; a colour's root and what reaches the root within
     the colour is a component. Components found leave the graph, and so do nodes without edges on one side.
     """
-    def persisted(df: DataFrame) -> DataFrame:
-        return settled(df)
-
-    rest = persisted(edges.where("src <> dst").select("src", "dst").distinct())
+    rest = settled(edges.where("src <> dst").select("src", "dst").distinct())
     done = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("component", F.col("node"))
     found = None
     while not rest.isEmpty():
         while True:  # nodes without a way in or a way out are components of their own
-            trimmed = persisted(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+            trimmed = settled(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
             same = trimmed.count() == rest.count()
             rest = trimmed
             if same:
@@ -116,16 +112,16 @@ def strong_components(edges: DataFrame) -> DataFrame:
         colour = rest.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node"))
         while True:
             passed = colour.join(rest, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
-            nxt = persisted(colour.join(passed, "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
+            nxt = settled(colour.join(passed, "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
             colour, moved = nxt.select("node", "colour"), nxt.where("moved").isEmpty()
             if moved:
                 break
         inner = rest.join(colour.withColumnsRenamed({"node": "src", "colour": "sc"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "dc"}), "dst").where("sc = dc").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         roots = colour.where("node = colour").select("node")
         reached = neighborhood(inner, roots, None, directed=True).select("node")
-        part = persisted(colour.join(reached, "node", "left_semi").withColumnRenamed("colour", "component"))
+        part = settled(colour.join(reached, "node", "left_semi").withColumnRenamed("colour", "component"))
         found = part if found is None else found.unionByName(part)
-        rest = persisted(rest.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        rest = settled(rest.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti"))
     if found is None:
         return done
     return done.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -634,10 +634,7 @@ def build_tracker(t: Tables) -> DataFrame:
     spark, name = t.spark, f"builds_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet*")
     log = stream.select(F.col("user_id").cast("string").alias("run"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.concat(F.lit("> "), "event_type", F.lit("-"), "event_id").alias("line"))
-    from ..operators.graph import _shared
-
-    base = _shared(spark) or "/tmp"
-    out = f"{base}/stratagraph/{name}"
+    out = f"{graph.shared_folder(spark)}/stratagraph/{name}"
     q = track_builds(log).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).where("state = 'active'").groupBy(F.col("run").cast("long").alias("run")).agg(F.count(F.lit(1)).alias("starts"))
