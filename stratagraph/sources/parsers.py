@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 RECIPE_LINES, LANE_STEPS = 12, 14
+# Words that lead a line of a lane without being an action.
 NOT_ACTIONS = frozenset("if unless case when else elsif begin rescue ensure end do while until for return next break yield then in lane private_lane platform desc puts require import self true false nil".split())
 
 _ASSIGN = re.compile(r"^([^\s:=?+#]+)\s*(::?=|\?=|\+=|=)\s*(.*)$")
