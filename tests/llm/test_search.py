@@ -105,8 +105,23 @@ def test_signatures_lose_no_pair(seed, t, n):
     x, y = base[rng.integers(0, 3) :], np.concatenate([base[: n - rng.integers(0, 3)], rng.integers(1, 2**62, rng.integers(0, 3)).astype(np.uint64)])
     both = len(np.intersect1d(x, y))
     if both and both * f.denominator >= f.numerator * len(np.union1d(x, y)):
-        s, owner = jaccard_join.signatures(np.concatenate([np.sort(x), np.sort(y)]), np.array([0, len(x), len(x) + len(y)]), f.numerator, f.denominator)
+        both = np.concatenate([np.sort(x), np.sort(y)]), np.array([0, len(x), len(x) + len(y)])
+        s, owner = jaccard_join.signatures(*both, f.numerator, f.denominator)
         assert set(s[owner == 0].tolist()) & set(s[owner == 1].tolist())
+        for share in (0.2, 0.6, 1.0):  # whatever counts as frequent
+            frequent = np.unique(s[rng.random(len(s)) < share])
+            a, who = jaccard_join.signatures(*both, f.numerator, f.denominator, frequent)
+            assert set(a[who == 0].tolist()) & set(a[who == 1].tolist())
+
+
+def test_bucket_bound_holds():
+    rng = np.random.default_rng(3)
+    for n, m in ((5, 9), (60, 40), (700, 90), (3000, 2800)):
+        pool = rng.integers(1, 2**62, n + m).astype(np.uint64)
+        x, y = np.sort(pool[:n]), np.sort(pool[n // 2 : n // 2 + m])
+        a, b = (np.frombuffer(v, np.uint16).astype(int) for v in jaccard_join.bucket_counts(np.concatenate([x, y]), np.array([0, n, n + m])))
+        w = min(len(a), len(b))
+        assert np.minimum(a.reshape(-1, w).sum(0), b.reshape(-1, w).sum(0)).sum() >= len(np.intersect1d(x, y)) and a.sum() == n and b.sum() == m
 
 
 def _hits(text, items, width):
