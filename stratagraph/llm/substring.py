@@ -38,6 +38,8 @@ WIDTH = 50
 GRAM = 12
 SHARD_WORDS = 1 << 20
 HOT = 200_000
+#: A very common window meets its least document in so many tasks.
+SALTS = 16
 BROADCAST_GRAMS = 2_000_000
 PASSAGE = "gram long, words binary, owners binary, window long, doc_id long, th int, at int"
 _OWNER = np.dtype([("doc_id", "<i8"), ("th", "<i4"), ("at", "<i4")])
@@ -255,8 +257,9 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shar
     shards = max(1, math.ceil(n_places * 70 / shard_words))
     spans = found.where("gram is not null").select(F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard"), "words", "owners").groupBy("shard").applyInArrow(lambda t: _search(width)(t), "doc_id long, th int, start int, end int")
     windows = found.where("window is not null").select("window", "doc_id", "th", "at")
-    least = windows.groupBy("window").agg(F.min("doc_id").alias("least"))
-    spans = spans.unionByName(windows.join(least, "window").where("doc_id > least").select("doc_id", "th", F.col("at").alias("start"), (F.col("at") + width).alias("end")))
+    least = windows.groupBy("window").agg(F.min("doc_id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
+    spans = spans.unionByName(salted.join(least, ["window", "salt"]).where("doc_id > least").select("doc_id", "th", F.col("at").alias("start"), (F.col("at") + width).alias("end")))
     gone = spans.groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     gone = written(gone, "substring-spans")
     rec = docs.select(F.struct(*[docs[f.name] for f in kept]).alias("rec"), docs["doc_id"].cast("bigint").alias("j_id"), F.hash(docs["text"]).alias("j_th"), docs["text"].alias("text"))
