@@ -7,6 +7,7 @@ two different words get one is less likely than 1e-6 for a billion distinct word
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,18 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+
+def _frees_at_once() -> None:
+    """Arrays of four megabytes and more go back to the system when they are freed: idle workers hold little (glibc; elsewhere nothing)."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        return
+
+
+_frees_at_once()
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -127,6 +139,7 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) ->
         to = min(to, len(texts))
         yield row, to, raw[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
         row = to
+    pa.default_memory_pool().release_unused()
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
