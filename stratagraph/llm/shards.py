@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import bare, small, text_or_empty, unpacked, written
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 MOST_TASKS = 100_000
 GROUP = 4096
 
