@@ -40,7 +40,7 @@ GROUP = 32
 CUTS = 5
 #: A signature that so many documents of single partitions share is frequent; so many frequent ones are broadcast at most.
 FREQUENT, MOST_FREQUENT = 8, 2_000_000
-#: The documents of a signature are compared with one another up to so many, with the first beyond.
+#: The documents of a signature are compared with one another up to so many, tied to the first beyond; in other slices the first stands for all.
 PAIRED = 8
 LADDER = 1.5
 RANGE_BYTES = 4 << 20
@@ -149,7 +149,7 @@ def signatures(hashes: np.ndarray, first: np.ndarray, num: int, den: int, freque
 
 
 #: Rows of three kinds: a document (doc_id, n, s1, s2), a link seen within a slice (doc_id, other), a range's signatures of a slice.
-SKETCH = "doc_id long, n long, s1 long, s2 long, other long, range int, keys binary, owners binary, ids binary, buckets binary"
+SKETCH = "doc_id long, n long, s1 long, s2 long, other long, range int, keys binary, owners binary, ids binary, stands binary, buckets binary"
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,16 +170,20 @@ def _stars(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return later, pairs[:, 0], pairs[:, 1]
 
 
-def _pairs(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Distinct pairs of different owners of keys with PAIRED entries at most."""
+def _pairs(key: np.ndarray, owner: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of different owners of keys with PAIRED entries at most, and which of them neither end's entry stands for others in."""
     start, n = _groups(key)
-    out = [np.empty((0, 2), owner.dtype)]
+    out, alone = [np.empty((0, 2), owner.dtype)], [np.empty(0, bool)]
     for size in range(2, PAIRED + 1):
         at = start[n == size]
-        out += [np.stack([owner[at + i], owner[at + j]], 1) for i in range(size) for j in range(i + 1, size)]
-    pairs = np.concatenate(out)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return np.unique(np.sort(pairs, 1), axis=0)
+        for i in range(size):
+            for j in range(i + 1, size):
+                out.append(np.stack([owner[at + i], owner[at + j]], 1))
+                alone.append(~(stands[at + i] | stands[at + j]))
+    pairs, alone = np.sort(np.concatenate(out), 1), np.concatenate(alone)
+    some = pairs[:, 0] != pairs[:, 1]
+    kinds = [np.unique(pairs[some & (alone == x)], axis=0) for x in (False, True)]
+    return np.concatenate(kinds), np.arange(sum(map(len, kinds))) >= len(kinds[0])
 
 
 def bucket_counts(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -257,12 +261,15 @@ def _sketches(k: int, num: int, den: int, ranges: int, frequent):
                 later, u, v = _stars(key, owner)
                 if len(u):
                     yield rows(doc_id=pa.array(ids[u]), other=pa.array(ids[v]))
-                key, owner = key[~later], owner[~later].astype(np.uint32)
+                start, n = _groups(key)
+                stands = np.zeros(len(key), bool)
+                stands[start] = n > PAIRED  # such an entry is all that other slices see of its signature's owners here
+                key, owner, stands = key[~later], owner[~later].astype(np.uint32), stands[~later]
                 cuts = np.searchsorted((key >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1))
                 low = key.astype(np.uint32)
                 some = np.flatnonzero(np.diff(cuts))
-                parts = [(low[cuts[r] : cuts[r + 1]].tobytes(), *_places(ids, owner[cuts[r] : cuts[r + 1]])) for r in some]
-                yield rows(range=pa.array(some, pa.int32()), **{c: pa.array([x[i] for x in parts], pa.binary()) for i, c in enumerate(("keys", "owners", "ids"))})
+                parts = [(low[cuts[r] : cuts[r + 1]].tobytes(), *_places(ids, owner[cuts[r] : cuts[r + 1]]), np.packbits(stands[cuts[r] : cuts[r + 1]]).tobytes()) for r in some]
+                yield rows(range=pa.array(some, pa.int32()), **{c: pa.array([x[i] for x in parts], pa.binary()) for i, c in enumerate(("keys", "owners", "ids", "stands"))})
 
     return run
 
@@ -275,18 +282,19 @@ def _places(ids: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
 
 def _meet(table: pa.Table) -> pa.Table:
     """Signatures of one range from all slices: links between documents that share one."""
-    keys, owners, at = [], [], 0
+    keys, owners, stands, at = [], [], [], 0
     ids = [np.frombuffer(x.as_py(), np.int64) for x in table.column("ids")]
-    for k, o, i in zip(table.column("keys"), table.column("owners"), ids, strict=True):
+    for k, o, s, i in zip(table.column("keys"), table.column("owners"), table.column("stands"), ids, strict=True):
         keys.append(np.frombuffer(k.as_py(), np.uint32))
         owners.append(np.frombuffer(o.as_py(), np.uint16 if len(i) <= 1 << 16 else np.uint32).astype(np.int64) + at)
+        stands.append(np.unpackbits(np.frombuffer(s.as_py(), np.uint8), count=len(keys[-1])).astype(bool))
         at += len(i)
-    key, owner, ids = np.concatenate(keys), np.concatenate(owners), np.concatenate(ids)
+    key, owner, ids, stands = np.concatenate(keys), np.concatenate(owners), np.concatenate(ids), np.concatenate(stands)
     order = np.lexsort((ids[owner], key))
-    key, owner = key[order], ids[owner[order]]
+    key, owner, stands = key[order], ids[owner[order]], stands[order]
     _, u, v = _stars(key, owner)
-    pairs = _pairs(key, owner)
-    return pa.table({"u": np.concatenate([u, pairs[:, 0]]), "v": np.concatenate([v, pairs[:, 1]]), "paired": np.arange(len(u) + len(pairs)) >= len(u)})
+    pairs, alone = _pairs(key, owner, stands)
+    return pa.table({"u": np.concatenate([u, pairs[:, 0]]), "v": np.concatenate([v, pairs[:, 1]]), "paired": np.concatenate([np.zeros(len(u), bool), alone])})
 
 
 def _token_sets(k: int):
@@ -392,7 +400,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: str = "0.9", bloc
     rows = sketched.where("n is not null").select("doc_id", "n", "s1", "s2")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     members = written(rows.join(classes, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "join-members")
-    met = sketched.where("range is not null").select("range", "keys", "owners", "ids").groupBy("range").applyInArrow(lambda t: _meet(t), "u long, v long, paired boolean")
+    met = sketched.where("range is not null").select("range", "keys", "owners", "ids", "stands").groupBy("range").applyInArrow(lambda t: _meet(t), "u long, v long, paired boolean")
     near = sketched.where("other is not null").select(F.col("doc_id").alias("u"), F.col("other").alias("v"), F.lit(False).alias("paired")).unionByName(met)
     node_of = members.where("node is not null").select("doc_id", "node").distinct()
     near = near.join(node_of.withColumnsRenamed({"doc_id": "u", "node": "un"}), "u").join(node_of.withColumnsRenamed({"doc_id": "v", "node": "vn"}), "v")

@@ -96,6 +96,34 @@ def test_jaccard_in_blocks_loses_no_link(spark):
         assert {tuple(r) for r in jaccard_join.jaccard_components(df, 3, "0.9", block=block).collect()} == want
 
 
+def _stars(families, slices, seed):
+    """Per family: in slice 0 a hub, last, and many texts that hold some of its signatures each; in every other slice a near copy of the hub."""
+    rng = random.Random(seed)
+    parts = [[] for _ in range(slices)]
+    for f in range(families):
+        base = [f"b{f}_{i}" for i in range(60)]
+
+        def changed(n, mark):
+            w = list(base)
+            for i in rng.sample(range(60), n):
+                w[i] = f"{mark}_{f}_{i}"
+            return " ".join(w)
+
+        parts[0] += [changed(18, f"p{i}") for i in range(300)] + [" ".join(base)]
+        for s in range(1, slices):
+            parts[s].append(changed(6, f"c{s}"))
+    return [(s, t) for s, p in enumerate(parts) for t in p]
+
+
+@pytest.mark.parametrize("slices", [2, 8])
+def test_jaccard_of_stars_over_slices_loses_no_link(spark, slices):
+    rows = [(i, t, s) for i, (s, t) in enumerate(_stars(3, slices, slices))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, s int").repartitionByRange(slices, "s")
+    want = _components([(i, t) for i, t, _ in rows], 1, "0.8")
+    assert len(rows) - len({c for _, _, c in want}) == 3 * (slices - 1)
+    assert {tuple(r) for r in jaccard_join.jaccard_components(df, 1, "0.8").collect()} == want
+
+
 @given(st.integers(0, 10**6), st.sampled_from(["0.9", "0.8", "0.95"]), st.integers(1, 60))
 @settings(deadline=None, max_examples=200)
 def test_signatures_lose_no_pair(seed, t, n):
