@@ -6,6 +6,11 @@ permutation of that domain (cycle walking until the result is valid again): a ca
 stays a date, separators, country codes and letter case stay. The permutation depends on key, kind and format only, so
 equal values stay linked across documents, different values stay different, and restore() takes a text back.
 
+A value may start wherever no letter or digit precedes it, but not within digits that . or - tie to a letter (as v1.2.3.4.5), and
+ends where no letter or digit follows; a time may follow a date (2024-01-05T10:22). If the longest reading is not valid, shorter ones
+are tried. A phone number does not reach into a value of another kind that ends beyond it. An IBAN has its country's length if it
+is valid so, else the longest valid one.
+
 Whole texts are read; documents are judged one by one in Arrow batches, nothing is shuffled or gathered.
 
 Nulls: a null text stays null and has no findings. Other columns are untouched; input columns that clash with the added ones are
@@ -27,8 +32,19 @@ FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).too
 KINDS = ("card", "iban", "ssn", "ipv4", "phone", "date", "email")
 ADDED = "n_found long, kinds array<string>, pseudonymised string"
 
-_NUMBER = re.compile(r"(?<![\w.+@-])[+(]?\d(?:[\d ().:/-]{4,28})\d(?![\w@])")
-_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+#: Where a value may start: no value is shorter than seven characters.
+_START = re.compile(r"(?<!\w)(?=[+(]?\d[\d ().:/-]{5})")
+_TIED = re.compile(r"[^\W\d]\d+(?:[.-]\d+)+")
+_END = re.compile(r"(?!\w)")
+_DATE_END = re.compile(r"(?!\w)|[Tt](?=\d)")
+_IBAN_START = re.compile(r"(?<!\w)(?=[A-Z]{2}\d{2} ?[A-Z0-9]{4})")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+#: Lengths of IBANs by country.
+_IBAN_LENGTHS = {c: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}.items() for c in names.split()}
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?!\w)")
 _PARTS: list[tuple[str, re.Pattern]] = [
     ("date", re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4})")),
@@ -192,14 +208,12 @@ class Pseudonyms:
             for m in _EMAIL.finditer(text):
                 name, at, domain = m[0].partition("@")
                 found.append((m.start(), m.end(), "email", self._mixed("email", name, back) + at + domain))
-        for m in _IBAN.finditer(text):
-            if (new := self._iban(m[0], back)) is not None:
-                found.append((m.start(), m.end(), "iban", new))
-        taken = sorted(x[:2] for x in found)
-        for run in _NUMBER.finditer(text):
-            if any(a < run.end() and run.start() < b for a, b in taken):
-                continue
-            found += self._in_run(text, run.start(), run.end(), back)
+        at = 0
+        for m in _IBAN_START.finditer(text):
+            if m.start() >= at and (best := self._iban_at(text, m.start(), back)) is not None:
+                found.append(best)
+                at = best[1]
+        found += self._numbers(text, sorted(x[:2] for x in found), back)
         out, kinds, at = [], [], 0
         for a, b, kind, new in sorted(found):
             if a >= at:
@@ -208,25 +222,64 @@ class Pseudonyms:
                 at = b
         return "".join([*out, text[at:]]), kinds
 
-    def _in_run(self, text: str, a: int, b: int, back: bool) -> Iterator[tuple[int, int, str, str]]:
-        """Values within a run of digits and separators, the leftmost first, longer kinds before shorter ones."""
-        at = a
-        while at < b:
-            if text[at] not in "+(" and not text[at].isdigit():
-                at += 1
+    def _iban_at(self, text: str, a: int, back: bool) -> tuple[int, int, str, str] | None:
+        """The IBAN that starts at a: of its country's length if that is valid, else the longest."""
+        best, end, length = None, len(text), _IBAN_LENGTHS.get(text[a : a + 2])
+        while m := _IBAN.match(text, a, end):
+            end = m.end() - 1
+            if _END.match(text, m.end()) and (new := self._iban(m[0], back)) is not None:
+                right = len(m[0].replace(" ", "")) == length
+                if best is None or right:
+                    best = (a, m.end(), "iban", new)
+                if right:
+                    break
+        return best
+
+    def _numbers(self, text: str, taken: list[tuple[int, int]], back: bool) -> Iterator[tuple[int, int, str, str]]:
+        """Values of digits and separators outside the taken spans, the leftmost first, longer kinds before shorter ones."""
+        at, later, tied = 0, iter([*sorted(taken), (len(text), len(text))]), None
+        a, b = next(later)
+        for s in _START.finditer(text):
+            i = s.start()
+            while b <= i:
+                a, b = next(later)
+            if i < at or i >= a:
                 continue
+            if i and text[i - 1] in ".-":
+                if tied is None:
+                    tied = iter([*(m.span() for m in _TIED.finditer(text)), (len(text), len(text))])
+                    c, d = next(tied)
+                while d <= i:
+                    c, d = next(tied)
+                if c <= i:
+                    continue
             best = None
             for kind, pattern in _PARTS:
-                m = pattern.match(text, at, b)
-                if m and (m.end() == len(text) or not text[m.end()].isdigit()) and (new := self._number(kind, m, back)) is not None and (best is None or m.end() > best[1]):
-                    best = (at, m.end(), kind, new)
+                got = self._longest(kind, pattern, text, i, a, back)
+                if got and (best is None or got[1] > best[1]):
+                    best = got
             if best:
                 yield best
                 at = best[1]
-            else:
-                while at < b and text[at].isdigit():
-                    at += 1
-                at += at < b and not text[at].isdigit()
+
+    def _longest(self, kind: str, pattern: re.Pattern, text: str, a: int, end: int, back: bool) -> tuple[int, int, str, str] | None:
+        """The longest valid value of a kind that starts at a and ends by `end`."""
+        limit, after = end, _DATE_END if kind == "date" else _END
+        while m := pattern.match(text, a, end):
+            end = m.end() - 1
+            if after.match(text, m.end()) and (new := self._number(kind, m, back)) is not None and not (kind == "phone" and self._crossed(text, a, m.end(), limit)):
+                return a, m.end(), kind, new
+        return None
+
+    def _crossed(self, text: str, a: int, b: int, limit: int) -> bool:
+        """Whether a value of another kind starts between a and b and ends beyond b."""
+        for s in _START.finditer(text, a + 1, limit):
+            if s.start() >= b:
+                break
+            for kind, pattern in _PARTS:
+                if kind != "phone" and (got := self._longest(kind, pattern, text, s.start(), limit, False)) and got[1] > b:
+                    return True
+        return False
 
     def pseudonym(self, text: str) -> str:
         return self.apply(text)[0]

@@ -77,6 +77,26 @@ def test_dates_stay_dates(day, form):
     assert kinds == ["date"] and len(new) == len(text) and NAMES.restore(new) == text and NAMES.apply(new)[1] == ["date"]
 
 
+def test_values_in_a_row_are_all_found():
+    card = "4111 1111 1111 1111"
+    for text, want in {
+        "2024-01-05 10:22:33 192.168.100.25": ["date", "ipv4"],
+        "2024-01-05 2024-01-06 2024-01-07 2024-01-08": ["date"] * 4,
+        f"{card} 5500 0000 0000 0004": ["card"] * 2,
+        "at 2024-01-05T10:22:33 and 2024-01-06T10:22:33 10.1.2.3": ["date", "date", "ipv4"],
+        "2024-01-05 / 2024-01-06 - 3x and 10.20.30.40 4y": ["date", "date", "ipv4"],
+        "+49 170 1234567 2024-01-05": ["phone", "date"],
+        "+1 (212) 555-0100 10.20.30.40": ["phone", "ipv4"],
+        f"2024-01-05 12.bob@x.example.com {card}": ["date", "email", "card"],
+        "DE89 3704 0044 0532 0130 00 PAID 2024": ["iban"],
+        "BE68 5390 0754 7034 2024 2024-01-05": ["iban", "date"],
+        "log-2024-01-05 tel.+49 170 1234567": ["date", "phone"],
+        "v1.2.3.4.5 and 4111111111111111x and 2024-01-05x": [],
+    }.items():
+        new, kinds = NAMES.apply(text)
+        assert kinds == want and NAMES.restore(new) == text and (new == text) == (not want), text
+
+
 def test_permutation_of_a_small_domain():
     net = pii.Feistel(b"k", "test", 1000)
     assert sorted(net.permute(x) for x in range(1000)) == list(range(1000)) and all(net.permute(net.permute(x), back=True) == x for x in range(1000))
