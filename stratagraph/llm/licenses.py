@@ -1,14 +1,12 @@
-"""License scans: MinHash bands over overlapping text windows retrieve templates; exact shingle containment verifies them.
+"""License scans: MinHash anchors in overlapping text windows retrieve templates; exact shingle containment verifies them.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters; shingles have SHINGLE words (a shorter template is one
 shingle of its own length). A template of n words is sought in windows of 2 * m words that start every m words, where m is
-the power of two from n up, so every passage of its length lies whole in a window, and the window's likeness to the template is
-about 1/4 at least. Every window has HASHES MinHash values in bands of one value each: at likeness 1/4 a band agrees with some template
-value with probability 1 - (3/4) ** HASHES, over 0.9999999. A template retrieved is verified by the share of its
-shingles that the window holds; CONTAINED or more is a finding.
-
-A window's MinHash value can only equal a template's if the window holds the very shingle that gives the template's; so
-values are computed for windows around such shingles, with the same outcome as for all windows.
+the power of two from n up, so every passage of its length lies whole in a window. The shingles that give a template's HASHES MinHash
+values are its anchors (all its shingles, if those are not more than a share 1 - CONTAINED of them), and every window that holds an
+anchor is retrieved, whether or not it has the MinHash value: in a window much longer than the template another shingle may. What
+holds a share CONTAINED of the shingles holds an anchor, so no passage is missed. A template retrieved is verified by the share of
+its shingles that the window holds; CONTAINED or more is a finding.
 
 Nulls: a null or empty text has no findings. Repeated rows get equal results. Input columns that clash with the added one are replaced.
 """
@@ -47,7 +45,7 @@ _SALT = mixed(np.arange(1, HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
 class Templates:
-    """Shingles, lengths and MinHash values of the templates, by size of shingle."""
+    """Shingles, lengths and anchors of the templates, by size of shingle."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         data = [t.encode() for _, t in templates]
@@ -61,8 +59,11 @@ class Templates:
             k = min(SHINGLE, len(h))
             shingles = np.unique(window_hash(h, k))
             values = mixed(shingles[None, :] ^ _SALT[:, None])
+            anchor = np.unique(shingles[values.argmin(1)])
+            if len(anchor) <= (1 - CONTAINED) * len(shingles) + 1:  # else what is contained holds one of them
+                anchor = shingles
             m = 1 << max(3, (len(h) - 1).bit_length())
-            self.rows.append({"name": name, "k": k, "words": len(h), "m": m, "shingles": shingles, "least": values.min(1), "anchor": shingles[values.argmin(1)]})
+            self.rows.append({"name": name, "k": k, "words": len(h), "m": m, "shingles": shingles, "anchor": anchor})
         self.ks = sorted({r["k"] for r in self.rows})
         self.anchors = {k: np.unique(np.concatenate([r["anchor"] for r in self.rows if r["k"] == k])) for k in self.ks}
 
@@ -82,7 +83,7 @@ def _scan(t: Templates, hashes: np.ndarray) -> list[dict]:
                 if start < 0 and (mine >= r["m"]).all():
                     continue
                 window = s[max(0, start) : max(0, start + 2 * r["m"] - k + 1)]
-                if not len(window) or not (mixed(window[None, :] ^ _SALT[:, None]).min(1) == r["least"]).any():
+                if not len(window):
                     continue
                 held = np.isin(window, r["shingles"])
                 share = len(np.unique(window[held])) / len(r["shingles"])

@@ -8,11 +8,16 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stratagraph.llm import licenses, pii, toxicity
+from stratagraph.llm import licenses, pii, tokens, toxicity
 
 NAMES = pii.Pseudonyms("key")
 
 
+def _hashes(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return tokens.Words(data, np.array([0, len(data)]), tokens.letter_words(), lower=True).hash
+
+
 def _corpus(spark, n=600):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 7)))
@@ -152,6 +157,15 @@ def test_licenses(spark, awkward, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_short_templates_are_found_wherever_they_stand():
+    name = "provided under the license 1504"  # its MinHash values are high: other shingles of a window often have lower ones
+    t = licenses.Templates([("x", name)])
+    for i in range(50):
+        before = [f"w{i}x{j}" for j in range(i % 16)]
+        found = licenses._scan(t, _hashes(" ".join([*before, name, *(f"w{i}y{j}" for j in range(20))])))
+        assert found == [{"license": "x", "containment": 1.0, "start": len(before), "end": len(before) + 5}], i
+
+
 def test_pipeline_stages(spark, awkward, tmp_path):
     import corpus_pipeline
 
