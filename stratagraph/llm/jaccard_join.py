@@ -1,23 +1,28 @@
 """Exact n-gram Jaccard self-join with a token-group matrix.
 
-1. Every text becomes its set of distinct shingle hashes. Texts with one and the same set form one node, the least doc_id.
-2. Part signatures find the clusters of similar nodes. Two sets that reach the threshold differ in at most D tokens, and D
-   follows from their sizes; with the token universe cut into parts by hash, so that a set fills more than D of them, at
-   least one filled part holds the same tokens in both. A node's signatures are the hashes of its filled parts, for every
-   number of parts that a partner of a permitted size may agree on, so no link is lost. A set that fills too few also signs a
-   second cut of the universe (and so on), and after the last cut its empty parts. Signatures that many documents share (they
-   come from passages) are left out by every set that fills more than D parts without them; this decides cost only, as one of the
-   others must agree. Nodes connected by signatures are a cluster.
-3. A cluster is partitioned into groups of similar nodes; the token-group matrix holds each group's token union. The
+1. Every text becomes its set of distinct shingle hashes; the set has a name (a hash). Texts with one and the same set form
+   one node, the least doc_id, and nothing below sees more than one of them in a task.
+2. Part signatures find the candidates. Two sets that reach the threshold differ in at most D tokens, and D follows from their
+   sizes; with the token universe cut into parts by hash, so that a set fills more than D of them, at least one filled part
+   holds the same tokens in both. A set's signatures are the hashes of its filled parts, for every number of parts that a
+   partner of a permitted size may agree on, so no link is lost. A set that fills too few also signs a second cut of the
+   universe (and so on), and after the last cut its empty parts.
+3. Candidates are bounded exactly: with f filled parts at most D of them can differ, so a set of which fewer than f - D
+   signatures are held by any other set has no partner at that number of parts. This bounds its overlap with the union of all others, and
+   takes out sets that merely share a passage. Sets that are left and share a signature are tied by a star to one of the
+   owners, never in pairs; those that the ties connect are a cluster.
+4. A cluster is partitioned into groups of similar nodes; the token-group matrix holds each group's token union. The
    overlap of a node with a union bounds its overlap with every member, and only groups whose bound reaches what the
    sizes require are opened; members there are compared exactly.
 
-A task holds one pair of blocks, each of about BLOCK nodes: larger clusters are cut into blocks by hash, every pair of blocks
-is a task of its own, and a task returns a spanning forest of its links, not all pairs. So copies in great numbers cost one
-node, and a large group of near copies never meets in one task.
+Owners of a signature are tied where they are read first, about FLUSH signatures at a time, and only one of them travels on: a
+signature of a third of all documents costs its task one row per FLUSH. A verifying task holds two blocks, each of about BLOCK nodes and
+BLOCK_TOKENS tokens. A cluster of more blocks is compared in two rounds: every block with itself and with the first one; then the nodes
+outside of the largest component so far with all blocks. So near copies in great numbers cost tasks in proportion to their number, and
+only nodes that link with none of them meet every block. A task returns a spanning forest of its links, not all pairs.
 
 Nulls: null and wordless texts have no shingles and link with nothing. A row without doc_id has no component (null).
-Rows that share a doc_id share their links. An empty table gives an empty result.
+Rows that share a doc_id share a component. An empty table gives an empty result. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,22 +33,23 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, small, written
+from .common import BROADCAST_ROWS, dropped, small, written
 from .components import components
 from .tokens import U, Words, list_array, mixed, space_words, text_slices, window_hash
 
-BLOCK = 1024
+BLOCK, BLOCK_TOKENS = 1024, 1 << 20
 GROUP = 32
 CUTS = 5
-#: A signature that so many documents of single partitions share is frequent; so many frequent ones are broadcast at most.
-FREQUENT, MOST_FREQUENT = 8, 2_000_000
-#: The documents of a signature are compared with one another up to so many, tied to the first beyond; in other slices the first stands for all.
-PAIRED = 8
 LADDER = 1.5
-RANGE_BYTES = 4 << 20
+#: So many signatures of consecutive documents are tied with one another before they travel.
+FLUSH = 1 << 20
+#: Classes of more documents than this reach them by broadcast, so that no task gathers one: a table of N rows has N / HOT_CLASS at most.
+HOT_CLASS = 100_000
+#: A name's low bits hold the number of parts and the cut of a signature.
+LEVEL_BITS = 9
 _SALT = [0x1B873593 + 0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(CUTS)]
 
 
@@ -97,20 +103,16 @@ def parts_for(n: int, num: int, den: int, steps: np.ndarray) -> np.ndarray:
     return steps[a : b + 1]
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray, num: int, den: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Part signatures of all sets: (signature, set number). frequent: signatures, ascending, that a set leaves out where it can."""
+def signatures(hashes: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Part signatures of all sets: (signature, set number, level, least number of this set's signatures of the level that a partner shares)."""
     sizes = np.diff(first)
     steps = ladder(max(2, most_different(int(sizes.max()) * 3 + 3, num, den) + 2)) if len(sizes) else ladder(2)
     plans = {int(n): parts_for(int(n), num, den, steps) for n in np.unique(sizes) if n}
-    which, parts = [], []
-    for i, n in enumerate(sizes.tolist()):
-        if n:
-            for k in plans[n].tolist():
-                which.append(i)
-                parts.append(k)
-    which, need = np.array(which, np.int64), np.array(parts, np.int64)
-    parts = need + need // 6 + 1  # a few more than the differences: some may stay empty
-    out, owner = [], []
+    which = np.array([i for i, n in enumerate(sizes.tolist()) if n for _ in plans[n]], np.int64)
+    need = np.concatenate([np.empty(0, np.int64)] + [plans[n] for n in sizes.tolist() if n])
+    step = np.searchsorted(steps, need)
+    parts = need + need // 6 + 1  # a few more than the differences: some may stay empty, the others bound
+    out = [(np.empty(0, U), *[np.empty(0, np.int64)] * 3)]
     for cut in range(CUTS):
         if not len(which):
             break
@@ -129,174 +131,83 @@ def signatures(hashes: np.ndarray, first: np.ndarray, num: int, den: int, freque
         of = np.searchsorted(base, filled, "right") - 1
         name = mixed(total ^ mixed((filled - base[of]).astype(U) * U(0x100000001B3) + parts[of].astype(U) * U(0xC2B2AE3D27D4EB4F) + U(cut)))
         some = np.bincount(of, minlength=len(which))
-        keep = np.ones(len(name), bool)
-        if frequent is not None and len(frequent):
-            common = frequent[np.minimum(np.searchsorted(frequent, name), len(frequent) - 1)] == name
-            rare = some - np.bincount(of[common], minlength=len(which))
-            keep = ~(common & (rare >= need)[of])  # enough filled parts are rare: one of those is equal in any partner
-        out.append(name[keep])
-        owner.append(which[of[keep]])
+        least = np.maximum(1, some - need + 1)
+        out.append((name, which[of], step[of] * (CUTS + 1) + cut, least[of]))
         lacking = np.flatnonzero(some < need)
         if cut == CUTS - 1 and len(lacking):
             for j in lacking.tolist():
                 empty = np.setdiff1d(np.arange(parts[j]), filled[of == j] - base[j])
-                out.append(mixed(empty.astype(U) * U(0x100000001B3) + parts[j : j + 1].astype(U) * U(0xC2B2AE3D27D4EB4F) + U(CUTS)))
-                owner.append(np.full(len(empty), which[j]))
-        which, parts, need = which[lacking], parts[lacking], need[lacking]
-    if not out:
-        return np.empty(0, U), np.empty(0, np.int64)
-    return np.concatenate(out), np.concatenate(owner)
+                name = mixed(empty.astype(U) * U(0x100000001B3) + parts[j : j + 1].astype(U) * U(0xC2B2AE3D27D4EB4F) + U(CUTS))
+                out.append((name, np.full(len(empty), which[j]), np.full(len(empty), step[j] * (CUTS + 1) + CUTS), np.ones(len(empty), np.int64)))
+        which, parts, need, step = which[lacking], parts[lacking], need[lacking], step[lacking]
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
 
 
-#: Rows of three kinds: a document (doc_id, n, s1, s2), a link seen within a slice (doc_id, other), a range's signatures of a slice.
-SKETCH = "doc_id long, n long, s1 long, s2 long, other long, range int, keys binary, owners binary, ids binary, stands binary, buckets binary"
+def set_names(hashes: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of every set, whatever its order."""
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(hashes + U(salt)), dtype=U)])
+    return mixed(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(U))
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """key ascending: the first entry of each key, and how many there are."""
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    return start, np.diff(np.append(start, len(key)))
-
-
-def _stars(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries of keys with over PAIRED entries: the flags of all but the first of them, and distinct (owner, first owner) pairs."""
-    start, n = _groups(key)
-    large = np.repeat(n > PAIRED, n)
-    pivot = np.repeat(owner[start], n)
-    other = large & (pivot != owner)
-    later = large.copy()
-    later[start] = False
-    pairs = np.unique(np.stack([owner[other], pivot[other]], 1), axis=0) if other.any() else np.empty((0, 2), owner.dtype)
-    return later, pairs[:, 0], pairs[:, 1]
-
-
-def _pairs(key: np.ndarray, owner: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of different owners of keys with PAIRED entries at most, and which of them neither end's entry stands for others in."""
-    start, n = _groups(key)
-    out, alone = [np.empty((0, 2), owner.dtype)], [np.empty(0, bool)]
-    for size in range(2, PAIRED + 1):
-        at = start[n == size]
-        for i in range(size):
-            for j in range(i + 1, size):
-                out.append(np.stack([owner[at + i], owner[at + j]], 1))
-                alone.append(~(stands[at + i] | stands[at + j]))
-    pairs, alone = np.sort(np.concatenate(out), 1), np.concatenate(alone)
-    some = pairs[:, 0] != pairs[:, 1]
-    kinds = [np.unique(pairs[some & (alone == x)], axis=0) for x in (False, True)]
-    return np.concatenate(kinds), np.arange(sum(map(len, kinds))) >= len(kinds[0])
-
-
-def bucket_counts(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Per set, how many tokens fall into each of about n/3 buckets (a power of two): the token-group matrix's row of one set."""
-    low = mixed(hashes + U(7)).astype(np.uint32)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        wide = 1 << min(14, max(4, ((b - a) // 3).bit_length()))
-        out.append(np.bincount(low[a:b] & np.uint32(wide - 1), minlength=wide).astype(np.uint16).tobytes())
-    return out
+def tied(key: np.ndarray, owner: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of some documents -> rows (key, owner, least, tie; tie 0 is none) that travel on.
 
-
-def _may_link(num: int, den: int):
-    """Of pairs with both rows of counts, those whose bound on the overlap reaches what their sizes require."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column("ub"), batch.column("vb"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint16).astype(np.int64), np.frombuffer(y.as_py(), np.uint16).astype(np.int64)
-                total, w = int(x.sum() + y.sum()), min(len(x), len(y))
-                keep[i] = np.minimum(x.reshape(-1, w).sum(0), y.reshape(-1, w).sum(0)).sum() * (num + den) >= total * num
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("u", "v")], ["u", "v"])
-
-    return run
+    One owner travels for each signature. If there are others it stands for all (least 0: such a row counts for nothing), and every
+    owner has a row of its own, under a key of its own, with the tie.
+    """
+    order = np.lexsort((owner, key))
+    key, owner, least = key[order], owner[order], least[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    key, owner, least = key[new], owner[new], least[new]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    n = np.diff(np.append(start, len(key)))
+    several = np.repeat(n > 1, n)
+    tie = np.repeat(owner[start], n)[several]
+    own = (mixed(key[several] ^ mixed(owner[several])), owner[several], least[several], tie)
+    travels = (key[start], owner[start], np.where(n > 1, 0, least[start]), np.zeros(len(start), owner.dtype))
+    return tuple(np.concatenate(x) for x in zip(travels, own, strict=True))
 
 
-def _shared_signatures(k: int, num: int, den: int, most: int = 4_000_000):
-    """Signatures that several documents of a partition have, with their number."""
+def _names(k: int):
+    """doc_id, n (size), s1 and s2 (names) of every text's set."""
     is_word = space_words()
 
-    def counted(keys: list[np.ndarray]) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["key", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch, "text"):
-                held.append(signatures(*shingle_sets(Words(data, offsets, is_word, lower=True), k), num, den)[0])
-                if sum(map(len, held)) > most:
-                    yield counted(held)
-                    held = []
-        if held:
-            yield counted(held)
+            for a, b, data, offsets in text_slices(batch, "text"):
+                hashes, first = shingle_sets(Words(data, offsets, is_word, lower=True), k)
+                s1, s2 = (pa.array(set_names(hashes, first, salt).view(np.int64)) for salt in (1, 2))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first), pa.int64()), s1, s2], ["doc_id", "n", "s1", "s2"])
 
     return run
 
 
-def _sketches(k: int, num: int, den: int, ranges: int, frequent):
+def _signed(k: int, num: int, den: int, flush: int):
     is_word = space_words()
 
-    def rows(**columns) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        names = [x.split() for x in SKETCH.split(", ")]
-        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kinds[t]) for c, t in names], [c for c, _ in names])
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        key, owner, least, tie = tied(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+        arrays = [pa.array(key.view(np.int64)), pa.array(owner.view(np.int64)), pa.array(least, pa.int32()), pa.array(tie.view(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "owner", "least", "tie"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch, "text"):
+            for _, _, data, offsets in text_slices(batch, "text"):
                 hashes, first = shingle_sets(Words(data, offsets, is_word, lower=True), k)
-                sizes = np.diff(first)
-                names = []
-                for salt in (1, 2):
-                    sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(hashes + U(salt)), dtype=U)])
-                    names.append(mixed(sums[first[1:]] - sums[first[:-1]] + sizes.astype(U)).view(np.int64))
-                ids = batch.column("doc_id").slice(a, b - a)
-                yield rows(doc_id=ids, n=pa.array(sizes, pa.int64()), s1=pa.array(names[0]), s2=pa.array(names[1]), buckets=pa.array(bucket_counts(hashes, first), pa.binary()))
-                known = ids.is_valid().to_numpy(zero_copy_only=False)
-                ids = ids.fill_null(0).to_numpy()
-                key, owner = signatures(hashes, first, num, den, frequent.value)
-                key, owner = key[known[owner]], owner[known[owner]]
-                order = np.argsort(key)
-                key, owner = key[order], owner[order]
-                later, u, v = _stars(key, owner)
-                if len(u):
-                    yield rows(doc_id=pa.array(ids[u]), other=pa.array(ids[v]))
-                start, n = _groups(key)
-                stands = np.zeros(len(key), bool)
-                stands[start] = n > PAIRED  # such an entry is all that other slices see of its signature's owners here
-                key, owner, stands = key[~later], owner[~later].astype(np.uint32), stands[~later]
-                cuts = np.searchsorted((key >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1))
-                low = key.astype(np.uint32)
-                some = np.flatnonzero(np.diff(cuts))
-                parts = [(low[cuts[r] : cuts[r + 1]].tobytes(), *_places(ids, owner[cuts[r] : cuts[r + 1]]), np.packbits(stands[cuts[r] : cuts[r + 1]]).tobytes()) for r in some]
-                yield rows(range=pa.array(some, pa.int32()), **{c: pa.array([x[i] for x in parts], pa.binary()) for i, c in enumerate(("keys", "owners", "ids", "stands"))})
+                key, of, level, least = signatures(hashes, first, num, den)
+                name = set_names(hashes, first, 1) >> U(LEVEL_BITS) << U(LEVEL_BITS)
+                held.append((key, name[of] | level.astype(U), least))
+                if sum(len(h[0]) for h in held) >= flush:
+                    yield rows(held)
+                    held = []
+        if held:
+            yield rows(held)
 
     return run
 
 
-def _places(ids: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
-    """Places of a range's owners among the documents that it has, and those documents' ids."""
-    some, place = np.unique(owner, return_inverse=True)
-    return place.astype(np.uint16 if len(some) <= 1 << 16 else np.uint32).tobytes(), ids[some].tobytes()
-
-
-def _meet(table: pa.Table) -> pa.Table:
-    """Signatures of one range from all slices: links between documents that share one."""
-    keys, owners, stands, at = [], [], [], 0
-    ids = [np.frombuffer(x.as_py(), np.int64) for x in table.column("ids")]
-    for k, o, s, i in zip(table.column("keys"), table.column("owners"), table.column("stands"), ids, strict=True):
-        keys.append(np.frombuffer(k.as_py(), np.uint32))
-        owners.append(np.frombuffer(o.as_py(), np.uint16 if len(i) <= 1 << 16 else np.uint32).astype(np.int64) + at)
-        stands.append(np.unpackbits(np.frombuffer(s.as_py(), np.uint8), count=len(keys[-1])).astype(bool))
-        at += len(i)
-    key, owner, ids, stands = np.concatenate(keys), np.concatenate(owners), np.concatenate(ids), np.concatenate(stands)
-    order = np.lexsort((ids[owner], key))
-    key, owner, stands = key[order], ids[owner[order]], stands[order]
-    _, u, v = _stars(key, owner)
-    pairs, alone = _pairs(key, owner, stands)
-    return pa.table({"u": np.concatenate([u, pairs[:, 0]]), "v": np.concatenate([v, pairs[:, 1]]), "paired": np.concatenate([np.zeros(len(u), bool), alone])})
-
-
 def _token_sets(k: int):
     is_word = space_words()
 
@@ -305,7 +216,9 @@ def _token_sets(k: int):
             for a, b, data, offsets in text_slices(batch, "text"):
                 hashes, first = shingle_sets(Words(data, offsets, is_word, lower=True), k)
                 rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("node", "cluster", "block", "blocks")] + [list_array(hashes.view(np.int64), np.diff(first), pa.int64())], ["node", "cluster", "block", "blocks", "tokens"])
+                tokens = list_array(hashes.view(np.int64), np.diff(first), pa.int64())
+                mine = pa.array(set_names(hashes, first, 2).view(np.int64) == rows.column("s2").to_numpy())  # not another row of this doc_id
+                yield pa.RecordBatch.from_arrays([rows.column(c).filter(mine) for c in ("node", "cluster", "block", "blocks")] + [tokens.filter(mine)], ["node", "cluster", "block", "blocks", "tokens"])
 
     return run
 
@@ -384,41 +297,94 @@ def _verify(num: int, den: int):
     return run
 
 
+def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Names (without level) of the sets that may have a partner, and ties between names that share a signature: both written."""
+    signed = docs.mapInArrow(_signed(k, num, den, FLUSH), "key long, owner long, least int, tie long")
+    same = Window.partitionBy("key").orderBy("owner", F.desc("least"))
+    all_of = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = signed.select("owner", "least", "tie", F.first("owner").over(all_of).alias("p"), F.last("owner").over(all_of).alias("q"), F.lag("owner").over(same).alias("before"))
+    met = met.where("(p <> q or tie <> 0) and (before is null or before <> owner)").select("owner", "least", F.when(F.col("tie") != 0, F.col("tie")).otherwise(F.col("p")).alias("tie"))
+    met = written(met, "join-met")
+    able = met.where("least > 0").groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("owner")
+    able = written(able, "join-able")
+    name = lambda c: F.shiftright(c, LEVEL_BITS)
+    # a set that stands for others stays a tie between them even where it has no partner itself
+    ties = met.where("owner <> tie").join(able, "owner", "left_semi").unionByName(met.where("owner <> tie and least = 0"))
+    ties = written(ties.select(name("owner").alias("u"), name("tie").alias("v")).where("u <> v").distinct(), "join-ties")
+    alive = written(able.select(name("owner").alias("name")).distinct(), "join-alive")
+    dropped(met, able)
+    return alive, ties
+
+
+def _links(tokens: DataFrame, num: int, den: int, block: int) -> list[DataFrame]:
+    """Spanning forests of the links of all clusters, as written tables (u, v)."""
+    verify, kind = _verify(num, den), "u long, v long"
+    size = tokens.where("blocks = 1").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0))).first()
+    bins = max(1, math.ceil(size[0] / block), math.ceil(size[1] / BLOCK_TOKENS))
+    alone = tokens.where("blocks = 1").select(F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("long").alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "cluster", "node", F.lit(0).alias("side"), "tokens")
+    large = tokens.where("blocks > 1")
+    to = lambda i, j, side: F.struct(F.lit(i).cast("int").alias("i"), F.lit(j).cast("int").alias("j"), F.lit(side).alias("side"))
+    others = F.transform(F.sequence(F.lit(1), F.col("blocks") - 1), lambda j: to(0, j, 0))
+    where = F.when(F.col("block") == 0, F.concat(F.array(to(0, 0, 0)), others)).otherwise(F.array(to(F.col("block"), F.col("block"), 0), to(0, F.col("block"), 1)))
+    first = large.select(F.col("cluster").alias("task"), F.explode(where).alias("t"), "cluster", "node", "tokens").select("task", "t.i", "t.j", "cluster", "node", "t.side", "tokens")
+    found = [written(alone.unionByName(first).groupBy("task", "i", "j").applyInArrow(verify, kind), "join-links")]
+    if large.limit(1).count():
+        part = components(found[0], "join-parts")
+        part = written(large.join(part, "node", "left").select("cluster", "node", "blocks", F.coalesce("component", "node").alias("component")), "join-parts")
+        sizes = part.groupBy("cluster", "component").count()
+        most = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
+        loose = part.join(most, "cluster").where("component <> most").select("cluster", "node", "blocks")
+        n = loose.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("loose"))
+        loose = loose.join(n, "cluster").select("node", F.pmod(F.xxhash64("node", F.lit(1)), F.col("loose")).cast("int").alias("i"))
+        span = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        all_blocks = large.join(n, "cluster").select(F.col("cluster").alias("task"), span(F.col("loose")).alias("i"), F.col("block").alias("j"), "cluster", "node", F.lit(0).alias("side"), "tokens")
+        asking = large.join(loose, "node").select(F.col("cluster").alias("task"), "i", span(F.col("blocks")).alias("j"), "cluster", "node", F.lit(1).alias("side"), "tokens")
+        found.append(written(all_blocks.unionByName(asking).groupBy("task", "i", "j").applyInArrow(verify, kind), "join-links"))
+        dropped(part)
+    return found
+
+
+def _with_component(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """sets with the component of their class: classes (s1, s2, n_docs, component) that hold several documents or have links.
+
+    A class with many documents never gathers in a task: it reaches its documents by broadcast.
+    """
+    out = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
+    sets = sets.withColumn("asks", F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    classes = classes.withColumnsRenamed({"s1": "c1", "s2": "c2"})
+    on = F.col("asks") & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))
+    if classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return sets.join(F.broadcast(classes), on, "left").select(*out)
+    hot = written(classes.where(F.col("n_docs") > HOT_CLASS).drop("n_docs"), "join-hot")
+    of_hot = sets.join(small(hot), on, "left")
+    rest = of_hot.where("c1 is null").drop("c1", "c2", "component")
+    return of_hot.where("c1 is not null").select(*out).unionByName(rest.join(classes.where(F.col("n_docs") <= HOT_CLASS), on, "left").select(*out))
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, threshold: str = "0.9", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (columns doc_id and text); threshold is a decimal or a fraction, taken exactly."""
     t = Fraction(threshold)
     num, den = t.numerator, t.denominator
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    ranges = max(1, math.ceil(total / RANGE_BYTES))
-    shared = docs.mapInArrow(_shared_signatures(k, num, den), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    shared = written(shared.select("key"), "join-frequent")
-    few = shared.count() <= MOST_FREQUENT  # beyond, nothing is left out: the same links at a higher cost
-    frequent = np.sort(shared.toArrow().column("key").to_numpy().view(U)) if few else np.empty(0, U)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent)
-    sketched = written(docs.mapInArrow(_sketches(k, num, den, ranges, frequent), SKETCH), "join-sketches")
-    rows = sketched.where("n is not null").select("doc_id", "n", "s1", "s2")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    members = written(rows.join(classes, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "join-members")
-    met = sketched.where("range is not null").select("range", "keys", "owners", "ids", "stands").groupBy("range").applyInArrow(lambda t: _meet(t), "u long, v long, paired boolean")
-    near = sketched.where("other is not null").select(F.col("doc_id").alias("u"), F.col("other").alias("v"), F.lit(False).alias("paired")).unionByName(met)
-    node_of = members.where("node is not null").select("doc_id", "node").distinct()
-    near = near.join(node_of.withColumnsRenamed({"doc_id": "u", "node": "un"}), "u").join(node_of.withColumnsRenamed({"doc_id": "v", "node": "vn"}), "v")
-    near = near.where("un <> vn").groupBy(F.least("un", "vn").alias("u"), F.greatest("un", "vn").alias("v")).agg(F.min("paired").alias("paired"))
-    near = written(near, "join-near")
-    vectors = sketched.where("n > 0").join(classes, ["s1", "s2"]).where("doc_id = node").select("node", "buckets")
-    paired = near.where("paired").join(vectors.withColumnsRenamed({"node": "u", "buckets": "ub"}), "u").join(vectors.withColumnsRenamed({"node": "v", "buckets": "vb"}), "v").select("u", "v", "ub", "vb")
-    near = written(near.where("not paired").select("u", "v").unionByName(paired.mapInArrow(_may_link(num, den), "u long, v long")), "join-likely")
-    dropped(sketched)
-    clusters = written(components(near, "join-clusters"), "join-clusters")
-    sized = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = written(clusters.join(sized, "component").select("node", F.col("component").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "join-placed")
-    texts = docs.join(small(placed), docs["doc_id"] == placed["node"]).select("node", "cluster", "block", "blocks", "text")
-    tokens = written(texts.mapInArrow(_token_sets(k), "node long, cluster long, block int, blocks int, tokens array<long>"), "join-tokens")
-    n_bins = max(1, math.ceil(placed.where("blocks = 1").count() / block))
-    alone = tokens.where("blocks = 1").select(F.pmod(F.xxhash64("cluster"), F.lit(n_bins)).cast("long").alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "cluster", "node", F.lit(0).alias("side"), "tokens")
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"), (x < F.col("block")).cast("int").alias("side"))))
-    paired = tokens.where("blocks > 1").select(F.col("cluster").alias("task"), other.alias("p"), "cluster", "node", "tokens").select("task", "p.i", "p.j", "cluster", "node", "p.side", "tokens")
-    links = alone.unionByName(paired).groupBy("task", "i", "j").applyInArrow(_verify(num, den), "u long, v long")
-    linked = written(components(written(links, "join-links"), "join-components"), "join-found")
-    return members.join(linked.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
+    sets = written(docs.mapInArrow(_names(k), "doc_id long, n long, s1 long, s2 long"), "join-sets")
+    known = sets.where("n > 0 and doc_id is not null")
+    classes = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_docs"), F.first("n").alias("n")), "join-classes")
+    alive, ties = _candidates(docs.where("doc_id is not null"), k, num, den)
+    clusters = written(components(ties, "join-clusters"), "join-clusters")
+    placed = clusters.withColumnRenamed("node", "name").join(alive, "name").join(classes.withColumn("name", F.shiftright("s1", LEVEL_BITS)), "name").select("node", "s2", "n", F.col("component").alias("cluster"))
+    sized = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    placed = written(placed.join(sized, "cluster").select("node", "s2", "cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "join-placed")
+    dropped(alive, ties, clusters)
+    texts = docs.join(small(placed), docs["doc_id"] == placed["node"]).select("node", "s2", "cluster", "block", "blocks", "text")
+    tokens = written(texts.mapInArrow(_token_sets(k), "node long, cluster long, block int, blocks int, tokens array<long>").dropDuplicates(["node"]), "join-tokens")
+    links = _links(tokens, num, den, block)
+    edges = links[0] if len(links) == 1 else links[0].unionByName(links[1])
+    several = known.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("doc_id")
+    if several.limit(1).count():  # rows of one doc_id with different texts
+        nodes = known.join(several, "doc_id").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "node").distinct()
+        edges = edges.unionByName(nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("v")), "doc_id").select(F.col("node").alias("u"), "v"))
+    linked = components(edges, "join-found")
+    found = classes.join(linked, "node", "left").where("n_docs > 1 or component is not null").select("s1", "s2", "n_docs", F.coalesce("component", "node").alias("component"))
+    found = written(found, "join-found")
+    dropped(tokens, placed, classes, *links)
+    return _with_component(sets, found)

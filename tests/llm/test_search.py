@@ -88,11 +88,12 @@ def _cloud(n, seed):
     return rows
 
 
-def test_jaccard_in_blocks_loses_no_link(spark):
+def test_jaccard_in_blocks_loses_no_link(spark, monkeypatch):
     rows = _cloud(160, 3)
     want = _components(rows, 3, "0.9")
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (1024, 20):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for block, flush in ((1024, 1 << 20), (20, 300)):
+        monkeypatch.setattr(jaccard_join, "FLUSH", flush)
         assert {tuple(r) for r in jaccard_join.jaccard_components(df, 3, "0.9", block=block).collect()} == want
 
 
@@ -124,6 +125,37 @@ def test_jaccard_of_stars_over_slices_loses_no_link(spark, slices):
     assert {tuple(r) for r in jaccard_join.jaccard_components(df, 1, "0.8").collect()} == want
 
 
+def test_jaccard_of_borderline_partners_of_families(spark):
+    """Many copies of p with one change each and y in one partition, x in another: x reaches y only."""
+    rng = random.Random(8)
+    rows, where = [], []
+    for f in range(40):
+        p = [f"f{f}w{i}" for i in range(100)]
+        y = list(p)
+        for i in rng.sample(range(100), 3):
+            y[i] = f"y{f}_{i}"
+        x = list(y)
+        for i in rng.sample(range(100), 2 + f % 3):
+            x[i] = f"x{f}_{i}"
+        copies = [[*p[:i], f"c{f}_{i}", *p[i + 1 :]] for i in rng.sample(range(100), 14)]
+        for part, w in [(0, p), (0, y), *((0, c) for c in copies), (1, x)]:
+            rows.append((len(rows), " ".join(w)))
+            where.append(part)
+    df = spark.createDataFrame([(*r, w) for r, w in zip(rows, where)], "doc_id long, text string, s int").repartitionByRange(2, "s")
+    assert {tuple(r) for r in jaccard_join.jaccard_components(df, 3, "0.9").collect()} == _components(rows, 3, "0.9")
+
+
+def test_jaccard_of_shared_ids_and_of_many_classes(spark, monkeypatch):
+    text = [" ".join(f"{a}{i}" for i in range(20)) for a in "abcd"]
+    rows = [(1, text[0]), (2, text[1]), (2, text[0]), (3, text[1]), (4, text[2]), (5, text[2] + " more"), (6, text[3]), (7, None), (8, ""), (9, text[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, 18, 1), (2, 18, 1), (2, 18, 1), (3, 18, 1), (4, 18, 4), (5, 19, 4), (6, 18, 6), (7, 0, 7), (8, 0, 8), (9, 18, 4)])
+    for most, hot in ((100_000, 100_000), (0, 100_000), (1, 1)):
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(jaccard_join, "HOT_CLASS", hot)
+        assert sorted(tuple(r) for r in jaccard_join.jaccard_components(df, 3, "0.9").collect()) == want
+
+
 @given(st.integers(0, 10**6), st.sampled_from(["0.9", "0.8", "0.95"]), st.integers(1, 60))
 @settings(deadline=None, max_examples=200)
 def test_signatures_lose_no_pair(seed, t, n):
@@ -134,22 +166,25 @@ def test_signatures_lose_no_pair(seed, t, n):
     both = len(np.intersect1d(x, y))
     if both and both * f.denominator >= f.numerator * len(np.union1d(x, y)):
         both = np.concatenate([np.sort(x), np.sort(y)]), np.array([0, len(x), len(x) + len(y)])
-        s, owner = jaccard_join.signatures(*both, f.numerator, f.denominator)
+        s, owner, level, least = jaccard_join.signatures(*both, f.numerator, f.denominator)
         assert set(s[owner == 0].tolist()) & set(s[owner == 1].tolist())
-        for share in (0.2, 0.6, 1.0):  # whatever counts as frequent
-            frequent = np.unique(s[rng.random(len(s)) < share])
-            a, who = jaccard_join.signatures(*both, f.numerator, f.denominator, frequent)
-            assert set(a[who == 0].tolist()) & set(a[who == 1].tolist())
-
-
-def test_bucket_bound_holds():
-    rng = np.random.default_rng(3)
-    for n, m in ((5, 9), (60, 40), (700, 90), (3000, 2800)):
-        pool = rng.integers(1, 2**62, n + m).astype(np.uint64)
-        x, y = np.sort(pool[:n]), np.sort(pool[n // 2 : n // 2 + m])
-        a, b = (np.frombuffer(v, np.uint16).astype(int) for v in jaccard_join.bucket_counts(np.concatenate([x, y]), np.array([0, n, n + m])))
-        w = min(len(a), len(b))
-        assert np.minimum(a.reshape(-1, w).sum(0), b.reshape(-1, w).sum(0)).sum() >= len(np.intersect1d(x, y)) and a.sum() == n and b.sum() == m
+        for me in (0, 1):  # neither is ruled out by its count of shared signatures
+            other = set(s[owner != me].tolist())
+            counts = {v: sum(x in other for x in s[(owner == me) & (level == v)].tolist()) for v in level[owner == me].tolist()}
+            assert any(n >= least[(owner == me) & (level == v)][0] for v, n in counts.items())
+
+
+@given(st.lists(st.tuples(st.integers(1, 6), st.integers(1, 9)), max_size=40))
+@settings(deadline=None, max_examples=200)
+def test_ties_keep_owners_connected(pairs):
+    key, owner = (np.array([p[i] for p in pairs], np.uint64) for i in (0, 1))
+    rows = list(zip(*(x.tolist() for x in jaccard_join.tied(key, owner, np.ones(len(key), np.int64))), strict=True))
+    travelling = {r[0]: r[1] for r in rows if r[3] == 0}
+    assert set(travelling) == set(key.tolist())
+    for k in set(key.tolist()):
+        owners = {o for q, o in pairs if q == k}
+        assert travelling[k] == min(owners) and (len(owners) == 1 or owners <= {r[1] for r in rows if r[3] == min(owners)})
+    assert sum(r[2] for r in rows) == len(set(pairs))  # every owner of a signature counts once
 
 
 def _hits(text, items, width):
