@@ -300,7 +300,7 @@ def _verify(num: int, den: int):
 def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Names (without level) of the sets that may have a partner, and ties between names that share a signature: both written."""
     signed = docs.mapInArrow(_signed(k, num, den, FLUSH), "key long, owner long, least int, tie long")
-    same = Window.partitionBy("key").orderBy("owner", F.desc("least"))
+    same = Window.partitionBy("key").orderBy("owner", "least")  # of an owner's rows the one that stands for others comes first and stays
     all_of = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     met = signed.select("owner", "least", "tie", F.first("owner").over(all_of).alias("p"), F.last("owner").over(all_of).alias("q"), F.lag("owner").over(same).alias("before"))
     met = met.where("(p <> q or tie <> 0) and (before is null or before <> owner)").select("owner", "least", F.when(F.col("tie") != 0, F.col("tie")).otherwise(F.col("p")).alias("tie"))

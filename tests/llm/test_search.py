@@ -112,7 +112,7 @@ def _stars(families, slices, seed):
 
         parts[0] += [changed(18, f"p{i}") for i in range(300)] + [" ".join(base)]
         for s in range(1, slices):
-            parts[s].append(changed(6, f"c{s}"))
+            parts[s] += [changed(6, f"c{s}"), parts[0][-1 - s]]  # and a copy of a text of slice 0
     return [(s, t) for s, p in enumerate(parts) for t in p]
 
 
@@ -121,7 +121,7 @@ def test_jaccard_of_stars_over_slices_loses_no_link(spark, slices):
     rows = [(i, t, s) for i, (s, t) in enumerate(_stars(3, slices, slices))]
     df = spark.createDataFrame(rows, "doc_id long, text string, s int").repartitionByRange(slices, "s")
     want = _components([(i, t) for i, t, _ in rows], 1, "0.8")
-    assert len(rows) - len({c for _, _, c in want}) == 3 * (slices - 1)
+    assert len(rows) - len({c for _, _, c in want}) >= 3 * (slices - 1)
     assert {tuple(r) for r in jaccard_join.jaccard_components(df, 1, "0.8").collect()} == want
 
 
