@@ -57,3 +57,25 @@ def repo_map(ranks: DataFrame, decls: DataFrame, budget: int = 3000, most: int =
     order = [F.col("dir_rank").desc(), F.col("directory"), F.round("rank", 9).desc(), F.col("path")]
     admitted = prefix_admit(kept, ["all"], order, T.token_estimate(F.col("text")), budget)
     return admitted.select(F.row_number().over(Window.orderBy(*order)).alias("position"), "directory", "path", "text")
+
+
+def repo_map_page(ranks: DataFrame, decls: DataFrame, budget: int, header: str, most: int = 6) -> DataFrame:
+    """position, text: the header, then a line `directory/` where a directory begins and a line a file, while they fit, and the footer.
+
+    Directories come in the order of their best file, files by rank within; the first line that doesn't fit ends the page.
+    """
+    names = lambda x: F.concat(x["name"], F.lit(":"), x["line"])
+    shown = headline_declarations(decls, most).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "name"))), names), " ").alias("names"))
+    rows = ranks.join(shown, "path", "left").withColumn("directory", F.coalesce(F.nullif(T.folder(F.col("path")), F.lit("")), F.lit(".")))
+    best = rows.groupBy("directory").agg(F.max(F.round("rank", 9)).alias("top"), F.min_by("path", F.struct(-F.round("rank", 9), "path")).alias("lead"))
+    block = F.concat(F.lit("  "), F.element_at(F.split("path", "/"), -1), F.when(F.col("names").isNotNull(), F.concat(F.lit("  "), F.col("names"))).otherwise(""))
+    files = rows.join(best, "directory").select("top", "lead", "directory", F.lit(1).alias("is_file"), (-F.round("rank", 9)).alias("r"), "path", block.alias("text"))
+    heads = best.select("top", "lead", "directory", F.lit(0).alias("is_file"), F.lit(0.0).alias("r"), F.lit("").alias("path"), F.concat("directory", F.lit("/")).alias("text"))
+    order = [F.col("top").desc(), F.col("lead"), F.col("directory"), F.col("is_file"), F.col("r"), F.col("path")]
+    lines = files.unionByName(heads).orderBy(*order).limit(budget).withColumn("g", F.lit(0))  # a line costs a token at least
+    kept = prefix_admit(lines, ["g"], order, T.token_estimate(F.col("text")), budget - max(1, -(-len(header.encode()) // 3)))
+    kept = kept.select(F.row_number().over(Window.partitionBy("g").orderBy(*order)).alias("position"), "text", "is_file")
+    total = ranks.agg(F.count(F.lit(1)).alias("total"))
+    foot = kept.agg(F.coalesce(F.sum("is_file"), F.lit(0)).alias("shown"), F.count(F.lit(1)).alias("n")).crossJoin(total).where("shown < total").select((F.col("n") + 1).cast("int").alias("position"), footer(F.col("shown"), F.col("total")).alias("text"))  # one row each
+    head = ranks.sparkSession.createDataFrame([(0, header)], "position int, text string")
+    return head.unionByName(kept.select("position", "text")).unionByName(foot)

@@ -24,8 +24,15 @@ def stale(current: DataFrame, asserted: DataFrame, key: list[str]) -> DataFrame:
 
 
 def reference_pairs(occurrences: DataFrame, most: int = 200) -> DataFrame:
-    """from_path, to_path, reference_count, observations (the `most` least)."""
-    return occurrences.groupBy("from_path", "to_path").agg(F.count(F.lit(1)).alias("reference_count"), F.slice(F.array_sort(F.collect_list("observation_id")), 1, most).alias("observations"))
+    """from_path, to_path, reference_count, observations (the `most` least). No pair's observations are gathered: equal ids are counted first, and
+    of the ranked rows only the `most` least go on."""
+    pair = ["from_path", "to_path"]
+    once = occurrences.groupBy(*pair, "observation_id").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*pair).orderBy("observation_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    first = once.withColumn("before", before).where(F.col("before") < most)
+    listed = first.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("observation_id", "n"))).alias("o"))
+    ids = F.slice(F.flatten(F.transform("o", lambda x: F.array_repeat(x["observation_id"], F.least(x["n"], F.lit(most)).cast("int")))), 1, most)
+    return once.groupBy(*pair).agg(F.sum("n").alias("reference_count")).join(listed, pair).select(*pair, "reference_count", ids.alias("observations"))
 
 
 def innermost(points: DataFrame, spans: DataFrame, bucket: int = 64) -> DataFrame:
@@ -34,7 +41,7 @@ def innermost(points: DataFrame, spans: DataFrame, bucket: int = 64) -> DataFram
     A range join by buckets: spans are listed under every bucket they touch, so the join is an equi-join.
     """
     listed = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket)))).withColumnRenamed("path", "s_path")
-    hits = points.withColumn("bucket", F.floor(F.col("line") / bucket)).join(listed, ["bucket"]).where("path = s_path and start <= line and line <= end")
+    hits = points.withColumn("bucket", F.floor(F.col("line") / bucket)).join(listed.withColumnRenamed("s_path", "path"), ["path", "bucket"]).where("start <= line and line <= end")
     best = F.min_by(F.struct("key", "start", "end"), F.struct(F.col("end") - F.col("start"), "rank", "key"))
     return hits.groupBy("path", "line", "point_id").agg(best.alias("s")).select("path", "line", "point_id", "s.key", "s.start", "s.end")
 
@@ -68,6 +75,74 @@ def owner_labels(files: DataFrame, authors: DataFrame, owners: DataFrame, last:
     return files.select("path").join(gone, "path", "left").join(owners.select("path", "person"), "path", "left").select("path", label.alias("label"))
 
 
+def stranded_files(labels: DataFrame) -> DataFrame:
+    """Paths (path, label) that only departed people wrote."""
+    return labels.where("label = 'Stranded'").select("path")
+
+
+def responsibility_gaps(labels: DataFrame) -> DataFrame:
+    """Paths that nobody answers for: unowned or stranded."""
+    return labels.where("label in ('Unowned', 'Stranded')").select("path", "label")
+
+
+def migration_progress(front: DataFrame) -> DataFrame:
+    """One row: migrated, not_migrated, straddling, progress (migrated share; null without any file) of a migration front."""
+    n = lambda state: F.count_if(F.col("state") == state)
+    return front.agg(n("Migrated").alias("migrated"), n("Not migrated").alias("not_migrated"), n("Straddling").alias("straddling"), (n("Migrated") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("progress"))
+
+
+def migratable_modules(imports: DataFrame) -> DataFrame:
+    """module, importers of every module with an import; lists show them by name."""
+    return imports.groupBy("module").agg(F.count_distinct("path").alias("importers"))
+
+
+def test_outcome(passed: Column, failed: Column, exit_code: Column) -> Column:
+    """passed, failed or partial, by the numbers of verdicts and the exit code."""
+    clean = F.when(exit_code == 0, "passed").when(passed > 0, "partial").otherwise("failed")
+    return F.when(failed == 0, clean).when(passed > 0, "partial").otherwise("failed")
+
+
+def run_outcomes(runs: DataFrame) -> DataFrame:
+    """run, outcome of test runs (run, transcript, exit_code)."""
+    n = lambda word: F.size(F.split("transcript", f"{word} after")) - 1
+    return runs.select("run", test_outcome(n("passed"), n("failed"), F.col("exit_code")).alias("outcome"))
+
+
+def method_outcomes(runs: DataFrame) -> DataFrame:
+    """run, method, outcome of each test that a transcript names; the last verdict counts."""
+    line = runs.select("run", F.posexplode(F.split("transcript", "\n")).alias("at", "line"))
+    parts = line.withColumn("m", F.regexp_extract("line", "^.*?Test (.*?) (passed|failed) after", 1)).withColumn("v", F.regexp_extract("line", "^.*?Test .*? (passed|failed) after", 1)).where("v <> ''")
+    return parts.groupBy("run", F.col("m").alias("method")).agg(F.max_by("v", "at").alias("outcome"))
+
+
+def coverage_locate(points: DataFrame, functions: DataFrame) -> DataFrame:
+    """point_id, path, line, function, fraction of the innermost covered function (path, function, start, end, fraction) at each point."""
+    spans = functions.select("path", "start", "end", F.lit(0).alias("rank"), F.struct("function", "fraction").alias("key"))
+    return innermost(points, spans).select("point_id", "path", "line", "key.function", "key.fraction")
+
+
+def issue_counts(issues: DataFrame) -> DataFrame:
+    """repo, open, production, closed of issues (repo, state, labels): a production order is an open issue with that label."""
+    is_open = F.lower("state") != "closed"
+    return issues.groupBy("repo").agg(F.count_if(is_open).alias("open"), F.count_if(is_open & F.array_contains("labels", "production-order")).alias("production"), F.count_if(~is_open).alias("closed"))
+
+
+def spend(ledger: DataFrame) -> DataFrame:
+    """repo, spend, entries, last of ledger rows (repo, date, cost)."""
+    return ledger.groupBy("repo").agg(F.sum("cost").alias("spend"), F.count(F.lit(1)).alias("entries"), F.max("date").alias("last"))
+
+
+def recent(rows: DataFrame, group: list[str], order: list[Column], most: int = 30) -> DataFrame:
+    """The first `most` rows of each group by order, with their position."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("position") <= most)
+
+
+def portfolio(ledger: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row over all repositories: spend, open."""
+    total = ledger.agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("spend"))
+    return total.crossJoin(issues.agg(F.count_if(F.lower("state") != "closed").alias("open")))  # one row each
+
+
 def migration_front(imports: DataFrame, old: Column, new: Column) -> DataFrame:
     """path, state of each importer of the old or new module: Migrated, Not migrated or Straddling."""
     per = imports.groupBy("path").agg(F.max(old).alias("o"), F.max(new).alias("n")).where("o or n")

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; on a local master without it, a temporary folder."""
+    """The folder that all executors see: spark.checkpoint.dir; on a local master without it, a temporary folder that goes with the process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named.rstrip("/") if named else f"/tmp/stratagraph-{spark.sparkContext.applicationId}"
+    global _own
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="stratagraph-")
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
+    return f"file://{_own}"
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -66,13 +79,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     base = nodes.join(chosen.withColumn("restart", F.lit(1.0 / max(1, n))), "node", "left").na.fill(0.0, ["restart"])
     base = settled(base.join(out.select(F.col("src").alias("node"), F.lit(True).alias("flows")), "node", "left"))
     state = base.select("*", F.col("restart").alias("rank"))
-    for i in range(iterations):
+    for _ in range(iterations):
         arrived = state.join(share, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         dangling = state.agg(F.coalesce(F.sum(F.when(F.col("flows").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         rank = (1 - damping + damping * F.col("lost")) * F.col("restart") + damping * F.coalesce("got", F.lit(0.0))
         state = state.drop("rank").join(arrived, "node", "left").join(F.broadcast(dangling)).select("node", "restart", "flows", rank.alias("rank"))  # dangling is one row
-        if i % 5 == 4:
-            state = settled(state)
+        state = settled(state)  # three readers a step: without the cut the plan would grow threefold
     return state.select("node", "rank")
 
 
@@ -161,16 +173,52 @@ def ancestor_of(parents: DataFrame, wanted: Column, most: int = 64) -> DataFrame
     return done
 
 
-def tree_rows(parents: DataFrame, labels: DataFrame, most: int = 16) -> DataFrame:
-    """node, parent, depth, path (labels from the root) of a containment forest, level by level: rows, not nested values.
+def tree_rows(parents: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, parent, depth, path (labels from the root) of a containment forest, level by level: rows, not nested values, however deep.
 
-    parents: child, parent; labels: node, label. A node of several parents has a row for each way down; `most` levels end a cycle.
+    parents: child, parent; labels: node, label. A node that several parents hold has one row, under the nearest of them (the least where
+    several are near), so a graph with many ways down has as many rows as nodes. Nodes that no root reaches (cycles) are left out.
     """
-    roots = labels.join(parents.select(F.col("child").alias("node")), "node", "left_anti").select("node", F.lit(None).cast(labels.schema["node"].dataType).alias("parent"), F.lit(0).alias("depth"), F.array("label").alias("path"))
-    out = level = roots
-    for depth in range(1, most + 1):
-        level = level.select(F.col("node").alias("parent"), "path").join(parents, "parent").join(labels.withColumnRenamed("node", "child"), "child").select(F.col("child").alias("node"), "parent", F.lit(depth).alias("depth"), F.array_append("path", F.col("label")).alias("path"))
-        if level.isEmpty():
-            break
+    kind = labels.schema["node"].dataType
+    level = labels.join(parents.select(F.col("child").alias("node")), "node", "left_anti").select("node", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth"), F.array("label").alias("path"))
+    level = out = seen = settled(level)
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        down = level.select(F.col("node").alias("parent"), "path").join(parents, "parent").groupBy(F.col("child").alias("node")).agg(F.min_by(F.struct("parent", "path"), "parent").alias("p"))
+        down = down.join(seen.select("node"), "node", "left_anti").join(labels, "node")
+        level = settled(down.select("node", "p.parent", F.lit(depth).alias("depth"), F.array_append("p.path", F.col("label")).alias("path")))
         out = out.unionByName(level)
+        seen = settled(seen.select("node").unionByName(level.select("node")))
     return out
+
+
+def outline(parents: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, child, label: the outline as a DAG. Each node's children once, sorted by label where they are shown; edges that close a cycle
+    are cut (an edge from a node to one that is not deeper than itself). Nothing is expanded, so shared parts cost their rows once."""
+    depth = tree_rows(parents, labels).select("node", "depth")
+    e = parents.select(F.col("parent").alias("node"), "child").distinct()
+    e = e.join(depth, "node").join(depth.withColumnsRenamed({"node": "child", "depth": "below"}), "child").where("below > depth")
+    return e.join(labels.withColumnRenamed("node", "child"), "child").select("node", "child", "label")
+
+
+def edges_among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (src, dst) both ends of which are in nodes (node)."""
+    keep = nodes.select("node").distinct()
+    return edges.join(keep, F.col("src") == F.col("node"), "left_semi").join(keep, F.col("dst") == F.col("node"), "left_semi")
+
+
+BLAST_KINDS = ("refersToSymbol", "references", "imports", "declares")
+
+
+def blast_radius(edges: DataFrame, origin: DataFrame, depth: int = 2) -> DataFrame:
+    """node, distance, rank of what is within `depth` hops of the origins (node) over BLAST_KINDS, most central first for the origins:
+    PageRank personalised on them, over the touched edges, a reference counting as often as it is made (weight) plus one.
+
+    edges: src, dst, kind, weight.
+    """
+    over = edges.where(F.col("kind").isin(*BLAST_KINDS))
+    near = settled(neighborhood(over, origin, depth))
+    touched = settled(edges_among(touched_edges(over, near, depth), near))
+    ranks = pagerank(near, touched.select("src", "dst", (F.abs("weight") + 1).cast("double").alias("weight")), seeds=origin)
+    return near.join(ranks, "node")

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import graph
 
-# Frameworks and headers that come with a platform.
-SWIFT = """Foundation SwiftUI AppKit UIKit Combine Observation CoreGraphics CoreData CoreServices CoreFoundation CryptoKit Dispatch os OSLog Darwin Metal MetalKit
-RealityKit RealityFoundation SceneKit SpriteKit AVFoundation AVKit QuartzCore CoreLocation MapKit WebKit Network Security SystemConfiguration XCTest Testing SwiftData Charts
-WidgetKit StoreKit CloudKit UserNotifications Photos PhotosUI Vision CoreML NaturalLanguage Speech Contacts EventKit HealthKit HomeKit GameKit GameplayKit ARKit PencilKit QuickLook
-SafariServices MessageUI CoreBluetooth CoreMotion CoreImage CoreText CoreVideo CoreMedia CoreAudio AudioToolbox VideoToolbox ImageIO UniformTypeIdentifiers Accessibility
-LocalAuthentication AuthenticationServices BackgroundTasks AppIntents TipKit PackageDescription Swift simd Accelerate JavaScriptCore ServiceManagement IOKit DiskArbitration""".split()
-C = """stdio.h stdlib.h string.h math.h time.h ctype.h errno.h float.h limits.h locale.h setjmp.h signal.h stdarg.h stddef.h assert.h stdint.h stdbool.h inttypes.h complex.h fenv.h
-tgmath.h wchar.h wctype.h iso646.h unistd.h fcntl.h sys/types.h sys/stat.h sys/time.h sys/socket.h sys/mman.h sys/wait.h sys/ioctl.h netinet/in.h arpa/inet.h netdb.h pthread.h
-semaphore.h dirent.h dlfcn.h poll.h termios.h syslog.h pwd.h grp.h regex.h glob.h libgen.h strings.h memory.h malloc.h stdatomic.h threads.h""".split()
+# Frameworks and headers that come with a platform, in the order of their kinds.
+SWIFT = [
+    "Foundation", "SwiftUI", "AppKit", "UIKit", "Combine", "Observation", "CoreGraphics", "CoreData", "CoreServices", "CoreFoundation", "CryptoKit", "Dispatch", "os", "OSLog",
+    "Darwin", "Metal", "MetalKit", "RealityKit", "RealityFoundation", "SceneKit", "SpriteKit", "AVFoundation", "AVKit", "QuartzCore", "CoreLocation", "MapKit", "WebKit",
+    "Network", "Security", "SystemConfiguration", "XCTest", "Testing", "SwiftData", "Charts", "WidgetKit", "StoreKit", "CloudKit", "UserNotifications", "Photos", "PhotosUI",
+    "Vision", "CoreML", "NaturalLanguage", "Speech", "Contacts", "EventKit", "HealthKit", "HomeKit", "GameKit", "GameplayKit", "ARKit", "PencilKit", "QuickLook",
+    "SafariServices", "MessageUI", "CoreBluetooth", "CoreMotion", "CoreImage", "CoreText", "CoreVideo", "CoreMedia", "CoreAudio", "AudioToolbox", "VideoToolbox", "ImageIO",
+    "UniformTypeIdentifiers", "Accessibility", "LocalAuthentication", "AuthenticationServices", "BackgroundTasks", "AppIntents", "TipKit", "PackageDescription", "Swift",
+    "simd", "Accelerate", "GroupActivities", "TabularData", "CreateML", "Playgrounds", "JavaScriptCore", "CallKit", "PushKit", "Intents", "IntentsUI", "CarPlay", "WatchKit",
+    "ClockKit", "WatchConnectivity", "ExternalAccessory", "FileProvider", "FinderSync", "ServiceManagement", "IOKit", "DiskArbitration",
+]
+C = [
+    "stdio.h", "stdlib.h", "string.h", "math.h", "time.h", "ctype.h", "errno.h", "float.h", "limits.h", "locale.h", "setjmp.h", "signal.h", "stdarg.h", "stddef.h", "assert.h",
+    "stdint.h", "stdbool.h", "inttypes.h", "complex.h", "fenv.h", "tgmath.h", "wchar.h", "wctype.h", "iso646.h", "unistd.h", "fcntl.h", "sys/types.h", "sys/stat.h",
+    "sys/time.h", "sys/socket.h", "sys/mman.h", "sys/wait.h", "sys/ioctl.h", "netinet/in.h", "arpa/inet.h", "netdb.h", "pthread.h", "semaphore.h", "dirent.h", "dlfcn.h",
+    "poll.h", "termios.h", "syslog.h", "pwd.h", "grp.h", "regex.h", "glob.h", "libgen.h", "strings.h", "memory.h", "malloc.h", "stdatomic.h", "threads.h",
+]
+#: Kinds of edges that a chart shows.
+SHOWN_KINDS = ("containsPhysical", "declares", "imports", "dependsOn", "references", "refersToSymbol", "builds", "authoredBy", "ownedBy")
 
 
 def is_system_module(lang: Column, name: Column) -> Column:
@@ -38,3 +50,67 @@ def cluster_key(grouping: str, path: Column, kind: Column, role: Column | None =
     layers = F.when(kind == "module", "External").when(X.is_test(path), "Tests").otherwise("Sources")
     none = F.lit("")
     return {"area": X.area(path), "folder": X.folder(path), "layer": layers, "pattern": X.pattern_role(path, kind), "role": none if role is None else F.coalesce(role, F.lit("Leaf")), "owner": none if owner is None else F.coalesce(owner, F.lit("Unowned")), "none": none}[grouping]
+
+
+def dependency_scene(edges: DataFrame, charted: DataFrame) -> DataFrame:
+    """Imports and references (src, dst, kind, ...) whose ends are both charted (node)."""
+    return graph.edges_among(edges.where(F.col("kind").isin("imports", "references")), charted)
+
+
+def symbol_scene(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of symbol references and what they touch."""
+    e = edges.where("kind = 'refersToSymbol'")
+    return nodes.join(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi"), e
+
+
+def build_scene(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of builds edges: their ends, and every build target whether or not it has an edge."""
+    e = edges.where("kind = 'builds'")
+    ends = e.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(nodes.where("kind = 'buildTarget'").select("node")).distinct()
+    return nodes.join(ends, "node", "left_semi"), e
+
+
+def shown_edges(edges: DataFrame, nodes: DataFrame, repo: str) -> DataFrame:
+    """src, dst, kind, weight of the charted kinds that start in a repository's nodes (node, repo); weight is the number of references, else of
+    commits, else 1."""
+    own = nodes.where(F.col("repo") == repo).select("node")
+    e = edges.where(F.col("kind").isin(*SHOWN_KINDS)).join(own, F.col("src") == F.col("node"), "left_semi")
+    return e.select("src", "dst", "kind", F.coalesce("refs", "commits", F.lit(1)).cast("long").alias("weight"))
+
+
+def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, cyclic (edges within a strong component or to themselves), orphans (nodes that no edge touches)."""
+    e = graph.settled(edges.select("src", "dst"))
+    cyclic = graph.cyclic_edges(e, graph.strong_components(e)).agg(F.count(F.lit(1)).alias("cyclic"))
+    touched = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    orphans = nodes.select("node").distinct().join(touched, "node", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
+    n, m = nodes.agg(F.count_distinct("node").alias("nodes")), e.agg(F.count(F.lit(1)).alias("edges"))
+    return n.crossJoin(m).crossJoin(cyclic).crossJoin(orphans)  # one row each
+
+
+def degree_trend(edges: DataFrame, revisions: DataFrame) -> DataFrame:
+    """revision, edges: how many edges (valid_from, valid_to) are valid at each revision, by events and a running sum instead of a range join."""
+    start = edges.groupBy(F.col("valid_from").alias("r")).agg(F.count(F.lit(1)).alias("d"))
+    end = edges.where("valid_to is not null").groupBy(F.col("valid_to").alias("r")).agg((-F.count(F.lit(1))).alias("d"))
+    asked = revisions.select(F.col("revision").alias("r"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("asked"))
+    steps = start.unionByName(end).withColumn("asked", F.lit(False)).unionByName(asked)  # a row a revision
+    run = steps.groupBy("r").agg(F.sum("d").alias("d"), F.max("asked").alias("asked"))
+    return run.withColumn("edges", F.sum("d").over(Window.orderBy("r"))).where("asked").select(F.col("r").alias("revision"), "edges")
+
+
+def molecules(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Atoms (node, molecule, radius), bonds (a, b) and molecules (molecule, atoms, x, y, z) of a scene of nodes (node, cluster).
+
+    An atom's radius grows with its degree; bonds are undirected, each once, between nodes of the scene; molecules stand evenly on a sphere, in
+    order of their names, a sphere that grows with their number.
+    """
+    inner = graph.edges_among(edges, nodes)
+    size = graph.degrees(inner)
+    atoms = nodes.join(size, "node", "left").select("node", F.col("cluster").alias("molecule"), (0.5 * (1 + 0.55 * F.pow(F.coalesce("degree", F.lit(0)), F.lit(1 / 3)))).alias("radius"))
+    bonds = inner.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    counted = atoms.groupBy("molecule").agg(F.count(F.lit(1)).alias("atoms"))  # a row a cluster
+    i = F.row_number().over(Window.orderBy("molecule")) - 1
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    placed = counted.withColumns({"i": i, "n": n}).withColumn("y", F.when(F.col("n") > 1, 1 - 2 * (F.col("i") + 0.5) / F.col("n")).otherwise(0.0))
+    ring, turn, scale = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("y") * F.col("y"))), F.col("i") * (math.pi * (3 - math.sqrt(5))), 14 * F.cbrt(F.col("n"))
+    return atoms, bonds, placed.select("molecule", "atoms", (F.cos(turn) * ring * scale).alias("x"), (F.col("y") * scale).alias("y"), (F.sin(turn) * ring * scale).alias("z"))

@@ -41,12 +41,20 @@ def node_delta(versions: DataFrame, after: int, upto: int, key: str = "entity_id
     return d.select(key, F.when(F.col("a") & F.col("r"), "changed").when(F.col("a"), "added").otherwise("removed").alias("delta"))
 
 
+def first_assertions(asserted: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """key and values of the first assertion of each key, by position and values."""
+    order = F.struct(*[F.col(c) for c in (["position"] if "position" in asserted.columns else []) + values])
+    return asserted.groupBy(*key).agg(F.min_by(F.struct(*values), order).alias("_v")).select(*key, "_v.*")
+
+
 def commit_entities(versions: DataFrame, asserted: DataFrame, retracted: DataFrame, revision: int) -> DataFrame:
-    """The versions after a commit. asserted: entity_id and state; retracted: entity_id. State is one comparable column.
+    """The versions after a commit. asserted: entity_id, state and (where an entity is asserted more than once) position; retracted:
+    entity_id. State is one comparable column.
 
-    The first assertion of an entity in a commit counts; a state equal to the current one changes nothing; retraction comes after assertion.
+    The first assertion of an entity by position counts (without that column the least state); a state equal to the current one changes
+    nothing; retraction comes after assertion.
     """
-    asserted = asserted.dropDuplicates(["entity_id"]).select("entity_id", F.col("state").alias("new_state"), F.lit(True).alias("is_new"))
+    asserted = first_assertions(asserted, ["entity_id"], ["state"]).select("entity_id", F.col("state").alias("new_state"), F.lit(True).alias("is_new"))
     gone = retracted.select("entity_id").distinct().withColumn("is_gone", F.lit(True))
     current = versions.where("valid_to is null").select("entity_id", F.col("state").alias("old_state")).withColumn("is_old", F.lit(True))
     change = asserted.join(current, "entity_id", "full").join(gone, "entity_id", "full")
@@ -66,11 +74,13 @@ def commit_edges(edges: DataFrame, asserted: DataFrame, retracted: DataFrame, go
     retracted: id. gone_entities: entity_id. An asserted edge's id is a hash of its key and the revision.
     """
     gone = gone_entities.select(F.col("entity_id").alias("g")).distinct()
-    closed = edges.join(gone, (F.col("source_id") == F.col("g")) | (F.col("target_id") == F.col("g")), "left_semi").select("id").unionByName(retracted.select("id")).distinct()
+    now = edges.where("valid_to is null")
+    of_gone = lambda end: now.join(gone, F.col(end) == F.col("g"), "left_semi").select("id")
+    closed = of_gone("source_id").unionByName(of_gone("target_id")).unionByName(retracted.select("id")).distinct()
     still = edges.join(closed.withColumn("closes", F.lit(True)), "id", "left")
     still = still.withColumn("valid_to", F.when(F.col("valid_to").isNull() & F.col("closes"), F.lit(revision).cast("long")).otherwise(F.col("valid_to"))).drop("closes")
-    current = edges.where("valid_to is null").join(gone, (F.col("source_id") == F.col("g")) | (F.col("target_id") == F.col("g")), "left_anti")
-    a, c = asserted.dropDuplicates(list(EDGE_KEY)).alias("a"), current.alias("c")
+    current = now.join(gone, F.col("source_id") == F.col("g"), "left_anti").join(gone, F.col("target_id") == F.col("g"), "left_anti")
+    a, c = asserted.select(*EDGE_KEY).distinct().alias("a"), current.alias("c")
     new = a.join(c, [F.col(f"a.{k}").eqNullSafe(F.col(f"c.{k}")) for k in EDGE_KEY], "left_anti")
     opened = new.withColumns({"id": F.xxhash64(*EDGE_KEY, F.lit(revision)), "valid_from": F.lit(revision).cast("long"), "valid_to": F.lit(None).cast("long")})
     return still.unionByName(opened.select(*still.columns))

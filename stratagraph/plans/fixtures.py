@@ -59,6 +59,19 @@ def touches(t: Tables) -> DataFrame:
     return j.select(F.concat(F.lit("p"), "l_partkey").alias("path"), F.concat(F.lit("n"), "s_nationkey").alias("person"), F.col("s_name").alias("name"), F.col("l_shipdate").alias("at"))
 
 
+def symbols(t: Tables) -> DataFrame:
+    """Customers as entities: node, key, kind, name, repo, path, line."""
+    kind = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "type").when(F.col("c_mktsegment") == "BUILDING", "function").when(F.col("c_mktsegment") == "HOUSEHOLD", "interface").when(F.col("c_mktsegment") == "MACHINERY", "file").otherwise("variable")
+    repo = F.concat(F.lit("r"), F.col("c_nationkey") % 5)
+    path = F.concat(F.lit("src/n"), "c_nationkey", F.lit("/f"), F.col("c_custkey") % 40, F.lit(".swift"))
+    return t.customer.select(F.col("c_custkey").alias("node"), F.concat(F.lit("swift:decl:"), repo, F.lit("/"), path, F.lit("#"), "c_name").alias("key"), kind.alias("kind"), F.col("c_name").alias("name"), repo.alias("repo"), path.alias("path"), (F.col("c_custkey") * 7 % 400 + 1).cast("int").alias("line"))
+
+
+def symbol_edges(t: Tables) -> DataFrame:
+    """Current edges between them: id, kind, src, dst, refs, calls."""
+    return rel(t).where("valid_to is null").select("id", "kind", F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("weight").alias("refs"), (F.col("weight") % 3).alias("calls"))
+
+
 _M = "((year({0}) - 1992) * 12 + month({0}))"
 
 FIXTURE_SQL = {
@@ -74,6 +87,10 @@ FIXTURE_SQL = {
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)""",
     "files": "files AS (SELECT doc_id, source || '/' || lang || '/d' || doc_id || '.md' AS path, sha256(text) AS blob_hash, CAST(strlen(text) AS BIGINT) AS size, text FROM documents)",
     "touches": "touches AS (SELECT 'p' || l_partkey AS path, 'n' || s_nationkey AS person, s_name AS name, l_shipdate AS seen FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)",
+    "symbols": """symbols AS (SELECT c_custkey AS node, 'swift:decl:' || repo || '/' || path || '#' || c_name AS key, kind, c_name AS name, repo, path, CAST(c_custkey * 7 % 400 + 1 AS INT) AS line
+  FROM (SELECT *, 'r' || (c_nationkey % 5) AS repo, 'src/n' || c_nationkey || '/f' || (c_custkey % 40) || '.swift' AS path,
+  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'type' WHEN 'BUILDING' THEN 'function' WHEN 'HOUSEHOLD' THEN 'interface' WHEN 'MACHINERY' THEN 'file' ELSE 'variable' END AS kind FROM customer))""",
+    "symbol_edges": "symbol_edges AS (SELECT id, kind, source_id AS src, target_id AS dst, weight AS refs, weight % 3 AS calls FROM rel WHERE valid_to IS NULL)",
 }
 
 

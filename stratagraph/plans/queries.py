@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import budget, derive, graph, manifest, search, temporal
+from ..operators import budget, derive, graph, lookups, manifest, search, temporal
 from .fixtures import Tables, files, imports, refs, rel, touches, ver, with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,11 +255,6 @@ def migration_front(t: Tables) -> DataFrame:
     return derive.migration_front(imports(t), F.col("module") == "Brand#2", F.col("module") == "Brand#17")
 
 
-@query(f"{with_('imports')} SELECT module, count(*) AS importers FROM imports GROUP BY module")
-def migratable_modules(t: Tables) -> DataFrame:
-    return imports(t).groupBy("module").agg(F.count(F.lit(1)).alias("importers"))
-
-
 @query("""WITH f AS (SELECT l_partkey AS path, l_suppkey AS function, min(l_linenumber) AS s, max(l_linenumber + 3) AS e, count(*) FILTER (l_quantity > 25) / count(*) AS fraction FROM lineitem GROUP BY 1, 2)
 SELECT path, s AS "start", e AS "end", round(max(fraction), 6) AS fraction FROM (SELECT path, s, e, fraction FROM f UNION ALL SELECT path, s, e, 0.5 FROM f WHERE function % 2 = 0) GROUP BY path, s, e""")
 def coverage_fold(t: Tables) -> DataFrame:
@@ -302,9 +297,7 @@ def role_disagreements(t: Tables) -> DataFrame:
     ending = {"BUILDING": "FooService", "MACHINERY": "FooView", "HOUSEHOLD": "FooModel", "AUTOMOBILE": "FooViewModel"}
     stem = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ending.items() for x in kv]), F.col("c_mktsegment")), F.lit("Foo"))
     named = X.pattern_role(F.concat(F.lit("Sources/App/"), stem, F.lit(".swift")), F.lit("file"))
-    expected = F.create_map(*[x for k, v in X.EXPECTED_ROLES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    j = t.customer.select(F.col("c_custkey").alias("node"), named.alias("named")).join(graph.roles(_edges(t), 10), "node")
-    return j.where(~F.array_contains(F.try_element_at(expected, F.col("named")), F.col("role"))).select("node", "named", F.col("role").alias("structural"))
+    return lookups.role_disagreements(t.customer.select(F.col("c_custkey").alias("node"), named.alias("named")), graph.roles(_edges(t), 10))
 
 
 _BOTH = "b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM refs UNION ALL SELECT dst, src FROM refs))"
@@ -317,11 +310,6 @@ def neighborhood_d2(t: Tables) -> DataFrame:
     return graph.neighborhood(_edges(t), origin, 2)
 
 
-@query(f"{with_('rel', 'refs')} SELECT src, refs, calls FROM refs WHERE dst = 7 AND calls > 0")
-def callers_of(t: Tables) -> DataFrame:
-    return refs(t).where("dst = 7 and calls > 0").select("src", "refs", "calls")
-
-
 def _pagerank_sql(seed: str) -> str:
     steps = ["p0 AS (SELECT node, restart AS rank FROM base)"]
     for i in range(20):
@@ -343,23 +331,23 @@ def personalized_pagerank(t: Tables) -> DataFrame:
     return graph.pagerank(e.select(F.explode(F.array("src", "dst")).alias("node")), e, seeds=t.spark.range(7, 8).select(F.col("id").alias("node"))).select("node", F.round("rank", 9).alias("rank"))
 
 
-_ONEWAY = "e AS MATERIALIZED (SELECT DISTINCT source_id AS src, target_id AS dst FROM rel WHERE kind = 'imports' AND layer = 'observed')"
+_ONEWAY = "e AS MATERIALIZED (SELECT DISTINCT source_id AS src, target_id AS dst FROM rel)"
 
 
-def _sparse(t: Tables) -> DataFrame:
-    return rel(t).where("kind = 'imports' and layer = 'observed'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
+def _all_edges(t: Tables) -> DataFrame:
+    return rel(t).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
 
 
 @query(f"""{with_('rel', recursive=True)}, {_ONEWAY}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
 s AS (SELECT x.a AS node, min(x.b) AS m FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
 SELECT node, least(node, coalesce(m, node)) AS component FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) LEFT JOIN s USING (node)""")
 def scc(t: Tables) -> DataFrame:
-    return graph.strong_components(graph.settled(_sparse(t)))
+    return graph.strong_components(graph.settled(_all_edges(t)))
 
 
 @query(f"""{with_('rel', recursive=True)}, {_ONEWAY}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src) SELECT src, dst FROM e WHERE src = dst OR EXISTS (SELECT 1 FROM r WHERE a = dst AND b = src)""")
 def cyclic_edges(t: Tables) -> DataFrame:
-    e = graph.settled(_sparse(t))
+    e = graph.settled(_all_edges(t))
     return graph.cyclic_edges(e, graph.strong_components(e))
 
 
@@ -401,20 +389,6 @@ def bonds_of(t: Tables) -> DataFrame:
     return inner.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("refs").alias("refs"))
 
 
-@query(f"""{with_('rel')} SELECT count(DISTINCT source_id) FILTER (kind = 'imports') AS importers, count(*) FILTER (kind = 'builds') AS builds, count(*) AS edges, count(*) FILTER (source_id = target_id) AS loops FROM rel WHERE valid_to IS NULL""")
-def graph_metrics(t: Tables) -> DataFrame:
-    e = temporal.as_of(rel(t))
-    return e.agg(F.count_distinct(F.when(F.col("kind") == "imports", F.col("source_id"))).alias("importers"), F.count_if(F.col("kind") == "builds").alias("builds"), F.count(F.lit(1)).alias("edges"), F.count_if(F.col("source_id") == F.col("target_id")).alias("loops"))
-
-
-@query(f"""{with_('rel')}, e AS (SELECT * FROM rel WHERE kind IN ('imports', 'references') AND valid_to IS NULL) SELECT source_id AS src, target_id AS dst, kind, weight FROM e JOIN customer a ON source_id = a.c_custkey JOIN customer b ON target_id = b.c_custkey WHERE a.c_mktsegment <> 'MACHINERY' AND b.c_mktsegment <> 'MACHINERY'""")
-def dependency_scene(t: Tables) -> DataFrame:
-    charted = t.customer.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("node"))
-    e = temporal.as_of(rel(t)).where(F.col("kind").isin("imports", "references"))
-    e = e.join(charted, F.col("source_id") == F.col("node"), "left_semi").join(charted, F.col("target_id") == F.col("node"), "left_semi")
-    return e.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "kind", "weight")
-
-
 # ---- text and retrieval
 
 
@@ -460,12 +434,6 @@ def matching_snippets(t: Tables) -> DataFrame:
     return at.select("doc_id", "rank", "line", X.snippet(F.col("ls"), F.col("line")).alias("snippet"))
 
 
-@query()
-def lexical_search(t: Tables) -> DataFrame:
-    w = files(t).select("path", F.explode(X.windows(F.col("text"))).alias("w")).select("path", "w.*")
-    return search.lexical_search(w, _Q, 10)
-
-
 _VQ = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
 
 
@@ -490,11 +458,6 @@ def rrf_fusion(t: Tables) -> DataFrame:
     return search.fuse(lex.unionByName(sem), 10).select("path", F.round("score", 9).alias("score"), "resolution", "rank")
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE starts_with(lower(s_name), 'supplier#00000000')")
-def path_prefix(t: Tables) -> DataFrame:
-    return t.supplier.where(F.lower("s_name").startswith("supplier#00000000")).select("s_suppkey", "s_name")
-
-
 @query("""SELECT p_partkey AS key, CAST(tier AS INT) AS tier, CAST(rank AS INT) AS rank FROM (SELECT p_partkey, tier, row_number() OVER (ORDER BY tier, length(p_name), p_partkey) AS rank FROM (SELECT p_partkey, p_name, CASE WHEN p_name = 'red widget' THEN 0 ELSE 2 END AS tier FROM part WHERE regexp_matches(p_name, '(^| )red') AND regexp_matches(p_name, '(^| )wid') OR p_name = 'red widget')) WHERE rank <= 25""")
 def definitions(t: Tables) -> DataFrame:
     e = t.part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.lit("function").alias("kind"), F.lit("").alias("decl_path"))
@@ -538,12 +501,6 @@ def read_span(t: Tables) -> DataFrame:
     return t.documents.where("text <> ''").select("doc_id", X.read_span(F.col("text"), F.lit(3), F.lit(9)).alias("s")).select("doc_id", "s.start", "s.end", "s.total", F.md5("s.body").alias("body_md5"))
 
 
-@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
-def json_props(t: Tables) -> DataFrame:
-    k = F.variant_get(F.parse_json("props"), "$.k", "bigint") % 10
-    return t.events.groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-
-
 @query("""SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
 def session_debounce(t: Tables) -> DataFrame:
     from ..streaming.watch import debounced
@@ -559,24 +516,6 @@ def classify_paths(t: Tables) -> DataFrame:
 # ---- files, builds, geometry, streams
 
 
-@query("""SELECT doc_id, i AS position, cell FROM (SELECT doc_id, string_split(trim(line, '|'), '|') AS cells FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(line, ' | ')), LATERAL (SELECT unnest(range(len(cells))) AS i), LATERAL (SELECT trim(cells[i + 1]) AS cell)""")
-def table_cells(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").contains(" | "))
-    cells = F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|")
-    return rows.select("doc_id", F.posexplode(F.transform(cells, lambda c: F.trim(c))).alias("position", "cell")).withColumn("position", F.col("position").cast("long"))
-
-
-@query("""SELECT lang, count(*) AS runs, count(*) FILTER (toxic = 1) AS failed, count(*) FILTER (quality = 1) AS open FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
-def issue_counts(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("toxic") == 1).alias("failed"), F.count_if(F.col("quality") == 1).alias("open"))
-
-
-@query("""SELECT c_nationkey AS repo, round(sum(o_totalprice), 2) AS spend, count(*) AS orders, max(o_orderdate) AS last FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey""")
-def ledger_spend(t: Tables) -> DataFrame:
-    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    return j.groupBy(F.col("c_nationkey").alias("repo")).agg(F.round(F.sum("o_totalprice"), 2).alias("spend"), F.count(F.lit(1)).alias("orders"), F.max("o_orderdate").alias("last"))
-
-
 @query("""WITH e(position, alternates) AS (VALUES (0, ['src0', 'src1']), (1, ['none', 'src2']), (2, ['none'])), f AS (SELECT source AS path, max(CASE WHEN lang = 'en' THEN text END) AS text FROM documents GROUP BY source),
 c AS (SELECT position, unnest(alternates) AS path, unnest(range(len(alternates))) AS choice FROM e), b AS (SELECT position, arg_min(path, choice) AS path FROM c JOIN f USING (path) GROUP BY position)
 SELECT CAST(e.position AS INT) AS position, coalesce(b.path, alternates[1]) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN f.text IS NULL OR contains(f.text, 'License') THEN 'stub' ELSE 'real' END AS state FROM e LEFT JOIN b USING (position) LEFT JOIN f ON b.path = f.path""")
@@ -605,15 +544,6 @@ def cluster_hulls(t: Tables) -> DataFrame:
     return layout.cluster_hulls(e)
 
 
-@query()
-def semantic_search(t: Tables) -> DataFrame:
-    from ..operators import layout
-
-    docs = t.documents.select("doc_id", layout.hashed_embedding("text").alias("embedding"))
-    q = docs.where("doc_id = 1").first()["embedding"]
-    return search.vector_top(docs, q, 10, key="doc_id").withColumn("score", F.round("score", 5))
-
-
 @query()
 def ci_flow(t: Tables) -> DataFrame:
     from ..operators import layout
@@ -624,9 +554,10 @@ def ci_flow(t: Tables) -> DataFrame:
     return layout.ci_flow(parsers.build_observations(made))
 
 
-@query("SELECT user_id AS run, count(*) AS starts FROM events GROUP BY user_id")
+@query("""WITH l AS (SELECT user_id, epoch_us(ts) AS t, event_type || '-' || event_id AS step, lead(epoch_us(ts)) OVER w AS later FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_type || '-' || event_id))
+SELECT user_id AS run, step, 'active' AS state, t AS "at" FROM l UNION ALL SELECT user_id, step, 'done', later FROM l WHERE later IS NOT NULL""")
 def build_tracker(t: Tables) -> DataFrame:
-    """The stateful tracker over events as a stream of log lines, run until all is taken; its starts are counted here."""
+    """The stateful tracker over events as a stream of log lines, run until all is taken: every transition of every step."""
     import uuid
 
     from ..streaming.watch import track_builds
@@ -637,4 +568,4 @@ def build_tracker(t: Tables) -> DataFrame:
     out = f"{graph.shared_folder(spark)}/stratagraph/{name}"
     q = track_builds(log).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out).where("state = 'active'").groupBy(F.col("run").cast("long").alias("run")).agg(F.count(F.lit(1)).alias("starts"))
+    return spark.read.parquet(out).select(F.col("run").cast("long").alias("run"), "step", "state", "at")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import derive, manifest, resolve
+from ..operators import derive, manifest, resolve, temporal
 from ..sources import parsers, readers
 
+MANIFEST = "repo string, path string, blob_hash string, size long"
 FACTS = "stable_key string, state string, valid_from long, valid_to long"
 
 
@@ -22,18 +25,24 @@ class Workspace:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def revision(self) -> int:
+    def _head(self) -> tuple[int, str]:
+        """The newest revision and its folder: (0, "") before the first."""
         p, fs = self._fs(f"{self.root}/pointer")
-        return self.spark.read.text(f"{self.root}/pointer").selectExpr("max(cast(value as bigint))").first()[0] if fs.exists(p) else 0
+        if not fs.exists(p):
+            return 0, ""
+        row = self.spark.read.text(f"{self.root}/pointer").select(F.split("value", " ").alias("v")).select(F.max(F.struct(F.col("v")[0].cast("long").alias("r"), F.col("v")[1].alias("at"))).alias("h")).first()
+        return (row.h.r, row.h.at) if row.h else (0, "")
+
+    def revision(self) -> int:
+        return self._head()[0]
 
     def table(self, name: str, schema: str = FACTS) -> DataFrame:
-        r = self.revision()
-        p, fs = self._fs(f"{self.root}/{r}/{name}")
-        return self.spark.read.parquet(f"{self.root}/{r}/{name}") if r and fs.exists(p) else self.spark.createDataFrame([], schema)
+        r, at = self._head()
+        return self.spark.read.parquet(f"{self.root}/{at}/{name}") if r else self.spark.createDataFrame([], schema)
 
-    def _facts(self, repo: str, files: DataFrame) -> DataFrame:
+    def _facts(self, repo: str, files: DataFrame, seen: DataFrame | None = None) -> DataFrame:
         """stable_key, state of everything that a manifest with texts says; an edge's key names its ends and kind."""
-        seen = parsers.extract(files).join(files.select("path", "lang"), "path")
+        seen = (parsers.extract(files) if seen is None else seen).join(files.select("path", "lang"), "path")
         build = parsers.build_observations(files.where("text is not null"))
         pairs = [resolve.physical_tree(files, repo), resolve.declarations(seen, repo), resolve.import_edges(seen, repo), resolve.build_edges(build, files, repo)]
         edges = pairs[0][1]
@@ -51,32 +60,35 @@ class Workspace:
     def index(self, repo: str, folder: str) -> int:
         """Take a snapshot of a folder; if the manifest changed, commit a revision. The workspace's revision afterwards.
 
-        Only new content is read by extractors that are pure in it; facts that are not asserted again are retracted, folders without files too.
+        Only new content is parsed: observations of files that stay are kept. Facts that are not asserted again are retracted, folders
+        without files too. Each attempt writes a folder of its own, so one that failed is simply left behind and index() can run again.
         """
         files = readers.source_tree(self.spark, folder)
-        last = self.revision()
-        old = self.table("manifest", "repo string, path string, blob_hash string, size long").where(F.col("repo") == repo)
+        last, _ = self._head()
+        manifests = self.table("manifest", MANIFEST)
+        old = manifests.where(F.col("repo") == repo)
         if last and manifest.manifest_diff(old, files).isEmpty():
             return last
         r = last + 1
-        others = self.table("manifest", "repo string, path string, blob_hash string, size long").where(F.col("repo") != repo)
-        others.unionByName(files.select(F.lit(repo).alias("repo"), "path", "blob_hash", "size")).write.parquet(f"{self.root}/{r}/manifest")
-        asserted = self._facts(repo, files)
+        at = f"{r}-{uuid.uuid4().hex}"
+        others = manifests.where(F.col("repo") != repo)
+        others.unionByName(files.select(F.lit(repo).alias("repo"), "path", "blob_hash", "size")).write.parquet(f"{self.root}/{at}/manifest")
+        known = self.table("observations", f"repo string, {parsers.OBSERVATIONS}")
+        here = ["path", "blob_hash"]
+        seen = known.where(F.col("repo") == repo).drop("repo").join(files.select(*here), here, "left_semi").unionByName(parsers.extract(files.join(old.select(*here), here, "left_anti")))
+        known.where(F.col("repo") != repo).unionByName(seen.select(F.lit(repo).alias("repo"), *seen.columns)).write.parquet(f"{self.root}/{at}/observations")
+        seen = self.spark.read.parquet(f"{self.root}/{at}/observations").where(F.col("repo") == repo).drop("repo")
         versions = self.table("facts", f"repo string, {FACTS}")
-        mine = versions.where(F.col("repo") == repo)
-        current = mine.where("valid_to is null").select("stable_key", F.col("state").alias("old"))
-        change = asserted.join(current, "stable_key", "full")
-        closing = change.where("old is not null and (state is null or state <> old)").select("stable_key", F.lit(True).alias("closes"))
-        kept = mine.join(closing, "stable_key", "left").withColumn("valid_to", F.when(F.col("valid_to").isNull() & F.col("closes"), F.lit(r).cast("long")).otherwise(F.col("valid_to"))).drop("closes")
-        opened = change.where("state is not null and (old is null or state <> old)").select(F.lit(repo).alias("repo"), "stable_key", "state", F.lit(r).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
-        versions.where(F.col("repo") != repo).unionByName(kept.select(*versions.columns)).unionByName(opened.select(*versions.columns)).write.parquet(f"{self.root}/{r}/facts")
-        self.spark.range(1).select(F.lit(str(r)).alias("value")).coalesce(1).write.mode("append").text(f"{self.root}/pointer")
+        mine = versions.where(F.col("repo") == repo).drop("repo").withColumnRenamed("stable_key", "entity_id")
+        asserted = self._facts(repo, files, seen).withColumnRenamed("stable_key", "entity_id")
+        unsaid = temporal.as_of(mine).select("entity_id").join(asserted, "entity_id", "left_anti")
+        after = temporal.commit_entities(mine, asserted, unsaid, r).withColumnRenamed("entity_id", "stable_key")
+        versions.where(F.col("repo") != repo).unionByName(after.withColumn("repo", F.lit(repo)).select(*versions.columns)).write.parquet(f"{self.root}/{at}/facts")
+        self.spark.range(1).select(F.lit(f"{r} {at}").alias("value")).coalesce(1).write.mode("append").text(f"{self.root}/pointer")
         return r
 
     def facts(self, revision: int | None = None) -> DataFrame:
-        from ..operators.temporal import as_of
-
-        return as_of(self.table("facts", f"repo string, {FACTS}"), revision)
+        return temporal.as_of(self.table("facts", f"repo string, {FACTS}"), revision)
 
     def verify(self, repo: str, folder: str) -> DataFrame:
         """What a rebuild from scratch would say differently: fact, problem."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -118,33 +119,57 @@ def _row(kind: str, name: str, start: int, end: int, decl_kind: str | None = Non
     return {"kind": kind, "name": name, "decl_kind": decl_kind, "decl_path": decl_path, "start": start, "end": end}
 
 
-def python_observations(text: str) -> list[dict]:
-    """Imports and declarations of Python; text that does not parse is cut to its longest prefix that does."""
-    lines, tree = text.split("\n"), None
-    while lines:
+def _python_blocks(text: str) -> Iterator[tuple[int, ast.AST]]:
+    """Top-level blocks of Python that parse, with the line before each. A block that does not parse is tried without its first lines."""
+    try:
+        yield 0, ast.parse(text)
+        return
+    except (SyntaxError, ValueError, RecursionError):
+        lines = text.split("\n")
+    starts = [i for i, x in enumerate(lines) if x[:1] not in ("", " ", "\t", "#", ")", "]", "}")] + [len(lines)]
+    pending: list[int] = []  # decorators belong to what follows
+    for a, b in zip(starts, starts[1:], strict=False):
+        pending.append(a)
+        if lines[a].startswith("@"):
+            continue
+        at, pending = pending[0], []
         try:
-            tree = ast.parse("\n".join(lines))
-            break
-        except (SyntaxError, ValueError) as e:
-            bad = getattr(e, "lineno", None) or len(lines)
-            lines = lines[: min(bad, len(lines)) - 1]
+            yield at, ast.parse("\n".join(lines[at:b]))
+        except (SyntaxError, ValueError, RecursionError):
+            head = next((i for i in range(at, b) if re.match(r"(class|(async )?def)\b", lines[i])), None)
+            if head is not None:  # a declaration whose head is right stands, whatever is wrong inside
+                try:
+                    yield head, ast.parse(f"{lines[head].rstrip()} pass")
+                except (SyntaxError, ValueError):
+                    pass  # its head is what is wrong
+                inner = "\n".join(lines[head + 1 : b])
+                width = min((len(x) - len(x.lstrip()) for x in inner.split("\n") if x.strip()), default=0)
+                if width:
+                    for off, tree in _python_blocks("\n".join(x[width:] for x in inner.split("\n"))):
+                        yield head + 1 + off, tree
+
+
+def python_observations(text: str) -> list[dict]:
+    """Imports and declarations of Python. Where the text does not parse as a whole, its top-level blocks are parsed one by one and only
+    those that are wrong are left out (a head that is right still counts, and members stand by themselves)."""
     out: list[dict] = []
 
-    def walk(node: ast.AST, path: list[str]) -> None:
+    def walk(node: ast.AST, path: list[str], at: int) -> None:
         for x in ast.iter_child_nodes(node):
             if isinstance(x, ast.Import):
-                out.extend(_row("importStatement", a.name, x.lineno, x.end_lineno) for a in x.names)
-            elif isinstance(x, ast.ImportFrom) and x.module:
-                out.append(_row("importStatement", x.module, x.lineno, x.end_lineno))
+                out.extend(_row("importStatement", a.name, x.lineno + at, x.end_lineno + at) for a in x.names)
+            elif isinstance(x, ast.ImportFrom):
+                names = [x.module] if x.module and not x.level else ["." * x.level + (x.module or a.name) for a in x.names[: 1 if x.module else None]]
+                out.extend(_row("importStatement", n, x.lineno + at, x.end_lineno + at) for n in names)
             elif isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 here = [*path, x.name]
-                out.append(_row("declaration", x.name, x.lineno, x.end_lineno, "type" if isinstance(x, ast.ClassDef) else "function", ".".join(here)))
-                walk(x, here)
+                out.append(_row("declaration", x.name, x.lineno + at, x.end_lineno + at, "type" if isinstance(x, ast.ClassDef) else "function", ".".join(here)))
+                walk(x, here, at)
             else:
-                walk(x, path)
+                walk(x, path, at)
 
-    if tree:
-        walk(tree, [])
+    for at, tree in _python_blocks(text):
+        walk(tree, [], at)
     return out
 
 
@@ -154,25 +179,35 @@ def _blanked(text: str, line_comment: str = "//") -> str:
     return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
+_GOES_ON = re.compile(r"\s*(\{|where\b|->)")
+
+
 def _braced(text: str, heads: re.Pattern, name_of, kind_of, nest: frozenset[str]) -> Iterator[dict]:
     """Declarations whose head matches; the extent runs to the matching brace, or to the line's end. Paths nest over kinds in `nest`."""
     clean = _blanked(text)
-    line_of = lambda i: text.count("\n", 0, i) + 1
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    line_of = lambda i: bisect.bisect_left(breaks, i) + 1
+    closing, unclosed = {}, []
+    for m in re.finditer(r"[{}]", clean):
+        if m[0] == "{":
+            unclosed.append(m.start())
+        elif unclosed:
+            closing[unclosed.pop()] = m.end()
     spans = []
     for m in heads.finditer(clean):
         brace = re.compile(r"[{;\n]").search(clean, m.end())
-        while brace and brace[0] == "\n" and re.match(r"\s*(\{|where\b|->)", clean[brace.end() :]):
+        while brace and brace[0] == "\n" and _GOES_ON.match(clean, brace.end()):
             brace = re.compile(r"[{;\n]").search(clean, brace.end())
         end = m.end()
         if brace and brace[0] == "{":
-            depth, end = 1, brace.end()
-            while end < len(clean) and depth:
-                depth += {"{": 1, "}": -1}.get(clean[end], 0)
-                end += 1
+            end = closing.get(brace.start(), len(clean))
         spans.append((m.start() + len(m[0]) - len(m[0].lstrip()), end, name_of(m, text), kind_of(m)))
-    for a, b, name, kind in spans:
-        above = [s for s in spans if s[0] < a and b <= s[1] and s[3] in nest]
-        yield _row("declaration", name, line_of(a), line_of(max(a, b - 1)), kind, ".".join([s[2] for s in above] + [name]))
+    above: list[tuple] = []
+    for a, b, name, kind in spans:  # heads come in order of their starts
+        while above and above[-1][1] < b:
+            above.pop()
+        yield _row("declaration", name, line_of(a), line_of(max(a, b - 1)), kind, ".".join([s[2] for s in above if s[3] in nest] + [name]))
+        above.append((a, b, name, kind))
 
 
 def c_observations(text: str) -> list[dict]:
@@ -186,7 +221,7 @@ _RUST = {"fn": "function", "struct": "type", "union": "type", "enum": "enumerati
 
 def rust_observations(text: str) -> list[dict]:
     out = [_row("importStatement", re.sub(r"\s+", "", m[1]), text.count("\n", 0, m.start()) + 1, text.count("\n", 0, m.end()) + 1) for m in re.finditer(r"^[ \t]*(?:pub\s+)?use\s+([^;]+);", text, re.M)]
-    heads = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+|async\s+|const\s+(?=fn)|extern\s+\"[^\"]*\"\s+)*(fn|struct|union|enum|trait|mod|type|const|static|macro_rules!)\s+(?:mut\s+)?(\w+)", re.M)
+    heads = re.compile(r"(?:^|(?<=[{;]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+|async\s+|const\s+(?=fn)|extern\s+\"[^\"]*\"\s+)*(fn|struct|union|enum|trait|mod|type|const|static|macro_rules!)\s+(?:mut\s+)?(\w+)", re.M)
     return out + list(_braced(text, heads, lambda m, _: m[2], lambda m: _RUST[m[1]], frozenset({"type", "interface"})))
 
 
@@ -197,7 +232,7 @@ def swift_observations(text: str) -> list[dict]:
     """Imports and declarations of Swift; functions are named with their labels, members of extensions nest under the base name,
     variables inside functions are left out."""
     out = [_row("importStatement", m[1], text.count("\n", 0, m.start()) + 1, text.count("\n", 0, m.start()) + 1) for m in re.finditer(r"^[ \t]*(?:@\w+\s+)*import\s+(?:(?:struct|class|func|enum|protocol|var|let)\s+)?([\w.]+)", text, re.M)]
-    heads = re.compile(r"^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|internal|fileprivate|open|final|static|class(?=\s+(?:func|var))|override|mutating|lazy|weak|indirect|nonisolated|async)(?:\(set\))?\s+)*(class|actor|struct|enum|protocol|func|var|let|extension)\s+([\w.]+)", re.M)
+    heads = re.compile(r"(?:^|(?<=[{;]))[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|internal|fileprivate|open|final|static|class(?=\s+(?:func|var))|override|mutating|lazy|weak|indirect|nonisolated|async)(?:\(set\))?\s+)*(class|actor|struct|enum|protocol|func|var|let|extension)\s+([\w.]+)", re.M)
 
     def name(m: re.Match, source: str) -> str:
         if m[1] != "func":

@@ -21,11 +21,11 @@ def source_tree(spark: SparkSession, root: str) -> DataFrame:
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split(":")[-1].lstrip("/")
-    rel = F.regexp_replace("path", "^.*?" + base.replace(".", "[.]") + "/", "")
+    rel = F.expr("substr(path, locate(base, path) + length(base))")
     parts = F.split("rel", "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     bad = F.exists(folders, lambda d: d.isin(SKIPPED) | d.rlike(r"\.(xcodeproj|xcworkspace)$") | (d.startswith(".") & (d != ".github"))) | F.element_at(parts, -1).startswith(".")
-    rows = raw.withColumn("rel", rel).where(~bad)
+    rows = raw.withColumn("base", F.lit(f"/{base}/")).withColumn("rel", rel).where(~bad)
     large = F.col("length") > MOST_BYTES
     return rows.select(F.col("rel").alias("path"), F.when(large, F.sha2(F.lit(""), 256)).otherwise(F.sha2("content", 256)).alias("blob_hash"), F.col("length").alias("size"), F.when(~large, X.language(F.col("rel"))).alias("lang"), F.when(~large, F.expr("try_validate_utf8(cast(content as string))")).alias("text"))
 
