@@ -1,4 +1,4 @@
-"""An FM-index over integer symbols: wavelet-matrix ranks, backward search, sampled suffix positions.
+"""An FM-index over integer symbols: wavelet-matrix ranks, backward search, sampled suffix positions, matching statistics.
 
 All searches take whole arrays of patterns and go forward in step, so a shard costs numpy calls, not Python loops.
 """
@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .tokens import U, mixed, window_hash
+
 SAMPLE = 8
 
 
@@ -80,6 +82,24 @@ class WaveletMatrix:
             i = np.where(one, self.zeros[level] + b, i - b)
         return i - start
 
+    def offsets(self, symbols: int) -> np.ndarray:
+        """Where each symbol's run begins in the order of the last level: what rank() walks to besides its place."""
+        symbol, start = np.arange(symbols), np.zeros(symbols, np.int64)
+        for level in range(self.bits):
+            one = ((symbol >> (self.bits - 1 - level)) & 1).astype(bool)
+            a = self._ones(level, start)
+            start = np.where(one, self.zeros[level] + a, start - a)
+        return start
+
+    def run_place(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """rank(symbol, i) + offsets()[symbol]."""
+        i = i.astype(np.int64)
+        for level in range(self.bits):
+            one = ((symbol >> (self.bits - 1 - level)) & 1).astype(bool)
+            b = self._ones(level, i)
+            i = np.where(one, self.zeros[level] + b, i - b)
+        return i
+
     def access_rank(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols at i, and how often each stands before i."""
         symbol, start, i = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), i.astype(np.int64)
@@ -138,3 +158,114 @@ class FMIndex:
             at[walking] = self.before[c] + r
             steps[walking] += 1
         return self.sampled[self.mark_rank[at] - 1].astype(np.int64) + steps
+
+
+class _RangeLeast:
+    """Least value of ranges [lo, hi) of an array: windows of up to 32, and blocks of 32 for what is longer."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        for j in range(5):
+            v = self.levels[-1]
+            self.levels.append(np.minimum(v, np.append(v[1 << j :], np.full(min(1 << j, len(v)), v.max(initial=0)))))
+        self.blocks = [self.levels[5][::32]]
+        while 1 << len(self.blocks) <= len(self.blocks[0]):
+            v, step = self.blocks[-1], 1 << (len(self.blocks) - 1)
+            self.blocks.append(np.minimum(v[:-step], v[step:]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        n = hi - lo
+        out = np.empty(len(lo), self.levels[0].dtype)
+        j = np.minimum(np.frexp(np.maximum(n, 1))[1] - 1, 5)
+        for level in range(6):
+            m = j == level
+            a, b = lo[m], hi[m] - (1 << level)
+            out[m] = np.minimum(self.levels[level][a], self.levels[level][np.maximum(a, b)])
+        wide = np.flatnonzero(n > 64)
+        if len(wide):
+            a, b = (lo[wide] + 31) // 32, hi[wide] // 32
+            k = np.frexp(b - a)[1] - 1
+            for level in np.unique(k).tolist():
+                m = k == level
+                v = self.blocks[level]
+                out[wide[m]] = np.minimum(out[wide[m]], np.minimum(v[a[m]], v[b[m] - (1 << level)]))
+        return out
+
+
+class Matcher:
+    """Matching statistics of streamed patterns against the texts of an index that belong to earlier owners.
+
+    owner: a number for each text position. A match of a pattern counts only where a text position of a smaller owner has it; so the
+    pattern itself may be in the index. Matches are followed up to `most` symbols.
+    """
+
+    def __init__(self, index: FMIndex, symbols: np.ndarray, owner: np.ndarray, most: int):
+        self.index, self.most = index, most
+        self.owners = _RangeLeast(np.append(owner, owner.max(initial=0)).astype(np.int32)[np.minimum(index.suffixes, len(owner))])
+        self.run = index.wave.offsets(1 << index.bits)
+        self.common = [self._common_prefixes(np.append(symbols, 0))]
+        while 1 << len(self.common) <= len(self.common[0]):  # least values of 2**level neighbours
+            v, step = self.common[-1], 1 << (len(self.common) - 1)
+            self.common.append(np.minimum(v[:-step], v[step:]))
+
+    def _common_prefixes(self, s: np.ndarray) -> np.ndarray:
+        """How many symbols each suffix shares with the one before it in order, as far as `most`; 0 at both ends."""
+        sa, n = self.index.suffixes, len(s)
+        a, b = sa[:-1], sa[1:]
+        shared = np.zeros(n - 1, np.int64)
+        for j in range(self.most.bit_length() - 1, -1, -1):
+            named = window_hash(mixed(s.astype(U)), 1 << j)
+            if not len(named):
+                continue
+            x, y = a + shared, b + shared
+            inside = (x < len(named)) & (y < len(named))
+            same = inside & (named[np.minimum(x, len(named) - 1)] == named[np.minimum(y, len(named) - 1)])
+            shared[same] += 1 << j
+        return np.concatenate([[0], shared, [0]]).astype(np.uint16)
+
+    def _widened(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of all suffixes that share `depth` symbols with those of [lo, hi)."""
+        lo, hi = lo.copy(), hi.copy()
+        for level in range(len(self.common) - 1, -1, -1):
+            v, step = self.common[level], 1 << level
+            at = lo - step + 1  # the values at lo - step + 1 .. lo stand between lo - step and lo
+            go = (at > 0) & (v[np.maximum(at, 0)] >= depth)
+            lo[go] -= step
+            go = (hi + step < len(self.common[0])) & (v[np.minimum(hi, len(v) - 1)] >= depth)
+            hi[go] += step
+        return lo, hi
+
+    def _before(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return self.index.before[symbol] + self.index.wave.run_place(symbol, i) - self.run[symbol]
+
+    def lengths(self, flat: np.ndarray, begin: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For every position of the patterns (flat symbols, begin of each and the end): how many symbols from there an earlier owner has, as far
+        as `most`. Patterns go backward in step: a symbol extends the range of matching suffixes; where no earlier owner is left in
+        it, the match loses symbols at its end, as many as the next wider range needs, until the extension holds."""
+        size = np.diff(begin)
+        lo, hi, length = np.zeros(len(size), np.int64), np.full(len(size), self.index.n, np.int64), np.zeros(len(size), np.int64)
+        out = np.zeros(len(flat), np.uint16)
+        live = np.arange(len(size))
+        for step in range(int(size.max(initial=0))):
+            live = live[size[live] > step]
+            at = begin[live] + size[live] - 1 - step
+            todo, symbol = live, flat[at]
+            while len(todo):
+                both = self._before(np.concatenate([symbol, symbol]), np.concatenate([lo[todo], hi[todo]]))
+                a, b = both[: len(todo)], both[len(todo) :]
+                good = a < b
+                good[good] = self.owners.of(a[good], b[good]) < own[todo[good]]
+                done = todo[good]
+                lo[done], hi[done] = a[good], b[good]
+                length[done] += 1
+                full = done[length[done] > self.most]
+                if len(full):
+                    length[full] = self.most
+                    lo[full], hi[full] = self._widened(lo[full], hi[full], length[full])
+                todo, symbol = todo[~good], symbol[~good]
+                some = length[todo] > 0  # without a symbol left, an earlier owner does not have this one at all
+                todo, symbol = todo[some], symbol[some]
+                length[todo] = np.maximum(self.common[0][lo[todo]], self.common[0][hi[todo]])
+                lo[todo], hi[todo] = self._widened(lo[todo], hi[todo], length[todo])
+            out[at] = length[live]
+        return out

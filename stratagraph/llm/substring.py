@@ -7,12 +7,11 @@ smaller doc_id is removed. Windows are judged on the input.
    their least and greatest document; only passages (the words of consecutive windows that pick one gram occurrence) whose
    gram stands in several documents can hold repeats.
 2. Passages are dealt to shards by gram, equal ones merged with their least document. A shard's passages become one FM-index:
-   wavelet matrix of the Burrows-Wheeler transform, sampled suffix positions, and a bit vector that marks where neighbouring
-   suffixes differ within `width` words. Every passage is streamed backward through the index; each step's row gives, by the bit
-   vector, the interval of suffixes that match `width` words or more, and the interval's least document. Windows
-   whose least document is smaller than the passage's own are reported as intervals.
-3. Grams with over HOT occurrences would overfill a shard: their windows are compared by hash instead, with the least document
-   of each aggregated before the shuffle. The result is the same.
+   wavelet matrix of the Burrows-Wheeler transform, and how many symbols neighbouring suffixes share. A passage that another one of
+   its gram may be earlier than is streamed backward through the index; its matching statistics say for every word how many words from
+   there stand in a passage of an earlier document, and windows for which that is `width` are reported as intervals.
+3. A gram with more occurrences than a shard has room for (HOT) would overfill it: its windows are compared by two 64-bit hashes instead,
+   with the least document of each aggregated before the shuffle. The result is the same.
 
 Words travel as 32-bit names within a shard; two windows count as equal if all `width` names are.
 
@@ -31,17 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .fm_index import FMIndex
+from .fm_index import FMIndex, Matcher
 from .tokens import U, Words, mixed, space_words, text_slices, window_hash
 
 WIDTH = 50
 GRAM = 12
 SHARD_WORDS = 1 << 20
-HOT = 200_000
+#: A passage has so many words at most by what a gram may stand for; a gram with more occurrences than fit a shard is hot.
+PASSAGE_WORDS = 70
 #: A very common window meets its least document in so many tasks.
 SALTS = 16
 BROADCAST_GRAMS = 2_000_000
-PASSAGE = "gram long, words binary, owners binary, window long, doc_id long, th int, at int"
+PASSAGE = "gram long, words binary, owners binary, window long, window2 long, doc_id long, th int, at int"
 _OWNER = np.dtype([("doc_id", "<i8"), ("th", "<i4"), ("at", "<i4")])
 
 
@@ -91,6 +91,7 @@ def _grams(width: int, gram: int):
 def _passages(width: int, gram: int, known):
     """known: broadcast (grams, hot flags); or None where each row brings its own in `grams` and `hots`."""
     is_word = space_words()
+    names_of = [x.split()[0] for x in PASSAGE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,86 +121,74 @@ def _passages(width: int, gram: int, known):
                     found.setdefault((int(g[i]), names[s[i] : e[i] + width].tobytes()), []).append(i)
                 n = len(found)
                 nothing = lambda k, t: pa.nulls(k, t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in found], U).view(np.int64)), pa.array([x for _, x in found], pa.binary()), pa.array([owner[i].tobytes() for i in found.values()], pa.binary()), nothing(n, pa.int64()), nothing(n, pa.int64()), nothing(n, pa.int32()), nothing(n, pa.int32())], ["gram", "words", "owners", "window", "doc_id", "th", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in found], U).view(np.int64)), pa.array([x for _, x in found], pa.binary()), pa.array([owner[i].tobytes() for i in found.values()], pa.binary()), nothing(n, pa.int64()), nothing(n, pa.int64()), nothing(n, pa.int64()), nothing(n, pa.int32()), nothing(n, pa.int32())], names_of)
                 if hot.any():
                     which = np.flatnonzero(hot)
                     counts = e[which] - s[which] + 1
                     place = np.repeat(s[which] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
                     o = owner[np.repeat(which, counts)]
                     at = place - w.first[np.repeat(doc[which], counts)]
-                    window = window_hash(w.hash, width)[place]
-                    yield pa.RecordBatch.from_arrays([nothing(len(at), pa.int64()), nothing(len(at), pa.binary()), nothing(len(at), pa.binary()), pa.array(window.view(np.int64)), pa.array(o["doc_id"]), pa.array(o["th"]), pa.array(at.astype(np.int32))], ["gram", "words", "owners", "window", "doc_id", "th", "at"])
+                    window, window2 = (window_hash(x, width)[place].view(np.int64) for x in (w.hash, mixed(w.hash + U(width))))
+                    yield pa.RecordBatch.from_arrays([nothing(len(at), pa.int64()), nothing(len(at), pa.binary()), nothing(len(at), pa.binary()), pa.array(window), pa.array(window2), pa.array(o["doc_id"]), pa.array(o["th"]), pa.array(at.astype(np.int32))], names_of)
 
     return run
 
 
-def shard_matches(passages: list[np.ndarray], least: np.ndarray, width: int) -> list[np.ndarray]:
-    """Matching statistics of one shard: for each passage, the least document of every window. least: of each passage."""
-    sizes = np.array([len(p) for p in passages], np.int64)
-    flat = np.concatenate(passages)
-    _, symbol = np.unique(flat, return_inverse=True)
+def shard_matches(passages: list[np.ndarray], least: np.ndarray, gram: np.ndarray, width: int) -> list[np.ndarray | None]:
+    """For each passage whether each of its windows stands in a passage of an earlier document (None: none does). least: document of each."""
+    out: list[np.ndarray | None] = [None] * len(passages)
+    _, group = np.unique(gram, return_inverse=True)
+    first = np.full(group.max(initial=0) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, group, least)
+    asks = least > first[group]  # others of the gram are the earliest there is
+    indexed = np.flatnonzero(np.bincount(group, asks)[group] > 0)
+    if not len(indexed):
+        return out
+    asks = np.flatnonzero(asks[indexed])
+    sizes = np.array([len(passages[i]) for i in indexed], np.int64)
+    _, symbol = np.unique(np.concatenate([passages[i] for i in indexed]), return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(sizes)])
     text = np.insert(symbol.reshape(-1) + 2, begin[1:], 1)  # 1 ends a passage
+    _, rank = np.unique(least[indexed], return_inverse=True)
     index = FMIndex(text)
-    sa = index.suffixes
-    own = np.repeat(np.arange(len(passages)), sizes + 1)
-    named = window_hash(mixed(text.astype(U)), width)
-    alike = np.zeros(index.n, U)
-    alike[: len(named)] = named
-    alike[len(named) :] = np.arange(index.n - len(named), dtype=U)
-    in_order = alike[sa]
-    border = np.concatenate([[True], in_order[1:] != in_order[:-1]])
-    start = np.flatnonzero(border)
-    doc = np.append(least[own], np.iinfo(np.int64).max)[np.minimum(sa, len(own))]
-    lowest = np.minimum.reduceat(doc, start)
-    interval = np.cumsum(border) - 1
+    matcher = Matcher(index, text, np.repeat(rank, sizes + 1), width)
     index.suffixes = None
-    out = [np.empty(max(0, n - width + 1), np.int64) for n in sizes.tolist()]
-    rows = np.arange(index.before[1], index.before[2])  # the ends of all passages
-    who = own[index.locate(rows)]
-    at = np.full(len(passages), 0)
-    at[who] = rows
-    flat_out = np.empty(int((sizes - width + 1).sum()), np.int64)
-    base = np.concatenate([[0], np.cumsum(sizes - width + 1)])
-    live = np.arange(len(passages))
-    for step in range(1, int(sizes.max()) + 1):
-        live = live[sizes[live] >= step]
-        c, r = index.wave.access_rank(at[live])
-        at[live] = index.before[c] + r
-        if step >= width:
-            flat_out[base[live] + sizes[live] - step] = lowest[interval[at[live]]]
-    for i in range(len(out)):
-        out[i] = flat_out[base[i] : base[i + 1]]
+    flat = np.concatenate([text[begin[i] + i : begin[i + 1] + i] for i in asks])
+    starts = np.concatenate([[0], np.cumsum(sizes[asks])])
+    found = matcher.lengths(flat, starts, rank[asks]) >= width
+    for k, i in enumerate(asks.tolist()):
+        out[indexed[i]] = found[starts[k] : starts[k + 1] - width + 1]
     return out
 
 
 def _search(width: int):
     def run(table: pa.Table) -> pa.Table:
-        seen: dict[bytes, int] = {}
-        passages, owners = [], []
-        for words, owner in zip(table.column("words"), table.column("owners"), strict=True):
-            k = seen.setdefault(words.as_py(), len(seen))
+        seen: dict[tuple[int, bytes], int] = {}
+        passages, grams, owners = [], [], []
+        for gram, words, owner in zip(table.column("gram").to_pylist(), table.column("words"), table.column("owners"), strict=True):
+            k = seen.setdefault((gram, words.as_py()), len(seen))
             if k == len(passages):
                 passages.append(np.frombuffer(words.as_py(), np.uint32))
+                grams.append(gram)
                 owners.append([])
             owners[k].append(np.frombuffer(owner.as_py(), _OWNER))
         owners = [np.concatenate(o) for o in owners]
         least = np.array([o["doc_id"].min() for o in owners], np.int64)
-        ids, ths, starts, ends = [], [], [], []
-        for o, found in zip(owners, shard_matches(passages, least, width), strict=True):
-            gone = found[None, :] < o["doc_id"][:, None]
-            if not gone.any():
-                continue
-            edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            r, s = np.nonzero(edge == 1)
-            _, e = np.nonzero(edge == -1)
-            ids.append(o["doc_id"][r])
-            ths.append(o["th"][r])
-            starts.append(o["at"][r] + s)
-            ends.append(o["at"][r] + e - 1 + width)
-        if not ids:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "th": pa.array([], pa.int32()), "start": pa.array([], pa.int32()), "end": pa.array([], pa.int32())})
-        return pa.table({"doc_id": np.concatenate(ids), "th": np.concatenate(ths), "start": np.concatenate(starts).astype(np.int32), "end": np.concatenate(ends).astype(np.int32)})
+        ids, ths, starts, ends = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+
+        def report(o: np.ndarray, s, e) -> None:
+            ids.append(o["doc_id"])
+            ths.append(o["th"])
+            starts.append((o["at"] + s).astype(np.int32))
+            ends.append((o["at"] + e).astype(np.int32))
+
+        for words, o, m, found in zip(passages, owners, least, shard_matches(passages, least, np.array(grams, np.int64), width), strict=True):
+            report(o[o["doc_id"] > m], 0, len(words))  # all windows stand in the least document's passage
+            if found is not None and found.any():
+                edge = np.diff(np.pad(found, 1).astype(np.int8))
+                for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+                    report(o[o["doc_id"] == m], s, e - 1 + width)
+        return pa.table({"doc_id": np.concatenate(ids), "th": np.concatenate(ths), "start": np.concatenate(starts), "end": np.concatenate(ends)})
 
     return run
 
@@ -234,8 +223,10 @@ def _cut(kept: list[str]):
     return run
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
-    """docs' columns, then n_words, n_removed and kept_text (kept words joined by one space)."""
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot: int | None = None) -> DataFrame:
+    """docs' columns, then n_words, n_removed and kept_text (kept words joined by one space); input columns of these names are replaced. hot: a gram
+    with more occurrences is compared by hash (without it, one that a shard has no room for)."""
+    hot = shard_words // PASSAGE_WORDS if hot is None else hot
     taken = {"n_words", "n_removed", "kept_text"}
     kept = [f for f in docs.schema if f.name.lower() not in taken]
     spark = docs.sparkSession
@@ -254,12 +245,12 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shar
         own = keyed.mapInArrow(_own_grams(width, gram), "doc_id long, th int, gram long").join(repeated, "gram").groupBy(F.col("doc_id").alias("o_id"), F.col("th").alias("o_th")).agg(F.collect_list("gram").alias("grams"), F.collect_list(F.col("n") > hot).alias("hots"))
         source = keyed.join(own, (F.col("doc_id") == F.col("o_id")) & (F.col("th") == F.col("o_th"))).select("doc_id", "th", "text", "grams", "hots")
     found = written(source.mapInArrow(_passages(width, gram, known), PASSAGE), "substring-passages")
-    shards = max(1, math.ceil(n_places * 70 / shard_words))
-    spans = found.where("gram is not null").select(F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard"), "words", "owners").groupBy("shard").applyInArrow(lambda t: _search(width)(t), "doc_id long, th int, start int, end int")
-    windows = found.where("window is not null").select("window", "doc_id", "th", "at")
-    least = windows.groupBy("window").agg(F.min("doc_id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shards = max(1, math.ceil(n_places * PASSAGE_WORDS / shard_words))
+    spans = found.where("gram is not null").select(F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard"), "gram", "words", "owners").groupBy("shard").applyInArrow(lambda t: _search(width)(t), "doc_id long, th int, start int, end int")
+    windows = found.where("window is not null").select("window", "window2", "doc_id", "th", "at")
+    least = windows.groupBy("window", "window2").agg(F.min("doc_id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
-    spans = spans.unionByName(salted.join(least, ["window", "salt"]).where("doc_id > least").select("doc_id", "th", F.col("at").alias("start"), (F.col("at") + width).alias("end")))
+    spans = spans.unionByName(salted.join(least, ["window", "window2", "salt"]).where("doc_id > least").select("doc_id", "th", F.col("at").alias("start"), (F.col("at") + width).alias("end")))
     gone = spans.groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     gone = written(gone, "substring-spans")
     rec = docs.select(F.struct(*[docs[f.name] for f in kept]).alias("rec"), docs["doc_id"].cast("bigint").alias("j_id"), F.hash(docs["text"]).alias("j_th"), docs["text"].alias("text"))

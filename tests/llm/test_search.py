@@ -26,6 +26,27 @@ def test_fm_index_finds_all(symbols, pattern):
     assert got == [i for i in range(len(symbols) - len(pattern) + 1) if symbols[i : i + len(pattern)] == pattern]
 
 
+@given(st.lists(st.tuples(st.lists(st.integers(1, 3), min_size=4, max_size=14), st.integers(0, 5)), min_size=1, max_size=9), st.integers(2, 4))
+@settings(deadline=None, max_examples=300)
+def test_matching_statistics_against_earlier_owners(texts, most):
+    symbols = np.concatenate([np.array([*t, 0]) + 1 for t, _ in texts])
+    owner = np.concatenate([np.full(len(t) + 1, o) for t, o in texts])
+    matcher = fm_index.Matcher(fm_index.FMIndex(symbols), symbols, owner, most)
+    begin = np.concatenate([[0], np.cumsum([len(t) for t, _ in texts])])
+    got = matcher.lengths(np.concatenate([np.array(t) + 1 for t, _ in texts]), begin, np.array([o for _, o in texts])).tolist()
+    holds = lambda t, part: any(t[i : i + len(part)] == part for i in range(len(t) - len(part) + 1))
+    want = [max(n for n in range(min(most, len(t) - i) + 1) if n == 0 or any(p < o and holds(x, t[i : i + n]) for x, p in texts)) for t, o in texts for i in range(len(t))]
+    assert got == want
+
+
+@given(st.lists(st.integers(0, 99), min_size=1, max_size=300), st.data())
+@settings(deadline=None, max_examples=100)
+def test_least_of_ranges(values, data):
+    lo = np.array([data.draw(st.integers(0, len(values) - 1)) for _ in range(5)])
+    hi = np.array([data.draw(st.integers(a + 1, len(values))) for a in lo])
+    assert fm_index._RangeLeast(np.array(values)).of(lo, hi).tolist() == [min(values[a:b]) for a, b in zip(lo, hi)]
+
+
 @given(st.lists(st.text(alphabet="aB ß\té1,", max_size=30), min_size=1, max_size=6))
 @settings(deadline=None, max_examples=150)
 def test_words_as_by_pattern(texts):
@@ -234,7 +255,7 @@ def _cut(rows, width):
     return out
 
 
-@pytest.mark.parametrize("hot,grams", [(200_000, 2_000_000), (1, 2_000_000), (200_000, 0), (2, 0)])
+@pytest.mark.parametrize("hot,grams", [(200_000, 2_000_000), (1, 2_000_000), (200_000, 0), (2, 0), (None, 2_000_000)])
 def test_substrings(spark, awkward, monkeypatch, hot, grams):
     monkeypatch.setattr(substring, "BROADCAST_GRAMS", grams)
     want = _cut([(r.doc_id, r.text) for r in awkward.collect() if r.doc_id is not None], 20)
