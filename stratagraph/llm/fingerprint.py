@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty, words
+from .common import let, text_or_empty, words, written
 
 K = 128
 SHINGLE = 5
@@ -75,24 +75,53 @@ def _bin(doc_id: Column, bounds: list[int]) -> Column:
     return F.when(doc_id.isNull(), F.lit(len(bounds) + 1)).otherwise(found)
 
 
-def with_next(docs: DataFrame, bin_bytes: int = BIN_BYTES) -> DataFrame:
+def _prefix() -> Column:
+    """The first seven bytes of text as a number: ordered as the texts are."""
+    return F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+
+
+def _parts(binned: DataFrame, size: Column, bin_bytes: int) -> DataFrame | None:
+    """Bounds within bins that hold over twice bin_bytes: bin, by_text (the bin has one doc_id), bounds. At most MOST_BINS + 2 rows; None without any."""
+    sizes = binned.groupBy("bin").agg(F.sum(size).alias("bytes"), (F.min("doc_id").eqNullSafe(F.max("doc_id"))).alias("by_text"))
+    crowded = written(sizes.where(F.col("bytes") > 2 * bin_bytes).select("bin", "by_text"), "print-crowded")
+    if crowded.isEmpty():
+        return None
+    inner = binned.join(F.broadcast(crowded), "bin")  # a row a bin
+    value = F.when(F.col("by_text"), _prefix()).otherwise(F.col("doc_id"))
+    cuts = F.percentile_approx(value, [i / _FAN for i in range(1, _FAN)], 10 * _FAN)
+    return written(inner.groupBy("bin", "by_text").agg(F.array_distinct(cuts).alias("bounds")), "print-parts")
+
+
+def with_next(docs: DataFrame, bin_bytes: int | None = None) -> DataFrame:
     """doc_id, text, and bin and seat (their order), each row once, and one `guard` row at the end of each bin: a copy of the row after it.
 
-    Rows are ordered by doc_id (null last), then text; the last row is followed by the first. Bins are ranges of doc_id of
-    about bin_bytes of text, cut at approximate quantiles, so no task sorts the whole table.
+    Rows are ordered by doc_id (null last), then text; the last row is followed by the first. Bins are ranges of doc_id of about
+    bin_bytes of text, cut at approximate quantiles; a bin that is larger (more than MOST_BINS bins would be needed, or one doc_id or none stands
+    in many rows) is cut again, into _FAN parts, by doc_id or by text. So no task sorts the whole table, whatever its size.
     """
+    bin_bytes = bin_bytes or BIN_BYTES
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
-    total = base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 16), F.lit(0))).first()[0]
+    size = F.octet_length("text").cast("long") + 16
+    total = base.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     n = min(MOST_BINS, max(1, math.ceil(total / bin_bytes)))
     cuts = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] if n > 1 else []
-    bounds = sorted(set(cuts or []))
+    cuts = sorted(cuts or [])
+    bounds = sorted({*cuts, *(a + 1 for a, b in zip(cuts, cuts[1:], strict=False) if a == b and a < 2**63 - 1)})  # a frequent doc_id stands alone
     binned = base.withColumn("bin", _bin(F.col("doc_id"), bounds))
-    first = F.broadcast(binned.groupBy(F.col("bin").alias("of")).agg(F.min("doc_id").alias("first")))  # one row a bin, MOST_BINS + 1 at most
+    parts = _parts(binned, size, bin_bytes)
+    if parts is None:
+        binned = binned.withColumn("bin", F.col("bin").cast("long") * _FAN)
+    else:
+        value = F.when(F.col("by_text"), _prefix()).otherwise(F.col("doc_id"))
+        part = F.coalesce(F.size(F.filter("bounds", lambda b: b <= value)), F.lit(0))
+        binned = binned.join(F.broadcast(parts), "bin", "left").select("doc_id", "text", (F.col("bin").cast("long") * _FAN + F.when(F.col("bounds").isNull(), 0).otherwise(part)).alias("bin"))
+    least = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text"))
+    heads = written(binned.groupBy("bin").agg(F.min(least).alias("head")), "print-heads")  # a row a bin
     order = Window.orderBy("bin")
     before = F.coalesce(F.lag("bin").over(order), F.max("bin").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = binned.join(first, (F.col("bin") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("bin").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"))
-    guards = heads.select("doc_id", "text", before.alias("bin"), F.lit(1).alias("guard"))
-    return binned.select("doc_id", "text", "bin", F.lit(0).alias("guard")).unionByName(guards).repartition(n, "bin")
+    seats = heads.select("bin", before.alias("before"))
+    guards = heads.join(seats, "bin").select("head.doc_id", "head.text", F.col("before").alias("bin"), F.lit(1).alias("guard"))
+    return binned.select("doc_id", "text", "bin", F.lit(0).alias("guard")).unionByName(guards).repartition(n if parts is None else n * 2, "bin")
 
 
 def fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -49,20 +50,43 @@ def test_sketch_estimates_and_merges(spark):
     assert r.m == sorted(_shingles(a) | _shingles(b))[: fingerprint.K]
 
 
-def test_edited_follows_order(spark, awkward, empty):
+def test_edited_follows_order(spark, awkward, empty, monkeypatch):
     rows = sorted(((r.doc_id is None, r.doc_id, r.text or "") for r in awkward.select("doc_id", "text").collect()), key=lambda x: (x[0], x[1] or 0, x[2]))
     want = Counter()
     for i, (_, d, t) in enumerate(rows):
         h = len(t) // 2
-        want[d, len(t), t[: len(t) - h] + rows[(i + 1) % len(rows)][2][:h]] += 1
-    for size in (1 << 12, 1 << 30):
-        fingerprint.BIN_BYTES, kept = size, fingerprint.BIN_BYTES
-        got = Counter((r.doc_id, r.n_chars, r.edited) for r in fingerprint.edited_fingerprints(awkward).select("doc_id", "n_chars", "edited").collect())
-        fingerprint.BIN_BYTES = kept
+        edited = t[: len(t) - h] + rows[(i + 1) % len(rows)][2][:h]
+        want[d, len(t), edited, _near(t, edited), _near(t, rows[(i + 1) % len(rows)][2])] += 1
+    for size, most in ((1 << 12, 4096), (1 << 30, 4096), (1 << 9, 2)):
+        monkeypatch.setattr(fingerprint, "BIN_BYTES", size)
+        monkeypatch.setattr(fingerprint, "MOST_BINS", most)
+        got = Counter((r.doc_id, r.n_chars, r.edited, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprint.edited_fingerprints(awkward).collect())
         assert got == want
     assert fingerprint.edited_fingerprints(empty).count() == 0
 
 
+def _near(a, b):
+    x, y = (set(sorted(_shingles(t))[: fingerprint.K]) for t in (a, b))
+    union = set(sorted(x | y)[: fingerprint.K])
+    return round(len(x & y & union) / len(union), 9) if union else 1.0
+
+
+def test_frequent_and_missing_ids_are_cut_by_text(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{i * 37 % 101} text {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    binned = fingerprint.with_next(df, 300)
+    assert max(r["count"] for r in binned.groupBy("bin").count().collect()) < 60
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = {(d, t): t[: len(t) - len(t) // 2] + ordered[(i + 1) % 600][1][: len(t) // 2] for i, (d, t) in enumerate(ordered)}
+    old = fingerprint.BIN_BYTES
+    try:
+        fingerprint.BIN_BYTES = 300
+        got = fingerprint.edited_fingerprints(df).select("doc_id", "n_chars", "edited").collect()
+    finally:
+        fingerprint.BIN_BYTES = old
+    assert sorted(r.edited for r in got) == sorted(want.values())
+
+
 def test_bins_cut_small(spark, awkward):
     few, many = fingerprint.with_next(awkward, 1 << 30), fingerprint.with_next(awkward, 1 << 11)
     assert few.select("bin").distinct().count() <= 2 < many.select("bin").distinct().count()
@@ -164,7 +188,21 @@ def test_queries_hash_what_operators_give(spark, awkward, tmp_path):
     from stratagraph.llm.queries import QUERIES
 
     awkward.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.text or "" for r in awkward.collect() if r.doc_id is not None}
+    ids = sorted(rows)
+    text = lambda d: rows[ids[ids.index(d) % len(ids)]]
+    print_of = lambda t: "".join(f"{x & (1 << 64) - 1:016x}" for x in sorted(_shingles(t))[: fingerprint.K])
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     got = QUERIES["op7_fingerprints"](spark, str(tmp_path)).collect()
-    assert all(len(r.edited_sha256) == len(hashlib.sha256(b"").hexdigest()) and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    sized = QUERIES["op8_shards"](spark, str(tmp_path)).collect()
-    assert {(r.law, r.grown_shard) for r in sized} == {("rows", None)}
+    assert len(got) == len(ids)
+    for r in got:
+        t, following = text(r.doc_id), rows[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), sha(edited), print_of(t), print_of(edited))
+        assert (round(r.near_edited, 9), round(r.near_next, 9)) == (_near(t, edited), _near(t, following))
+    for r in QUERIES["op8_shards"](spark, str(tmp_path)).collect():
+        t = text(r.doc_id).encode()
+        assert (r.law, r.grown_shard, r.size, r.text_crc32) == ("rows", None, len(t) + 1, zlib.crc32(t))
+    kept = {r.doc_id: r.kept_text or "" for r in lines.dedup_lines(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect():
+        assert r.kept_sha256 == sha(kept[r.doc_id])
