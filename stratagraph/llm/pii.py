@@ -2,9 +2,11 @@
 
 Found and validated: payment cards (Luhn), IBANs (modulo 97), US social security numbers (issued ranges), IPv4 addresses, phone
 numbers, calendar dates, e-mail addresses. Each value is a number in the domain of its format and goes through a keyed Feistel
-permutation of that domain (cycle walking until the result is valid again): a card stays a card with a right check digit, a date
-stays a date, separators, country codes and letter case stay. The permutation depends on key, kind and format only, so
-equal values stay linked across documents, different values stay different, and restore() takes a text back.
+permutation of that domain (cycle walking until the result is valid again): a card keeps its first digit and gets a right check digit, a date
+stays a date, separators, country codes, the domain of an e-mail address and letter case stay. The permutation depends on key, kind and format
+only, so equal values stay linked across documents, different values stay different, and restore() takes a text back. A date's permutation
+depends on the day alone, so a day is linked across the styles in which dates are written. A phone number is a shape (7 to 15 digits after + and
+a country code, or ten digits grouped as in North America); numbering plans are not known, but area and exchange that begin with 2 to 9 still do.
 
 A value may start wherever no letter or digit precedes it, but not within digits that . or - tie to a letter (as v1.2.3.4.5), and
 ends where no letter or digit follows; a time may follow a date (2024-01-05T10:22). If the longest reading is not valid, shorter ones
@@ -20,6 +22,7 @@ replaced. Repeated rows get equal results.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -92,6 +95,24 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def _day_class(ordinal: int) -> tuple[bool, int]:
+    """Days of one class are written with as many digits, and read the same way round, in every style."""
+    d = dt.date.fromordinal(ordinal)
+    return d.month >= 10, 0 if d.day < 10 else 1 if d.day <= 12 else 2
+
+
+@functools.cache
+def _days() -> tuple[dict[tuple[bool, int], list[int]], dict[int, int]]:
+    """The days of each class in order, and each day's place in its class."""
+    classes: dict[tuple[bool, int], list[int]] = {}
+    place = {}
+    for o in range(FIRST_DAY, LAST_DAY + 1):
+        days = classes.setdefault(_day_class(o), [])
+        place[o] = len(days)
+        days.append(o)
+    return classes, place
+
+
 def _date(m: re.Match) -> tuple[dt.date, bool, bool] | None:
     """The date, whether the year leads, and whether the day leads the month (as in 31/12; only where it must)."""
     if m[1]:
@@ -135,8 +156,8 @@ class Pseudonyms:
         if kind == "card":
             if not 13 <= len(digits) <= 19 or luhn(digits[:-1]) != int(digits[-1]) or not digits.strip("0"):
                 return None
-            size = 10 ** (len(digits) - 1)
-            body = str(self._net(kind, size).permute(int(digits[:-1]), back, lambda x: x > 0)).zfill(len(digits) - 1)
+            size = 10 ** (len(digits) - 2)
+            body = digits[0] + str(self._net(kind, size).permute(int(digits[1:-1]), back, lambda x: x > 0 or digits[0] != "0")).zfill(len(digits) - 2)
             return _fill(s, body + str(luhn(body)))
         if kind == "ssn":
             return _fill(s, str(self._net(kind, 10**9).permute(int(digits), back, _ssn_ok)).zfill(9)) if _ssn_ok(int(digits)) else None
@@ -152,27 +173,19 @@ class Pseudonyms:
             code = re.match(r"\+\d{1,3}(?=\D)", s)
             lead = code.end() if code else 0
             local = re.sub(r"\D", "", s[lead:])
-            return s[:lead] + _fill(s[lead:], str(self._net(kind, 10 ** len(local)).permute(int(local), back)).zfill(len(local)))
+            planned = len(local) == 10 and (not lead or s[:lead] == "+1")
+            plan = lambda x: not planned or ((d := str(x).zfill(10))[0] > "1", d[3] > "1") == (local[0] > "1", local[3] > "1")
+            return s[:lead] + _fill(s[lead:], str(self._net(kind, 10 ** len(local)).permute(int(local), back, plan)).zfill(len(local)))
         found = _date(m)
         if not found:
             return None
         day, year_first, day_first = found
-        style = f"date{year_first}{day_first}{len(m[3] or m[5])}{len(m[4] or m[7])}"
-        wide = [len(m[3] or m[5]), len(m[4] or m[7])]
-
-        def written(ordinal: int) -> str:
-            d = dt.date.fromordinal(ordinal)
-            a, b = (d.day, d.month) if day_first else (d.month, d.day)
-            a, b = (f"{v:0{w if w == 2 else 1}d}" for v, w in zip((a, b), wide, strict=True))
-            sep = m[2] or m[6]
-            return sep.join((f"{d.year:04d}", a, b) if year_first else (a, b, f"{d.year:04d}"))
-
-        def same_style(x: int) -> bool:
-            again = next(p for k, p in _PARTS if k == "date").fullmatch(written(FIRST_DAY + x))
-            got = _date(again) if again else None
-            return bool(got) and got[1:] == (year_first, day_first) and [len(again[3] or again[5]), len(again[4] or again[7])] == wide
-
-        return written(FIRST_DAY + self._net(style, LAST_DAY - FIRST_DAY + 1).permute(day.toordinal() - FIRST_DAY, back, same_style))
+        classes, place = _days()
+        days = classes[_day_class(day.toordinal())]
+        new = dt.date.fromordinal(days[self._net(f"date{_day_class(day.toordinal())}", len(days)).permute(place[day.toordinal()], back)])
+        a, b = (new.day, new.month) if day_first else (new.month, new.day)
+        a, b = (f"{v:0{len(w)}d}" for v, w in ((a, m[3] or m[5]), (b, m[4] or m[7])))
+        return (m[2] or m[6]).join((f"{new.year:04d}", a, b) if year_first else (a, b, f"{new.year:04d}"))
 
     def _iban(self, s: str, back: bool) -> str | None:
         flat = s.replace(" ", "")
