@@ -43,6 +43,9 @@ TEMPLATES = [
 ]
 _SALT = mixed(np.arange(1, HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
+#: Templates are held by every task.
+MOST_TEMPLATES = 20_000
+
 
 class Templates:
     """Shingles, lengths and anchors of the templates, by size of shingle."""
@@ -65,7 +68,13 @@ class Templates:
             m = 1 << max(3, (len(h) - 1).bit_length())
             self.rows.append({"name": name, "k": k, "words": len(h), "m": m, "shingles": shingles, "anchor": anchor})
         self.ks = sorted({r["k"] for r in self.rows})
-        self.anchors = {k: np.unique(np.concatenate([r["anchor"] for r in self.rows if r["k"] == k])) for k in self.ks}
+        self.anchors, self.holders = {}, {}
+        for k in self.ks:  # which templates an anchor retrieves: a text is compared with those only
+            mine = [r for r in self.rows if r["k"] == k]
+            anchor = np.concatenate([r["anchor"] for r in mine])
+            holder = np.repeat(np.arange(len(mine)), [len(r["anchor"]) for r in mine])
+            order = np.argsort(anchor, kind="stable")
+            self.anchors[k], self.holders[k] = anchor[order], [mine[i] for i in holder[order]]
 
 
 def _scan(t: Templates, hashes: np.ndarray) -> list[dict]:
@@ -73,10 +82,9 @@ def _scan(t: Templates, hashes: np.ndarray) -> list[dict]:
     found = []
     for k in t.ks:
         s = window_hash(hashes, k)
-        at = np.flatnonzero(np.isin(s, t.anchors[k]))
-        if not len(at):
-            continue
-        for r in (r for r in t.rows if r["k"] == k):
+        low, high = np.searchsorted(t.anchors[k], s), np.searchsorted(t.anchors[k], s, "right")
+        at = np.flatnonzero(high > low)
+        for r in {id(r): r for i in at for r in t.holders[k][low[i] : high[i]]}.values():
             mine = at[np.isin(s[at], r["anchor"])]
             best = None
             for start in np.unique(np.concatenate([mine // r["m"], mine // r["m"] - 1])) * r["m"]:
@@ -95,8 +103,16 @@ def _scan(t: Templates, hashes: np.ndarray) -> list[dict]:
     return sorted(found, key=lambda x: (x["start"], x["license"]))
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """docs' columns, then licenses: each template found, its containment and the words it spans, in order of place."""
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES) -> DataFrame:
+    """docs' columns, then licenses: each template found, its containment and the words it spans, in order of place.
+
+    templates: (name, text) pairs, or a table with columns name and text of MOST_TEMPLATES rows at most (a larger one is refused).
+    """
+    if isinstance(templates, DataFrame):
+        rows = templates.select("name", "text").where("name is not null and text is not null").distinct().orderBy("name", "text").limit(MOST_TEMPLATES + 1).collect()
+        if len(rows) > MOST_TEMPLATES:
+            raise ValueError(f"more than {MOST_TEMPLATES} templates")
+        templates = [(r["name"], r["text"]) for r in rows]
     kept = [f for f in docs.schema if f.name.lower() != "licenses"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [ADDED])
 
