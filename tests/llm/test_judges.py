@@ -1,7 +1,9 @@
 """Toxicity, PII, license scans and the pipeline."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -102,6 +104,50 @@ def test_values_in_a_row_are_all_found():
         assert kinds == want and NAMES.restore(new) == text and (new == text) == (not want), text
 
 
+def test_a_day_is_linked_across_styles():
+    for day in (__import__("datetime").date(2021, 3, 4), __import__("datetime").date(1999, 12, 31), __import__("datetime").date(2024, 10, 11)):
+        new = {NAMES.pseudonym(day.strftime("%Y-%m-%d"))}
+        y, m, d = new.copy().pop().split("-")
+        assert NAMES.pseudonym(day.strftime("%d.%m.%Y")) == f"{d}.{m}.{y}" and NAMES.pseudonym(day.strftime("%m/%d/%Y")) == f"{m}/{d}/{y}"
+        assert NAMES.pseudonym(f"{day.year}-{day.month}-{day.day}") == f"{y}-{int(m)}-{int(d)}" and NAMES.restore(f"{y}-{int(m)}-{int(d)}") == f"{day.year}-{day.month}-{day.day}"
+
+
+def test_formats_keep_their_plans():
+    for i in range(40):
+        card = f"4{i:014d}"
+        assert NAMES.pseudonym(card + str(pii.luhn(card)))[0] == "4"
+        phone = NAMES.pseudonym(f"(212) 555-{i:04d}")
+        assert phone[1] > "1" and phone[6] > "1" and NAMES.restore(phone) == f"(212) 555-{i:04d}"
+
+
+def _value(rng):
+    kind = rng.choice(["card", "date", "ipv4", "ssn", "email"])
+    if kind == "card":
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        card = body + str(pii.luhn(body))
+        sep = rng.choice([" ", "-", ""])
+        return kind, sep.join(card[i : i + 4] for i in range(0, 16, 4))
+    if kind == "date":
+        y, m, d = rng.randint(1900, 2099), rng.randint(1, 12), rng.randint(1, 28)
+        return kind, rng.choice([f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{m}/{d}/{y}"])
+    if kind == "ipv4":
+        return kind, ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "ssn":
+        return kind, f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+    return kind, f"u{rng.randint(0, 999)}.x@h{rng.randint(0, 9)}.example.org"
+
+
+def test_rows_of_values_are_all_found():
+    """The finder that this is held against knows the values, as it has made them."""
+    rng = random.Random(11)
+    for _ in range(1500):
+        values = [_value(rng) for _ in range(rng.randint(1, 9))]
+        text = "".join(v + rng.choice([" ", ", ", "; ", "\n", " | ", " and ", ") ("]) for _, v in values)
+        new, kinds = NAMES.apply(text)
+        assert kinds == [k for k, _ in values], text
+        assert NAMES.restore(new) == text and not any(v in new for k, v in values if k != "email" or len(v) > 12)
+
+
 def test_permutation_of_a_small_domain():
     net = pii.Feistel(b"k", "test", 1000)
     assert sorted(net.permute(x) for x in range(1000)) == list(range(1000)) and all(net.permute(net.permute(x), back=True) == x for x in range(1000))
@@ -126,8 +172,6 @@ def test_pii_on_awkward_rows(spark, awkward, empty):
 
 def _contained(text, templates):
     """License shares by brute force over all windows of a template's own length and twice that."""
-    import re
-
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     out = set()
     for name, t in templates:
@@ -151,8 +195,18 @@ def test_licenses(spark, awkward, empty):
         texts.append(" ".join(["word"] * rng.randint(0, 70) + w + ["tail"] * rng.randint(0, 9)).upper())
     texts += ["Released under some License", "MIT", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in licenses.scan_licenses(df).collect():
+    table = spark.createDataFrame(licenses.TEMPLATES, "name string, text string")
+    both = [{r.doc_id: r for r in licenses.scan_licenses(df, x).collect()} for x in (licenses.TEMPLATES, table)]
+    assert both[0] == both[1]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    for r in both[0].values():
         assert {x.license for x in r.licenses} == _contained(r.text, licenses.TEMPLATES), r.doc_id
+        for x in r.licenses:
+            want = words(dict(licenses.TEMPLATES)[x.license])
+            k = min(licenses.SHINGLE, len(want))
+            grams = lambda w: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}  # noqa: E731, B023
+            span = words(r.text)[x.start : x.end]
+            assert x.containment == len(grams(span) & grams(want)) / len(grams(want)) and tuple(span[:k]) in grams(want) and tuple(span[-k:]) in grams(want)
     assert licenses.scan_licenses(awkward).where("size(licenses) > 0").count() == 0
     assert licenses.scan_licenses(empty).count() == 0
 
@@ -166,6 +220,105 @@ def test_short_templates_are_found_wherever_they_stand():
         assert found == [{"license": "x", "containment": 1.0, "start": len(before), "end": len(before) + 5}], i
 
 
+def _plain_tree(x, y, depth, rate, least, raw):
+    """One boosting step by trying every split of every feature, on binned values: leaf values of all rows."""
+    p = 1 / (1 + np.exp(-raw))
+    g, h = p - y, np.maximum(p * (1 - p), 1e-9)
+    out = np.zeros(len(y))
+
+    def grow(rows, level):
+        gs, hs = g[rows].sum(), h[rows].sum()
+        out[rows] = -rate * gs / (hs + 1)
+        if level == depth or len(rows) < least:
+            return
+        best = (1e-3, None)
+        for j in range(x.shape[1]):
+            for cut in range(toxicity.BINS):
+                left = rows[x[rows, j] <= cut]
+                gl, hl = g[left].sum(), h[left].sum()
+                gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+                if hl >= 0.5 and hs - hl >= 0.5 and gain > best[0] + 1e-12:
+                    best = (gain, (j, cut))
+        if best[1]:
+            j, cut = best[1]
+            grow(rows[x[rows, j] <= cut], level + 1)
+            grow(rows[x[rows, j] > cut], level + 1)
+
+    grow(np.arange(len(y)), 0)
+    return out
+
+
+def test_trees_as_by_trying_every_split(monkeypatch):
+    monkeypatch.setattr(toxicity, "TREES", 3)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(scale=0.3, size=150) > 0.4).astype(float)
+    t = toxicity.Trees(x, y)
+    raw = np.full(150, t.base)
+    for _ in range(3):
+        raw = raw + _plain_tree(t.binned(x), y, toxicity.DEPTH, toxicity.RATE, 8, raw)
+    assert np.allclose(t.raw(x), raw)
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 1)), min_size=1, max_size=40))
+@settings(deadline=None, max_examples=200)
+def test_isotonic_as_by_least_of_greatest_means(rows):
+    f, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+    order = np.argsort(f, kind="stable")
+    f, y = f[order], y[order]
+    n = len(y)
+    fit = [max(min(y[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    knots, values = toxicity.isotonic(f, y)
+    blocks = [[i for i in range(n) if abs(fit[i] - v) < 1e-9] for v in sorted({round(v, 9) for v in fit})]
+    assert np.allclose(knots, [f[b].mean() for b in blocks]) and np.allclose(values, [(y[b].sum() + 0.05) / (len(b) + 0.1) for b in blocks])
+
+
+def test_pipeline_documents_by_brute_force(spark, awkward, tmp_path):
+    import corpus_pipeline
+
+    from .test_search import _components, _hits
+
+    stages, d = dict(corpus_pipeline.STAGES), str(tmp_path)
+    docs = awkward.where("doc_id is not null").dropDuplicates(["doc_id"])
+    spark.createDataFrame([(15, 0), (21, 0), (60, 1), (33, 1)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    bench = docs.where("doc_id = 24").first().text[30:120]
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows = lambda df: {r.doc_id: r.text for r in df.collect()}
+    before = rows(docs)
+    model = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert rows(stages["toxicity"](spark, docs, d)) == {i: t for i, t in before.items() if scores[i] < 0.5}
+    least = {i for i, _, c in _components(sorted(before.items()), 5, "0.8") if i == c}
+    assert rows(stages["ngram_jaccard_join"](spark, docs, d)) == {i: t for i, t in before.items() if i in least}
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bench.translate({c: c + 32 for c in range(65, 91)}))
+    item = [("1", {tuple(words[a : a + 10]) for a in range(max(1, len(words) - 9))})]
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut, some = rows(stages["benchmark_decontamination"](spark, docs, d)), 0
+    for i, t in before.items():
+        _, hit, _ = _hits(t, item, 10)
+        some += bool(hit)
+        kept = [w for j, w in enumerate(pattern.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))) if j not in set(hit)]
+        assert cut[i] == t if not hit else pattern.findall(cut[i].translate({c: c + 32 for c in range(65, 91)})) == kept
+    assert some > 0
+    from stratagraph.llm import mixing
+
+    want = Counter({r.doc_id: r.repetitions for r in mixing.plan_mix(docs).collect() if r.repetitions})
+    mixed = stages["source_mixing"](spark, docs, d)
+    assert Counter(r.doc_id for r in mixed.collect()) == want
+    placed = stages["sharding"](spark, mixed, d).collect()
+    assert Counter(r.doc_id for r in placed) == want and len({(r["shard"], r.slot) for r in placed}) == sum(want.values())
+
+
+def test_pipeline_of_nothing(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    docs, d = empty.select("doc_id", "text", "lang", "source", "n_chars"), str(tmp_path)
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
+
+
 def test_pipeline_stages(spark, awkward, tmp_path):
     import corpus_pipeline
 
