@@ -12,10 +12,23 @@ def path_ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
+def folder(path: str) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
 def import_rollup(imports: DataFrame) -> DataFrame:
-    """directory, module, import_count, observations: imports (path, module, observation_id) counted once a file and module for every directory above."""
-    up = imports.withColumn("directory", F.explode(path_ancestors(F.col("path"))))
-    return up.groupBy("directory", "module").agg(F.count_distinct("path").alias("import_count"), F.array_sort(F.collect_set("observation_id")).alias("observations"))
+    """directory, module, import_count: imports (path, module, observation_id) counted once a file and module for every directory above.
+
+    Files are counted in their own directory first; what travels up is one row a directory and module.
+    """
+    own = imports.groupBy(folder("path").alias("own"), "module").agg(F.count_distinct("path").alias("n"))
+    inside = F.when(F.col("own") == "", F.lit("x")).otherwise(F.concat("own", F.lit("/x")))
+    return own.select("module", "n", F.explode(path_ancestors(inside)).alias("directory")).groupBy("directory", "module").agg(F.sum("n").alias("import_count"))
+
+
+def rollup_provenance(imports: DataFrame) -> DataFrame:
+    """directory, module, observation_id: what supports each row of the rollup, as rows of a bridge and not as lists."""
+    return imports.select(F.explode(path_ancestors(F.col("path"))).alias("directory"), "module", "observation_id").distinct()
 
 
 def stale(current: DataFrame, asserted: DataFrame, key: list[str]) -> DataFrame:

@@ -113,6 +113,11 @@ def role_disagreements(named: DataFrame, roles: DataFrame) -> DataFrame:
     return j.where(~F.array_contains(F.try_element_at(expected, F.col("named")), F.col("structural"))).select("node", "named", "structural")
 
 
+def by_label(c: Column) -> Column:
+    """How lists order labels: by letters as a reader does, whatever their case; ties are the caller's to break."""
+    return F.collate(c, "UNICODE_CI")
+
+
 def label_search(nodes: DataFrame, query: str, limit: int) -> DataFrame:
     """The first `limit` nodes (node, label) by node whose label contains the trimmed query, whatever its case; the cut comes before callers
     sort by label. A blank query finds nothing."""

@@ -59,6 +59,14 @@ def upsert_repository(tables: Tables, rows: DataFrame) -> Tables:
     return replace(tables, repositories=kept.unionByName(rows.groupBy("repo").agg(F.max("display_name").alias("display_name"))))
 
 
+def record_snapshot(files: DataFrame, snapshots: DataFrame, snapshot_files: DataFrame, repo: str, snapshot_id: int) -> tuple[DataFrame, DataFrame]:
+    """snapshots (repo, snapshot_id) and snapshot_files (snapshot_id, path, blob_hash, size) with a manifest (path, blob_hash, size) appended."""
+    spark = files.sparkSession
+    one = spark.createDataFrame([(repo, snapshot_id)], "repo string, snapshot_id long")
+    rows = files.select(F.lit(snapshot_id).cast("long").alias("snapshot_id"), "path", "blob_hash", "size")
+    return snapshots.unionByName(one), snapshot_files.unionByName(rows)
+
+
 def record_observations(tables: Tables, rows: DataFrame) -> tuple[Tables, DataFrame]:
     """Observations (path, kind, payload) appended; their ids are hashes of what they say, so the same observation has one id wherever it is made."""
     new = rows.withColumn("id", F.xxhash64("path", "kind", "payload"))

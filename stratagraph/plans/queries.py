@@ -90,7 +90,7 @@ def edge_commit(t: Tables) -> DataFrame:
     return after.select("source_id", "target_id", "kind", "valid_from", "valid_to")
 
 
-@query("SELECT l_partkey AS fact_id, list_sort(list(DISTINCT l_orderkey)) AS observations FROM lineitem GROUP BY l_partkey")
+@query("SELECT DISTINCT l_partkey AS fact_id, l_orderkey AS observation_id FROM lineitem")
 def provenance_why(t: Tables) -> DataFrame:
     links = t.lineitem.select(F.lit("relationship").alias("fact_kind"), F.col("l_partkey").alias("fact_id"), F.col("l_orderkey").alias("observation_id"))
     return temporal.why(temporal.link_provenance(links, links), "relationship")
@@ -155,7 +155,7 @@ def missing_vectors(t: Tables) -> DataFrame:
     return manifest.missing(t.documents.select("doc_id"), t.embeddings.where("label <> 0").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
-@query(f"{with_('files')} SELECT blob_hash, list_sort(list(DISTINCT path)) AS paths FROM files GROUP BY blob_hash")
+@query(f"{with_('files')} SELECT DISTINCT blob_hash, path FROM files")
 def blob_paths(t: Tables) -> DataFrame:
     return manifest.paths_of_blobs(files(t))
 
@@ -173,11 +173,16 @@ def verify_symdiff(t: Tables) -> DataFrame:
 _UP = "up AS (SELECT i.*, d AS directory FROM (SELECT *, string_split(path, '/') AS p FROM imports) i, LATERAL (SELECT unnest(list_transform(range(len(p)), lambda n: array_to_string(list_slice(p, 1, n), '/'))) AS d))"
 
 
-@query(f"{with_('imports')}, {_UP} SELECT directory, module, count(DISTINCT path) AS import_count, list_sort(list(DISTINCT observation_id)) AS observations FROM up GROUP BY directory, module")
+@query(f"{with_('imports')}, {_UP} SELECT directory, module, count(DISTINCT path) AS import_count FROM up GROUP BY directory, module")
 def import_rollup(t: Tables) -> DataFrame:
     return derive.import_rollup(imports(t))
 
 
+@query(f"{with_('imports')}, {_UP} SELECT DISTINCT directory, module, observation_id FROM up")
+def rollup_provenance(t: Tables) -> DataFrame:
+    return derive.rollup_provenance(imports(t))
+
+
 @query(f"""{with_('imports')}, {_UP}, r AS (SELECT directory, module, count(DISTINCT path) AS import_count FROM up GROUP BY 1, 2), s AS (SELECT directory, module, count(DISTINCT path) AS import_count FROM up WHERE observation_id % 3 <> 0 GROUP BY 1, 2)
 SELECT * FROM r EXCEPT SELECT * FROM s""")
 def rollup_stale(t: Tables) -> DataFrame:

@@ -144,6 +144,16 @@ def prior_decisions(t: Tables) -> DataFrame:
     return documents.decisions_about(d, "Ershan of thble").select("id")
 
 
+@query("""WITH o AS (SELECT 'u' || l_partkey AS usr, 'n' || l_partkey AS name, 'f' || l_suppkey % 20 || '.swift' AS path, l_orderkey AS line, l_linenumber AS c, CASE l_linenumber WHEN 1 THEN 'definition' WHEN 2 THEN 'call' ELSE 'reference' END AS role FROM lineitem),
+n AS (SELECT DISTINCT name FROM o ORDER BY name LIMIT 100), d AS (SELECT usr, arg_min(path, (path, line)) AS path, arg_min(line, (path, line)) AS line FROM o WHERE role = 'definition' AND name IN (SELECT name FROM n) GROUP BY usr)
+SELECT o.path AS from_path, d.path AS to_path, o.usr, o.line, d.line AS def_line, role = 'call' AS is_call FROM o JOIN d ON o.usr = d.usr WHERE role <> 'definition' AND o.path <> d.path""")
+def compiler_references(t: Tables) -> DataFrame:
+    role = F.when(F.col("l_linenumber") == 1, "definition").when(F.col("l_linenumber") == 2, "call").otherwise("reference")
+    o = t.lineitem.select(F.concat(F.lit("u"), "l_partkey").alias("usr"), F.concat(F.lit("n"), "l_partkey").alias("name"), F.concat(F.lit("f"), F.col("l_suppkey") % 20, F.lit(".swift")).alias("path"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("column"), role.alias("role"))
+    built = o.withColumn("path", F.concat(F.lit(".build/"), "path"))
+    return readers.compiler_references(o.unionByName(built), 100).select("from_path", "to_path", "usr", "line", "def_line", "is_call")
+
+
 _LEDGER = "(SELECT c_nationkey AS repo, o_orderdate AS date, o_totalprice AS cost, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 

@@ -42,12 +42,11 @@ def status(summary: DataFrame, embedder: str | None = None) -> DataFrame:
     return page(summary, [F.col("repo")], line, CEILINGS["status"], f"embedder: {embedder or 'none, semantic search is not available'}")
 
 
-def factory_audit(files: DataFrame, expectations: DataFrame, markers: list[str], asked: int | None = None) -> DataFrame:
-    """A line an expectation; the header says whether the factory is operational: three real sets at least and no first-run marker left."""
-    found = readers.factory_audit(files, expectations, markers)
-    n = found.agg(F.count_if(F.col("state") == "real").alias("real"), F.count_if(F.col("marker") == "FIRST_RUN").alias("first")).first()
-    header = "operational" if n.real >= 3 and not n.first else "not operational"
-    return page(found, [F.col("position")], F.concat_ws("  ", "state", "path", F.concat(F.lit("marker: "), "marker")), allowed("factory_audit", asked), header)
+def factory_audit(files: DataFrame, asked: int | None = None) -> DataFrame:
+    """A line an expectation of a project's files (path, text); the header says whether its factory is operational."""
+    found, verdict = readers.project_audit(files)
+    header = "operational" if verdict.first()["operational"] else "not operational"
+    return page(found, [F.col("position")], F.concat_ws("  ", "state", "path", F.concat(F.lit("marker: "), "marker"), "purpose"), allowed("factory_audit", asked), header)
 
 
 def prior_decisions(decisions: DataFrame, topic: str | None = None, asked: int | None = None) -> DataFrame:

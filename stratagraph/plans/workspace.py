@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import derive, manifest, resolve, temporal
+from .. import model
+from ..functions import text as T
+from ..operators import derive, graph, index, manifest, resolve, search, temporal
 from ..sources import parsers, readers
 
 MANIFEST = "repo string, path string, blob_hash string, size long"
+REGISTERED = "repo string, folder string, n long"
 FACTS = "stable_key string, state string, valid_from long, valid_to long"
 
 
@@ -64,6 +67,7 @@ class Workspace:
         without files too. Each attempt writes a folder of its own, so one that failed is simply left behind and index() can run again.
         """
         files = readers.source_tree(self.spark, folder)
+        readers.put_blobs(files, f"{self.root}/blobs")
         last, _ = self._head()
         manifests = self.table("manifest", MANIFEST)
         old = manifests.where(F.col("repo") == repo)
@@ -87,6 +91,22 @@ class Workspace:
         self.spark.range(1).select(F.lit(f"{r} {at}").alias("value")).coalesce(1).write.mode("append").text(f"{self.root}/pointer")
         return r
 
+    def register(self, repo: str, folder: str) -> None:
+        """Name a repository's folder; the newest name counts."""
+        rows = self._stored("repositories")
+        n = 0 if rows is None else rows.count()
+        self.spark.createDataFrame([(repo, folder, n)], REGISTERED).coalesce(1).write.mode("append").parquet(f"{self.root}/repositories")
+
+    def registered(self) -> DataFrame:
+        """repo, folder of the registered repositories."""
+        rows = self._stored("repositories")
+        rows = self.spark.createDataFrame([], REGISTERED) if rows is None else rows
+        return rows.groupBy("repo").agg(F.max_by("folder", "n").alias("folder"))
+
+    def versions(self) -> DataFrame:
+        """All versions of all facts."""
+        return self.table("facts", f"repo string, {FACTS}")
+
     def facts(self, revision: int | None = None) -> DataFrame:
         return temporal.as_of(self.table("facts", f"repo string, {FACTS}"), revision)
 
@@ -95,8 +115,66 @@ class Workspace:
         line = F.concat_ws("=", "stable_key", "state").alias("fact")
         return manifest.verify(self._facts(repo, readers.source_tree(self.spark, folder)).select(line), self.facts().where(F.col("repo") == repo).select(line))
 
+    # ---- what was indexed, as the tables that lookups, tools and search read
+
+    def files(self, repo: str | None = None) -> DataFrame:
+        """repo, path, blob_hash, text of the current manifest."""
+        m = self.table("manifest", MANIFEST)
+        m = m if repo is None else m.where(F.col("repo") == repo)
+        return m.join(self.contents(), "blob_hash", "left").select("repo", "path", "blob_hash", "text")
+
+    def contents(self) -> DataFrame:
+        found = readers.get_blobs(self.spark, f"{self.root}/blobs")
+        return self.spark.createDataFrame([], "blob_hash string, text string") if found is None else found
+
+    def entities(self, revision: int | None = None) -> DataFrame:
+        """node, key, kind, name, repo, path, line, decl_path of the entities at a revision; lines are those of the newest observation."""
+        state = F.split("state", r"\|", 2)
+        e = self.facts(revision).where("state like '%|%'").select(F.xxhash64("stable_key").alias("node"), F.col("stable_key").alias("key"), state[0].alias("kind"), state[1].alias("name"), "repo")
+        inner = F.expr("substr(key, locate(concat(repo, '/'), key) + length(repo) + 1)")
+        placed = e.withColumn("path", F.when(F.col("kind").isin("file", "directory", "buildTarget", *model.DEFINITION_KINDS), F.substring_index(inner, "#", 1)))
+        placed = placed.withColumn("decl_path", F.when(F.col("kind").isin(*model.DEFINITION_KINDS), F.expr("substr(key, locate('#', key) + 1)")))
+        seen = self.table("observations", f"repo string, {parsers.OBSERVATIONS}").where("kind = 'declaration'").groupBy("repo", "path", "decl_path").agg(F.min("start").alias("line"))
+        return placed.join(seen, ["repo", "path", "decl_path"], "left").select("node", "key", "kind", "name", "repo", "path", "line", "decl_path")
+
+    def edges(self, revision: int | None = None) -> DataFrame:
+        """id, kind, src, dst, refs, calls of the edges at a revision (references of the compiler have numbers, others have none)."""
+        ends = F.split("stable_key", r"\|")
+        return self.facts(revision).where("state = 'edge'").select(F.xxhash64("stable_key").alias("id"), ends[0].alias("kind"), F.xxhash64(ends[1]).alias("src"), F.xxhash64(ends[2]).alias("dst"), F.lit(None).cast("int").alias("refs"), F.lit(None).cast("int").alias("calls"))
+
+    def ranks(self, repo: str, focus: list[str] | None = None) -> DataFrame:
+        """path, rank of a repository's files by PageRank over references, imports and builds between them, drawn to the files of the focus names."""
+        files = self.entities().where((F.col("repo") == repo) & (F.col("kind") == "file")).select("node", "path")
+        weight = F.when(F.col("kind") == "references", F.coalesce("refs", F.lit(1))).when(F.col("kind") == "builds", 2).otherwise(1)
+        e = graph.edges_among(self.edges().where("kind in ('references', 'imports', 'builds')").select("src", "dst", weight.cast("double").alias("weight")), files)
+        seeds = None
+        for name in focus or []:
+            found = search.name_search(self.entities().where(F.col("repo") == repo), name, 3, list(model.DEFINITION_KINDS)).select("path").join(files, "path").select("node")
+            seeds = found if seeds is None else seeds.unionByName(found)
+        return files.join(graph.pagerank(files, graph.settled(e), seeds=seeds), "node").select("path", "rank")
+
+    def build_index(self) -> None:
+        """Windows and postings of contents that the index does not hold; a run that failed between the two is made good by the next."""
+        windows, posts = self._stored("windows"), self._stored("postings")
+        none = self.spark.createDataFrame([], "blob_hash string")
+        index.new_windows(self.contents(), none if windows is None else windows).write.mode("append").parquet(f"{self.root}/windows")
+        windows = self._stored("windows").dropDuplicates(["blob_hash", "ordinal"])
+        new = windows if posts is None else windows.join(posts.select("blob_hash").distinct(), "blob_hash", "left_anti")
+        index.postings(new).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.root}/postings")
+
+    def _stored(self, name: str) -> DataFrame | None:
+        p, fs = self._fs(f"{self.root}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{name}") if fs.exists(p) else None
+
+    def search(self, query: str, limit: int = 10, repo: str | None = None, prefix: str | None = None) -> DataFrame:
+        """Lexical hits of a query over the current files."""
+        terms = self.spark.range(1).select(F.explode(T.query_terms(F.lit(query))).alias("t")).toPandas()["t"].tolist()
+        windows, posts = self._stored("windows").dropDuplicates(["blob_hash", "ordinal"]), self._stored("postings")
+        return index.lexical(windows, posts.dropDuplicates(["term", "blob_hash", "ordinal"]), index.window_stats(windows), self.files().select("repo", "path", "blob_hash"), terms or [""], limit, repo, prefix)
+
     def status(self) -> DataFrame:
-        """repo, files, declarations, modules: counts of the current facts."""
+        """repo, files, declarations, modules, compiled (whether compiled references are there): counts of the current facts."""
         kind = F.substring_index("state", "|", 1)
-        f = self.facts().where("state <> 'edge'")
-        return f.groupBy("repo").agg(F.count_if(kind == "file").alias("files"), F.count_if(kind.isin("type", "interface", "enumeration", "function", "variable")).alias("declarations"), F.count_if(kind == "module").alias("modules"))
+        f = self.facts()
+        compiled = F.max((F.col("state") == "edge") & F.col("stable_key").startswith("refersToSymbol|"))
+        return f.groupBy("repo").agg(F.count_if(kind == "file").alias("files"), F.count_if(kind.isin(*model.DEFINITION_KINDS)).alias("declarations"), F.count_if(kind == "module").alias("modules"), compiled.alias("compiled"))

@@ -58,6 +58,76 @@ def ledger(cells: DataFrame) -> DataFrame:
     return cells.select(c(0).alias("commit"), c(1).alias("date"), c(2).alias("model"), *[number(i + 3, "bigint").alias(n) for i, n in enumerate(names)], number(7, "double").alias("cost"), F.array_join(F.slice("cells", 9, 1 << 20), " | ").alias("summary"))
 
 
+# What a project's factory is made of, each in every layout that counts, and text that only an unadapted template has.
+EXPECTATIONS = [
+    (["MISSION.md", "agents/MISSION.md"], "the charter and its invariants"),
+    (["AGENTS.md", "CLAUDE.md", "agents/AGENTS.md"], "rules for coding agents"),
+    (["FACTORY.md", "agents/FACTORY.md"], "how it is built and tested"),
+    (["PROGRESS.md"], "work in flight"),
+    (["DECISIONS.md"], "what was decided and what was refused"),
+    (["METRICS.md"], "one row a shipped order"),
+    (["ROADMAP.md", "docs/milestones.md"], "where it goes, in sized steps"),
+    (["SECURITY.md"], "threats, and what it may reach outside"),
+    (["docs/dark-factory.md", "agents/dark-factory.md"], "the pattern and its autonomy"),
+    (["docs/converge.md", "agents/converge.md", ".claude/commands/converge.md"], "how one order ships"),
+    (["wiki/README.md", "docs/wiki/home.md"], "where research is kept"),
+    ([".github/workflows/pages.yml"], "publishes the wiki"),
+    (["FIRST_RUN.md"], "adaptation is not finished: fill the stubs, then delete it"),
+]
+MARKERS = ["{{REPO_NAME}}", "> FIRST RUN:", "[invariant]", "[non-goal]", "[first milestone]", "[One paragraph:", "(example — delete on first run)"]
+#: The last expectation is the other way round: a file that is there is a stub, one that is not is no gap.
+FIRST_RUN = len(EXPECTATIONS) - 1
+LOAD_BEARING = 3
+
+
+def expectations(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, paths, why) for i, (paths, why) in enumerate(EXPECTATIONS)], "position int, alternates array<string>, purpose string")
+
+
+def project_audit(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components, verdict) of a project's files (path, text): position, path, state, marker, purpose of each expectation, and one row (operational):
+    the load-bearing documents are real and no first-run file is left."""
+    wanted = expectations(files.sparkSession)
+    found = factory_audit(files, wanted, MARKERS).join(wanted.select("position", "purpose"), "position")
+    first = F.col("position") == FIRST_RUN
+    found = found.where(~first | (F.col("state") != "missing")).withColumn("state", F.when(first, "stub").otherwise(F.col("state")))
+    found = found.withColumn("marker", F.when((F.col("state") == "stub") & F.col("marker").isNull() & ~first, "unreadable").when(~first, F.col("marker")))
+    verdict = found.agg(((F.count_if((F.col("position") < LOAD_BEARING) & (F.col("state") == "real")) == LOAD_BEARING) & (F.count_if(first) == 0)).alias("operational"))
+    return found, verdict
+
+
+MOST_NAMES = 50_000
+
+
+def compiler_references(occurrences: DataFrame, most: int = MOST_NAMES) -> DataFrame:
+    """from_path, to_path, usr, name, line, column, def_line, is_call: references across files of exported occurrences (usr, name, path, line, column,
+    role: definition, reference or call).
+
+    Symbols of the first `most` names in order count (the source's own bound); a symbol is defined where it is defined first by path and line; build
+    products (.build/) are left out.
+    """
+    rows = occurrences.where(~F.col("path").startswith(".build/"))
+    names = rows.select("name").distinct().orderBy("name").limit(most)
+    defined = rows.where("role = 'definition'").join(F.broadcast(names), "name", "left_semi").groupBy("usr").agg(F.min_by(F.struct("name", "path", "line"), F.struct("path", "line")).alias("d"))  # `most` names
+    used = rows.where("role in ('reference', 'call')").select("usr", F.col("path").alias("from_path"), "line", "column", (F.col("role") == "call").alias("is_call"))
+    return used.join(defined, "usr").where("from_path <> d.path").select("from_path", F.col("d.path").alias("to_path"), "usr", F.col("d.name").alias("name"), "line", "column", F.col("d.line").alias("def_line"), "is_call")
+
+
+def put_blobs(files: DataFrame, folder: str) -> None:
+    """Append contents (blob_hash, text) that a content-addressed folder does not hold yet; writing the same twice does no harm."""
+    spark = files.sparkSession
+    new = blobs(files.where("text is not null")).select("blob_hash", "text")
+    known = get_blobs(spark, folder)
+    (new if known is None else new.join(known.select("blob_hash"), "blob_hash", "left_anti")).write.mode("append").parquet(folder)
+
+
+def get_blobs(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Contents of the folder, each once; None before the first."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.schema("blob_hash string, text string").parquet(folder).dropDuplicates(["blob_hash"]) if fs.exists(p) else None
+
+
 def factory_audit(files: DataFrame, expectations: DataFrame, markers: list[str]) -> DataFrame:
     """position, path, state (real, stub, missing), marker: of each expectation (position, alternates) the first alternate that is there.
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stratagraph import cli
 from stratagraph.operators import graph, index, lookups, scenes, store
 from stratagraph.plans import generator, tools
 from stratagraph.plans.workspace import Workspace
@@ -133,8 +134,11 @@ def test_tools_keep_their_budgets(spark):
     assert text(tools.status(_rows(spark, [("r", 3, 4, True)], "repo string, files long, declarations long, compiled boolean")))[1] == "r: 3 files, 4 declarations, references: compiler"
     d = _rows(spark, [("D1", "2024-01-02", "keep alpha", "accepted", "", None), ("D2", "2025-01-01", "drop", "refused", "alpha", "why\nnot")], "id string, date string, summary string, status string, evidence string, detail string")
     assert text(tools.prior_decisions(d, "Alpha of")) == ["D2  2025-01-01  [refused]  drop\n    why\n    not", "D1  2024-01-02  [accepted]  keep alpha"]
-    audit = tools.factory_audit(_rows(spark, [("A", "x"), ("B", "x"), ("C", "x FIRST_RUN")], "path string, text string"), _rows(spark, [(i, [c]) for i, c in enumerate("ABC")], "position int, alternates array<string>"), ["FIRST_RUN"])
-    assert text(audit)[0] == "not operational"
+    charter = [("agents/MISSION.md", "x"), ("CLAUDE.md", "x"), ("FACTORY.md", "x")]
+    audit = lambda more: text(tools.factory_audit(_rows(spark, charter + more, "path string, text string")))
+    assert audit([])[0] == "operational" and not any("FIRST_RUN" in x for x in audit([]))
+    assert audit([("FIRST_RUN.md", "y")])[0] == "not operational" and audit([("FIRST_RUN.md", "y")])[-1].startswith("stub  FIRST_RUN.md")
+    assert any(x.startswith("stub  PROGRESS.md  marker: unreadable") for x in audit([("PROGRESS.md", None)])) and any("marker: [invariant]" in x for x in audit([("METRICS.md", "an [invariant]")]))
     hits = _rows(spark, [(1, "r", "a.c", 3, 0.5, "body", "lexical")], "rank int, repo string, path string, line int, score double, snippet string, resolution string")
     assert text(tools.search_page(hits, "note")) == ["note", "1. r/a.c:3  [lexical 0.5000]\nbody"]
 
@@ -209,3 +213,30 @@ def test_generated_graph(spark, tmp_path):
     assert e.count() == 2000 and sorted(e.collect()) == sorted(generator.edges(spark, 2000, 100).repartition(7).collect())
     assert 0.1 < e.where("valid_to is not null").count() / 2000 < 0.3 and generator.entities(spark, 10).count() == 10
     assert set(generator.bench(spark, f"file://{tmp_path}/b", 2000, 100)) == {"insert", "current_count", "neighborhood_now", "neighborhood_as_of", "commit"}
+
+
+def test_command_line(spark, tmp_path):
+    code = tmp_path / "src"
+    (code / "lib").mkdir(parents=True)
+    (code / "lib" / "a.py").write_text("import os\n\nclass Graph:\n    def walkEdges(self):\n        return 1\n")
+    (code / "b.py").write_text("import lib.a\n\ndef main():\n    pass\n")
+    ask = lambda *a: cli.run(spark, [f"file://{tmp_path}/ws", *a])
+    ask("register", "r", f"file://{tmp_path}/none")
+    ask("register", "r", f"file://{code}")
+    assert [__import__("json").loads(x) for x in ask("repos")] == [{"repo": "r", "folder": f"file://{code}"}]
+    assert ask("index") == ["revision 1"] == ask("index", "r")
+    assert ask("def", "walkEdges")[0].startswith("lib/a.py:4  walkEdges [function]")
+    assert [x.split("  ")[1] for x in ask("symbols", "lib/a.py")] == ["Graph [type]", "walkEdges [function]"]
+    assert ask("span", "b.py", "3", "9") == ["b.py:3-4 of 4", "    3  def main():", "    4      pass"]
+    assert ask("search", "edges")[0].startswith("1. r/lib/a.py:4  [lexical")
+    assert "unavailable" in ask("refs", "main")[0] and "unavailable" in ask("callers", "main")[0]
+    assert ask("radius", "python:decl:r/b.py#main")[0].endswith("within 2 hops") and len(ask("contains", "phys:repo:r")) == 2
+    assert any("python:module:os" in x for x in ask("deps", "phys:file:r/lib/a.py"))
+    page = ask("map", "r", "--focus", "Graph")
+    assert page[0].startswith("r — 2 files") and "lib/" in page and "  a.py  Graph:3 walkEdges:4" in page
+    assert ask("status")[1] == "r: 2 files, 3 declarations, references: syntactic" and ask("verify", "r") == []
+    (code / "c.py").write_text("def new(): pass\n")
+    assert ask("index", "r") == ["revision 2"] and ask("revisions") == ["2"] and any("c.py#new" in x for x in ask("diff", "1", "2"))
+    assert "nodes" in ask("metrics")[0]
+    with pytest.raises(lookups.UnknownRepository):
+        ask("index", "q")
