@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,22 @@ def dropped(*tables: DataFrame) -> None:
         _written.remove((t.sparkSession, t.written_to))
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within, written() tables are scratch: at the end all are deleted but those handed to the function that this gives."""
+    kept: list[str] = []
+    before = {path for _, path in _written}
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table.written_to)
+        return table
+
+    yield keep
+    for entry in [e for e in _written if e[1] not in before and e[1] not in kept]:
+        _delete(*entry)
+        _written.remove(entry)
+
+
 @atexit.register
 def drop_written() -> None:
     """Delete the tables that written() made in this process."""

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stratagraph.llm import licenses, pii, tokens, toxicity
+from stratagraph.llm import common, licenses, pii, tokens, toxicity
 
 NAMES = pii.Pseudonyms("key")
 
@@ -316,7 +316,9 @@ def test_pipeline_of_nothing(spark, empty, tmp_path):
     docs.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    held = len(common._written)
     assert corpus_pipeline.run(spark, d).count() == 0
+    assert len(common._written) <= held + 3  # the last stage's input, and what that stage wrote
 
 
 def test_pipeline_stages(spark, awkward, tmp_path):
