@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.llm import decontaminate, jaccard_join, mixing, shards, toxicity
-from stratagraph.llm.common import written
+from stratagraph.llm.common import dropped, scratch, written
 
 
 def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -63,6 +63,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as keep:  # what a stage wrote on its way goes when its result is there, and so does the stage before
+            docs = keep(written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
