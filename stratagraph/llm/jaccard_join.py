@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, dropped, small, written
 from .components import components
-from .tokens import U, Words, list_array, mixed, space_words, text_slices, window_hash
+from .tokens import SLICE_BYTES, U, Words, list_array, mixed, space_words, text_slices, window_hash
 
-BLOCK, BLOCK_TOKENS = 1024, 1 << 20
+BLOCK, BLOCK_TOKENS = 1024, 1 << 19
 GROUP = 32
 CUTS = 5
 LADDER = 1.5
 #: So many signatures of consecutive documents are tied with one another before they travel.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Classes of more documents than this reach them by broadcast, so that no task gathers one: a table of N rows has N / HOT_CLASS at most.
 HOT_CLASS = 100_000
 #: A name's low bits hold the number of parts and the cut of a signature.
@@ -194,11 +194,11 @@ def _signed(k: int, num: int, den: int, flush: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch, "text"):
+            for _, _, data, offsets in text_slices(batch, "text", SLICE_BYTES // 4):  # a set signs more than it holds
                 hashes, first = shingle_sets(Words(data, offsets, is_word, lower=True), k)
                 key, of, level, least = signatures(hashes, first, num, den)
                 name = set_names(hashes, first, 1) >> U(LEVEL_BITS) << U(LEVEL_BITS)
-                held.append((key, name[of] | level.astype(U), least))
+                held.append((key, name[of] | level.astype(U), least.astype(np.int32)))
                 if sum(len(h[0]) for h in held) >= flush:
                     yield rows(held)
                     held = []
@@ -240,7 +240,7 @@ def local_links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, gr
     members = members[np.argsort(np.array([sets[i][0] for i in members], U), kind="stable")]
     queries = np.flatnonzero(side == 1) if side.any() else members
     starts = np.arange(0, len(members), group)
-    slab = max(256, (8 << 20) // len(sets))
+    slab = max(256, (2 << 20) // len(sets))
 
     def rows(of: np.ndarray) -> Iterator[np.ndarray]:
         """The incidence rows of some sets, a slab of columns at a time."""
