@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, dropped, small, written
 from .components import components
-from .tokens import SLICE_BYTES, U, Words, list_array, mixed, space_words, text_slices, window_hash
+from .tokens import SLICE_BYTES, U, Words, list_array, mixed, released, space_words, text_slices, window_hash
 
 BLOCK, BLOCK_TOKENS = 1024, 1 << 19
 GROUP = 32
@@ -292,6 +292,7 @@ def _verify(num: int, den: int):
                 for i, j in local_links([values[offsets[r] : offsets[r + 1]] for r in rows], side[rows], num, den):
                     us.append(node[rows[i]])
                     vs.append(node[rows[j]])
+        released()
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run

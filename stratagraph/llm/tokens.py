@@ -21,15 +21,23 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 SLICE_BYTES = 1 << 20
 
 
-def _frees_at_once() -> None:
+def _libc():
     """Arrays of four megabytes and more go back to the system when they are freed: idle workers hold little (glibc; elsewhere nothing)."""
     try:
-        ctypes.CDLL(None).mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
+        lib = ctypes.CDLL(None)
+        lib.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
+        return lib.malloc_trim
     except (OSError, AttributeError):
-        return
+        return lambda _: 0
 
 
-_frees_at_once()
+_trim = _libc()
+
+
+def released() -> None:
+    """Give freed memory back: a worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -139,7 +147,7 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) ->
         to = min(to, len(texts))
         yield row, to, raw[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
         row = to
-    pa.default_memory_pool().release_unused()
+    released()
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
