@@ -54,9 +54,9 @@ def test_renames(spark):
 
 
 def test_import_rollup_counts_files_of_every_folder(spark):
-    i = spark.createDataFrame([("A/One", "GRDB", 1), ("A/B/Three", "GRDB", 2), ("A/Two", "Foundation", 3)], "path string, module string, observation_id long")
-    assert rows(derive.import_rollup(i), "directory", "module") == [("", "Foundation", 1), ("", "GRDB", 2), ("A", "Foundation", 1), ("A", "GRDB", 2), ("A/B", "GRDB", 1)]
-    assert rows(derive.rollup_provenance(i), "directory", "module", "observation_id") == [("", "Foundation", 3), ("", "GRDB", 1), ("", "GRDB", 2), ("A", "Foundation", 3), ("A", "GRDB", 1), ("A", "GRDB", 2), ("A/B", "GRDB", 2)]
+    i = spark.createDataFrame([("A/One", "Graphs", 1), ("A/B/Three", "Graphs", 2), ("A/Two", "Foundation", 3)], "path string, module string, observation_id long")
+    assert rows(derive.import_rollup(i), "directory", "module") == [("", "Foundation", 1), ("", "Graphs", 2), ("A", "Foundation", 1), ("A", "Graphs", 2), ("A/B", "Graphs", 1)]
+    assert rows(derive.rollup_provenance(i), "directory", "module", "observation_id") == [("", "Foundation", 3), ("", "Graphs", 1), ("", "Graphs", 2), ("A", "Foundation", 3), ("A", "Graphs", 1), ("A", "Graphs", 2), ("A/B", "Graphs", 2)]
 
 
 def test_innermost_span(spark):
