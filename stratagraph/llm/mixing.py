@@ -8,7 +8,8 @@ more repetition of the first documents in a seeded hash order. The order is cut
 sizes comes nearest to the rest, so a source misses its target by half a document at most.
 
 Only (source, hash, size) rows are shuffled, and never a whole source into one task: a source is split
-into hash ranges of about ROWS_PER_RANGE rows, and only the range with the cut is looked at row by row.
+into hash ranges of about ROWS_PER_RANGE rows. The cut is sought among groups of GROUP ranges, then among the ranges of
+its group, and only its range is looked at row by row.
 Documents themselves meet the finished table of one row per source.
 
 Nulls: a null text has size 0; null sources form one source; a null doc_id takes part like any other.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD, bare, small, text_or_empty, unpacked, written
 
 ROWS_PER_RANGE = 2_000
+GROUP = 4096
 HASH_SPAN = 1 << 60
 ADDED = ["size", "source_size", "target", "repetitions"]
 
@@ -64,8 +66,14 @@ def decisions(sized: DataFrame, weights, share, cap) -> DataFrame:
     plan = plan.withColumn("width", F.floor(F.lit(HASH_SPAN) / F.ceil(F.col("rows") / ROWS_PER_RANGE)) + 1)
     ranged = sized.join(plan.where("rest > 0").select(F.col("source").alias("s"), "rest", "width"), F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.floor(F.col("h") / F.col("width")))
     by_range = ranged.groupBy("source", "range").agg(F.sum("size").alias("sum"), F.first("rest").alias("rest"), F.first("width").alias("width"))
-    before = F.sum("sum").over(Window.partitionBy("source").orderBy("range")) - F.col("sum")
-    crossing = by_range.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("sum") > F.col("rest")))
+    by_range = written(by_range.withColumn("group", F.floor(F.col("range") / GROUP)), "mix-ranges")
+    groups = by_range.groupBy("source", "group").agg(F.sum("sum").alias("sum"), F.first("rest").alias("rest"))
+    ahead_of = F.sum("sum").over(Window.partitionBy("source").orderBy("group")) - F.col("sum")
+    reached = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("sum") > F.col("rest"))
+    group = groups.withColumn("before", ahead_of).where(reached).select(F.col("source").alias("gs"), F.col("group").alias("gg"), F.col("before").alias("base"))
+    inside = by_range.join(group, F.col("source").eqNullSafe(F.col("gs")) & (F.col("group") == F.col("gg")))
+    before = F.col("base") + F.sum("sum").over(Window.partitionBy("source").orderBy("range")) - F.col("sum")
+    crossing = inside.withColumn("before", before).where(reached)
     crossing = written(crossing, "mix-crossing").select(F.col("source").alias("cs"), F.col("range").alias("cr"), "before")
     near = ranged.join(crossing, F.col("source").eqNullSafe(F.col("cs")) & (F.col("range") == F.col("cr")))
     unit = near.groupBy("source", "h").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"), F.first("width").alias("width"), F.first("range").alias("range"))
