@@ -4,7 +4,8 @@ Features of a text: densities of a lexicon (words, and stems of STEMS bytes, wei
 short seed list), the share of lexicon words near a second-person word, capitals, punctuation, obfuscation (symbols inside
 words, and lexicon words that show only after symbols are read as letters), length. Nothing but the text goes in.
 
-Fitting takes at most SAMPLE_ROWS labelled rows, chosen by a hash of doc_id; that bound is the only one. Term counts
+Fitting takes at most SAMPLE_ROWS labelled documents, the first by a hash of doc_id, and of rows that share a doc_id the least
+text. That bound is the only one on rows. Term counts
 are summed on the executors; the driver gets the lexicon (MOST_TERMS at most) and the features of the sample. A training
 text never meets its own contribution to the lexicon. Calibration is fitted on predictions of trees that didn't see the row.
 
@@ -254,11 +255,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on labelled documents that are not held out."""
     spark = docs.sparkSession
     marks = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").cast("long").alias("toxic"))
-    n = marks.count()
-    rank = F.pmod(F.xxhash64("l_id", F.lit(1)), F.lit(1_000_000))
-    chosen = marks.where(rank < max(1, round(1_000_000 * min(1.0, sample_rows / max(1, n)))))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))  # sample_rows rows, about
-    sample = written(sample.select("doc_id", "text", "toxic"), "toxicity-sample")
+    share = 1.2 * sample_rows / max(1, marks.count())  # a hash keeps somewhat more rows than needed, a sort of those cuts them
+    near = marks.withColumn("h", F.xxhash64("l_id", F.lit(1))).where(F.pmod("h", F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40)))
+    chosen = near.orderBy(F.pmod("h", F.lit(1 << 40)), "l_id").limit(sample_rows).select("l_id", "toxic")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))  # sample_rows rows at most
+    sample = written(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-sample")
     n_bad, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     counts = sample.mapInArrow(_count_terms, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.25) / (n_bad + 0.5)) - F.log((F.col("good") + 0.25) / (n_all - n_bad + 0.5))
