@@ -53,6 +53,17 @@ def test_toxicity_labels_of_held_out_rows_do_not_matter(spark):
     assert a == b
 
 
+def test_toxicity_sample_has_its_bound(spark, monkeypatch):
+    docs, labels, marks = _corpus(spark, 200)
+    least = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("~ later text "), F.col("id").cast("string")).alias("text"))
+    taken = []
+    real = toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: taken.append(real(df, name)) or taken[-1])
+    a = toxicity.score(docs, toxicity.train(docs, labels, sample_rows=50)).orderBy("doc_id").collect()
+    b = toxicity.score(docs, toxicity.train(docs.unionByName(least), labels, sample_rows=50)).orderBy("doc_id").collect()
+    assert a == b and [t.count() for t in taken] == [50, 50]
+
+
 def test_toxicity_on_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(15, 1), (15, None), (18, 0), (None, 1), (999, 1)], "doc_id long, toxic int")
     model = toxicity.train(awkward, labels)

@@ -106,6 +106,25 @@ def test_shards_hold_every_row_once(spark, awkward, empty):
     assert shards.shuffle_into_shards(empty).count() == 0
 
 
+def test_copies_of_a_row_are_scattered_apart(spark, monkeypatch):
+    monkeypatch.setattr(shards, "COPIES", 7)
+    n = F.when(F.col("id") < 400, -1).otherwise(F.col("id"))
+    for extra in (F.lit("x"), F.create_map(F.lit("k"), n)):
+        df = spark.range(0, 1200, 1, 5).select(F.when(n >= 0, n).alias("doc_id"), F.when(n >= 0, F.lit("some text")).alias("text"), extra.alias("extra"))
+        placed = shards.shuffle_into_shards(df, shards=4, bucket_bytes=200)
+        kept = Counter()
+        for r in placed.collect():
+            kept[r.doc_id, r.text, str(r.extra)] += 1
+            kept["place", r.shard, r.slot] += 1
+        assert {k: v for k, v in kept.items() if k[0] != "place"} == Counter((r.doc_id, r.text, str(r.extra)) for r in df.collect())
+        assert all(kept["place", i % 4, i // 4] == 1 for i in range(1200))
+        # the copies stand all over the order, not in one bucket's stretch
+        stretch = Counter((r.slot * 4 + r.shard) // 100 for r in placed.where("doc_id is null").collect())
+        assert len(stretch) == 12 and max(stretch.values()) < 70
+        again = shards.shuffle_into_shards(df.repartition(3), shards=4, bucket_bytes=200)
+        assert sorted(map(str, placed.collect())) == sorted(map(str, again.collect()))
+
+
 def test_shards_take_map_columns(spark):
     df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.create_map(F.lit("k"), F.col("id")).alias("m"))
     assert shards.shuffle_into_shards(df, shards=4, bucket_bytes=40).count() == 50
@@ -143,14 +162,12 @@ def test_mix_reaches_targets(spark, awkward, empty):
     assert mixed.columns == awkward.columns and mixed.count() == sum(r.repetitions for r in rows)
 
 
-def test_mix_by_ranges_as_by_rows(spark, awkward):
-    kept = mixing.ROWS_PER_RANGE
-    try:
-        mixing.ROWS_PER_RANGE = 3
-        a = Counter((r.doc_id, r.repetitions) for r in mixing.plan_mix(awkward).collect())
-    finally:
-        mixing.ROWS_PER_RANGE = kept
-    assert a == Counter((r.doc_id, r.repetitions) for r in mixing.plan_mix(awkward).collect())
+def test_mix_by_ranges_as_by_rows(spark, awkward, monkeypatch):
+    want = Counter((r.doc_id, r.repetitions) for r in mixing.plan_mix(awkward).collect())
+    for rows, group in ((3, 4096), (1, 2)):
+        monkeypatch.setattr(mixing, "ROWS_PER_RANGE", rows)
+        monkeypatch.setattr(mixing, "GROUP", group)
+        assert want == Counter((r.doc_id, r.repetitions) for r in mixing.plan_mix(awkward).collect())
 
 
 def _chunks(t):
