@@ -40,10 +40,11 @@ def list_repositories(t: Tables) -> DataFrame:
     return lookups.repositories(symbols(t))
 
 
-@query("SELECT o_orderkey AS revision, coalesce(try_cast(o_orderpriority AS TIMESTAMP), TIMESTAMP '0001-01-02') AS at FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey % 10 <> 0")
+@query("""SELECT revision, strftime("at", '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT o_orderkey AS revision, coalesce(try_cast(o_orderpriority AS TIMESTAMP), TIMESTAMP '0001-01-02') AS at FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey % 10 <> 0)""")
 def revision_list(t: Tables) -> DataFrame:
     created = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderpriority")).otherwise(F.col("o_orderdate").cast("string"))
-    return lookups.revisions(t.orders.select(F.col("o_orderkey").alias("revision"), created.alias("created")))
+    found = lookups.revisions(t.orders.select(F.col("o_orderkey").alias("revision"), created.alias("created")))
+    return found.select("revision", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))  # as text: the year 1 is out of bounds of pandas
 
 
 @query(f"{with_('ver')} SELECT version_id, entity_id FROM ver WHERE valid_to IS NULL AND entity_id % 40 = 3")

@@ -52,7 +52,7 @@ def converge_steps(t: Tables) -> DataFrame:
 def commit_lines(t: Tables) -> DataFrame:
     subject = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Fix it (closes #"), "o_custkey", F.lit(", Resolves #"), "o_orderkey", F.lit(")"))).when(F.col("o_orderkey") % 3 == 1, "Chore(ledger): row #5").otherwise("see #4")
     fields = F.concat_ws("\u0000", F.concat(F.lit("s"), "o_orderkey"), F.lit("s"), F.lit("Ada"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("o_orderkey") % 7 != 0, subject))
-    return documents.commit_lines(t.orders.select(fields.alias("line"))).select("sha", "date", "closes", "ledger")
+    return documents.commit_lines(t.orders.select(fields.alias("line"))).select("sha", F.col("date").cast("timestamp_ntz").alias("date"), "closes", "ledger")
 
 
 @query("""SELECT 's' || o_orderkey AS sha, 'a' || o_custkey AS author, o_orderdate AS at, 'p' || l_partkey AS path FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_orderkey = o_orderkey WHERE o_orderkey % 5 <> 0""")
@@ -60,7 +60,7 @@ def commit_paths(t: Tables) -> DataFrame:
     paths = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda p: F.concat(F.lit("p"), p)), "\n").alias("p"))
     head = F.concat_ws("\x1f", F.concat(F.lit("s"), "o_orderkey"), F.concat(F.lit("a"), "o_custkey"), F.lit("e@x.org"), F.when(F.col("o_orderkey") % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")))
     logs = t.orders.join(paths, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.concat(F.lit("\x1e"), head, F.lit("\n\n"), F.coalesce("p", F.lit("")), F.lit("\n")).alias("text"), (F.col("o_orderkey") % 16).alias("g"))
-    return documents.commits(logs.groupBy("g").agg(F.array_join(F.collect_list("text"), "").alias("text"))).select("sha", "author", "at", "path")
+    return documents.commits(logs.groupBy("g").agg(F.array_join(F.collect_list("text"), "").alias("text"))).select("sha", "author", F.col("at").cast("timestamp_ntz").alias("at"), "path")
 
 
 @query("""SELECT 'n' || c_nationkey AS repo, c_custkey AS number, CASE WHEN c_acctbal < 0 THEN 'closed' ELSE 'open' END AS state, [c_mktsegment] AS labels, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'unknown' END AS author FROM customer""")
