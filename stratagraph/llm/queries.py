@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, licenses, lines, mixing, pii, shards, substring, toxicity
+from . import chat, decontaminate, divergence, fingerprint, jaccard_join, licenses, lines, mixing, pii, shards, substring, toxicity, variants
 from .common import text_or_empty
 
 
@@ -65,7 +65,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_pii, op4_licenses, op5_decontamination, op6_substrings, op7_fingerprints, op8_shards, op9_mixing, op10_line_dedup)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_table(spark, sf_dir, "documents"), least_length=6, least_count=5, ratio=5)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turns = chat.format_turns(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
+    return chat.read_back(turns).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"), least_docs=30, ranks=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_pii, op4_licenses, op5_decontamination, op6_substrings, op7_fingerprints, op8_shards, op9_mixing, op10_line_dedup, op11_spelling_variants, op12_chat_format, op13_source_divergence)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -123,5 +138,51 @@ c AS (SELECT u.source, max(h) AS cut FROM u JOIN p ON u.source IS NOT DISTINCT F
       WHERE target - whole * source_size > 0 AND upto - size / 2.0::DOUBLE <= target - whole * source_size GROUP BY u.source)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN h <= coalesce(cut, -1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
+""",
+    "op11_spelling_variants": rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tbl),
+d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS n, hex(concat(CAST(doc_id AS VARCHAR), ':', run)) AS hx FROM d WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_transform(range(length(hx) // 2), lambda j: CAST('0x' || substr(hx, 2 * j + 1, 2) AS BIGINT)),
+        lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM r, crc),
+e AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+m AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS masked, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM m a JOIN m b ON a.masked = b.masked AND a.word <> b.word
+      UNION SELECT a.word, m.word FROM w a JOIN m ON a.word = m.less UNION SELECT m.word, a.word FROM w a JOIN m ON a.word = m.less),
+c AS (SELECT a AS word, count(*) AS n_near, min(struct_pack(o := -w.n, f := b)) AS best FROM p JOIN w ON b = w.word GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.o >= 5 * n THEN best.f END AS form, CASE WHEN -best.o >= 5 * n THEN -best.o END AS form_n FROM w LEFT JOIN c USING (word)),
+t AS (WITH RECURSIVE s(word, tip) AS (SELECT word, word FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON s.tip = f.word WHERE f.form IS NOT NULL)
+      SELECT s.word, s.tip AS root FROM s JOIN f ON s.tip = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN t USING (word)
+""",
+    "op12_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, i, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, role)),
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?INST\]|/?s>|</?SYS>>|role:|/role>)', '\1\\\2\3', 'g')) AS chars,
+        CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 14 + length(replace(replace(role, '%', '%25'), '>', '%3E')) END AS marks FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars + marks) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+    "op13_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+o AS (SELECT lang, source, id, unnest(t) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+g AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+s AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM g GROUP BY lang, source) USING (lang, source) LEFT JOIN v USING (lang)),
+p AS MATERIALIZED (SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, 1 + CAST((1000000000 * (coalesce(n, 0) + 5))::HUGEINT // (total + 5 * v)::HUGEINT AS BIGINT) AS p
+      FROM s JOIN k USING (lang) LEFT JOIN g ON g.lang = s.lang AND g.source = s.source AND g.term = k.term),
+l AS (SELECT lang, sum(total) AS total, any_value(v) AS v FROM s GROUP BY lang),
+q AS (SELECT lang, term, 1 + CAST((1000000000 * (sum(n) + 5))::HUGEINT // (any_value(l.total) + 5 * any_value(l.v))::HUGEINT AS BIGINT) AS q FROM g JOIN l USING (lang) GROUP BY lang, term),
+x AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+      UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
 """,
 }
