@@ -29,7 +29,7 @@ from .common import written
 from .tokens import released
 
 #: Entries of a task's counters before they are emptied into the shuffle.
-HELD_TERMS = 400_000
+HELD_TERMS = 150_000
 SCALE = 1_000_000_000
 _PIECE = 256
 _SALTS = 16
@@ -83,7 +83,7 @@ def source_vectors(docs: DataFrame, least_docs: int = 30) -> DataFrame:
     rows = docs.select(*[F.coalesce(docs[c], F.lit("")).alias(c) for c in ("lang", "source")], docs["text"].cast("binary").alias("text")).where("text is not null")
     counted = rows.mapInArrow(_counts, COUNTED).repartition("lang", "term")  # counts of a term meet once; each task sends one a source
     by_source = counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    vectors = by_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("vector"))
+    vectors = by_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("vector"))
     return vectors.where(F.col("docs") >= least_docs).select("lang", "term", "vector")
 
 
@@ -135,7 +135,7 @@ def _distances(vectors: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataF
     one = pairs.join(ones, ["lang", "a"]).select("lang", "a", "b", (F.col("m") * (gap("p", "b0") - gap("a0", "b0"))).alias("value"))
     one = one.unionByName(one.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     # both sources of a pair, by distinct vectors
-    held = entries.groupBy("lang", "v", "m").agg(F.array_sort(F.collect_list(F.struct("source", "p", "p0"))).alias("e"))
+    held = entries.groupBy("lang", "v", "m").agg(F.sort_array(F.collect_list(F.struct("source", "p", "p0"))).alias("e"))
     firsts = held.where(F.size("e") > 1).select("lang", "m", "e", F.posexplode("e").alias("i", "x"))
     both = firsts.select("lang", "m", "x", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("y"))
     both = both.select("lang", F.col("x.source").alias("a"), F.col("y.source").alias("b"), (F.col("m") * (gap("x.p", "y.p") - gap("x.p", "y.p0") - gap("y.p", "x.p0") + gap("x.p0", "y.p0"))).alias("value"))
