@@ -140,6 +140,11 @@ def bm25(posts: DataFrame, stats: DataFrame, query: list[str]) -> DataFrame:
     return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("blob_hash", "ordinal").agg(F.sum(part).alias("score"))  # stats is one row
 
 
+def term_buckets(terms: list[str]) -> list[int]:
+    """The buckets whose postings a query of these terms reads."""
+    return sorted({_bucket(t.lower()) for t in terms})
+
+
 def _bucket(term: str) -> int:
     import zlib
 

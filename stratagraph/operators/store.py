@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import temporal
+from .versioned import Change, Spec, VersionedTables
 
 
 class UnknownEntity(LookupError):
@@ -125,6 +126,93 @@ class MemoryStore:
         return r
 
 
+#: The graph as stored tables. An edge is closed by its id, a version by its entity; bases are dealt by what look-ups ask for.
+STORED = {
+    "versions": Spec("entity_id long, state string", ("entity_id",), "entity_id"),
+    "edges": Spec("id long, source_id long, target_id long, kind string, layer string, properties string", ("id",), "source_id"),
+    "links": Spec(LINK, ("fact_kind", "fact_id", "observation_id"), "fact_id"),
+    "repositories": Spec("repo string, display_name string", ("repo",), "repo"),
+    "observations": Spec("id long, path string, kind string, payload string", ("id",), "id"),
+}
+#: Changes of up to so many entities look their versions up by key; beyond, they meet the whole table in a join.
+FEW = 256
+
+
+class StoredGraph:
+    """A graph store in a folder (see versioned.VersionedTables): a commit writes what it changes, all of it or nothing, on top of the head it was
+    computed from. A second writer that commits meanwhile makes it fail with versioned.Conflict."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.stored = spark, VersionedTables(spark, root, STORED)
+
+    def revision(self) -> int:
+        return self.stored.revision()
+
+    def tables(self, revision: int | None = None) -> Tables:
+        """All rows up to a revision, with the intervals as they were then."""
+        get = self.stored.rows if revision is None else lambda name: self.stored.as_it_was(name, revision)
+        now = lambda name: get(name).where("valid_to is null").drop("valid_from", "valid_to")
+        return Tables(get("versions"), get("edges"), now("links"), now("repositories"), now("observations"))
+
+    def _known(self, at: dict, ids: DataFrame) -> DataFrame:
+        """Versions of the entities named (id): by key if they are few."""
+        few = [r.id for r in ids.distinct().limit(FEW + 1).collect()]
+        return self.stored.rows("versions", few if len(few) <= FEW else None, at)
+
+    def commit(self, changes: Changes, repositories: DataFrame | None = None, observations: DataFrame | None = None) -> int:
+        """The new revision. Raises UnknownEntity or UnknownRelationship as commit() does, and Conflict if the head moved meanwhile; then nothing is changed."""
+        at = self.stored.head()
+        r = at["revision"] + 1
+        none = lambda schema: self.spark.createDataFrame([], schema)
+        entities = changes.entities if changes.entities is not None else none("entity_id long, state string")
+        gone = changes.gone if changes.gone is not None else none("entity_id long")
+        made: dict[str, Change] = {}
+        ends = None
+        if changes.edges is not None:
+            ends = changes.edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+        if changes.entities is not None or changes.gone is not None or ends is not None:
+            named = entities.select(F.col("entity_id").alias("id")).unionByName(gone.select(F.col("entity_id").alias("id")))
+            versions = self._known(at, named if ends is None else named.unionByName(ends))
+            if changes.gone is not None and not gone.join(versions, "entity_id", "left_anti").join(entities, "entity_id", "left_anti").isEmpty():
+                raise UnknownEntity("a retracted entity is unknown")
+            current = versions.where("valid_to is null")
+            if ends is not None:
+                after = current.select("entity_id").unionByName(entities.select("entity_id")).join(gone, "entity_id", "left_anti")
+                if not ends.join(after, F.col("id") == F.col("entity_id"), "left_anti").isEmpty():
+                    raise UnknownEntity("an asserted relationship has an end that is not in this commit or the current graph")
+            if changes.entities is not None or changes.gone is not None:
+                made["versions"] = Change(*temporal.entity_changes(current, entities, gone, r))
+        if changes.edges is not None or changes.closed is not None or changes.gone is not None:
+            current = self.stored.current("edges", at=at)
+            closed = changes.closed if changes.closed is not None else none("id long")
+            if changes.closed is not None:
+                g = gone.select(F.col("entity_id").alias("g")).distinct()
+                open_edges = current.join(g, F.col("source_id") == F.col("g"), "left_anti").join(g, F.col("target_id") == F.col("g"), "left_anti") if changes.gone is not None else current
+                if not closed.join(open_edges.select("id"), "id", "left_anti").isEmpty():
+                    raise UnknownRelationship("a retracted relationship is not current")
+            edges = changes.edges if changes.edges is not None else none(STORED["edges"].columns).drop("id")
+            made["edges"] = Change(*temporal.edge_changes(current, edges, closed, gone, r))
+        new = F.lit(r).cast("long").alias("valid_from")
+        if changes.links is not None:
+            key = list(STORED["links"].key)
+            made["links"] = Change(changes.links.select(*key).distinct().join(self.stored.rows("links", at=at).select(*key), key, "left_anti").select("*", new))
+        if observations is not None:
+            rows = observations.withColumn("id", F.xxhash64("path", "kind", "payload")).dropDuplicates(["id"])
+            made["observations"] = Change(rows.join(self.stored.rows("observations", at=at).select("id"), "id", "left_anti").select("id", "path", "kind", "payload", new))
+        if repositories is not None:
+            rows = repositories.groupBy("repo").agg(F.max("display_name").alias("display_name"))
+            old = self.stored.current("repositories", at=at).select("repo", F.col("display_name").alias("old"), "valid_from").join(rows, "repo").where("not old <=> display_name")
+            made["repositories"] = Change(rows.join(self.stored.current("repositories", at=at), ["repo", "display_name"], "left_anti").select("*", new), old.select("repo", "valid_from", F.lit(r).cast("long").alias("valid_to")))
+        return self.stored.commit(at, made)["revision"]
+
+    def tidy(self) -> list[str]:
+        """Fold deltas of the tables that are due into new bases; their names. History stays."""
+        due = [name for name in STORED if self.stored.due(name)]
+        for name in due:
+            self.stored.compact(name)
+        return due
+
+
 #: Passes over the whole graph that propose changes, in the order in which they run: name -> (tables, revision) -> changes.
 DERIVERS: dict[str, Callable[[Tables, int], Changes]] = {}
 

@@ -65,6 +65,18 @@ def commit_entities(versions: DataFrame, asserted: DataFrame, retracted: DataFra
     return kept.unionByName(opened.select(*kept.columns))
 
 
+def entity_changes(current: DataFrame, asserted: DataFrame, retracted: DataFrame, revision: int) -> tuple[DataFrame, DataFrame]:
+    """What commit_entities() changes, without the rows that stay: versions it opens (entity_id, state, valid_from, valid_to) and versions it closes
+    (entity_id, valid_from, valid_to). current: entity_id, state, valid_from of current versions, at least of the entities named."""
+    asserted = first_assertions(asserted, ["entity_id"], ["state"]).select("entity_id", F.col("state").alias("new_state"), F.lit(True).alias("is_new"))
+    gone = retracted.select("entity_id").distinct().withColumn("is_gone", F.lit(True))
+    change = asserted.join(gone, "entity_id", "full").join(current.select("entity_id", F.col("state").alias("old_state"), "valid_from", F.lit(True).alias("is_old")), "entity_id", "left")
+    opens = F.coalesce(F.col("is_new") & (F.col("is_old").isNull() | ~F.col("new_state").eqNullSafe(F.col("old_state"))), F.lit(False))
+    r = F.lit(revision).cast("long")
+    opened = change.where(opens).select("entity_id", F.col("new_state").alias("state"), r.alias("valid_from"), F.when(F.col("is_gone"), r).alias("valid_to"))
+    return opened, change.where(F.col("is_old") & (opens | F.col("is_gone"))).select("entity_id", "valid_from", r.alias("valid_to"))
+
+
 EDGE_KEY = ("source_id", "target_id", "kind", "layer", "properties")
 
 
@@ -86,6 +98,19 @@ def commit_edges(edges: DataFrame, asserted: DataFrame, retracted: DataFrame, go
     return still.unionByName(opened.select(*still.columns))
 
 
+def edge_changes(current: DataFrame, asserted: DataFrame, retracted: DataFrame, gone_entities: DataFrame, revision: int) -> tuple[DataFrame, DataFrame]:
+    """What commit_edges() changes, without the rows that stay: edges it opens, and edges it closes (id, valid_from, valid_to). current: the current edges."""
+    gone = gone_entities.select(F.col("entity_id").alias("g")).distinct()
+    closing = current.join(retracted.select("id").distinct(), "id", "left_semi").select("id", "valid_from")
+    for end in ("source_id", "target_id"):
+        closing = closing.unionByName(current.join(gone, F.col(end) == F.col("g"), "left_semi").select("id", "valid_from"))
+    stays = current.join(gone, F.col("source_id") == F.col("g"), "left_anti").join(gone, F.col("target_id") == F.col("g"), "left_anti")
+    a, c = asserted.select(*EDGE_KEY).distinct().alias("a"), stays.alias("c")
+    new = a.join(c, [F.col(f"a.{k}").eqNullSafe(F.col(f"c.{k}")) for k in EDGE_KEY], "left_anti")
+    r = F.lit(revision).cast("long")
+    return new.withColumns({"id": F.xxhash64(*EDGE_KEY, F.lit(revision)), "valid_from": r}), closing.distinct().withColumn("valid_to", r)
+
+
 def unknown_endpoints(asserted: DataFrame, entities: DataFrame) -> DataFrame:
     """Asserted edges an endpoint of which is no entity; a commit with any is refused as a whole."""
     known = entities.select(F.col("id").alias("k"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,21 +13,35 @@ MOST_BYTES = 4 * 1024 * 1024
 SKIPPED = [".git", ".build", ".swiftpm", "DerivedData", "node_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", "Pods", "Carthage", "dist", "target", "build", "SourcePackages"]
 
 
-def source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path, blob_hash, size, lang, text of the files under a folder, in any store that Spark reads.
-
-    Skipped folders, project bundles, hidden files and hidden folders but .github are left out. A file of over MOST_BYTES keeps its path and
-    size, with the hash of nothing, no language and no text; text that isn't UTF-8 is null.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _tree(spark: SparkSession, root: str, at: str | list[str]) -> DataFrame:
+    """The files that count, with `rel`, their path under root. No content is read unless a column asks for it."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at)
     base = root.rstrip("/").split(":")[-1].lstrip("/")
     rel = F.expr("substr(path, locate(base, path) + length(base))")
     parts = F.split("rel", "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     bad = F.exists(folders, lambda d: d.isin(SKIPPED) | d.rlike(r"\.(xcodeproj|xcworkspace)$") | (d.startswith(".") & (d != ".github"))) | F.element_at(parts, -1).startswith(".")
-    rows = raw.withColumn("base", F.lit(f"/{base}/")).withColumn("rel", rel).where(~bad)
+    return raw.withColumn("base", F.lit(f"/{base}/")).withColumn("rel", rel).where(~bad)
+
+
+def _language() -> Column:
+    return F.when(F.col("length") <= MOST_BYTES, X.language(F.col("rel"))).alias("lang")
+
+
+def source_tree(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
+    """path, blob_hash, size, lang, text of the files under a folder, in any store that Spark reads. only: of these files (as source_listing() names them).
+
+    Skipped folders, project bundles, hidden files and hidden folders but .github are left out. A file of over MOST_BYTES keeps its path and
+    size, with the hash of nothing, no language and no text; text that isn't UTF-8 is null.
+    """
+    rows = _tree(spark, root, root if only is None else only)
     large = F.col("length") > MOST_BYTES
-    return rows.select(F.col("rel").alias("path"), F.when(large, F.sha2(F.lit(""), 256)).otherwise(F.sha2("content", 256)).alias("blob_hash"), F.col("length").alias("size"), F.when(~large, X.language(F.col("rel"))).alias("lang"), F.when(~large, F.expr("try_validate_utf8(cast(content as string))")).alias("text"))
+    return rows.select(F.col("rel").alias("path"), F.when(large, F.sha2(F.lit(""), 256)).otherwise(F.sha2("content", 256)).alias("blob_hash"), F.col("length").alias("size"), _language(), F.when(~large, F.expr("try_validate_utf8(cast(content as string))")).alias("text"))
+
+
+def source_listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, size, modified, lang, file (its full name) of the files that source_tree() reads; their contents are not read."""
+    return _tree(spark, root, root).select(F.col("rel").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), _language(), F.col("path").alias("file"))
 
 
 def blobs(files: DataFrame) -> DataFrame:

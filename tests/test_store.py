@@ -212,7 +212,7 @@ def test_generated_graph(spark, tmp_path):
     e = generator.edges(spark, 2000, 100)
     assert e.count() == 2000 and sorted(e.collect()) == sorted(generator.edges(spark, 2000, 100).repartition(7).collect())
     assert 0.1 < e.where("valid_to is not null").count() / 2000 < 0.3 and generator.entities(spark, 10).count() == 10
-    assert set(generator.bench(spark, f"file://{tmp_path}/b", 2000, 100)) == {"insert", "current_count", "neighborhood_now", "neighborhood_as_of", "commit"}
+    assert set(generator.bench(spark, f"file://{tmp_path}/b", 2000, 100)) == {"insert", "compact", "current_count", "neighborhood_now", "targets_now", "neighborhood_as_of", "commit"}
 
 
 def test_command_line(spark, tmp_path):
