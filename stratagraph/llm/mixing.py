@@ -5,7 +5,8 @@ Sources are ranked by code point (null last) and weigh `weights` in rotation. To
 is shared again by weight until nobody is above. A source's target then turns into repetitions: each
 document is taken floor(target / source size) times, and the rest of the target is filled with one
 more repetition of the first documents in a seeded hash order. The order is cut where the sum of
-sizes comes nearest to the rest, so a source misses its target by half a document at most.
+sizes comes nearest to the rest, so a source misses its target by half a document at most. Where the cut falls among copies (rows equal in doc_id and
+text), they are numbered, and as many of them are taken as come nearest.
 
 Only (source, hash, size) rows are shuffled, and never a whole source into one task: a source is split
 into hash ranges of about ROWS_PER_RANGE rows. The cut is sought among groups of GROUP ranges, then among the ranges of
@@ -13,7 +14,7 @@ its group, and only its range is looked at row by row.
 Documents themselves meet the finished table of one row per source.
 
 Nulls: a null text has size 0; null sources form one source; a null doc_id takes part like any other.
-Rows with the same doc_id and text are taken alike. An empty table gives an empty result. Documents of
+Rows with the same doc_id and text are taken alike but for those at a source's cut. An empty table gives an empty result. Documents of
 size 0 are repeated floor(target / source size) times and count nothing; in a source whose size is 0, none.
 Input columns that clash with the added ones are replaced by them.
 """
@@ -76,11 +77,28 @@ def decisions(sized: DataFrame, weights, share, cap) -> DataFrame:
     crossing = inside.withColumn("before", before).where(reached)
     crossing = written(crossing, "mix-crossing").select(F.col("source").alias("cs"), F.col("range").alias("cr"), "before")
     near = ranged.join(crossing, F.col("source").eqNullSafe(F.col("cs")) & (F.col("range") == F.col("cr")))
-    unit = near.groupBy("source", "h").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"), F.first("width").alias("width"), F.first("range").alias("range"))
+    unit = near.groupBy("source", "h").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("size").alias("one"), F.first("before").alias("before"), F.first("rest").alias("rest"), F.first("width").alias("width"), F.first("range").alias("range"))
     ahead = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("h")) - F.col("size")
     unit = unit.withColumn("ahead", ahead)
-    cut = unit.groupBy(F.col("source").alias("us")).agg(F.coalesce(F.max(F.when(F.col("ahead") + F.col("size") / 2 <= F.col("rest"), F.col("h"))), F.first(F.col("range") * F.col("width")) - 1).alias("cut"))
-    return plan.join(cut, F.col("source").eqNullSafe(F.col("us")), "left").select("source", "source_size", "target", F.col("whole").cast("int").alias("whole"), F.coalesce("cut", F.lit(-1)).alias("cut"))
+    whole_unit = F.col("ahead") + F.col("size") <= F.col("rest")
+    nearest = F.floor((F.col("rest") - F.col("ahead")) / F.col("one") + 0.5)
+    some = F.when(F.col("n") == 1, (F.col("ahead") + F.col("size") / 2 <= F.col("rest")).cast("long")).otherwise(F.least(F.col("n"), nearest))
+    some = F.when(whole_unit, F.col("n")).when(F.col("ahead") <= F.col("rest"), some).otherwise(0)
+    unit = unit.withColumn("some", some)
+    cut = F.coalesce(F.max(F.when(F.col("some") == F.col("n"), F.col("h"))), F.first(F.col("range") * F.col("width")) - 1)
+    edge = F.max(F.when((F.col("some") > 0) & (F.col("some") < F.col("n")), F.struct("h", "some")))
+    cut = unit.groupBy(F.col("source").alias("us")).agg(cut.alias("cut"), edge.alias("edge"))
+    return plan.join(cut, F.col("source").eqNullSafe(F.col("us")), "left").select("source", "source_size", "target", F.col("whole").cast("int").alias("whole"), F.coalesce("cut", F.lit(-1)).alias("cut"), F.col("edge.h").alias("edge"), F.col("edge.some").alias("edge_rows"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with `number`, from 1 in each source: copies of one row, so any order will do. Rows are numbered within the partitions of a stored table, and
+    the partitions' counts are summed; no source is in one task."""
+    stored = written(rows.withColumns({"part": F.spark_partition_id(), "seat": F.monotonically_increasing_id()}), "mix-copies")
+    counts = stored.groupBy(F.col("_source").alias("s"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = counts.withColumn("ahead", F.sum("n").over(Window.partitionBy("s").orderBy("p")) - F.col("n")).drop("n")
+    local = stored.withColumn("local", F.row_number().over(Window.partitionBy("_source", "part").orderBy("seat")))
+    return local.join(ahead, F.col("_source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("number", F.col("ahead") + F.col("local"))
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 20) -> DataFrame:
@@ -88,10 +106,15 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     base = bare(docs, ["doc_id", "text", "source"])
     size = word_count(text_or_empty("_text"))
     sized = written(base.select(F.col("_source").alias("source"), size.alias("size"), order_hash(seed).alias("h")), "mix-sizes")
-    decided = small(written(decisions(sized, weights, share, cap), "mix-decisions").withColumnRenamed("source", "d_source"))
+    plan = written(decisions(sized, weights, share, cap), "mix-decisions").withColumnRenamed("source", "d_source")
+    decided = small(plan)
     joined = base.select("rec", "_source", size.alias("size"), order_hash(seed).alias("h")).join(decided, F.col("_source").eqNullSafe(F.col("d_source")), "left")
-    joined = joined.withColumn("repetitions", (F.col("whole") + (F.col("h") <= F.col("cut")).cast("int")).cast("int"))
-    return unpacked(joined, docs.columns, ADDED)
+    all_or_none = joined.withColumn("repetitions", (F.col("whole") + (F.col("h") <= F.col("cut")).cast("int")).cast("int"))
+    if plan.where("edge is not null").isEmpty():
+        return unpacked(all_or_none, docs.columns, ADDED)
+    on_edge = F.coalesce(F.col("h") == F.col("edge"), F.lit(False))
+    copies = _numbered(joined.where(on_edge)).withColumn("repetitions", (F.col("whole") + (F.col("number") <= F.col("edge_rows")).cast("int")).cast("int"))
+    return unpacked(all_or_none.where(~on_edge).select("rec", *ADDED).unionByName(copies.select("rec", *ADDED)), docs.columns, ADDED)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

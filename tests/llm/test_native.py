@@ -162,6 +162,18 @@ def test_mix_reaches_targets(spark, awkward, empty):
     assert mixed.columns == awkward.columns and mixed.count() == sum(r.repetitions for r in rows)
 
 
+def test_mix_of_copies_meets_its_target(spark):
+    rows = [(None, "a b c d", "s", i % 3) for i in range(300)] + [(1, "x y", "t", 0), (2, "x y z", "t", 0)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, number int").repartition(7)
+    got = mixing.plan_mix(df, weights=(1, 3), share=0.9).collect()
+    assert len(got) == len(rows)
+    for s, most in (("s", 4), ("t", 3)):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.size * r.repetitions for r in mine) - mine[0].target) <= most / 2
+        assert mine[0].target not in (0, mine[0].source_size)
+    assert mixing.mix(df, weights=(1, 3), share=0.9).count() == sum(r.repetitions for r in got)
+
+
 def test_mix_by_ranges_as_by_rows(spark, awkward, monkeypatch):
     want = Counter((r.doc_id, r.repetitions) for r in mixing.plan_mix(awkward).collect())
     for rows, group in ((3, 4096), (1, 2)):
