@@ -6,12 +6,12 @@ permutation of that domain (cycle walking until the result is valid again): a ca
 stays a date, separators, country codes, the domain of an e-mail address and letter case stay. The permutation depends on key, kind and format
 only, so equal values stay linked across documents, different values stay different, and restore() takes a text back. A date's permutation
 depends on the day alone, so a day is linked across the styles in which dates are written. A phone number is a shape (7 to 15 digits after + and
-a country code, or ten digits grouped as in North America); numbering plans are not known, but area and exchange that begin with 2 to 9 still do.
+a country code, after 00 and a country code with a separator, or ten digits grouped as in North America); numbering plans are not known, but area and exchange that begin with 2 to 9 still do.
 
-A value may start wherever no letter or digit precedes it, but not within digits that . or - tie to a letter (as v1.2.3.4.5), and
+A value may start wherever no letter or digit precedes it (+ and an opening parenthesis may follow a letter), but not within digits that . or - tie to a letter (as v1.2.3.4.5), and
 ends where no letter or digit follows; a time may follow a date (2024-01-05T10:22). If the longest reading is not valid, shorter ones
 are tried. A phone number does not reach into a value of another kind that ends beyond it. An IBAN has its country's length if it
-is valid so, else the longest valid one.
+is valid so, else the longest valid one; one that begins in small letters must have that length. Domains of addresses may have letters of any script.
 
 Whole texts are read; documents are judged one by one in Arrow batches, nothing is shuffled or gathered.
 
@@ -36,25 +36,25 @@ KINDS = ("card", "iban", "ssn", "ipv4", "phone", "date", "email")
 ADDED = "n_found long, kinds array<string>, pseudonymised string"
 
 #: Where a value may start: no value is shorter than seven characters.
-_START = re.compile(r"(?<!\w)(?=[+(]?\d[\d ().:/-]{5})")
+_START = re.compile(r"(?<![^\W_])(?=[+(]?\d[\d ().:/-]{5})|(?<!\d)(?=[+(]\d[\d ().:/-]{5})")
 _TIED = re.compile(r"[^\W\d]\d+(?:[.-]\d+)+")
-_END = re.compile(r"(?!\w)")
-_DATE_END = re.compile(r"(?!\w)|[Tt](?=\d)")
-_IBAN_START = re.compile(r"(?<!\w)(?=[A-Z]{2}\d{2} ?[A-Z0-9]{4})")
-_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+_END = re.compile(r"(?![^\W_])")
+_DATE_END = re.compile(r"(?![^\W_])|[Tt](?=\d)")
+_IBAN_START = re.compile(r"(?<![^\W_])(?=[A-Za-z]{2}\d{2} ?[A-Za-z0-9]{4})")
+_IBAN = re.compile(r"[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?")
 #: Lengths of IBANs by country.
 _IBAN_LENGTHS = {c: n for n, names in {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
     23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
     29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
 }.items() for c in names.split()}
-_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?!\w)")
+_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[^\W_](?:(?:[^\W_]|-){0,61}[^\W_])?\.)+[^\W\d_]{2,24}(?!\w)")
 _PARTS: list[tuple[str, re.Pattern]] = [
     ("date", re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4})")),
     ("ssn", re.compile(r"\d{3}-\d{2}-\d{4}")),
     ("ipv4", re.compile(r"(?:\d{1,3}\.){3}\d{1,3}")),
     ("card", re.compile(r"\d{4}(?:([ -])\d{4}\1\d{4}\1\d{1,7}|\d{9,15})|\d{4}([ -])\d{6}\2\d{5}")),
-    ("phone", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}([.-])\d{3}\1\d{4}")),
+    ("phone", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?!\d{3}-\d\d-\d{4})00[1-9]\d{0,2}[ .-](?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}([.-])\d{3}\1\d{4}|[2-9]\d{2} [2-9]\d{2} \d{4}")),
 ]
 
 
@@ -168,12 +168,12 @@ class Pseudonyms:
             x = self._net(kind, 1 << 32).permute(int.from_bytes(bytes(map(int, octets)), "big"), back)
             return ".".join(map(str, x.to_bytes(4, "big")))
         if kind == "phone":
-            if not 7 <= len(digits) <= 15:
+            if not 7 <= len(digits.removeprefix("00")) <= 15:
                 return None
-            code = re.match(r"\+\d{1,3}(?=\D)", s)
+            code = re.match(r"(?:\+|00)\d{1,3}(?=\D)", s)
             lead = code.end() if code else 0
             local = re.sub(r"\D", "", s[lead:])
-            planned = len(local) == 10 and (not lead or s[:lead] == "+1")
+            planned = len(local) == 10 and (not lead or s[:lead] in ("+1", "001"))
             plan = lambda x: not planned or ((d := str(x).zfill(10))[0] > "1", d[3] > "1") == (local[0] > "1", local[3] > "1")
             return s[:lead] + _fill(s[lead:], str(self._net(kind, 10 ** len(local)).permute(int(local), back, plan)).zfill(len(local)))
         found = _date(m)
@@ -237,12 +237,12 @@ class Pseudonyms:
 
     def _iban_at(self, text: str, a: int, back: bool) -> tuple[int, int, str, str] | None:
         """The IBAN that starts at a: of its country's length if that is valid, else the longest."""
-        best, end, length = None, len(text), _IBAN_LENGTHS.get(text[a : a + 2])
+        best, end, length = None, len(text), _IBAN_LENGTHS.get(text[a : a + 2].upper())
         while m := _IBAN.match(text, a, end):
             end = m.end() - 1
             if _END.match(text, m.end()) and (new := self._iban(m[0], back)) is not None:
                 right = len(m[0].replace(" ", "")) == length
-                if best is None or right:
+                if right or best is None and text[a].isupper():  # small letters stand in words: then the length must be the country's
                     best = (a, m.end(), "iban", new)
                 if right:
                     break
