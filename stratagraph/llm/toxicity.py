@@ -222,15 +222,15 @@ class Trees:
 
 
 def isotonic(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (raw score, calibrated score) for linear interpolation."""
-    order = np.argsort(f, kind="stable")
+    """Pool adjacent violators: knots (raw score, calibrated score) for linear interpolation. Equal raw scores are pooled first; the calibrated scores rise."""
+    raw, place, n = np.unique(f, return_inverse=True, return_counts=True)
     blocks: list[list[float]] = []
-    for s, t in zip(f[order], y[order], strict=True):
-        blocks.append([t, 1.0, s])
-        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+    for s, t, k in zip(raw, np.bincount(place, weights=y, minlength=len(raw)), n, strict=True):
+        blocks.append([t, float(k), s * k])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             a = blocks.pop()
             blocks[-1] = [blocks[-1][0] + a[0], blocks[-1][1] + a[1], blocks[-1][2] + a[2]]
-    return np.array([b[2] / b[1] for b in blocks]), np.array([(b[0] + 0.05) / (b[1] + 0.1) for b in blocks])
+    return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
 class Model:
