@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, incremental, store, temporal
+from ..functions import text as X
+from ..operators import graph, incremental, names, store, temporal
 from ..operators.versioned import Change, VersionedTables
+from ..streaming import builds
 from .fixtures import Tables, imports, rel, ver, with_
 from .queries import ORACLE, query
 
@@ -104,3 +106,77 @@ def dirty_paths(t: Tables) -> DataFrame:
     near = s.select(F.concat(F.lit("mk"), F.col("s_suppkey") % 300, F.lit("/f"), F.col("s_suppkey") * 3 % 400, F.lit(".c")).alias("path"), F.lit("added").alias("change"))
     root = s.where("s_suppkey % 2 = 0").select(F.concat(F.lit("f"), F.col("s_suppkey") * 5 % 400, F.lit(".c")).alias("path"), F.lit("removed").alias("change"))
     return incremental.dirty_paths(near.unionByName(root).distinct(), build)
+
+
+def _named(t: Tables) -> DataFrame:
+    """Parts as entities: every third one is renamed ten revisions after it came."""
+    p = t.part.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).where("n = 0 or p_partkey % 3 = 0")
+    name = F.when(F.col("n") == 0, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.concat_ws(" ", "p_name", "p_type", "p_name"))
+    born = F.col("p_size").cast("long")
+    return p.select(F.col("p_partkey").alias("entity_id"), name.alias("name"), F.when(F.col("n") == 0, born).otherwise(born + 10).alias("valid_from"), F.when((F.col("n") == 0) & (F.col("p_partkey") % 3 == 0), born + 10).alias("valid_to"))
+
+
+_NAMED = """named AS (SELECT p_partkey AS entity_id, CASE n WHEN 0 THEN concat_ws(' ', p_name, p_brand) ELSE concat_ws(' ', p_name, p_type, p_name) END AS name, CAST(p_size + n * 10 AS BIGINT) AS valid_from,
+  CASE WHEN n = 0 AND p_partkey % 3 = 0 THEN p_size + 10 END AS valid_to FROM part, range(2) r(n) WHERE n = 0 OR p_partkey % 3 = 0)"""
+
+
+def _names_sql(terms: list[str], revision: int, limit: int) -> str:
+    values = ", ".join(f"({i}, '{p}')" for i, p in enumerate(terms))
+    return f"""WITH {_NAMED}, v AS (SELECT *, regexp_extract_all(lower(name), '{X.TERM}') AS t FROM named WHERE valid_from <= {revision} AND (valid_to IS NULL OR valid_to > {revision})),
+s AS (SELECT count(*) AS n, avg(len(t)) AS average FROM v), q(i, p) AS (VALUES {values}),
+h AS (SELECT entity_id, name, len(t) AS length, i, len(list_filter(t, lambda x: starts_with(x, p))) AS tf FROM v, q WHERE len(list_filter(t, lambda x: starts_with(x, p))) > 0),
+d AS (SELECT i, count(*) AS df FROM h GROUP BY i),
+c AS (SELECT entity_id, name, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS score FROM h JOIN d USING (i), s GROUP BY entity_id, name HAVING count(*) = {len(terms)})
+SELECT CAST(row_number() OVER (ORDER BY round(score, 9) DESC, entity_id) AS INT) AS rank, entity_id, name, round(score, 6) AS score, p_retailprice AS price FROM c JOIN part ON p_partkey = entity_id QUALIFY rank <= {limit}"""
+
+
+def _found(t: Tables, query_text: str, revision: int, limit: int, stored: bool) -> DataFrame:
+    versions = _named(t)
+    posts, stats = names.name_postings(versions), names.name_stats(versions)
+    if stored:
+        tables = VersionedTables(t.spark, _tables(t).root, names.STORED)
+        tables.commit(tables.head(), {"names": Change(posts), "name_stats": Change(stats.withColumn("valid_from", F.col("revision")))}, 60)
+        at = tables.compact("names")
+        posts, stats = tables.rows("names", names.query_heads(query_text), at), tables.rows("name_stats", at=at).select("revision", "n", "length")
+    found = names.find_names(posts, stats, versions, t.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price")), query_text, limit, revision)
+    return found.select("rank", "entity_id", "name", F.round("score", 6).alias("score"), "price")
+
+
+@query(_names_sql(["br", "sm"], 30, 40))
+def name_prefixes(t: Tables) -> DataFrame:
+    """Names at a revision by prefixes that all must match, ranked by BM25, from postings in a stored table of which the heads of the query are read."""
+    return _found(t, "sm Br", 30, 40, True)
+
+
+@query(_names_sql(["1", "ring"], 45, 25))
+def name_prefixes_short(t: Tables) -> DataFrame:
+    """The same with a prefix shorter than the heads, which all postings are sought for."""
+    return _found(t, "ring 1", 45, 25, False)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, ts, event_type FROM events),
+r(user_id, i, frontier, target, ts) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), ts FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, CAST(t + 1 AS BIGINT), CAST(t AS BIGINT), e.ts FROM (SELECT r.*, e.i AS ei, e.event_type, e.ts AS ets, r.frontier + coalesce(nullif(list_position(list_slice(['view', 'click', 'signup', 'purchase', 'error'], r.frontier + 1, 5), e.event_type), 0), 1) - 1 AS t
+    FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1 WHERE r.frontier < 5) x JOIN e ON e.user_id = x.user_id AND e.i = x.ei)
+SELECT user_id AS run, 's' || target AS node, epoch_us(ts) AS "at" FROM r WHERE NOT (i = 1 AND target = 0)""")
+def flow_tracker(t: Tables) -> DataFrame:
+    """When each step of a flow became active, of events as the log lines of a run each, by the tracker in event time; a last run's line closes the stream."""
+    spark = t.spark
+    flow = [("t", "push", 0, "entry"), ("g0", "a", 0, "group"), ("s0", "view", 0, "step"), ("s1", "click", 0, "step"), ("g1", "b", 1, "group"), ("s2", "signup", 1, "step"), ("s3", "purchase", 1, "step"), ("s4", "error", 1, "step")]
+    nodes = F.array(*[F.struct(F.lit(n).alias("node"), F.lit(label).alias("label"), F.lit(row).alias("row"), F.lit(role).alias("role")) for n, label, row, role in flow])
+    shape = lambda rows: rows.select(F.col("user_id").cast("string").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("number"), F.concat("event_type", F.lit(" now")).alias("line"), F.lit(None).cast("int").alias("exit"))
+    at = f"{_tables(t).root}/log"
+    shape(t.events).repartition(3).write.parquet(at)  # in no order
+    end = spark.createDataFrame([("~", 0, "end", 0)], "run string, number long, line string, exit int").join(t.events.agg((F.max("ts") + F.expr("interval 400 days")).cast("timestamp").alias("ts")))  # one row
+    end.select("run", "ts", "number", "line", "exit").write.mode("append").parquet(at)
+    stream = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at).withColumn("flow", nodes)
+    out, store_of = f"{at}-out", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store_of)
+    spark.conf.set(store_of, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = builds.track_flow(stream, "365 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(store_of, before)
+    q.awaitTermination()
+    steps = spark.read.parquet(out).where("state = 'active' and node like 's%' and run <> '~'")
+    return steps.select(F.col("run").cast("long").alias("run"), "node", F.unix_micros("at").alias("at"))
