@@ -26,6 +26,13 @@ def import_rollup(imports: DataFrame) -> DataFrame:
     return own.select("module", "n", F.explode(path_ancestors(inside)).alias("directory")).groupBy("directory", "module").agg(F.sum("n").alias("import_count"))
 
 
+def tree_rollup(imports: DataFrame, below: DataFrame) -> DataFrame:
+    """ancestor, module, import_count: imports (node, module) counted once a node and module for everything that contains the node (below: ancestor, node, as
+    graph.containment() gives it): the rollup over containment edges, whatever the keys look like."""
+    once = imports.select("node", "module").distinct()
+    return once.join(below, "node").groupBy("ancestor", "module").agg(F.count(F.lit(1)).alias("import_count"))
+
+
 def rollup_provenance(imports: DataFrame) -> DataFrame:
     """directory, module, observation_id: what supports each row of the rollup, as rows of a bridge and not as lists."""
     return imports.select(F.explode(path_ancestors(F.col("path"))).alias("directory"), "module", "observation_id").distinct()

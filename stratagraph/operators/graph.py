@@ -158,19 +158,50 @@ def shortest_path_edges(edges: DataFrame, start, goal, most: int = 500) -> DataF
     return e.join(F.broadcast(total)).where("a + 1 + b = total").select("src", "dst", F.col("a").alias("position")).orderBy("position", "src", "dst").limit(most)  # total is one row at most
 
 
-def ancestor_of(parents: DataFrame, wanted: Column, most: int = 64) -> DataFrame:
-    """node, ancestor: the nearest node upward (itself first) for which `wanted` (over column node) holds. parents: child, parent, one a child."""
-    nodes = parents.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
-    marked = nodes.withColumn("ok", wanted)
-    state = marked.select("node", F.col("node").alias("at"), "ok")
-    done = state.where("ok").select("node", F.col("at").alias("ancestor"))
-    for i in range(most):
-        state = state.where("not ok").drop("ok").join(parents, F.col("at") == F.col("child")).select("node", F.col("parent").alias("at")).join(marked.select(F.col("node").alias("m"), "ok"), F.col("at") == F.col("m")).drop("m")
-        state = settled(state)
-        if state.isEmpty():
-            break
-        done = done.unionByName(state.where("ok").select("node", F.col("at").alias("ancestor")))
-    return done
+def ancestor_of(parents: DataFrame, wanted: Column) -> DataFrame:
+    """node, ancestor: the nearest node upward (itself first), however far, for which `wanted` (over column node) holds. parents: child, parent, one a child.
+
+    Pointers are doubled, so the rounds are the logarithm of the depth. A node without such an ancestor, or whose way up runs into a cycle without one,
+    has no row.
+    """
+    marked = parents.select(F.explode(F.array("child", "parent")).alias("node")).distinct().withColumn("ok", wanted)
+    up = marked.where("not ok").join(parents, F.col("node") == F.col("child")).select("node", F.col("parent").alias("at"))
+    up = up.join(marked.select(F.col("node").alias("at"), "ok"), "at").select("node", "at", "ok")
+    state = settled(marked.where("ok").select("node", F.col("node").alias("at"), "ok").unionByName(up))
+    return _doubled(state).where("ok").select("node", F.col("at").alias("ancestor"))
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """state (node, at, ok), one row a node, after every pointer that is not ok was followed until it is, leads nowhere (its row goes) or runs in a cycle."""
+    rounds, most = 0, None
+    while not state.where("not ok").isEmpty():
+        rounds += 1
+        if rounds > 6:  # only chains of over 64 and cycles come here: 2 ** rounds steps reach the end of any chain of the nodes there are
+            most = state.count().bit_length() if most is None else most
+            if rounds > most + 1:
+                break
+        onward = state.select(F.col("node").alias("n"), F.col("at").alias("next"), F.col("ok").alias("there"))
+        moved = state.where("not ok").join(onward, F.col("at") == F.col("n")).select("node", F.col("next").alias("at"), F.col("there").alias("ok"))
+        state = settled(state.where("ok").unionByName(moved))
+    return state
+
+
+def containment(parents: DataFrame) -> DataFrame:
+    """ancestor, node, hops of every node below another one. parents: child, parent; of several parents the least counts. Nodes whose way up runs into a cycle are
+    left out. By doubling: the pairs of up to 2k hops are those of up to k, and those of k hops followed by those."""
+    one = settled(parents.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("at")))
+    tops = one.select("at").distinct().join(one.select(F.col("node").alias("at")), "at", "left_anti")
+    reach = one.join(tops.withColumn("top", F.lit(True)), "at", "left").select("node", "at", F.col("top").isNotNull().alias("ok"))
+    jump = settled(_doubled(settled(reach)).where("ok").select("node").join(one, "node"))
+    closed, k = jump.select("node", F.col("at").alias("ancestor"), F.lit(1).alias("hops")), 1
+    while True:
+        onward = settled(jump.join(jump.select(F.col("node").alias("at"), F.col("at").alias("next")), "at").select("node", F.col("next").alias("at")))
+        if k > 1 or not onward.isEmpty():
+            below = closed.select(F.col("node").alias("at"), "ancestor", (F.col("hops") + k).alias("hops"))
+            closed = settled(closed.unionByName(jump.join(below, "at").select("node", "ancestor", "hops")))
+        if onward.isEmpty():
+            return closed.select("ancestor", "node", "hops")
+        jump, k = onward, 2 * k
 
 
 def tree_rows(parents: DataFrame, labels: DataFrame) -> DataFrame:

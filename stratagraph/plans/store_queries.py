@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import graph, incremental, names, store, temporal
+from ..operators import derive, graph, incremental, names, store, temporal
 from ..operators.versioned import Change, VersionedTables
 from ..streaming import builds
 from .fixtures import Tables, imports, rel, ver, with_
@@ -180,3 +180,22 @@ def flow_tracker(t: Tables) -> DataFrame:
     q.awaitTermination()
     steps = spark.read.parquet(out).where("state = 'active' and node like 's%' and run <> '~'")
     return steps.select(F.col("run").cast("long").alias("run"), "node", F.unix_micros("at").alias("at"))
+
+
+@query(ORACLE["import_rollup"])
+def tree_rollup(t: Tables) -> DataFrame:
+    """The import rollup over containment edges: the closure of the folders' edges by doubling, not path strings."""
+    i = imports(t)
+    up = i.select("path").distinct().select(F.explode(F.concat(F.filter(derive.path_ancestors(F.col("path")), lambda p: p != ""), F.array("path"))).alias("child")).distinct()
+    parents = up.select("child", F.regexp_extract("child", r"^(.*)/[^/]*$", 1).alias("parent"))
+    return derive.tree_rollup(i.select(F.col("path").alias("node"), "module"), graph.containment(parents)).select(F.col("ancestor").alias("directory"), "module", "import_count")
+
+
+@query("""WITH RECURSIVE p AS (SELECT o_custkey AS child, max(o_orderkey) AS k FROM orders GROUP BY o_custkey),
+e AS (SELECT child, k % (SELECT count(*) FROM customer) AS parent FROM p WHERE k % (SELECT count(*) FROM customer) < child),
+c(node, ancestor, hops) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT c.node, e.parent, hops + 1 FROM c JOIN e ON c.ancestor = e.child)
+SELECT ancestor, node, CAST(hops AS INT) AS hops FROM c""")
+def containment_closure(t: Tables) -> DataFrame:
+    """All pairs of a forest of customers: everyone is held by the customer that their last order's number names, if that comes before."""
+    last = t.orders.groupBy(F.col("o_custkey").alias("child")).agg(F.max("o_orderkey").alias("k")).join(t.customer.agg(F.count(F.lit(1)).alias("n")))  # one row
+    return graph.containment(last.select("child", (F.col("k") % F.col("n")).alias("parent")).where("parent < child"))
