@@ -1,12 +1,13 @@
-"""License scans: MinHash anchors in overlapping text windows retrieve templates; exact shingle containment verifies them.
+"""License scans: MinHash bands over overlapping text windows retrieve templates; exact shingle containment verifies them.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters; shingles have SHINGLE words (a shorter template is one
 shingle of its own length). A template of n words is sought in windows of 2 * m words that start every m words, where m is
-the power of two from n up, so every passage of its length lies whole in a window. The shingles that give a template's HASHES MinHash
-values are its anchors (all its shingles, if those are not more than a share 1 - CONTAINED of them), and every window that holds an
-anchor is retrieved, whether or not it has the MinHash value: in a window much longer than the template another shingle may. What
-holds a share CONTAINED of the shingles holds an anchor, so no passage is missed. A template retrieved is verified by the share of
-its shingles that the window holds; CONTAINED or more is a finding.
+the power of two from n up, so every passage of its length lies whole in a window. A window's signature is BANDS bands of one MinHash row each; it
+retrieves the templates that agree with it in a band. A window that holds a share CONTAINED of a template's shingles has a Jaccard likeness of 0.12 or
+more with it, whatever n is (4 of 29 shingles at worst), so one row a band and 160 bands retrieve it with a probability of over 1 - 2e-9. A template of
+one shingle would be less alike to such a window, so it is sought in windows of one shingle. A window that holds no shingle of any template agrees with
+none in any band and is not signed. A template retrieved is verified by the share of its shingles that the window holds; CONTAINED or more is a finding.
+Templates with the same findings (ties) are all given.
 
 Nulls: a null or empty text has no findings. Repeated rows get equal results. Input columns that clash with the added one are replaced.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from .tokens import U, Words, letter_words, mixed, text_slices, window_hash
 
 SHINGLE = 5
-HASHES = 64
+BANDS = 160
 CONTAINED = 0.8
 ADDED = "licenses array<struct<license:string,containment:double,start:int,end:int>>"
 
@@ -41,66 +42,76 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
-_SALT = mixed(np.arange(1, HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+_SALT = mixed(np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 #: Templates are held by every task.
 MOST_TEMPLATES = 20_000
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The BANDS MinHash values of a set of shingle hashes."""
+    return mixed(shingles[None, :] ^ _SALT[:, None]).min(1)
+
+
+class Group:
+    """Templates that are sought in the same windows: which of them a band's value retrieves, and all their shingles."""
+
+    def __init__(self, k: int, m: int, single: bool):
+        self.k, self.m, self.single = k, m, single
+        self.rows: list[dict] = []
+        self.bands: dict[tuple[int, int], list[dict]] = {}
+        self.shingles = np.empty(0, U)
+
+    def add(self, name: str, shingles: np.ndarray) -> None:
+        row = {"name": name, "shingles": shingles}
+        self.rows.append(row)
+        for band in enumerate(signature(shingles).tolist()):
+            self.bands.setdefault(band, []).append(row)
+        self.shingles = np.union1d(self.shingles, shingles)
+
+    def retrieved(self, window: np.ndarray) -> list[dict]:
+        """The templates that agree in a band with a window (its distinct shingles), each once."""
+        parts = window[np.isin(window, self.shingles)][:, None] if self.single else [window]
+        found = {id(r): r for part in parts for band in enumerate(signature(part).tolist()) for r in self.bands.get(band, ())}
+        return list(found.values())
+
+
 class Templates:
-    """Shingles, lengths and anchors of the templates, by size of shingle."""
+    """The templates in groups by size of shingle and of window."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         data = [t.encode() for _, t in templates]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
         w = Words(np.frombuffer(b"".join(data), np.uint8), offsets, letter_words(), lower=True)
-        self.rows = []
+        groups: dict[tuple, Group] = {}
         for i, (name, _) in enumerate(templates):
             h = w.hash[w.first[i] : w.first[i + 1]]
-            if not len(h):
-                continue
-            k = min(SHINGLE, len(h))
-            shingles = np.unique(window_hash(h, k))
-            values = mixed(shingles[None, :] ^ _SALT[:, None])
-            anchor = np.unique(shingles[values.argmin(1)])
-            if len(anchor) <= (1 - CONTAINED) * len(shingles) + 1:  # else what is contained holds one of them
-                anchor = shingles
-            m = 1 << max(3, (len(h) - 1).bit_length())
-            self.rows.append({"name": name, "k": k, "words": len(h), "m": m, "shingles": shingles, "anchor": anchor})
-        self.ks = sorted({r["k"] for r in self.rows})
-        self.anchors, self.holders = {}, {}
-        for k in self.ks:  # which templates an anchor retrieves: a text is compared with those only
-            mine = [r for r in self.rows if r["k"] == k]
-            anchor = np.concatenate([r["anchor"] for r in mine])
-            holder = np.repeat(np.arange(len(mine)), [len(r["anchor"]) for r in mine])
-            order = np.argsort(anchor, kind="stable")
-            self.anchors[k], self.holders[k] = anchor[order], [mine[i] for i in holder[order]]
+            if len(h):
+                k, m = min(SHINGLE, len(h)), 1 << max(3, (len(h) - 1).bit_length())
+                shingles = np.unique(window_hash(h, k))
+                key = k, m, len(shingles) == 1
+                groups.setdefault(key, Group(*key)).add(name, shingles)
+        self.groups = list(groups.values())
+        self.shingles = {k: np.unique(np.concatenate([g.shingles for g in self.groups if g.k == k])) for k in sorted({g.k for g in self.groups})}
 
 
 def _scan(t: Templates, hashes: np.ndarray) -> list[dict]:
     """Findings in one text's word hashes."""
-    found = []
-    for k in t.ks:
-        s = window_hash(hashes, k)
-        low, high = np.searchsorted(t.anchors[k], s), np.searchsorted(t.anchors[k], s, "right")
-        at = np.flatnonzero(high > low)
-        for r in {id(r): r for i in at for r in t.holders[k][low[i] : high[i]]}.values():
-            mine = at[np.isin(s[at], r["anchor"])]
-            best = None
-            for start in np.unique(np.concatenate([mine // r["m"], mine // r["m"] - 1])) * r["m"]:
-                if start < 0 and (mine >= r["m"]).all():
-                    continue
-                window = s[max(0, start) : max(0, start + 2 * r["m"] - k + 1)]
-                if not len(window):
-                    continue
-                held = np.isin(window, r["shingles"])
-                share = len(np.unique(window[held])) / len(r["shingles"])
-                if share >= CONTAINED and (best is None or share > best["containment"]):
-                    places = np.flatnonzero(held) + max(0, start)
-                    best = {"license": r["name"], "containment": share, "start": int(places[0]), "end": int(places[-1] + k)}
-            if best:
-                found.append(best)
-    return sorted(found, key=lambda x: (x["start"], x["license"]))
+    found: dict[str, dict] = {}
+    for g in t.groups:
+        s = window_hash(hashes, g.k)
+        at = np.flatnonzero(np.isin(s, g.shingles)) // g.m
+        for start in np.unique(np.concatenate([at, at - 1])) * g.m:
+            window = s[max(0, start) : start + 2 * g.m - g.k + 1]
+            if start < 0 or not len(window):
+                continue
+            held = np.unique(window)
+            for r in g.retrieved(held):
+                share = np.isin(r["shingles"], held).sum() / len(r["shingles"])
+                if share >= CONTAINED and (r["name"] not in found or share > found[r["name"]]["containment"]):
+                    places = np.flatnonzero(np.isin(window, r["shingles"])) + start
+                    found[r["name"]] = {"license": r["name"], "containment": float(share), "start": int(places[0]), "end": int(places[-1] + g.k)}
+    return sorted(found.values(), key=lambda x: (x["start"], x["license"]))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES) -> DataFrame:
@@ -124,9 +135,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame
                 w = Words(data, offsets, is_word, lower=True)
                 doc = w.doc_of()
                 near = np.zeros(b - a, bool)
-                for k in t.ks:
-                    s = window_hash(w.hash, k)
-                    near[doc[np.flatnonzero(np.isin(s, t.anchors[k]))]] = True
+                for k, shingles in t.shingles.items():
+                    near[doc[np.flatnonzero(np.isin(window_hash(w.hash, k), shingles))]] = True
                 found = [_scan(t, w.hash[w.first[i] : w.first[i + 1]]) if near[i] else [] for i in range(b - a)]
                 piece = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(piece.column(f.name) for f in kept), pa.array(found, kind)], [*(f.name for f in kept), "licenses"])

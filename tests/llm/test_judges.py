@@ -222,6 +222,28 @@ def test_licenses(spark, awkward, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_templates_are_retrieved_by_bands_only(monkeypatch):
+    rng = random.Random(12)
+    t = licenses.Templates(licenses.TEMPLATES)
+    missed = 0
+    for i in range(300):
+        name, text = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        w = text.split()
+        for _ in range(len(w) // 60):  # as many edits as leave four fifths of the shingles
+            w[rng.randrange(len(w))] = f"x{rng.random()}"
+        hay = [f"w{rng.random()}" for _ in range(rng.randint(0, 400))]
+        at = rng.randint(0, len(hay))
+        text = " ".join([*hay[:at], *w, *hay[at:]])
+        want = _contained(text, [(name, licenses.TEMPLATES[i % len(licenses.TEMPLATES)][1])])
+        missed += len(want - {x["license"] for x in licenses._scan(t, _hashes(text))})
+    assert missed == 0
+    window = np.arange(1, 30, dtype=np.uint64)
+    assert len(licenses.signature(window)) == licenses.BANDS and (licenses.signature(window[:10]) >= licenses.signature(window)).all()
+    with monkeypatch.context() as m:  # bands that never agree retrieve nothing
+        m.setattr(licenses, "signature", lambda s: np.full(licenses.BANDS, 7, np.uint64))
+        assert licenses._scan(t, _hashes(licenses.TEMPLATES[1][1])) == []
+
+
 def test_short_templates_are_found_wherever_they_stand():
     name = "provided under the license 1504"  # its MinHash values are high: other shingles of a window often have lower ones
     t = licenses.Templates([("x", name)])
