@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import derive, graph, incremental, names, store, temporal
+from ..operators import derive, graph, incremental, names, store, temporal, trend
 from ..operators.versioned import Change, VersionedTables
 from ..streaming import builds
 from .fixtures import Tables, imports, rel, ver, with_
@@ -199,3 +199,19 @@ def containment_closure(t: Tables) -> DataFrame:
     """All pairs of a forest of customers: everyone is held by the customer that their last order's number names, if that comes before."""
     last = t.orders.groupBy(F.col("o_custkey").alias("child")).agg(F.max("o_orderkey").alias("k")).join(t.customer.agg(F.count(F.lit(1)).alias("n")))  # one row
     return graph.containment(last.select("child", (F.col("k") % F.col("n")).alias("parent")).where("parent < child"))
+
+
+@query(f"""{with_('rel')}, n AS (SELECT c_custkey AS node, CAST(1 + c_custkey % 60 AS BIGINT) AS valid_from, CASE WHEN c_custkey % 9 = 0 THEN CAST(60 + c_custkey % 50 AS BIGINT) END AS valid_to FROM customer),
+last AS (SELECT DISTINCT valid_from AS r FROM rel ORDER BY r DESC LIMIT 20),
+e AS MATERIALIZED (SELECT DISTINCT r, source_id AS src, target_id AS dst FROM rel JOIN last ON valid_from <= r AND (valid_to IS NULL OR valid_to > r)),
+p AS (WITH RECURSIVE q(r, a, b) AS (SELECT r, src, dst FROM e UNION SELECT q.r, q.a, e.dst FROM q JOIN e ON q.r = e.r AND q.b = e.src) SELECT * FROM q)
+SELECT r AS revision, (SELECT count(*) FROM n WHERE valid_from <= r AND (valid_to IS NULL OR valid_to > r)) AS nodes, (SELECT count(*) FROM rel WHERE valid_from <= r AND (valid_to IS NULL OR valid_to > r)) AS edges,
+  (SELECT count(*) FROM e WHERE e.r = last.r AND (src = dst OR EXISTS (SELECT 1 FROM p WHERE p.r = e.r AND p.a = e.dst AND p.b = e.src))) AS cyclic,
+  (SELECT count(*) FROM n WHERE valid_from <= r AND (valid_to IS NULL OR valid_to > r) AND NOT EXISTS (SELECT 1 FROM e WHERE e.r = last.r AND (src = node OR dst = node))) AS orphans FROM last""")
+def metrics_trend(t: Tables) -> DataFrame:
+    """Nodes, edges, cyclic edges and orphans of the graph at its last twenty revisions, in one run."""
+    c = F.col("c_custkey")
+    nodes = t.customer.select(c.alias("node"), (1 + c % 60).alias("valid_from"), F.when(c % 9 == 0, 60 + c % 50).alias("valid_to"))
+    edges = rel(t).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "valid_from", "valid_to")
+    last = edges.select(F.col("valid_from").alias("revision")).distinct().orderBy(F.desc("revision")).limit(20)
+    return trend.metrics_trend(nodes, edges, last)
