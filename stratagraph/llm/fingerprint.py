@@ -16,12 +16,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty, words, written
+from .common import let, small, text_or_empty, words, written
 
 K = 128
 SHINGLE = 5
 BIN_BYTES = 4 << 20
+#: Bins of the first cut; a bin that is still too large is cut again.
 MOST_BINS = 4096
+#: Cuts are broadcast for at most so many bins (about a kilobyte each); beyond, the join shuffles.
+MOST_CUTS = 10_000
+#: So many copies of one row are left together, however long it is.
+FEW_COPIES = 16
 _FAN = 64
 
 
@@ -75,29 +80,61 @@ def _bin(doc_id: Column, bounds: list[int]) -> Column:
     return F.when(doc_id.isNull(), F.lit(len(bounds) + 1)).otherwise(found)
 
 
-def _prefix() -> Column:
-    """The first seven bytes of text as a number: ordered as the texts are."""
-    return F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+_LENGTHS = [1 << i for i in range(29, -1, -1)]
 
 
-def _parts(binned: DataFrame, size: Column, bin_bytes: int) -> DataFrame | None:
-    """Bounds within bins that hold over twice bin_bytes: bin, by_text (the bin has one doc_id), bounds. At most MOST_BINS + 2 rows; None without any."""
-    sizes = binned.groupBy("bin").agg(F.sum(size).alias("bytes"), (F.min("doc_id").eqNullSafe(F.max("doc_id"))).alias("by_text"))
-    crowded = written(sizes.where(F.col("bytes") > 2 * bin_bytes).select("bin", "by_text"), "print-crowded")
-    if crowded.isEmpty():
-        return None
-    inner = binned.join(F.broadcast(crowded), "bin")  # a row a bin
-    value = F.when(F.col("by_text"), _prefix()).otherwise(F.col("doc_id"))
-    cuts = F.percentile_approx(value, [i / _FAN for i in range(1, _FAN)], 10 * _FAN)
-    return written(inner.groupBy("bin", "by_text").agg(F.array_distinct(cuts).alias("bounds")), "print-parts")
+def _common(a: Column, b: Column) -> Column:
+    """How many code points two texts begin with alike, by halving."""
+    return F.aggregate(F.array(*map(F.lit, _LENGTHS)), F.lit(0), lambda n, p: F.when(F.left(a, n + p) == F.left(b, n + p), n + p).otherwise(n))
+
+
+def _crowded(binned: DataFrame, depth: int, size: Column, bin_bytes: int) -> DataFrame:
+    """Of the bins of a depth those of over twice bin_bytes (a row a bin): bin, one_id, and where a bin has one id or none, same (code points that its texts begin
+    with alike) and salts (over 1: its rows are copies of one)."""
+    mine = binned.where(F.size("bin") == depth)
+    sizes = mine.groupBy("bin").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"), (F.min("doc_id").eqNullSafe(F.max("doc_id"))).alias("one_id"))
+    sizes = written(sizes.where((F.col("bytes") > 2 * bin_bytes) & (F.col("rows") > 1)), "print-crowded")
+    texts = mine.join(small(sizes.where("one_id").select("bin"), MOST_CUTS), "bin", "left_semi").groupBy("bin").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    texts = texts.select("bin", _common(F.col("low"), F.col("high")).alias("same"), (F.col("low") == F.col("high")).alias("copies"))
+    salts = F.when(F.col("copies"), F.ceil(F.col("bytes") / bin_bytes)).otherwise(1)
+    found = sizes.join(texts, "bin", "left").where(~F.coalesce("copies", F.lit(False)) | (F.col("rows") > FEW_COPIES))
+    return written(found.select("bin", "one_id", F.coalesce("same", F.lit(0)).alias("same"), salts.alias("salts")), "print-same")
+
+
+def _value() -> Column:
+    """What a crowded bin is cut by: doc_id, or the seven bytes of text after what all its texts begin with, as a number: ordered as the texts are."""
+    after = F.substring(F.substring(F.col("text"), F.col("same") + 1, F.lit(7)).cast("binary"), 1, 7)
+    return F.when(F.col("one_id"), F.conv(F.rpad(F.hex(after), 14, "0"), 16, 10).cast("bigint")).otherwise(F.col("doc_id"))
+
+
+def _cut(binned: DataFrame, crowded: DataFrame) -> DataFrame:
+    """binned, with crowded bins cut into parts of about the same size. A value at which a bin is cut stands alone, so every cut gets on."""
+    inner = binned.join(small(crowded, MOST_CUTS), "bin").where("salts = 1")
+    cuts = inner.groupBy("bin").agg(F.percentile_approx(_value(), [i / _FAN for i in range(1, _FAN)], 10 * _FAN).alias("q"))
+    bounds = F.array_distinct(F.flatten(F.transform("q", lambda v: F.array(v, v + 1))))
+    parts = written(crowded.join(cuts, "bin", "left").select("bin", "one_id", "same", "salts", bounds.alias("bounds")), "print-parts")
+    part = F.when(F.col("salts") > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.size("bin")), F.col("salts"))).otherwise(F.size(F.filter("bounds", lambda b: b <= _value())).cast("long"))
+    joined = binned.join(small(parts, MOST_CUTS), "bin", "left")
+    return joined.select("doc_id", "text", F.when(F.col("salts").isNull(), F.col("bin")).otherwise(F.array_append("bin", part)).alias("bin"))
+
+
+def _before(heads: DataFrame) -> DataFrame:
+    """bin, before: the bin before each, the last one before the first. By the first place of the bins, then across those: no task orders all bins."""
+    own = Window.partitionBy("first").orderBy("bin")
+    placed = heads.select("bin", F.col("bin")[0].alias("first")).withColumn("near", F.lag("bin").over(own))
+    ends = placed.groupBy("first").agg(F.max("bin").alias("end"))  # MOST_BINS + 1 rows at most
+    order = Window.orderBy("first")
+    ends = ends.select("first", F.coalesce(F.lag("end").over(order), F.max("end").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("far"))
+    return placed.join(ends, "first").select("bin", F.coalesce("near", "far").alias("before"))
 
 
 def with_next(docs: DataFrame, bin_bytes: int | None = None) -> DataFrame:
-    """doc_id, text, and bin and seat (their order), each row once, and one `guard` row at the end of each bin: a copy of the row after it.
+    """doc_id, text, and bin and guard (their order), each row once, and one `guard` row at the end of each bin: a copy of the row after it.
 
     Rows are ordered by doc_id (null last), then text; the last row is followed by the first. Bins are ranges of doc_id of about
-    bin_bytes of text, cut at approximate quantiles; a bin that is larger (more than MOST_BINS bins would be needed, or one doc_id or none stands
-    in many rows) is cut again, into _FAN parts, by doc_id or by text. So no task sorts the whole table, whatever its size.
+    bin_bytes of text, cut at approximate quantiles, MOST_BINS at first. A bin of over twice that is cut again, as often as needed: by doc_id; if it has one
+    doc_id or none, by what its texts have after their common beginning; copies of one row are dealt out, as their order makes no difference. So no task sorts
+    the whole table, and no bin but one of a single row or of few copies of one stays crowded, whatever stands in how many rows.
     """
     bin_bytes = bin_bytes or BIN_BYTES
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
@@ -107,21 +144,13 @@ def with_next(docs: DataFrame, bin_bytes: int | None = None) -> DataFrame:
     cuts = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] if n > 1 else []
     cuts = sorted(cuts or [])
     bounds = sorted({*cuts, *(a + 1 for a, b in zip(cuts, cuts[1:], strict=False) if a == b and a < 2**63 - 1)})  # a frequent doc_id stands alone
-    binned = base.withColumn("bin", _bin(F.col("doc_id"), bounds))
-    parts = _parts(binned, size, bin_bytes)
-    if parts is None:
-        binned = binned.withColumn("bin", F.col("bin").cast("long") * _FAN)
-    else:
-        value = F.when(F.col("by_text"), _prefix()).otherwise(F.col("doc_id"))
-        part = F.coalesce(F.size(F.filter("bounds", lambda b: b <= value)), F.lit(0))
-        binned = binned.join(F.broadcast(parts), "bin", "left").select("doc_id", "text", (F.col("bin").cast("long") * _FAN + F.when(F.col("bounds").isNull(), 0).otherwise(part)).alias("bin"))
+    binned, depth = base.withColumn("bin", F.array(_bin(F.col("doc_id"), bounds).cast("long"))), 1
+    while not (crowded := _crowded(binned, depth, size, bin_bytes)).isEmpty():
+        binned, depth = _cut(binned, crowded), depth + 1
     least = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text"))
     heads = written(binned.groupBy("bin").agg(F.min(least).alias("head")), "print-heads")  # a row a bin
-    order = Window.orderBy("bin")
-    before = F.coalesce(F.lag("bin").over(order), F.max("bin").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    seats = heads.select("bin", before.alias("before"))
-    guards = heads.join(seats, "bin").select("head.doc_id", "head.text", F.col("before").alias("bin"), F.lit(1).alias("guard"))
-    return binned.select("doc_id", "text", "bin", F.lit(0).alias("guard")).unionByName(guards).repartition(n if parts is None else n * 2, "bin")
+    guards = heads.join(_before(heads), "bin").select("head.doc_id", "head.text", F.col("before").alias("bin"), F.lit(1).alias("guard"))
+    return binned.select("doc_id", "text", "bin", F.lit(0).alias("guard")).unionByName(guards).repartition(n if depth == 1 else n * 2, "bin")
 
 
 def fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:

@@ -65,6 +65,19 @@ def test_edited_follows_order(spark, awkward, empty, monkeypatch):
     assert fingerprint.edited_fingerprints(empty).count() == 0
 
 
+def test_hot_rows_leave_no_bin_crowded(spark, monkeypatch):
+    rows = [(None, "same start " * 3 + f"{i % 97:03d} é{i}") for i in range(1500)] + [(None, "a copy of one row")] * 900 + [(5, "x" * 40)] * 500 + [(i, "t") for i in range(100)] + [(7, "seven77" + "z" * 60)] * 3 + [(7, "seven77")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = Counter((d, t[: len(t) - len(t) // 2] + ordered[(i + 1) % len(rows)][1][: len(t) // 2]) for i, (d, t) in enumerate(ordered))
+    for most in (3,):
+        monkeypatch.setattr(fingerprint, "MOST_BINS", most)
+        monkeypatch.setattr(fingerprint, "BIN_BYTES", 4000)
+        sizes = fingerprint.with_next(df).where("guard = 0").groupBy("bin").agg(F.sum(F.octet_length("text") + 16).alias("n")).collect()
+        assert max(r.n for r in sizes) <= 2 * 4000 and sum(r.n for r in sizes) == sum(len(t.encode()) + 16 for _, t in rows)
+        assert Counter((r.doc_id, r.edited) for r in fingerprint.edited_fingerprints(df).collect()) == want
+
+
 def _near(a, b):
     x, y = (set(sorted(_shingles(t))[: fingerprint.K]) for t in (a, b))
     union = set(sorted(x | y)[: fingerprint.K])
