@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators import lookups, scenes, temporal
 from .plans import generator, tools
 from .plans.workspace import Workspace
+from .sources import documents, readers
 
 
 def _lines(df: DataFrame) -> list[str]:
@@ -62,6 +63,21 @@ def _diff(w: Workspace, a: argparse.Namespace) -> list[str]:
     return _table(temporal.revision_diff(w.versions(), a.old, a.new).select("repo", "stable_key", "change"), "repo", "stable_key", "change")
 
 
+def _owners(w: Workspace, a: argparse.Namespace) -> list[str]:
+    log = documents.commits(w.spark.read.text(a.export, wholetext=True).withColumnRenamed("value", "text")).where("path is not null")
+    person = lookups.model.identity(F.col("email"), F.col("author"))
+    return [f"revision {w.enrich_ownership(a.repo, log.select('path', person.alias('person'), F.col('author').alias('name'), 'at'))}"]
+
+
+def _compiled(w: Workspace, a: argparse.Namespace) -> list[str]:
+    return [f"revision {w.enrich_references(a.repo, w.spark.read.schema(readers.OCCURRENCE).json(a.export))}"]
+
+
+def _search(w: Workspace, a: argparse.Namespace) -> list[str]:
+    hits, _, note = w.find(a.query, a.limit, a.repo, a.prefix, a.mode, a.focus)
+    return _lines(tools.search_page(hits, note))
+
+
 def _register(w: Workspace, a: argparse.Namespace) -> list[str]:
     w.register(a.repo, a.folder)
     return [f"registered {a.repo}"]
@@ -79,7 +95,11 @@ COMMANDS: dict[str, tuple[str, list[tuple], Callable[[Workspace, argparse.Namesp
     "index": ("index one repository, or all", [("repo", "?")], _index),
     "contains": ("what an entity contains", [("key",)], _contains),
     "deps": ("what an entity depends on", [("key",)], _deps),
-    "search": ("search the current files", [("query",)], lambda w, a: _lines(tools.search_page(w.search(a.query, a.limit, a.repo, a.prefix)))),
+    "search": ("search the current files", [("query",)], _search),
+    "owners": ("people and ownership from an exported log", [("repo",), ("export",)], _owners),
+    "compiled": ("references from a compiler's exported occurrences (JSON lines)", [("repo",), ("export",)], _compiled),
+    "why": ("the files that support a fact", [("key",)], lambda w, a: _table(w.why(a.key), "repo", "path")),
+    "origins": ("the renames that indexing saw", [("repo",)], lambda w, a: _table(w.origins(a.repo), "revision", "new_path")),
     "def": ("find a definition", [("symbol",)], lambda w, a: _lines(tools.find_definition(w.entities(), a.symbol, a.limit))),
     "refs": ("what refers to a symbol", [("symbol",)], lambda w, a: _lines(tools.find_references(w.entities(), w.edges(), a.symbol))),
     "callers": ("what calls a symbol", [("symbol",)], lambda w, a: _lines(tools.callers_of(w.entities(), w.edges(), a.symbol))),
@@ -106,7 +126,7 @@ def parser() -> argparse.ArgumentParser:
         for arg in arguments:
             taken.add(arg[0])
             c.add_argument(arg[0], **({"nargs": "?"} if arg[1:] == ("?",) else {"type": arg[1]} if len(arg) > 1 else {}))
-        for option, kind, default in (("repo", str, None), ("prefix", str, None), ("limit", int, 10), ("depth", int, 2), ("tokens", int, None)):
+        for option, kind, default in (("repo", str, None), ("prefix", str, None), ("limit", int, 10), ("depth", int, 2), ("tokens", int, None), ("mode", str, "lexical")):
             if option not in taken:
                 c.add_argument(f"--{option}", type=kind, default=default)
         c.add_argument("--focus", action="append")

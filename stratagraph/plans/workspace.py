@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ TABLES = {
     "contents": Spec("blob_hash string, text string", ("blob_hash",), "blob_hash"),
     "windows": Spec("blob_hash string, ordinal int, start_line int, body string, split string", ("blob_hash",), "blob_hash"),
     "postings": Spec("term string, blob_hash string, ordinal int, tf double, length int, bucket int", ("term", "blob_hash"), "bucket", index.TERM_BUCKETS),
+    "chunks": Spec("blob_hash string, ordinal int, start_line int, end_line int, decl_key string, context string", ("blob_hash",), "blob_hash"),
+    "vectors": Spec("blob_hash string, ordinal int, model string, embedding array<float>", ("blob_hash", "model"), "blob_hash"),
     "stats": Spec("n long, terms long", ("n",), "n", 1),
 }
 #: Rows are looked up by up to so many paths, keys or hashes by name; beyond, the tables are joined whole.
@@ -42,8 +45,9 @@ class Workspace:
     paths support are derived again (see incremental). Every fact knows the paths that support it.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, embedder: tuple[str, Callable[[Column], Column]] | None = None):
+        """embedder: the name and revision of a model, which vectors are kept with, and the column function that embeds texts and queries alike."""
+        self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder
         self.tables = VersionedTables(spark, self.root, TABLES)
 
     def revision(self) -> int:
@@ -269,14 +273,15 @@ class Workspace:
         number = lambda i: F.get(said, F.lit(i)).cast("int")
         return self.facts(revision).where(_is_edge()).select(F.xxhash64("stable_key").alias("id"), ends[0].alias("kind"), F.xxhash64(ends[1]).alias("src"), F.xxhash64(ends[2]).alias("dst"), number(1).alias("refs"), number(2).alias("calls"))
 
-    def ranks(self, repo: str, focus: list[str] | None = None) -> DataFrame:
-        """path, rank of a repository's files by PageRank over references, imports and builds between them, drawn to the files of the focus names."""
-        files = self.entities().where((F.col("repo") == repo) & (F.col("kind") == "file")).select("node", "path")
+    def ranks(self, repo: str | None, focus: list[str] | None = None) -> DataFrame:
+        """path, rank of a repository's (or all) files by PageRank over references, imports and builds between them, drawn to the files of the focus names."""
+        here = F.lit(True) if repo is None else F.col("repo") == repo
+        files = self.entities().where(here & (F.col("kind") == "file")).select("node", "path")
         weight = F.when(F.col("kind") == "references", F.coalesce("refs", F.lit(1))).when(F.col("kind") == "builds", 2).otherwise(1)
         e = graph.edges_among(self.edges().where("kind in ('references', 'imports', 'builds')").select("src", "dst", weight.cast("double").alias("weight")), files)
         seeds = None
         for name in focus or []:
-            found = search.name_search(self.entities().where(F.col("repo") == repo), name, 3, list(model.DEFINITION_KINDS)).select("path").join(files, "path").select("node")
+            found = search.name_search(self.entities().where(here), name, 3, list(model.DEFINITION_KINDS)).select("path").join(files, "path").select("node")
             seeds = found if seeds is None else seeds.unionByName(found)
         return files.join(graph.pagerank(files, graph.settled(e), seeds=seeds), "node").select("path", "rank")
 
@@ -292,10 +297,67 @@ class Workspace:
                 stats = self.spark.createDataFrame([(new.n, new.terms)], "n long, terms long")
                 self.tables.commit(at, {"windows": Change(windows.select("*", since)), "postings": Change(index.postings(windows).select("*", since)), "stats": Change(stats.select("*", since))}, at["revision"])
                 self.tidy()
+            if self.embedder:
+                self._build_vectors(held)
             return new.n
         finally:
             self._drop(held)
 
+    def _build_vectors(self, held: list[str]) -> None:
+        """Chunks of contents that have none, and vectors of chunks that the model has not embedded, in one commit."""
+        model_name, embed = self.embedder
+        at = self.tables.head()
+        since = F.lit(at["revision"]).cast("long").alias("valid_from")
+        place = self._current("manifest", at=at).select("repo", "path", "blob_hash", "lang")
+        seen = self._current("observations", at=at).join(place.select("repo", "path", "lang"), ["repo", "path"])
+        key = model.decl_key(F.col("lang"), F.col("repo"), F.col("path"), F.col("decl_path"))
+        named = place.groupBy("blob_hash").agg(F.min(F.struct("path", "repo")).alias("p")).select("blob_hash", "p.path", "p.repo")  # a blob's first place names it
+        seen = seen.join(named.select("repo", "path"), ["repo", "path"], "left_semi")
+        decls = seen.where("kind = 'declaration'").select("blob_hash", key.alias("key"), "start", "end")
+        uses = seen.where("kind = 'importStatement'").select("blob_hash", F.col("name").alias("module")).distinct()
+        old = self._current("chunks", at=at).drop("valid_from")
+        contents = self.contents().join(named.select("blob_hash"), "blob_hash", "left_semi")
+        fresh = self._staged(index.new_chunks(contents, decls, named.select("path", "blob_hash"), uses, old, self.root.rsplit("/", 1)[-1]), held)
+        done = self._current("vectors", at=at).where(F.col("model") == model_name).select("blob_hash", "ordinal")
+        bodies = index.chunk_bodies(old.select(*fresh.columns).unionByName(fresh).join(done, ["blob_hash", "ordinal"], "left_anti"), contents)
+        vectors = self._staged(index.embedded(bodies, embed, model_name), held)
+        if not vectors.isEmpty():
+            self.tables.commit(at, {"chunks": Change(fresh.select("*", since)), "vectors": Change(vectors.select("*", since))}, at["revision"])
+            self.tidy()
+
+    def boosts(self, focus: list[str], repo: str | None = None) -> DataFrame:
+        """path, boost of files next to those that declare the focus names, and of central ones."""
+        e = self.entities()
+        e = e if repo is None else e.where(F.col("repo") == repo)
+        named = [search.name_search(e, name, 3, list(model.DEFINITION_KINDS)).select("path") for name in focus]
+        found = named[0]
+        for n in named[1:]:
+            found = found.unionByName(n)
+        files = e.where("kind = 'file'").select("node", "path")
+        between = graph.edges_among(self.edges().select("src", "dst"), files)
+        between = between.join(files.withColumnsRenamed({"node": "src", "path": "a"}), "src").join(files.withColumnsRenamed({"node": "dst", "path": "b"}), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+        return search.adjacency_boost(between, found.distinct(), self.ranks(repo, focus))
+
+    def find(self, query: str, limit: int = 10, repo: str | None = None, prefix: str | None = None, mode: str = "hybrid", focus: list[str] | None = None) -> tuple[DataFrame, str, str | None]:
+        """(hits, mode used, note): rank, repo, path, line, score, snippet, resolution by words, meaning or both; without an embedder words answer, and the note says
+        so. With focus names, findings near them or central in the graph move up where both lists are fused."""
+        at, semantic_hits = self.tables.head(), None
+        if self.embedder and mode != "lexical":
+            name, embed = self.embedder
+            asked = [float(x) for x in self.spark.range(1).select(F.lit(query).alias("q")).select(embed(F.col("q")).alias("v")).first().v]
+            place = self._current("manifest", at=at).select("repo", "path", "blob_hash")
+            vectors, chunks = self._current("vectors", at=at), self._current("chunks", at=at)
+            semantic_hits = lambda n: index.semantic(vectors, chunks, place, self.contents(), name, asked, n, repo)
+        boost = self.boosts(focus, repo) if focus and semantic_hits is not None and mode == "hybrid" else None
+        hits, used, note = index.hybrid(lambda n: self.search(query, n, repo, prefix), semantic_hits, mode, limit, prefix, boost)
+        if used != "hybrid":
+            return hits, used, note
+        where = F.split("at", ":", 2)
+        hits = hits.select("rank", where[0].alias("repo"), where[1].alias("path"), F.col("line").cast("int").alias("line"), "score", "resolution")
+        lines = T.lines(F.col("text"))
+        shown = hits.join(self.files(repo).select("repo", "path", "text"), ["repo", "path"]).withColumn("snippet", T.snippet(lines, F.col("line")))
+        return shown.select("rank", "repo", "path", "line", "score", "snippet", "resolution"), used, note
+
     def search(self, query: str, limit: int = 10, repo: str | None = None, prefix: str | None = None) -> DataFrame:
         """Lexical hits of a query over the current files. Of the postings the buckets of the query's terms are read, of texts those of the hits."""
         at = self.tables.head()

@@ -111,6 +111,7 @@ def project_audit(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 MOST_NAMES = 50_000
+OCCURRENCE = "usr string, name string, path string, line int, column int, role string"
 
 
 def compiler_references(occurrences: DataFrame, most: int = MOST_NAMES) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stratagraph.operators import index
 from stratagraph.operators.versioned import Conflict
 from stratagraph.plans import tools
 from stratagraph.plans.workspace import Workspace
@@ -82,3 +83,23 @@ def test_enrichments_provenance_and_renames(spark, tmp_path):
         w.tables.commit(head, {})
     assert w.build_index() > 0 == w.build_index()
     assert [(r.path, r.line) for r in w.search("class").collect()] == [("lib/c.py", 2)]
+
+
+def test_hybrid_search_with_a_focus(spark, tmp_path):
+    code = tmp_path / "code"
+    _write(code, "a.py", "import os\n\ndef open_store(path):\n    return path\n")
+    _write(code, "b.py", "import os\n\ndef close_store(path):\n    return path\n")
+    _write(code, "c.txt", "nothing of the kind\n")
+    w = Workspace(spark, f"file://{tmp_path}/ws", ("words@1", index.hashed_words))
+    w.index("r", f"file://{code}")
+    assert w.build_index() == 3 and w.build_index() == 0
+    assert w.tables.current("vectors").count() == w.tables.current("chunks").count() > 0
+    hits, mode, note = w.find("store path", mode="hybrid")
+    rows = hits.orderBy("rank").collect()
+    assert (mode, note) == ("hybrid", None) and [r.path for r in rows][:2] == ["a.py", "b.py"] and "def open_store" in rows[0].snippet
+    plain = {r.path: r.score for r in rows}
+    near = {r.path: r.score for r in w.find("store path", mode="hybrid", repo="r", focus=["close_store"])[0].collect()}
+    assert near["b.py"] - plain["b.py"] > near["a.py"] - plain["a.py"] >= 0
+    lexical = Workspace(spark, w.root)
+    assert lexical.find("store", mode="hybrid")[1:] == ("lexical", "no embedding model installed: semantic search is not available, ran lexical only")
+    assert w.find("store", mode="semantic")[1] == "semantic"
