@@ -190,8 +190,7 @@ class StoredGraph:
                 open_edges = current.join(g, F.col("source_id") == F.col("g"), "left_anti").join(g, F.col("target_id") == F.col("g"), "left_anti") if changes.gone is not None else current
                 if not closed.join(open_edges.select("id"), "id", "left_anti").isEmpty():
                     raise UnknownRelationship("a retracted relationship is not current")
-            edges = changes.edges if changes.edges is not None else none(STORED["edges"].columns).drop("id")
-            made["edges"] = Change(*temporal.edge_changes(current, edges, closed, gone, r))
+            made["edges"] = Change(*temporal.edge_changes(current, changes.edges, changes.closed, changes.gone, r))
         new = F.lit(r).cast("long").alias("valid_from")
         if changes.links is not None:
             key = list(STORED["links"].key)

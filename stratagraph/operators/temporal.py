@@ -98,17 +98,28 @@ def commit_edges(edges: DataFrame, asserted: DataFrame, retracted: DataFrame, go
     return still.unionByName(opened.select(*still.columns))
 
 
-def edge_changes(current: DataFrame, asserted: DataFrame, retracted: DataFrame, gone_entities: DataFrame, revision: int) -> tuple[DataFrame, DataFrame]:
-    """What commit_edges() changes, without the rows that stay: edges it opens, and edges it closes (id, valid_from, valid_to). current: the current edges."""
-    gone = gone_entities.select(F.col("entity_id").alias("g")).distinct()
-    closing = current.join(retracted.select("id").distinct(), "id", "left_semi").select("id", "valid_from")
-    for end in ("source_id", "target_id"):
-        closing = closing.unionByName(current.join(gone, F.col(end) == F.col("g"), "left_semi").select("id", "valid_from"))
-    stays = current.join(gone, F.col("source_id") == F.col("g"), "left_anti").join(gone, F.col("target_id") == F.col("g"), "left_anti")
+def edge_changes(current: DataFrame, asserted: DataFrame | None, retracted: DataFrame | None, gone_entities: DataFrame | None, revision: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """What commit_edges() changes, without the rows that stay: edges it opens, and edges it closes (id, valid_from, valid_to). current: the current edges.
+    None for what a commit does not say or does."""
+    r = F.lit(revision).cast("long")
+    closing, stays = [], current
+    if retracted is not None:
+        closing.append(current.join(retracted.select("id").distinct(), "id", "left_semi").select("id", "valid_from"))
+    if gone_entities is not None:
+        gone = gone_entities.select(F.col("entity_id").alias("g")).distinct()
+        for end in ("source_id", "target_id"):
+            closing.append(current.join(gone, F.col(end) == F.col("g"), "left_semi").select("id", "valid_from"))
+            stays = stays.join(gone, F.col(end) == F.col("g"), "left_anti")
+    closed = None
+    for c in closing:
+        closed = c if closed is None else closed.unionByName(c)
+    if closed is not None:
+        closed = (closed if gone_entities is None else closed.distinct()).withColumn("valid_to", r)
+    if asserted is None:
+        return None, closed
     a, c = asserted.select(*EDGE_KEY).distinct().alias("a"), stays.alias("c")
     new = a.join(c, [F.col(f"a.{k}").eqNullSafe(F.col(f"c.{k}")) for k in EDGE_KEY], "left_anti")
-    r = F.lit(revision).cast("long")
-    return new.withColumns({"id": F.xxhash64(*EDGE_KEY, F.lit(revision)), "valid_from": r}), closing.distinct().withColumn("valid_to", r)
+    return new.withColumns({"id": F.xxhash64(*EDGE_KEY, F.lit(revision)), "valid_from": r}), closed
 
 
 def unknown_endpoints(asserted: DataFrame, entities: DataFrame) -> DataFrame:

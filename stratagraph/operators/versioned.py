@@ -37,7 +37,7 @@ class Spec:
     columns: str
     key: tuple[str, ...]
     bucket: str
-    buckets: int = 32
+    buckets: int = 16  # Spark lists over 32 folders by a job
 
     @property
     def schema(self) -> str:
