@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, parse_queries, source_queries, store_queries  # noqa: F401
+from . import embedding_queries, graph_queries, parse_queries, source_queries, store_queries  # noqa: F401
 from .queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
