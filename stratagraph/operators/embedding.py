@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import graph
 
 BUCKETS, DIMENSIONS, SIGNS, SCALE = 1 << 16, 64, 8, 127
 MODEL = "bucket int, weight int, vector array<tinyint>"
@@ -45,29 +46,36 @@ def train(contexts: DataFrame, reflections: int = 1) -> DataFrame:
     term's sum at length SCALE, rounded. Buckets whose sum is zero are left out.
 
     A reflection makes contexts the weighted sums of their terms' vectors and terms the sums of their contexts again: terms that never meet come near if they
-    meet the same ones. One shuffle brings the terms of a context together (each once), others sum at most BUCKETS rows of DIMENSIONS numbers a map task; a
-    reflection reads the contexts once more.
+    meet the same ones. One shuffle brings the terms of a context together (each once, 4 bytes), which are kept in the shared folder for the readings that follow; others sum at
+    most BUCKETS rows of DIMENSIONS numbers a map task.
     """
-    rows = contexts.select(F.col("key").cast("string").alias("key"), _buckets(F.col("text")).alias("terms"))
-    held = rows.select("key", F.explode(F.array_distinct("terms")).alias("bucket")).distinct()
-    n = contexts.select("key").distinct().agg(F.count(F.lit(1)).alias("n"))
-    entry = lambda d: F.size(F.filter("signs", lambda s: s == d + 1)) - F.size(F.filter("signs", lambda s: s == -d - 1))
-    model = _scaled(held.withColumn("signs", signs(F.col("key"))), ["bucket"], entry)
+    rows = contexts.select(F.col("key").cast("string").alias("key"), F.explode_outer(F.transform(F.array_distinct(T.terms(F.coalesce("text", F.lit("")))), bucket)).alias("bucket"))
+    kept = graph.settled(rows.groupBy("key").agg(F.collect_set("bucket").alias("buckets")))  # texts are cut once; BUCKETS numbers a context at most
+    held = kept.select("key", F.explode("buckets").alias("bucket"))
+    n = kept.agg(F.count(F.lit(1)).alias("n"))
+    marks = held.select("bucket", F.posexplode(signs(F.col("key"))).alias("i", "s")).groupBy("bucket", (F.abs("s") - 1).alias("d"))
+    marks = marks.agg(F.sum(F.signum("s").cast("bigint")).alias("v"), F.count_if(F.col("i") == 0).alias("rows"))  # rows: contexts of the bucket, by their first entries
+    sums = marks.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"))  # DIMENSIONS entries at most
+    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0).cast("bigint")))
+    model = _at_length(sums.select("bucket", "rows", dense.alias("v")), ["bucket"])
     weight = F.floor(16 * F.sqrt(F.col("n") / F.col("rows"))).cast("int").alias("weight")
-    model = model.join(F.broadcast(n)).select("bucket", weight, "vector")  # n is one row
+    model = graph.settled(model.join(F.broadcast(n)).select("bucket", weight, "vector"))  # n is one row; a reflection reads the model twice
     for _ in range(reflections):
         terms = F.broadcast(model)
         of = _scaled(held.join(terms, "bucket"), ["key"], lambda d: F.get("vector", F.lit(d)).cast("bigint") * F.col("weight")).drop("rows")
         again = _scaled(held.join(of, "key"), ["bucket"], lambda d: F.get("vector", F.lit(d)).cast("bigint")).drop("rows")
-        model = again.join(F.broadcast(model.select("bucket", "weight")), "bucket").select("bucket", "weight", "vector")
+        model = graph.settled(again.join(F.broadcast(model.select("bucket", "weight")), "bucket").select("bucket", "weight", "vector"))
     return model
 
 
 def _scaled(rows: DataFrame, key: list[str], entry: Callable[[int], Column]) -> DataFrame:
     """key, vector (array<tinyint>), rows: the sums of entry(dimension) at length SCALE, rounded; sums of zero are left out."""
     sums = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(entry(d)).alias(f"d{d}") for d in range(DIMENSIONS)])
-    v = F.array(*[F.col(f"d{d}") for d in range(DIMENSIONS)])
-    sized = sums.select(*key, "rows", v.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x))).where("norm > 0")
+    return _at_length(sums.select(*key, "rows", F.array(*[F.col(f"d{d}") for d in range(DIMENSIONS)]).alias("v")), key)
+
+
+def _at_length(sums: DataFrame, key: list[str]) -> DataFrame:
+    sized = sums.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x))).where("norm > 0")
     return sized.select(*key, "rows", F.transform("v", lambda x: F.floor(x * SCALE / F.col("norm") + 0.5).cast("tinyint")).alias("vector"))
 
 

@@ -59,7 +59,7 @@ def trained_search(t: Tables) -> DataFrame:
     """Chunks of all documents, the model that they train, their vectors, and the hits of a question that the same model embeds."""
     chunks, contents, locations = _chunks(t)
     chunks = graph.settled(chunks.withColumn("text", F.concat("context", "body")))
-    model = graph.settled(embedding.train(chunks.select(F.concat_ws(":", "blob_hash", "ordinal").alias("key"), "text")))
+    model = embedding.train(chunks.select(F.concat_ws(":", "blob_hash", "ordinal").alias("key"), "text"))
     name = embedding.identity(model)
     vectors = embedding.embed(chunks, model, ["blob_hash", "ordinal"]).withColumn("model", F.lit(name))
     asked = embedding.embed(t.spark.range(1).select("id", F.lit(_ASKED).alias("text")), model, ["id"]).first()["embedding"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import text as T
-from ..operators import derive, graph, incremental, index, manifest, search, temporal
+from ..operators import derive, embedding, graph, incremental, index, manifest, search, temporal
 from ..operators.versioned import Change, Spec, VersionedTables
 from ..sources import parsers, readers
 
@@ -303,6 +303,19 @@ class Workspace:
         finally:
             self._drop(held)
 
+    def learn(self) -> str:
+        """Train an embedder on the indexed windows of all contents, keep its model under its name, and embed with it from here on. The name."""
+        windows = self._current("windows")
+        model = embedding.train(windows.select(F.concat_ws(":", "blob_hash", "ordinal").alias("key"), F.col("body").alias("text")))
+        name = embedding.identity(model)
+        model.write.mode("overwrite").parquet(f"{self.root}/models/{name}")  # the name is a digest of the rows, so it is written with the same ones again
+        self.embedder = (name, embedding.column(model))
+        return name
+
+    def use(self, name: str) -> None:
+        """Embed with a model that learn() kept."""
+        self.embedder = (name, embedding.column(self.spark.read.schema(embedding.MODEL).parquet(f"{self.root}/models/{name}")))
+
     def _build_vectors(self, held: list[str]) -> None:
         """Chunks of contents that have none, and vectors of chunks that the model has not embedded, in one commit."""
         model_name, embed = self.embedder

@@ -103,3 +103,23 @@ def test_hybrid_search_with_a_focus(spark, tmp_path):
     lexical = Workspace(spark, w.root)
     assert lexical.find("store", mode="hybrid")[1:] == ("lexical", "no embedding model installed: semantic search is not available, ran lexical only")
     assert w.find("store", mode="semantic")[1] == "semantic"
+
+
+def test_a_learned_embedder(spark, tmp_path):
+    code = tmp_path / "code"
+    for i in range(6):
+        _write(code, f"pet{i}.txt", f"{('cat', 'kitten')[i % 2]} mouse fur\n")
+        _write(code, f"bank{i}.txt", f"{('stock', 'bond')[i % 2]} yield price\n")
+    w = Workspace(spark, f"file://{tmp_path}/ws")
+    w.index("r", f"file://{code}")
+    w.build_index()
+    assert w.tables.current("vectors").count() == 0
+    name = w.learn()
+    assert name.startswith("terms@") and name == w.learn()
+    w.build_index()
+    assert {r.model for r in w.tables.current("vectors").collect()} == {name} and w.tables.current("vectors").count() == 4  # twelve files of four texts
+    hits, mode, _ = w.find("kitten", limit=2, mode="semantic")
+    assert mode == "semantic" and {r.path[:3] for r in hits.collect()} == {"pet"}
+    again = Workspace(spark, w.root)
+    again.use(name)
+    assert again.build_index() == 0 and {r.path[:3] for r in again.find("bond", limit=2, mode="semantic")[0].collect()} == {"ban"}
