@@ -147,15 +147,47 @@ def cyclic_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def shortest_path_edges(edges: DataFrame, start, goal, most: int = 500) -> DataFrame:
-    """Edges (src, dst, position) on any shortest directed path from start to goal; empty if there is none."""
+    """Edges (src, dst, position) on any shortest directed path from start to goal, the `most` first by position, src and dst; empty if there is none or start is
+    the goal.
+
+    Two fronts walk towards one another, the smaller one a step at a time, and stop where they meet, so what is read is near the two ends. From the nodes where
+    they meet the levels are walked back: each keeps the edges that lead one level nearer to its end.
+    """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
-    one = lambda x: spark.range(1).select(F.lit(x).cast(kind).alias("node"))
-    ahead = neighborhood(edges, one(start), None, directed=True)
-    back = neighborhood(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), one(goal), None, directed=True)
-    total = ahead.where(F.col("node") == F.lit(goal)).select(F.col("distance").alias("total"))
-    e = edges.select("src", "dst").distinct().join(ahead.select(F.col("node").alias("src"), F.col("distance").alias("a")), "src").join(back.select(F.col("node").alias("dst"), F.col("distance").alias("b")), "dst")
-    return e.join(F.broadcast(total)).where("a + 1 + b = total").select("src", "dst", F.col("a").alias("position")).orderBy("position", "src", "dst").limit(most)  # total is one row at most
+    hops = edges.select("src", "dst").distinct()
+    sides = {}
+    for name, end in (("ahead", start), ("back", goal)):
+        first = settled(spark.range(1).select(F.lit(end).cast(kind).alias("node"), F.lit(0).alias("distance")))
+        sides[name] = {"seen": first, "front": first, "size": 1, "depth": 0, "levels": [first], "hops": hops if name == "ahead" else hops.select(F.col("dst").alias("src"), F.col("src").alias("dst"))}
+    ahead, back = sides["ahead"], sides["back"]
+    none = hops.select("src", "dst", F.lit(0).alias("position")).limit(0)
+    if not ahead["front"].join(back["front"], "node", "left_semi").isEmpty():
+        return none
+    while True:
+        s, other = (ahead, back) if ahead["size"] <= back["size"] else (back, ahead)
+        s["depth"] += 1
+        new = s["front"].join(s["hops"], F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(s["seen"], "node", "left_anti")
+        s["front"] = settled(new.withColumn("distance", F.lit(s["depth"])))
+        s["size"] = s["front"].count()
+        if not s["size"]:
+            return none  # one side has been walked through without meeting the other
+        s["levels"].append(s["front"])
+        s["seen"] = s["seen"].unionByName(s["front"])
+        meet = s["front"].select("node").join(other["front"].select("node"), "node", "left_semi")
+        if not meet.isEmpty():
+            break
+    met = settled(meet)
+    found = None
+    for side, turn in ((ahead, False), (back, True)):
+        on = met
+        for depth in range(side["depth"], 0, -1):
+            level = side["hops"].join(on.select(F.col("node").alias("dst")), "dst", "left_semi").join(side["levels"][depth - 1].select(F.col("node").alias("src")), "src", "left_semi")
+            level = settled(level.select("src", "dst"))
+            on = level.select(F.col("src").alias("node")).distinct()
+            placed = level.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(ahead["depth"] + back["depth"] - depth).alias("position")) if turn else level.select("src", "dst", F.lit(depth - 1).alias("position"))
+            found = placed if found is None else found.unionByName(placed)
+    return found.orderBy("position", "src", "dst").limit(most)
 
 
 def ancestor_of(parents: DataFrame, wanted: Column) -> DataFrame:

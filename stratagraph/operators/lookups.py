@@ -114,8 +114,18 @@ def role_disagreements(named: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def by_label(c: Column) -> Column:
-    """How lists order labels: by letters as a reader does, whatever their case; ties are the caller's to break."""
-    return F.collate(c, "UNICODE_CI")
+    """How lists order labels: by letters as a reader does (accents and case only where the letters are equal), runs of digits by their number, of any
+    length. Null stays null; ties are the caller's to break."""
+    parts = F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), F.lit(0))
+    plain = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    number = lambda x: F.concat(F.lpad(F.length(plain(x)).cast("string"), 10, "0"), plain(x))  # noqa: E731  longer numbers are greater
+    return F.collate(F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), number(x)).otherwise(x)), ""), "UNICODE")
+
+
+def in_label_order(rows: DataFrame, group: list[str], label: str, tie: str) -> DataFrame:
+    """rows with position (from 1) in the order of labels within each group, then by the label's own characters, then by `tie`."""
+    w = Window.partitionBy(*group).orderBy(by_label(F.col(label)), label, tie)
+    return rows.withColumn("position", F.row_number().over(w))
 
 
 def label_search(nodes: DataFrame, query: str, limit: int) -> DataFrame:

@@ -108,6 +108,17 @@ def label_search(t: Tables) -> DataFrame:
     return found.select("node", F.col("label").alias("name"))
 
 
+_LABEL = "CASE p_partkey % 4 WHEN 0 THEN p_name || p_size WHEN 1 THEN upper(p_name) || '0' || p_size WHEN 2 THEN replace(p_name, 'e', 'é') ELSE p_name || ' ' || p_partkey END"
+
+
+@query(rf"""WITH l AS (SELECT p_partkey, p_brand, {_LABEL} AS label FROM part),
+k AS (SELECT *, array_to_string(list_transform(regexp_extract_all(label, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(regexp_replace(x, '^0+([0-9])', '\1')) AS VARCHAR), 10, '0') || regexp_replace(x, '^0+([0-9])', '\1') ELSE x END), '') AS sortable FROM l)
+SELECT p_partkey, label, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY sortable COLLATE en, label, p_partkey) AS INT) AS position FROM k""")
+def labels_in_order(t: Tables) -> DataFrame:
+    """Labels with capitals, accents and numbers in the order of a reader, within each brand."""
+    return lookups.in_label_order(t.part.select("p_partkey", "p_brand", F.expr(_LABEL).alias("label")), ["p_brand"], "label", "p_partkey").select("p_partkey", "label", "position")
+
+
 @query("""SELECT event_id, map_from_entries(list_filter([{'k': 'core:buildOrder', 'v': CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) END}, {'k': 'core:buildPhony', 'v': CASE WHEN event_id % 3 = 0 THEN 'true' END}, {'k': 'core:buildSteps', 'v': event_type || chr(31) || user_id}], lambda x: x.v IS NOT NULL)) AS attributes FROM events""")
 def chart_attributes(t: Tables) -> DataFrame:
     bag = F.concat(F.lit('{"other":1,"core:buildOrder":'), F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise('"text"'), F.lit(',"core:buildPhony":'), F.when(F.col("event_id") % 3 == 0, "true").otherwise("false"), F.lit(',"core:buildSteps":["'), "event_type", F.lit('","'), "user_id", F.lit('",7]}'))

@@ -3,6 +3,8 @@
 import math
 import re
 
+from pyspark.sql import functions as F
+
 from stratagraph.operators import names
 
 TERM = re.compile(r"[\w$]+")
@@ -34,3 +36,12 @@ def test_prefixes_as_of_a_revision(spark):
     found = names.find_names(posts, stats, df, entities, "graph", 1).collect()
     assert [(r.rank, r.key, r.name) for r in found] == [(1, "k2", "graph_walk Graph2 graph")]
     assert names.query_heads("Gr \"opEn") == ["gr", "op"] and names.query_heads("g op") is None
+
+
+def test_labels_as_a_reader_orders_them(spark):
+    from stratagraph.operators import lookups
+
+    wanted = ["_x", "a", "A", "file2", "file002b", "File10", "file" + "9" * 30, "résumé", "resumes", "Z", None]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(reversed(wanted))], "id int, label string").withColumn("g", F.lit(1))
+    got = lookups.in_label_order(rows, ["g"], "label", "id").orderBy("position").collect()
+    assert [r.label for r in got] == [None, *wanted[:-1]]

@@ -101,6 +101,28 @@ def test_strong_components_and_cycles(spark, ring):
     assert rows(graph.cyclic_edges(ring, c), "src", "dst") == [("a", "b"), ("b", "c"), ("c", "a"), ("e", "e")]
 
 
+def test_shortest_paths_against_a_plain_search(spark):
+    import random
+
+    rng = random.Random(5)
+    for n, m in ((12, 20), (30, 45), (25, 90)):
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        df = graph.settled(spark.createDataFrame(sorted(pairs) + sorted(pairs)[:3], "src int, dst int"))
+
+        def far(start, edges):
+            dist, front = {start: 0}, [start]
+            for x in front:
+                for y in sorted(b for a, b in edges if a == x and b not in dist):
+                    dist[y] = dist[x] + 1
+                    front.append(y)
+            return dist
+
+        for start, goal in ((0, n - 1), (1, n // 2)):
+            a, b = far(start, pairs), far(goal, {(y, x) for x, y in pairs})
+            plain = [] if goal not in a else sorted(((x, y, a[x]) for x, y in pairs if x in a and y in b and a[x] + 1 + b[y] == a[goal]), key=lambda r: (r[2], r[0], r[1]))
+            assert [tuple(r) for r in graph.shortest_path_edges(df, start, goal).orderBy("position", "src", "dst").collect()] == plain
+
+
 def test_shortest_paths(spark, ring):
     two = ring.unionByName(spark.createDataFrame([("a", "x", 1.0), ("x", "c", 1.0)], ring.schema))
     assert rows(graph.shortest_path_edges(two, "a", "d")) == [("a", "b", 0), ("a", "x", 0), ("b", "c", 1), ("x", "c", 1), ("c", "d", 2)]
