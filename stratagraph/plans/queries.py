@@ -492,7 +492,12 @@ def _decls(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_brand").alias("path"), kind.alias("kind"), F.concat("p_name", "p_partkey").alias("name"), F.col("p_size").alias("line"))
 
 
-@query()
+@query(f"""{_pagerank_sql("true").rsplit(" SELECT node, round", 1)[0]}, r AS (SELECT 's' || (node % 9) || '/f' || node AS path, 's' || (node % 9) AS directory, 'f' || node AS file, round(rank, 9) AS r FROM p20),
+d AS (SELECT 's1/f' || p_size AS path, p_size AS line, p_name || p_partkey AS name, row_number() OVER (PARTITION BY p_size ORDER BY CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'SMALL' THEN 1 ELSE 2 END, p_name || p_partkey) AS n FROM part),
+h AS (SELECT path, string_agg(name, ', ' ORDER BY line, name) AS names FROM d WHERE n <= 6 GROUP BY path),
+l AS (SELECT directory, path, '  ' || file || coalesce(': ' || names, '') AS text, r, max(r) OVER (PARTITION BY directory) AS top FROM r LEFT JOIN h USING (path)),
+o AS (SELECT *, row_number() OVER (ORDER BY top DESC, directory, r DESC, path) AS position FROM l)
+SELECT CAST(position AS INT) AS position, directory, path, text FROM (SELECT *, sum(greatest(1, ceil(strlen(text) / 3))) OVER (ORDER BY position) AS spent FROM o) WHERE spent <= 2960""")
 def repo_map(t: Tables) -> DataFrame:
     e = refs(t).select(F.concat(F.lit("s"), F.col("src") % 9, F.lit("/f"), "src").alias("src"), F.concat(F.lit("s"), F.col("dst") % 9, F.lit("/f"), "dst").alias("dst"), F.col("refs").cast("double").alias("weight"))
     e = graph.settled(e)
@@ -549,7 +554,12 @@ def cluster_hulls(t: Tables) -> DataFrame:
     return layout.cluster_hulls(e)
 
 
-@query()
+@query("""WITH c AS (SELECT DISTINCT 'c' || conv_id || '/Makefile' AS path, role || '_' || turn AS node, turn FROM conversations),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY node) - 1 AS INT) AS "row" FROM c),
+p AS (SELECT path, list_filter(['system_0', 'user_0'], lambda x: list_contains(list(node), x)) AS deps, max(turn) > 0 AS later FROM c GROUP BY path)
+SELECT path, node, 1 AS "column", "row", 'target' AS kind, CASE WHEN turn > 0 THEN deps ELSE [] END AS needs FROM t JOIN p USING (path)
+UNION ALL SELECT path, 'echo step', 2, "row", 'step', [] FROM t
+UNION ALL SELECT path, 'trigger:' || node, 0, "row", 'trigger', [] FROM t JOIN p USING (path) WHERE NOT (later AND node IN ('system_0', 'user_0'))""")
 def ci_flow(t: Tables) -> DataFrame:
     from ..operators import layout
     from ..sources import parsers
