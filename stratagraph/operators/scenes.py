@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import sys
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +27,14 @@ C = [
     "sys/time.h", "sys/socket.h", "sys/mman.h", "sys/wait.h", "sys/ioctl.h", "netinet/in.h", "arpa/inet.h", "netdb.h", "pthread.h", "semaphore.h", "dirent.h", "dlfcn.h",
     "poll.h", "termios.h", "syslog.h", "pwd.h", "grp.h", "regex.h", "glob.h", "libgen.h", "strings.h", "memory.h", "malloc.h", "stdatomic.h", "threads.h",
 ]
+PYTHON = [
+    "os", "sys", "re", "json", "math", "typing", "collections", "itertools", "functools", "pathlib", "datetime", "time", "subprocess", "logging", "unittest", "abc", "io",
+    "random", "string", "threading", "multiprocessing", "socket", "struct", "enum", "dataclasses", "argparse", "copy", "pickle", "hashlib", "base64", "tempfile", "shutil",
+    "glob", "csv", "sqlite3", "urllib", "http", "email", "html", "xml", "asyncio", "contextlib", "inspect", "traceback", "warnings", "weakref", "types", "operator",
+    "numbers", "decimal", "fractions", "statistics", "array", "bisect", "heapq", "queue", "signal", "errno", "stat", "platform", "getpass", "textwrap", "unicodedata",
+    "codecs", "locale", "ctypes", "importlib", "pkgutil", "site", "sysconfig", "zlib", "gzip", "bz2", "lzma", "zipfile", "tarfile", "configparser", "secrets", "uuid",
+    "ipaddress", "selectors", "ssl", "socketserver", "pdb", "profile", "cProfile", "timeit", "trace", "gc", "atexit", "builtins", "__future__",
+]
 #: Kinds of edges that a chart shows.
 SHOWN_KINDS = ("containsPhysical", "declares", "imports", "dependsOn", "references", "refersToSymbol", "builds", "authoredBy", "ownedBy")
 
@@ -35,7 +42,7 @@ SHOWN_KINDS = ("containsPhysical", "declares", "imports", "dependsOn", "referenc
 def is_system_module(lang: Column, name: Column) -> Column:
     """Part of a platform or a standard library: by full name, in Python by the first part; never in other languages."""
     first = F.substring_index(name, ".", 1)
-    return F.when(lang == "swift", name.isin(SWIFT)).when(lang == "python", first.isin(sorted(sys.stdlib_module_names))).when(lang == "c", name.isin(C)).otherwise(False)
+    return F.when(lang == "swift", name.isin(SWIFT)).when(lang == "python", first.isin(PYTHON)).when(lang == "c", name.isin(C)).otherwise(False)
 
 
 def charted_modules(modules: DataFrame, folders: DataFrame, external: bool = False) -> DataFrame:
@@ -98,6 +105,19 @@ def degree_trend(edges: DataFrame, revisions: DataFrame) -> DataFrame:
     return run.withColumn("edges", F.sum("d").over(Window.orderBy("r"))).where("asked").select(F.col("r").alias("revision"), "edges")
 
 
+def distinct_trend(facts: DataFrame, key: str, revisions: DataFrame) -> DataFrame:
+    """revision, n: how many keys have a fact (key, valid_from, valid_to) that is valid at each revision. A key's intervals are merged where they meet, then
+    starts and ends are counted as in degree_trend. Of facts that start together the longest counts, so a key has a row a revision at most when it is sorted."""
+    last = F.lit((1 << 63) - 1)
+    end = F.coalesce(F.col("valid_to").cast("long"), last)
+    own = facts.where(F.col(key).isNotNull() & (end > F.col("valid_from"))).groupBy(F.col(key).alias("key"), F.col("valid_from").cast("long").alias("valid_from")).agg(F.max(end).alias("end"))
+    w = Window.partitionBy("key").orderBy("valid_from")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = own.withColumn("fresh", F.when(before >= F.col("valid_from"), 0).otherwise(1)).withColumn("island", F.sum("fresh").over(w))
+    merged = marked.groupBy("key", "island").agg(F.min("valid_from").alias("valid_from"), F.max("end").alias("end"))
+    return degree_trend(merged.select("valid_from", F.nullif("end", last).alias("valid_to")), revisions).withColumnRenamed("edges", "n")
+
+
 def molecules(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Atoms (node, molecule, radius), bonds (a, b) and molecules (molecule, atoms, x, y, z) of a scene of nodes (node, cluster).
 

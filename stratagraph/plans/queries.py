@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import budget, derive, graph, lookups, manifest, search, temporal
+from ..operators import budget, derive, graph, lookups, manifest, scenes, search, temporal
 from .fixtures import Tables, files, imports, refs, rel, touches, ver, with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,7 +105,8 @@ def latest_snapshot_per_repo(t: Tables) -> DataFrame:
 @query(f"""{with_('rel')} SELECT r AS revision, count(*) AS edges, count(DISTINCT source_id) AS sources FROM rel JOIN (SELECT unnest(range(40, 120)) AS r) ON valid_from <= r AND (valid_to IS NULL OR valid_to > r) GROUP BY r""")
 def graph_trend(t: Tables) -> DataFrame:
     revisions = t.spark.range(40, 120).select(F.col("id").alias("revision"))
-    return temporal.at_revisions(rel(t), F.broadcast(revisions)).groupBy("revision").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("source_id").alias("sources"))  # 80 revisions
+    edges, sources = scenes.degree_trend(rel(t), revisions), scenes.distinct_trend(rel(t), "source_id", revisions)
+    return edges.join(sources.withColumnRenamed("n", "sources"), "revision").where("edges > 0")
 
 
 # ---- manifests

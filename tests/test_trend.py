@@ -35,3 +35,26 @@ def test_metrics_at_every_revision(spark):
     got = trend.metrics_trend(n, e, spark.createDataFrame([(w[0],) for w in want], "revision long")).collect()
     assert {tuple(r) for r in got} == want
     assert trend.metrics_trend(n, e, spark.createDataFrame([], "revision long")).count() == 0
+
+
+def test_distinct_keys_at_revisions(spark):
+    import random
+
+    from stratagraph.operators import scenes
+
+    rng = random.Random(3)
+    facts = [(rng.choice(["a", "b", "c", None]), a, rng.choice([None, a, a + 1, a + 3])) for a in (rng.randrange(12) for _ in range(40))] + [("d", 2, 4), ("d", 4, 6), ("d", 2, 4)]
+    for some in (facts, facts[:5], []):
+        df = spark.createDataFrame(some, "k string, valid_from int, valid_to int")
+        got = {r.revision: r.n for r in scenes.distinct_trend(df, "k", spark.range(0, 16).withColumnRenamed("id", "revision")).collect()}
+        assert got == {v: len({k for k, a, b in some if k and a <= v and (b is None or b > v)}) for v in range(16)}
+
+
+def test_system_modules_are_a_fixed_list(spark):
+    from pyspark.sql import functions as F
+
+    from stratagraph.operators import scenes
+
+    rows = spark.createDataFrame([("python", "os.path"), ("python", "__future__"), ("python", "numpy"), ("python", "Foundation"), ("swift", "Foundation"), ("c", "sys/types.h"), ("c", "os"), ("rust", "std")], "lang string, name string")
+    got = [r.s for r in rows.select("lang", "name", scenes.is_system_module(F.col("lang"), F.col("name")).alias("s")).collect()]
+    assert got == [True, True, False, False, True, True, False, False]
