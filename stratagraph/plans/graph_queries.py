@@ -154,11 +154,11 @@ def shown_edges(t: Tables) -> DataFrame:
 _ALL_CYCLES = "r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)"
 
 
-@query(f"""{with_('rel', recursive=True)}, e AS MATERIALIZED (SELECT DISTINCT source_id AS src, target_id AS dst FROM rel WHERE kind = 'imports' AND layer = 'observed'), {_ALL_CYCLES}
+@query(f"""{with_('rel', recursive=True)}, e AS MATERIALIZED (SELECT DISTINCT source_id AS src, target_id AS dst FROM rel), {_ALL_CYCLES}
 SELECT (SELECT count(*) FROM customer) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e WHERE src = dst OR EXISTS (SELECT 1 FROM r WHERE a = dst AND b = src)) AS cyclic,
 (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)) AS orphans""")
 def graph_metrics(t: Tables) -> DataFrame:
-    e = rel(t).where("kind = 'imports' and layer = 'observed'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
+    e = rel(t).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
     return scenes.metrics(t.customer.select(F.col("c_custkey").alias("node")), e)
 
 
