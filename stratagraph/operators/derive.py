@@ -55,15 +55,30 @@ def reference_pairs(occurrences: DataFrame, most: int = 200) -> DataFrame:
     return once.groupBy(*pair).agg(F.sum("n").alias("reference_count")).join(listed, pair).select(*pair, "reference_count", ids.alias("observations"))
 
 
-def innermost(points: DataFrame, spans: DataFrame, bucket: int = 64) -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Each point (path, line, point_id) with the smallest span (path, start, end, rank, key) that holds its line; ties go to rank, then key.
 
-    A range join by buckets: spans are listed under every bucket they touch, so the join is an equi-join.
+    A span is the union of a few aligned blocks of 1, 2, 4... lines (two of a size at most), and a line lies in one block of each size. Of the spans that cover a
+    block only the best is kept, so a block has one row however many spans cross it, and each distinct line asks its blocks once. Points and spans are never paired.
     """
-    listed = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket)))).withColumnRenamed("path", "s_path")
-    hits = points.withColumn("bucket", F.floor(F.col("line") / bucket)).join(listed.withColumnRenamed("s_path", "path"), ["path", "bucket"]).where("start <= line and line <= end")
-    best = F.min_by(F.struct("key", "start", "end"), F.struct(F.col("end") - F.col("start"), "rank", "key"))
-    return hits.groupBy("path", "line", "point_id").agg(best.alias("s")).select("path", "line", "point_id", "s.key", "s.start", "s.end")
+    spans = spans.where("start <= end").withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+    size = F.ceil(F.log2(F.col("end") - F.col("start") + 1)).cast("int")  # of the largest block that may fit, as a power of two
+    low, high = lambda k: -_shifted(-F.col("start"), k), lambda k: _shifted(F.col("end") + 1, k)
+    ends = lambda k: F.array(F.when(low(k) % 2 != 0, low(k)), F.when(high(k) % 2 != 0, high(k) - 1))
+    blocks = F.flatten(F.transform(F.sequence(F.lit(0), size), lambda k: F.transform(F.when(low(k) < high(k), F.array_compact(ends(k))).otherwise(F.array().cast("array<bigint>")), lambda b: F.struct(k.alias("k"), b.alias("b")))))
+    best = lambda key, start, end, rank: F.min_by(F.struct(key, start, end), F.struct(F.col(end) - F.col(start), rank, key))
+    covers = spans.select("path", F.explode(blocks).alias("at"), "key", "start", "end", "rank")
+    covers = covers.groupBy("path", F.col("at.k").alias("k"), F.col("at.b").alias("b")).agg(F.min_by(F.struct("key", "start", "end", "rank"), F.struct(F.col("end") - F.col("start"), "rank", "key")).alias("s"))
+    sizes = spans.agg(F.max(size).alias("most"))  # one row
+    lines = points.select("path", "line").distinct().join(F.broadcast(sizes)).select("path", "line", F.explode(F.sequence(F.lit(0), "most")).alias("k"))
+    asked = lines.withColumn("b", _shifted(F.col("line").cast("long"), F.col("k")))
+    found = asked.join(covers, ["path", "k", "b"]).groupBy("path", "line").agg(best("s.key", "s.start", "s.end", "s.rank").alias("s"))
+    return points.select("path", "line", "point_id").distinct().join(found, ["path", "line"]).select("path", "line", "point_id", "s.key", "s.start", "s.end")
+
+
+def _shifted(value: Column, k: Column) -> Column:
+    """value over 2 to the power k, rounded down."""
+    return F.call_function("shiftright", value, k)
 
 
 def symbol_pairs(occurrences: DataFrame) -> DataFrame:

@@ -182,3 +182,19 @@ def test_vectors(spark):
     v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [4.0, 3.0])], "vec_id long, embedding array<double>").withColumn("embedding", X.normalised(F.col("embedding")))
     got = search.vector_top(v, [0.6, 0.8], 2).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 3] and abs(got[0].score - 1) < 1e-12
+
+
+def test_innermost_spans_of_any_length_and_place(spark):
+    """Long spans and many of them at one line: a span has a few rows however long it is, and a line meets only the best span of each block."""
+    import random
+
+    rng = random.Random(7)
+    spans = [("f", s := rng.randint(-300, 300), s + rng.randint(-2, 200), rng.randint(0, 2), k) for k in range(120)] + [("g", 1, 10**12, 0, 500), ("g", 5, 10**12, 0, 501), ("g", 7, 7, 9, 502)]
+    points = [("f", rng.randint(-320, 520), i) for i in range(300)] + [("g", 7, 900), ("g", 10**12, 901), ("g", 4, 902), ("g", 4, 902), ("g", 0, 903)]
+    want = {}
+    for path, line, i in points:
+        best = min(((e - s, rank, key, s, e) for p, s, e, rank, key in spans if p == path and s <= line <= e), default=None)
+        if best:
+            want[path, line, i] = best[2:]
+    got = derive.innermost(spark.createDataFrame(points, "path string, line long, point_id long"), spark.createDataFrame(spans, "path string, start long, end long, rank int, key long")).collect()
+    assert len(got) == len(want) and {(r.path, r.line, r.point_id): (r.key, r.start, r.end) for r in got} == want
