@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.operators import layout
 from stratagraph.plans.workspace import Workspace
-from stratagraph.sources import parsers, readers
+from stratagraph.sources import documents, parsers, readers
 from stratagraph.streaming import watch
 
 MAKE = "CC=gcc\nOBJS := a.o \\\n  b.o\nOBJS += c.o\n.PHONY: all\nall: $(OBJS) | dir\n\t@$(CC) -o x $^\n%.o: %.c\n\tcc $<\nall: more\n"
@@ -119,3 +119,31 @@ def test_geometry(spark):
 def test_flow(spark):
     flow = layout.ci_flow(parsers.build_observations(spark.createDataFrame([("Makefile", "all: lib\n\trun\nlib:\n\techo\n")], "path string, text string")))
     assert {(r.node, r.column, r.kind) for r in flow.collect()} == {("all", 1, "target"), ("lib", 1, "target"), ("run", 2, "step"), ("echo", 2, "step"), ("trigger:all", 0, "trigger")}
+
+
+def test_coverage_reports_are_many_not_large(spark):
+    """A larger table has more reports; one report, which is one text, doesn't grow with it."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from stratagraph.plans import parse_queries
+
+    def lengths(n: int) -> list[int]:
+        part = spark.range(n).select(F.col("id").alias("p_partkey"), F.lit(50).alias("p_size"))
+        lines = spark.range(n).select(F.col("id").alias("l_partkey"), (F.col("id") % 7).alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.lit(30.0).alias("l_quantity"))
+        reports = parse_queries._coverage_json(SimpleNamespace(part=part, lineitem=lines))
+        assert [d.count() for d in readers.coverage(reports)] == [n, n]
+        return [r[0] for r in reports.select(F.length("json")).collect()]
+
+    assert max(lengths(4000)) < 1.5 * max(lengths(1000))
+
+
+def test_lanes_of_a_long_fastfile(spark):
+    """Platforms hold until the next one, a description is that of the next lane only; lanes are not gathered in a growing array."""
+    text = 'desc "lost"\nlane :a do\nend\nplatform :ios do\n  desc "one"\n  desc "two"\n  private_lane :b do\n  end\n  lane :c do\n  end\nend\nplatform :android do\ndesc "left"\n' + "lane :d do\nend\n" * 2
+    files = spark.createDataFrame([("F", text), ("G", 'lane :x do\nend\ndesc "y"\n'), ("H", None)], "path string, text string")
+    found = documents.lanes(files, spark.createDataFrame([("fastlane c",)], "command string"))
+    got = {(r.path, r.lane, r.platform, r.description, r.in_ci) for r in found.collect()}
+    assert got == {("F", "a", None, "lost", False), ("F", "b", "ios", "two", False), ("F", "c", "ios", None, True), ("F", "d", "android", "left", False), ("F", "d", "android", None, False), ("G", "x", None, None, False)}
+    assert "array_append" not in found._jdf.queryExecution().optimizedPlan().toString()
