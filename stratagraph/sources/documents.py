@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _EMPTY = ("", "—", "-", "–")
@@ -120,9 +120,10 @@ def lanes(fastfiles: DataFrame, commands: DataFrame) -> DataFrame:
     ls = fastfiles.select("path", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.trim("line"))
     part = lambda pattern: F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
     marks = ls.select("path", "at", part(r"^platform\s+:(\w+)").alias("p"), part(r"""^desc\s+["'](.+)["']""").alias("d"), part(r"^(?:private_)?lane\s+:(\w+)").alias("l")).where("p is not null or d is not null or l is not null")
-    start = F.struct(F.lit(None).cast("string").alias("p"), F.lit(None).cast("string").alias("d"), F.array().cast("array<struct<lane:string,platform:string,description:string>>").alias("out"))
-    step = lambda acc, x: F.struct(F.coalesce(x["p"], acc["p"]).alias("p"), F.when(x["l"].isNull(), F.coalesce(x["d"], acc["d"])).alias("d"), F.when(x["l"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(x["l"].alias("lane"), acc["p"].alias("platform"), acc["d"].alias("description")))).alias("out"))
-    folded = marks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "p", "d", "l"))).alias("m")).select("path", F.explode(F.aggregate("m", start, step)["out"]).alias("x")).select("path", "x.*")
+    above = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = marks.withColumn("p", F.last("p", True).over(above)).withColumn("before", F.count("l").over(above) - F.col("l").isNotNull().cast("int"))  # lanes above
+    own = Window.partitionBy("path", "before").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    folded = marks.withColumn("d", F.last("d", True).over(own)).where("l is not null").select("path", F.col("l").alias("lane"), F.col("p").alias("platform"), F.col("d").alias("description"))
     said = commands.select(F.explode(F.split("command", " ")).alias("lane")).distinct().withColumn("in_ci", F.lit(True))
     return folded.join(said, "lane", "left").select("path", "lane", "platform", "description", F.coalesce("in_ci", F.lit(False)).alias("in_ci"))
 
