@@ -38,12 +38,20 @@ def new_windows(contents: DataFrame, windows: DataFrame) -> DataFrame:
 def postings(windows: DataFrame) -> DataFrame:
     """term, blob_hash, ordinal, tf (weighted over both columns), length (terms of both) and bucket of every term of windows.
 
-    Written by `bucket`, a query reads the files of its terms' buckets only.
+    Written by `bucket`, a query reads the files of its terms' buckets only. A window's terms are counted within its row (a window has one), so nothing is shuffled.
     """
-    b, s = T.terms(F.col("body")), T.terms(F.col("split"))
-    rows = windows.select("blob_hash", "ordinal", b.alias("b"), s.alias("s")).withColumn("length", F.size("b") + F.size("s"))
-    each = lambda c, w: rows.select("blob_hash", "ordinal", "length", F.explode(c).alias("term")).withColumn("w", F.lit(w))
-    found = each("b", search.BODY).unionByName(each("s", search.SPLIT)).groupBy("term", "blob_hash", "ordinal").agg(F.sum("w").alias("tf"), F.first("length").alias("length"))
+    named = lambda c, kind: F.transform(T.terms(F.col(c)), lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
+    rows = windows.select("blob_hash", "ordinal", F.sort_array(F.concat(named("body", 0), named("split", 1))).alias("all")).withColumn("length", F.size("all"))
+
+    def counted(places: Column) -> Column:  # where in the sorted terms each one begins -> the term and its weight
+        def one(at: Column, i: Column) -> Column:
+            n = F.coalesce(F.get(places, i + 1), F.col("length")) - at
+            split = F.size(F.filter(F.slice("all", at + 1, n), lambda x: x["kind"] == 1))
+            return F.struct(F.get("all", at)["term"].alias("term"), (search.BODY * (n - split) + search.SPLIT * split).alias("tf"))
+        return F.transform(places, one)
+
+    begins = F.filter(F.slice(F.sequence(F.lit(0), F.col("length")), 1, F.col("length")), lambda i: (i == 0) | (F.get("all", i)["term"] != F.get("all", i - 1)["term"]))
+    found = rows.select("blob_hash", "ordinal", "length", F.explode(T.let(begins, counted)).alias("t")).select("t.term", "blob_hash", "ordinal", "t.tf", "length")
     return found.withColumn("bucket", term_bucket(F.col("term")))
 
 
@@ -51,6 +59,17 @@ def term_bucket(term: Column) -> Column:
     return F.pmod(F.crc32(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
+def write_postings(posts: DataFrame, folder: str) -> None:
+    """The postings in one folder a bucket. Each task keeps a file of every bucket open, so postings are neither sorted nor shuffled."""
+    spark, writers = posts.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, TERM_BUCKETS)
+    try:
+        posts.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    finally:
+        spark.conf.set(writers, before)
+
+
 def window_stats(windows: DataFrame) -> DataFrame:
     """One row: n, average length of windows in terms. Kept beside the postings, so a query reads no text."""
     return windows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.terms(F.col("body"))) + F.size(T.terms(F.col("split")))).alias("average"))
@@ -158,7 +177,7 @@ def lexical(windows: DataFrame, posts: DataFrame, stats: DataFrame, locations: D
     where = where if prefix is None else where & F.col("path").startswith(prefix)
     placed = bm25(posts, stats, query).join(locations.where(where), "blob_hash")
     best = search.top(placed, limit * 3, F.round("score", 9).desc(), F.col("repo"), F.col("path"), F.col("ordinal")).withColumnRenamed("rank", "_rank")
-    hits = best.join(windows.select("blob_hash", "ordinal", "start_line", "body"), ["blob_hash", "ordinal"]).withColumn("_lines", T.lines(F.col("body"))).withColumn("_at", T.matching_line(F.col("_lines"), query)).where("_at is not null")
+    hits = windows.select("blob_hash", "ordinal", "start_line", "body").join(F.broadcast(best), ["blob_hash", "ordinal"]).withColumn("_lines", T.lines(F.col("body"))).withColumn("_at", T.matching_line(F.col("_lines"), query)).where("_at is not null")
     hits = hits.select("repo", "path", (F.col("start_line") + F.col("_at") - 1).alias("line"), "score", T.snippet(F.col("_lines"), F.col("_at")).alias("snippet"), F.lit("lexical").alias("resolution"), "_rank")
     once = hits.withColumn("_n", F.row_number().over(Window.partitionBy("repo", "path", "line").orderBy("_rank"))).where("_n = 1")
     return search.top(once.drop("_n"), limit, F.col("_rank")).drop("_rank")
@@ -171,7 +190,8 @@ def semantic(vectors: DataFrame, chunks: DataFrame, locations: DataFrame, conten
     mine = vectors.where((F.col("model") == model) & (F.size("embedding") == len(query))).join(here, "blob_hash")
     scored = mine.select("blob_hash", "ordinal", "at", T.dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])).alias("score"))
     best = search.top(scored, limit, F.round("score", 9).desc(), F.col("blob_hash"), F.col("ordinal"))
-    rows = best.join(chunks.select("blob_hash", "ordinal", "start_line", "end_line"), ["blob_hash", "ordinal"]).join(contents.select("blob_hash", "text"), "blob_hash")
+    best = chunks.select("blob_hash", "ordinal", "start_line", "end_line").join(F.broadcast(best), ["blob_hash", "ordinal"])  # `limit` rows; texts stay where they are
+    rows = contents.select("blob_hash", "text").join(F.broadcast(best), "blob_hash").dropDuplicates(["blob_hash", "ordinal"])
     length = F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(SNIPPET_LINES))
     return rows.select("rank", "at.repo", "at.path", F.col("start_line").alias("line"), "score", F.array_join(F.slice(T.lines(F.col("text")), F.col("start_line"), length), "\n").alias("snippet"), F.lit("semantic").alias("resolution"))
 

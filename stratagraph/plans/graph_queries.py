@@ -287,10 +287,12 @@ def _index(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
     f = files(t)
     contents = f.select("blob_hash", "text").where("text is not null")
-    windows = graph.settled(index.new_windows(contents, t.spark.createDataFrame([], "blob_hash string")))
-    out = f"{graph.shared_folder(t.spark)}/stratagraph/postings-{abs(hash(t.dir))}-{t.spark.sparkContext.applicationId}"
-    index.postings(windows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
-    posts = t.spark.read.parquet(out)
+    spark = t.spark
+    out = f"{graph.shared_folder(spark)}/stratagraph/index-{abs(hash(t.dir))}-{spark.sparkContext.applicationId}"
+    index.new_windows(contents, spark.createDataFrame([], "blob_hash string")).write.mode("overwrite").parquet(f"{out}/windows")
+    windows = spark.read.parquet(f"{out}/windows")
+    index.write_postings(index.postings(windows), f"{out}/postings")
+    posts = spark.read.parquet(f"{out}/postings")
     return contents, windows, posts, f.select(F.lit("r").alias("repo"), "path", "blob_hash")
 
 
@@ -354,7 +356,7 @@ def hybrid_search(t: Tables) -> DataFrame:
     contents, windows, posts, locations = _index(t)
     vectors, chunks = _vectors(t)
     stats, q = index.window_stats(windows), _first_vector(t)
-    found, _, _ = index.hybrid(lambda n: index.lexical(windows, posts, stats, locations, _Q, n), lambda n: index.semantic(vectors, chunks, locations, contents.dropDuplicates(["blob_hash"]), "m@1", q, n), limit=10)
+    found, _, _ = index.hybrid(lambda n: index.lexical(windows, posts, stats, locations, _Q, n), lambda n: index.semantic(vectors, chunks, locations, contents, "m@1", q, n), limit=10)
     return found.select("rank", F.col("at").alias("path"), F.round("score", 9).alias("score"), F.col("line").cast("int").alias("line"))
 
 

@@ -240,3 +240,15 @@ def test_command_line(spark, tmp_path):
     assert "nodes" in ask("metrics")[0]
     with pytest.raises(lookups.UnknownRepository):
         ask("index", "q")
+
+
+def test_postings_are_counted_in_place_and_written_by_bucket(spark, tmp_path):
+    """Terms are counted within a window's row: no shuffle; texts of duplicates are not shuffled for the hits either."""
+    w = _rows(spark, [("h1", 0, 1, "b A b cD\nb", "c D"), ("h2", 0, 1, "", ""), ("h2", 1, 61, "a", "")], "blob_hash string, ordinal int, start_line int, body string, split string")
+    posts = index.postings(w)
+    assert "Exchange" not in posts._jdf.queryExecution().executedPlan().toString()
+    at = f"file://{tmp_path}/posts"
+    index.write_postings(posts, at)
+    got = {(r.term, r.blob_hash, r.ordinal): (round(r.tf, 9), r.length, r.bucket) for r in spark.read.parquet(at).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {("b", "h1", 0): (3.0, 7), ("a", "h1", 0): (1.0, 7), ("cd", "h1", 0): (1.0, 7), ("c", "h1", 0): (0.4, 7), ("d", "h1", 0): (0.4, 7), ("a", "h2", 1): (1.0, 1)}
+    assert all([v[2]] == index.term_buckets([k[0]]) for k, v in got.items())
