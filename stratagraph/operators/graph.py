@@ -42,22 +42,45 @@ def undirected(edges: DataFrame) -> DataFrame:
 def neighborhood(edges: DataFrame, origin: DataFrame, depth: int | None, directed: bool = False) -> DataFrame:
     """node, distance within depth hops of the origins (column node); depth None goes on until nothing is new."""
     hops = edges.select("src", "dst").distinct() if directed else undirected(edges)
+    if depth is None:
+        return _reached(settled(hops), origin, directed)
     seen = front = origin.select("node").distinct().withColumn("distance", F.lit(0))
-    step = 0
-    while depth is None or step < depth:
-        step += 1
+    for step in range(1, depth + 1):
         new = front.join(hops, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(step))
-        if depth is None:
-            new = settled(new)
-            if new.isEmpty():
-                break
-            seen = settled(seen.unionByName(new))
-        else:
-            seen = seen.unionByName(new)
+        seen = seen.unionByName(new)
         front = new
     return seen
 
 
+#: A front of at most so many rows is sent to the edges; beyond, both are shuffled. Levels that are read as one table before they are written as one.
+FRONT_ROWS, LEVELS = 50_000, 16
+
+
+def _reached(hops: DataFrame, origin: DataFrame, directed: bool) -> DataFrame:
+    """node, distance of all that the origins reach over hops (src, dst; settled, as each step reads them). A level is written once. What a step finds is held against the
+    levels before: where edges go both ways, against the last two, as nothing farther back is next to the front."""
+    front = settled(origin.select("node").distinct().withColumn("distance", F.lit(0)))
+    known, last, rows, step = [front], [front], front.count(), 0
+    while rows:
+        step += 1
+        near = F.broadcast(front.select("node")) if rows <= FRONT_ROWS else front.select("node")
+        new = hops.join(near, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        new = settled(new.join(_together(known if directed else last).select("node"), "node", "left_anti").withColumn("distance", F.lit(step)))
+        rows, front, last = new.count(), new, [front, new]
+        if rows:
+            known.append(new)
+        if len(known) > LEVELS:
+            known = [settled(_together(known))]
+    return _together(known)
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t)
+    return whole
+
+
 def touched_edges(edges: DataFrame, near: DataFrame, depth: int) -> DataFrame:
     """Edges incident to a node that a neighborhood of that depth expanded."""
     inner = near.where(F.col("distance") < depth).select("node")
@@ -103,15 +126,34 @@ def roles(edges: DataFrame, threshold: int = 2) -> DataFrame:
     return both.select("node", "fan_in", "fan_out", F.when(i & o, "Hub").when(i, "Core").when(o, "Entry").otherwise("Leaf").alias("role"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of the strongly connected components; nodes of edges only, self edges ignored.
+def strong_components(edges: DataFrame, group: str | None = None) -> DataFrame:
+    """node, component (its least node) of the strongly connected components; nodes of edges only, self edges ignored. group: a column of edges, where
+    no node is in two groups; the result is the same without it.
 
-    Forward colouring: each node takes the least label that reaches it; a colour's root and what reaches the root within
-    the colour is a component. Components found leave the graph, and so do nodes without edges on one side.
+    First the component of the busiest node (of each group): what it reaches and what reaches it. The rest by forward colouring: each node takes the least
+    label that reaches it; a colour's root and what reaches the root within the colour is a component. Components found leave the graph, and so do nodes
+    without edges on one side.
     """
-    rest = settled(edges.where("src <> dst").select("src", "dst").distinct())
+    of = F.lit(0) if group is None else F.col(group)
+    rest = settled(edges.where("src <> dst").select("src", "dst", of.alias("g")).distinct())
     done = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("component", F.col("node"))
     found = None
+    ends = rest.groupBy("g", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("o")).join(rest.groupBy("g", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("i")), ["g", "node"])
+    busiest = settled(ends.groupBy("g").agg(F.max_by("node", F.struct(F.col("o") * F.col("i"), "node")).alias("node")))  # a row a group
+    if not busiest.isEmpty():
+        ahead = _reached(rest, busiest, True).select("node")
+        back = _reached(rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")), busiest, True).select("node")
+        both = settled(ahead.join(back, "node", "left_semi"))
+        if group is None:
+            part = both.join(F.broadcast(both.agg(F.min("node").alias("component"))))  # one row
+        else:
+            placed = both.join(rest.select(F.col("src").alias("node"), "g").distinct(), "node").unionByName(busiest.select("node", "g").join(both, "node", "left_semi")).distinct()
+            part = placed.join(placed.groupBy("g").agg(F.min("node").alias("component")), "g").select("node", "component")
+        found = settled(part)
+        gone = found.select("node")
+        rest = settled(rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    else:
+        rest = rest.select("src", "dst")
     while not rest.isEmpty():
         while True:  # nodes without a way in or a way out are components of their own
             trimmed = settled(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
@@ -244,24 +286,34 @@ def tree_rows(parents: DataFrame, labels: DataFrame) -> DataFrame:
     """
     kind = labels.schema["node"].dataType
     level = labels.join(parents.select(F.col("child").alias("node")), "node", "left_anti").select("node", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth"), F.array("label").alias("path"))
-    level = out = seen = settled(level)
-    depth = 0
-    while not level.isEmpty():
+    below = settled(parents.select("parent", F.col("child").alias("node")).join(labels, "node"))  # read at each level
+    level = settled(level)
+    known, found, rows, depth = [level.select("node")], [level], level.count(), 0
+    while rows:
         depth += 1
-        down = level.select(F.col("node").alias("parent"), "path").join(parents, "parent").groupBy(F.col("child").alias("node")).agg(F.min_by(F.struct("parent", "path"), "parent").alias("p"))
-        down = down.join(seen.select("node"), "node", "left_anti").join(labels, "node")
-        level = settled(down.select("node", "p.parent", F.lit(depth).alias("depth"), F.array_append("p.path", F.col("label")).alias("path")))
-        out = out.unionByName(level)
-        seen = settled(seen.select("node").unionByName(level.select("node")))
-    return out
+        above = level.select(F.col("node").alias("parent"), "path")
+        down = below.join(F.broadcast(above) if rows <= FRONT_ROWS // 10 else above, "parent").groupBy("node").agg(F.min_by(F.struct("parent", "path", "label"), "parent").alias("p"))
+        down = down.join(_together(known), "node", "left_anti")
+        level = settled(down.select("node", "p.parent", F.lit(depth).alias("depth"), F.array_append("p.path", F.col("p.label")).alias("path")))
+        rows = level.count()
+        if rows:
+            found.append(level)
+            known.append(level.select("node"))
+        if len(known) > LEVELS:
+            known = [settled(_together(known))]
+        if len(found) > 4 * LEVELS:
+            found = [settled(_together(found))]
+    return _together(found)
 
 
 def outline(parents: DataFrame, labels: DataFrame) -> DataFrame:
     """node, child, label: the outline as a DAG. Each node's children once, sorted by label where they are shown; edges that close a cycle
     are cut (an edge from a node to one that is not deeper than itself). Nothing is expanded, so shared parts cost their rows once."""
-    depth = tree_rows(parents, labels).select("node", "depth")
-    e = parents.select(F.col("parent").alias("node"), "child").distinct()
-    e = e.join(depth, "node").join(depth.withColumnsRenamed({"node": "child", "depth": "below"}), "child").where("below > depth")
+    named = labels.select("node")
+    e = settled(parents.select(F.col("parent").alias("src"), F.col("child").alias("dst")).distinct().join(named.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    roots = named.join(parents.select(F.col("child").alias("node")), "node", "left_anti")
+    depth = settled(_reached(e, roots, True).select("node", F.col("distance").alias("depth")))
+    e = e.select(F.col("src").alias("node"), F.col("dst").alias("child")).join(depth, "node").join(depth.withColumnsRenamed({"node": "child", "depth": "below"}), "child").where("below > depth")
     return e.join(labels.withColumnRenamed("node", "child"), "child").select("node", "child", "label")
 
 

@@ -56,7 +56,7 @@ def cyclic_counts(edges: DataFrame, revisions: DataFrame) -> DataFrame:
     then = inner.join(needed, "part").where("valid_from <= epoch and (valid_to is null or valid_to > epoch)").select("part", "epoch", "src", "dst").distinct()
     key = lambda node: F.concat_ws("|", "part", "epoch", node)
     keyed = graph.settled(then.select("part", "epoch", key("src").alias("src"), key("dst").alias("dst")))
-    found = graph.strong_components(keyed)
+    found = graph.strong_components(keyed.withColumn("at", F.concat_ws("|", "part", "epoch")), "at")
     within = keyed.join(found.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(found.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").where("a = b")
     counts = within.groupBy("part", "epoch").agg(F.count(F.lit(1)).alias("n"))
     return asked.join(counts, ["part", "epoch"]).groupBy("revision").agg(F.sum("n").alias("cyclic"))

@@ -198,3 +198,45 @@ def test_innermost_spans_of_any_length_and_place(spark):
             want[path, line, i] = best[2:]
     got = derive.innermost(spark.createDataFrame(points, "path string, line long, point_id long"), spark.createDataFrame(spans, "path string, start long, end long, rank int, key long")).collect()
     assert len(got) == len(want) and {(r.path, r.line, r.point_id): (r.key, r.start, r.end) for r in got} == want
+
+
+def test_reach_and_outline_of_deep_graphs(spark):
+    """Reach over chains longer than what is read as one table; the outline's plan doesn't grow with the depth."""
+    import random
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(24)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(90)] + [(5, 100)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for directed in (True, False):
+        near, front, step = {0: 0, 110: 0}, {0, 110}, 0
+        while front:
+            step += 1
+            front = {d for s, d in (edges if directed else edges + [(d, s) for s, d in edges]) if s in front} - near.keys()
+            near |= dict.fromkeys(front, step)
+        got = graph.neighborhood(df, spark.createDataFrame([(0,), (110,), (110,)], "node long"), None, directed).collect()
+        assert len(got) == len(near) and {r.node: r.distance for r in got} == near
+    labels = spark.createDataFrame([(i, str(i)) for i in range(25)], "node long, label string")
+    shown = graph.outline(spark.createDataFrame([(i + 1, i) for i in range(24)] + [(3, 9)], "child long, parent long"), labels)
+    assert sorted((r.node, r.child) for r in shown.collect()) == [(i, i + 1) for i in range(24)]
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") < 12
+    rows = graph.tree_rows(spark.createDataFrame([(i + 1, i) for i in range(24)], "child long, parent long"), labels).collect()
+    assert {r.node: (r.parent, r.depth, r.path) for r in rows} == {i: (i - 1 if i else None, i, [str(x) for x in range(i + 1)]) for i in range(25)}
+
+
+def test_components_by_groups_are_those_without(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = [(g, g * 100 + rng.randrange(25), g * 100 + rng.randrange(25)) for g in range(5) for _ in range(12 * g)]
+    df = spark.createDataFrame(edges, "g long, src long, dst long")
+    nodes = {x for _, s, d in edges for x in (s, d)}
+    reach = {x: {x} for x in nodes}
+    for _ in nodes:
+        for _, s, d in edges:
+            for x in nodes:
+                if s in reach[x]:
+                    reach[x].add(d)
+    want = {x: min(y for y in reach[x] if x in reach[y]) for x in nodes}
+    for found in (graph.strong_components(df.select("src", "dst")), graph.strong_components(df, "g")):
+        got = found.collect()
+        assert len(got) == len(want) and {r.node: r.component for r in got} == want
