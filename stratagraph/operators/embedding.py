@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,27 +53,51 @@ def train(contexts: DataFrame, reflections: int = 1) -> DataFrame:
     """
     rows = contexts.select(F.col("key").cast("string").alias("key"), F.explode_outer(F.transform(F.array_distinct(T.terms(F.coalesce("text", F.lit("")))), bucket)).alias("bucket"))
     kept = graph.settled(rows.groupBy("key").agg(F.collect_set("bucket").alias("buckets")))  # texts are cut once; BUCKETS numbers a context at most
-    held = kept.select("key", F.explode("buckets").alias("bucket"))
     n = kept.agg(F.count(F.lit(1)).alias("n"))
-    marks = held.select("bucket", F.posexplode(signs(F.col("key"))).alias("i", "s")).groupBy("bucket", (F.abs("s") - 1).alias("d"))
-    marks = marks.agg(F.sum(F.signum("s").cast("bigint")).alias("v"), F.count_if(F.col("i") == 0).alias("rows"))  # rows: contexts of the bucket, by their first entries
-    sums = marks.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"))  # DIMENSIONS entries at most
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0).cast("bigint")))
-    model = _at_length(sums.select("bucket", "rows", dense.alias("v")), ["bucket"])
+    model = _at_length(_gathered(kept.select("buckets", signs(F.col("key")).alias("s")).where("s is not null"), _signed), ["bucket"])
     weight = F.floor(16 * F.sqrt(F.col("n") / F.col("rows"))).cast("int").alias("weight")
     model = graph.settled(model.join(F.broadcast(n)).select("bucket", weight, "vector"))  # n is one row; a reflection reads the model twice
     for _ in range(reflections):
-        terms = F.broadcast(model)
-        of = _scaled(held.join(terms, "bucket"), ["key"], lambda d: F.get("vector", F.lit(d)).cast("bigint") * F.col("weight")).drop("rows")
-        again = _scaled(held.join(of, "key"), ["bucket"], lambda d: F.get("vector", F.lit(d)).cast("bigint")).drop("rows")
+        again = _at_length(_gathered(kept.where("key is not null").select("buckets"), _saying(_sent(model))), ["bucket"]).drop("rows")
         model = graph.settled(again.join(F.broadcast(model.select("bucket", "weight")), "bucket").select("bucket", "weight", "vector"))
     return model
 
 
-def _scaled(rows: DataFrame, key: list[str], entry: Callable[[int], Column]) -> DataFrame:
-    """key, vector (array<tinyint>), rows: the sums of entry(dimension) at length SCALE, rounded; sums of zero are left out."""
-    sums = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(entry(d)).alias(f"d{d}") for d in range(DIMENSIONS)])
-    return _at_length(sums.select(*key, "rows", F.array(*[F.col(f"d{d}") for d in range(DIMENSIONS)]).alias("v")), key)
+def _signed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for s in batch.column("s").to_pylist():
+        v, at = np.zeros(DIMENSIONS, np.int64), np.asarray(s)
+        np.add.at(v, np.abs(at) - 1, np.sign(at))
+        yield v
+
+
+def _saying(sent: Broadcast) -> Callable[[pa.RecordBatch], Iterator[np.ndarray | None]]:
+    """What contexts' terms say at length SCALE, rounded; None where it is nothing."""
+    def of(batch: pa.RecordBatch) -> Iterator[np.ndarray | None]:
+        for found in batch.column("buckets"):
+            v = sent.value[found.values.to_numpy()].sum(0, dtype=np.int64)
+            norm = np.sqrt(float((v * v).sum()))
+            yield np.floor(v * SCALE / norm + 0.5).astype(np.int64) if norm > 0 else None
+    return of
+
+
+def _gathered(rows: DataFrame, vectors: Callable[[pa.RecordBatch], Iterator[np.ndarray | None]]) -> DataFrame:
+    """bucket, rows, v: for each bucket the number and the sum of the vectors of rows (buckets, each once). A task sums in a table of BUCKETS rows."""
+    dims = [f"d{d}" for d in range(DIMENSIONS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, rows = np.zeros((BUCKETS, DIMENSIONS), np.int64), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for found, v in zip(batch.column("buckets"), vectors(batch), strict=True):
+                if v is not None:
+                    at = found.values.to_numpy()
+                    table[at] += v
+                    rows[at] += 1
+        for at in np.array_split(np.flatnonzero(rows), 16):
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(rows[at]), *(pa.array(np.ascontiguousarray(table[at, d])) for d in range(DIMENSIONS))], ["bucket", "rows", *dims])
+
+    sums = rows.mapInArrow(run, f"bucket int, rows long, {', '.join(f'{d} long' for d in dims)}")
+    return sums.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ["rows", *dims]]).select("bucket", "rows", F.array(*dims).alias("v"))
 
 
 def _at_length(sums: DataFrame, key: list[str]) -> DataFrame:
@@ -101,14 +127,19 @@ def identity(model: DataFrame, name: str = "terms") -> str:
     return f"{name}@{digest[:12]}"
 
 
-def column(model: DataFrame) -> Callable[[Column], Column]:
-    """The embedder as a column function, which gives what embed() gives. The model (BUCKETS rows at most) is held by the driver and sent to each
-    executor once; a worker unpacks it once for all batches of its task. Terms are cut and hashed in the JVM."""
+def _sent(model: DataFrame) -> Broadcast:
+    """The model as a table of BUCKETS rows, vectors times weights."""
     held = model.select("bucket", "weight", "vector").toPandas()
     table = np.zeros((BUCKETS, DIMENSIONS), np.int32)
     if len(held):
         table[held["bucket"].to_numpy()] = np.stack(held["vector"].to_numpy()).astype(np.int32) * held["weight"].to_numpy()[:, None]
-    sent = model.sparkSession.sparkContext.broadcast(table)
+    return model.sparkSession.sparkContext.broadcast(table)
+
+
+def column(model: DataFrame) -> Callable[[Column], Column]:
+    """The embedder as a column function, which gives what embed() gives. The model (BUCKETS rows at most) is held by the driver and sent to each
+    executor once; a worker unpacks it once for all batches of its task. Terms are cut and hashed in the JVM."""
+    sent = _sent(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rows = sent.value

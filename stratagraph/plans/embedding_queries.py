@@ -61,7 +61,7 @@ def trained_search(t: Tables) -> DataFrame:
     chunks = graph.settled(chunks.withColumn("text", F.concat("context", "body")))
     model = embedding.train(chunks.select(F.concat_ws(":", "blob_hash", "ordinal").alias("key"), "text"))
     name = embedding.identity(model)
-    vectors = embedding.embed(chunks, model, ["blob_hash", "ordinal"]).withColumn("model", F.lit(name))
+    vectors = chunks.select("blob_hash", "ordinal", embedding.column(model)(F.col("text")).alias("embedding"), F.lit(name).alias("model"))
     asked = embedding.embed(t.spark.range(1).select("id", F.lit(_ASKED).alias("text")), model, ["id"]).first()["embedding"]
     hits = index.semantic(vectors, chunks, locations, contents, name, list(asked), 12)
     return hits.select("rank", "path", "line", F.round("score", 6).alias("score"))

@@ -75,3 +75,17 @@ def test_an_empty_corpus(spark):
     model = E.train(none)
     assert model.count() == 0 and E.identity(model).startswith("terms@")
     assert [sum(r.v) for r in spark.createDataFrame([("x",)], "text string").select(E.column(model)(E.F.col("text")).alias("v")).collect()] == [0.0]
+
+
+def test_buckets_are_summed_within_tasks(spark):
+    """Each bucket's contexts and the sum of their sign vectors, however the rows are split; a context is not spread into a row a term and sign."""
+    rows = [([1, 2], [1, -2, 1]), ([2], [-64]), ([], [5]), ([65535], [3])]
+    df = spark.createDataFrame(rows, "buckets array<int>, s array<int>").repartition(3)
+    want = {}
+    for buckets, marks in rows:
+        for b in buckets:
+            n, v = want.setdefault(b, (0, [0] * 64))
+            for m in marks:
+                v[abs(m) - 1] += 1 if m > 0 else -1
+            want[b] = (n + 1, v)
+    assert {r.bucket: (r.rows, r.v) for r in E._gathered(df, E._signed).collect()} == want
