@@ -167,6 +167,18 @@ def test_templates_that_rewrite_history_are_detected(spark):
     assert chat.read_back(chat.format_turns(none)).collect() == []
 
 
+def test_a_template_that_looks_back_to_the_first_turn(spark):
+    """Without a bound on how far it looks back, a template that numbers its turns from the first is followed over any number of them."""
+    counted = lambda messages: "".join(f"<{i}|{t}>" for i, (_, t) in enumerate(messages))
+    template = chat.Template(counted, lambda s: [], lambda t: t)
+    rows = [(1, i, "user", f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(chat.format_turns(df, template, held=None).collect(), key=lambda r: r.position)
+    whole = "".join(r.piece for r in got)
+    assert whole == counted([(r, t) for _, _, r, t in rows]) and not any(r.rewrites for r in got)
+    assert all(whole[r.text_start : r.text_end] == f"t{r.position}" for r in got)
+
+
 # ---- divergence
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
