@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most so many rows may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
+#: A query's shuffle files go at its end, not when the driver next collects garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -39,7 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, gives the planner true sizes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratagraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     _written.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path

@@ -11,6 +11,9 @@
    signatures are held by any other set has no partner at that number of parts. This bounds its overlap with the union of all others, and
    takes out sets that merely share a passage. Sets that are left and share a signature are tied by a star to one of the
    owners, never in pairs; those that the ties connect are a cluster.
+   A cluster of several blocks is mostly a chain of small families that share passages, and it grows faster than the corpus. It is cut
+   by prefixes: with the tokens of all such clusters ordered from rare to common, two sets that link share one of their first
+   n - ceil(threshold * n) + 1. Sets tied by such a token form the new clusters, and passages that many sets hold come last.
 4. A cluster is partitioned into groups of similar nodes; the token-group matrix holds each group's token union. The
    overlap of a node with a union bounds its overlap with every member, and only groups whose bound reaches what the
    sizes require are opened; members there are compared exactly.
@@ -33,7 +36,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, dropped, small, written
@@ -48,6 +51,8 @@ LADDER = 1.5
 FLUSH = 1 << 18
 #: Classes of more documents than this reach them by broadcast, so that no task gathers one: a table of N rows has N / HOT_CLASS at most.
 HOT_CLASS = 100_000
+#: Tokens of more sets than this reach them by broadcast: of N tokens in all sets N / HOT_TOKEN at most.
+HOT_TOKEN = 10_000
 #: A name's low bits hold the number of parts and the cut of a signature.
 LEVEL_BITS = 9
 _SALT = [0x1B873593 + 0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(CUTS)]
@@ -317,6 +322,33 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     return alive, ties
 
 
+def _cut(tokens: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """tokens, written, with clusters of several blocks cut by prefixes of rare tokens: no link is lost, and sets without a partner there go."""
+    large = tokens.where("blocks > 1")
+    if not large.limit(1).count():
+        return tokens
+    each = large.select("node", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    held = written(each.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "join-held")
+    marked = each.join(F.broadcast(held.where(F.col("held") > HOT_TOKEN)), "token", "left")
+    rest = marked.where("held is null").drop("held").join(held.where(F.col("held") <= HOT_TOKEN), "token", "left")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("held", F.lit(1)), "token"))
+    ranked = marked.where("held is not null").unionByName(rest).withColumn("rank", rank)
+    prefix = written(ranked.where(f"held is not null and rank <= n - (n * {num} + {den - 1}) div {den} + 1").select("token", "node"), "join-prefix")
+    ties = prefix.join(prefix.groupBy("token").agg(F.min("node").alias("v")), "token").select(F.col("node").alias("u"), "v")
+    part = written(components(ties, "join-cut").withColumnRenamed("component", "to"), "join-cut")
+    sized = large.select("node", F.size("tokens").alias("n")).join(part, "node").groupBy("to").agg(*_blocks(block))
+    part = written(part.join(sized, "to").select("node", "to", "blocks"), "join-cut")
+    moved = large.drop("cluster", "block", "blocks").join(small(part), "node").select("node", F.col("to").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "tokens")
+    out = written(tokens.where("blocks = 1").unionByName(moved), "join-tokens")
+    dropped(tokens, held, prefix, part)
+    return out
+
+
+def _blocks(block: int) -> list[Column]:
+    """blocks and nodes of a cluster's sets of n tokens each."""
+    return [F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("nodes")]
+
+
 def _links(tokens: DataFrame, num: int, den: int, block: int) -> list[DataFrame]:
     """Spanning forests of the links of all clusters, as written tables (u, v)."""
     verify, kind = _verify(num, den), "u long, v long"
@@ -373,11 +405,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: str = "0.9", bloc
     alive, ties = _candidates(docs.where("doc_id is not null"), k, num, den)
     clusters = written(components(ties, "join-clusters"), "join-clusters")
     placed = clusters.withColumnRenamed("node", "name").join(alive, "name").join(classes.withColumn("name", F.shiftright("s1", LEVEL_BITS)), "name").select("node", "s2", "n", F.col("component").alias("cluster"))
-    sized = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    sized = placed.groupBy("cluster").agg(*_blocks(block)).where("nodes > 1")
     placed = written(placed.join(sized, "cluster").select("node", "s2", "cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "join-placed")
     dropped(alive, ties, clusters)
     texts = docs.join(small(placed), docs["doc_id"] == placed["node"]).select("node", "s2", "cluster", "block", "blocks", "text")
     tokens = written(texts.mapInArrow(_token_sets(k), "node long, cluster long, block int, blocks int, tokens array<long>").dropDuplicates(["node"]), "join-tokens")
+    tokens = _cut(tokens, num, den, block)
     links = _links(tokens, num, den, block)
     edges = links[0] if len(links) == 1 else links[0].unionByName(links[1])
     several = known.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("doc_id")

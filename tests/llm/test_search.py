@@ -118,6 +118,34 @@ def test_jaccard_in_blocks_loses_no_link(spark, monkeypatch):
         assert {tuple(r) for r in jaccard_join.jaccard_components(df, 3, "0.9", block=block).collect()} == want
 
 
+def test_jaccard_cuts_a_chain_of_families(spark, monkeypatch):
+    """Families that share a passage, but do not link, meet in no block: else their tokens travel to the square of their number."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(50)]
+    rows = []
+    for f in range(40):
+        base = [*passage, *(f"f{f}_{i}" for i in range(50))]
+        for c in range(3):
+            w = list(base)
+            for i in rng.sample(range(100), 3):
+                w[i] = f"c{f}_{c}_{i}"
+            rows.append((len(rows), " ".join(w)))
+    large, links = [], jaccard_join._links
+
+    def seen(tokens, *rest):
+        large.append(tokens.where("blocks > 1").count())
+        return links(tokens, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_links", seen)
+    want = _components(rows, 1, "0.8")
+    assert len({c for _, _, c in want}) == 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (10_000, 5):
+        monkeypatch.setattr(jaccard_join, "HOT_TOKEN", hot, raising=False)
+        assert {tuple(r) for r in jaccard_join.jaccard_components(df, 1, "0.8", block=20).collect()} == want
+    assert large == [0, 0]
+
+
 def _stars(families, slices, seed):
     """Per family: in slice 0 a hub, last, and many texts that hold some of its signatures each; in every other slice a near copy of the hub."""
     rng = random.Random(seed)
