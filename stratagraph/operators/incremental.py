@@ -41,7 +41,7 @@ def tree_supports(files: DataFrame, repo: str) -> DataFrame:
 
 def import_supports(imports: DataFrame, repo: str) -> DataFrame:
     """path, stable_key, state of the rollup: every folder above a file that imports a module depends on it; supported by the file."""
-    up = imports.select("path", "module", F.explode(path_ancestors(F.col("path"))).alias("folder")).distinct()
+    up = imports.select("path", "module").distinct().select("path", "module", F.explode(F.array_distinct(path_ancestors(F.col("path")))).alias("folder"))
     return up.select("path", F.concat_ws("|", F.lit(COUNTED), F.lit(repo), "folder", "module").alias("stable_key"), F.lit(None).cast("string").alias("state"))
 
 
@@ -70,7 +70,8 @@ def supports(repo: str, files: DataFrame, seen: DataFrame, build: DataFrame, all
 
 def facts(supported: DataFrame) -> DataFrame:
     """stable_key, state, n of all supports: what there would be without history."""
-    n = supported.groupBy("stable_key").agg(F.min("state").alias("state"), F.count(F.lit(1)).alias("n"))
+    each = supported.groupBy("stable_key", "state").agg(F.count(F.lit(1)).alias("n"))  # a least string is found by sorting: of few rows, not of all supports
+    n = each.groupBy("stable_key").agg(F.min("state").alias("state"), F.sum("n").alias("n"))
     return n.withColumn("state", _state(F.col("state")))
 
 
@@ -92,7 +93,8 @@ def dirty_paths(diff: DataFrame, build: DataFrame) -> DataFrame:
 def support_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """stable_key, moved, said: by how much the number of supports moves, and what the new ones say, of facts that dirty paths supported before or do after."""
     both = before.select("stable_key", "state", F.lit(-1).alias("d")).unionByName(after.select("stable_key", "state", F.lit(1).alias("d")))
-    return both.groupBy("stable_key").agg(F.sum("d").alias("moved"), F.min(F.when(F.col("d") > 0, F.col("state"))).alias("said"))
+    each = both.groupBy("stable_key", "state").agg(F.sum("d").alias("moved"), F.max("d").alias("d"))
+    return each.groupBy("stable_key").agg(F.sum("moved").alias("moved"), F.min(F.when(F.col("d") > 0, F.col("state"))).alias("said"))
 
 
 def fact_changes(changes: DataFrame, counts: DataFrame, current: DataFrame) -> DataFrame:

@@ -240,3 +240,18 @@ def test_components_by_groups_are_those_without(spark):
     for found in (graph.strong_components(df.select("src", "dst")), graph.strong_components(df, "g")):
         got = found.collect()
         assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_rollup_supports_are_neither_shuffled_nor_sorted(spark):
+    from stratagraph.operators import incremental
+
+    seen = spark.createDataFrame([("/x", "M"), ("/x", "M"), ("a/b/c", "M"), ("a/b/d", "M"), (None, "M")], "path string, module string")
+    rows = incremental.import_supports(seen, "q")
+    assert sorted(r.stable_key for r in rows.where("path = '/x'").collect()) == ["dependsOn|q||M"]
+    found = incremental.facts(rows)
+    assert {(r.stable_key, r.state, r.n) for r in found.collect()} == {("dependsOn|q||M", "3", 3), ("dependsOn|q|a|M", "2", 2), ("dependsOn|q|a/b|M", "2", 2)}
+    said = spark.createDataFrame([("p", "k", "b"), ("r", "k", "a"), ("s", "k", None)], "path string, stable_key string, state string")
+    changes = incremental.support_changes(said.where("path <> 'p'"), said.where("path = 'p'"))
+    assert [tuple(r) for r in changes.collect()] == [("k", -1, "b")]
+    above = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0].count("Aggregate [")
+    assert above(rows) == 0 and above(found) == 2  # by key and state, then the few rows by key
