@@ -38,6 +38,14 @@ def test_prefixes_as_of_a_revision(spark):
     assert names.query_heads("Gr \"opEn") == ["gr", "op"] and names.query_heads("g op") is None
 
 
+def test_postings_are_counted_within_a_name(spark):
+    df = spark.createDataFrame([(1, "a b a", 1, None), (1, "b", 2, 3)], "entity_id long, name string, valid_from long, valid_to long")
+    posts = names.name_postings(df)
+    assert {(r.entity_id, r.term, r.tf, r.length, r.valid_from) for r in posts.collect()} == {(1, "a", 2, 3, 1), (1, "b", 1, 3, 1), (1, "b", 1, 1, 2)}
+    assert posts.schema["tf"].dataType.simpleString() == "int"
+    assert "Exchange" not in posts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_labels_as_a_reader_orders_them(spark):
     from stratagraph.operators import lookups
 
