@@ -43,16 +43,22 @@ def stale(current: DataFrame, asserted: DataFrame, key: list[str]) -> DataFrame:
     return current.join(asserted.select(*key).distinct(), key, "left_anti")
 
 
-def reference_pairs(occurrences: DataFrame, most: int = 200) -> DataFrame:
+def dealt(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """rows dealt to so many tasks by keys; None leaves the number to the session."""
+    return rows.repartition(tasks, *keys) if tasks else rows
+
+
+def reference_pairs(occurrences: DataFrame, most: int = 200, tasks: int | None = None) -> DataFrame:
     """from_path, to_path, reference_count, observations (the `most` least). No pair's observations are gathered: equal ids are counted first, and
-    of the ranked rows only the `most` least go on."""
+    of the ranked rows only the `most` least go on, with their pair's count. tasks: how many to deal the counted ids to."""
     pair = ["from_path", "to_path"]
-    once = occurrences.groupBy(*pair, "observation_id").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*pair).orderBy("observation_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    first = once.withColumn("before", before).where(F.col("before") < most)
-    listed = first.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("observation_id", "n"))).alias("o"))
+    once = dealt(occurrences.groupBy(*pair, "observation_id").agg(F.count(F.lit(1)).alias("n")), tasks, *pair)
+    whole = Window.partitionBy(*pair)
+    before = F.sum("n").over(whole.orderBy("observation_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    first = once.withColumns({"before": before, "reference_count": F.sum("n").over(whole)}).where(F.col("before") < most)
+    listed = first.groupBy(*pair).agg(F.first("reference_count").alias("reference_count"), F.array_sort(F.collect_list(F.struct("observation_id", "n"))).alias("o"))
     ids = F.slice(F.flatten(F.transform("o", lambda x: F.array_repeat(x["observation_id"], F.least(x["n"], F.lit(most)).cast("int")))), 1, most)
-    return once.groupBy(*pair).agg(F.sum("n").alias("reference_count")).join(listed, pair).select(*pair, "reference_count", ids.alias("observations"))
+    return listed.select(*pair, "reference_count", ids.alias("observations"))
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:

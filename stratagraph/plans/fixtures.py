@@ -13,6 +13,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def tasks(self, name: str, rows: int = 500_000) -> int | None:
+        """Tasks to deal a table's rows to, so that one's memory does not grow with the table: one for so many rows; None, the session's, if there are cores enough."""
+        n = -(-getattr(self, name).count() // rows)
+        return n if n > self.spark.sparkContext.defaultParallelism else None
+
 
 def _month(c: str):
     return ((F.year(c) - 1992) * 12 + F.month(c)).cast("long")

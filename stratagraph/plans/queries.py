@@ -194,8 +194,10 @@ def rollup_stale(t: Tables) -> DataFrame:
 @query("""WITH o AS (SELECT 'c' || o_custkey AS from_path, 'p' || l_partkey % 50 AS to_path, o_orderkey AS observation_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT from_path, to_path, count(*) AS reference_count, list_slice(list_sort(list(observation_id)), 1, 200) AS observations FROM o GROUP BY 1, 2""")
 def reference_pairs(t: Tables) -> DataFrame:
-    j = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-    return derive.reference_pairs(j.select(F.concat(F.lit("c"), "o_custkey").alias("from_path"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("to_path"), F.col("o_orderkey").alias("observation_id")))
+    n = t.tasks("lineitem")
+    o, li = derive.dealt(t.orders.select("o_orderkey", "o_custkey"), n, "o_orderkey"), derive.dealt(t.lineitem.select("l_orderkey", "l_partkey"), n, "l_orderkey")
+    j = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    return derive.reference_pairs(j.select(F.concat(F.lit("c"), "o_custkey").alias("from_path"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("to_path"), F.col("o_orderkey").alias("observation_id")), tasks=n)
 
 
 _SPANS = """spans AS (SELECT 'p' || p_partkey % 40 AS path, CAST(p_size * 7 AS BIGINT) AS s, CAST(p_size * 7 + p_partkey % 90 AS BIGINT) AS e, CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'SMALL' THEN 1 ELSE 2 END AS rank, p_partkey AS key FROM part),

@@ -255,3 +255,29 @@ def test_rollup_supports_are_neither_shuffled_nor_sorted(spark):
     assert [tuple(r) for r in changes.collect()] == [("k", -1, "b")]
     above = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0].count("Aggregate [")
     assert above(rows) == 0 and above(found) == 2  # by key and state, then the few rows by key
+
+
+def _tasks(df, *keys):
+    """Numbers of tasks that a plan deals its rows to by these keys."""
+    import re
+
+    return [int(n) for n in re.findall(", ".join(rf"{k}#\d+L?" for k in keys) + r", (\d+)\)", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_a_table_of_many_rows_is_dealt_to_more_tasks(spark, tmp_path):
+    from stratagraph.plans.fixtures import Tables
+
+    spark.range(101).write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert [t.tasks("lineitem", n) for n in (10, 25, 26, 1000)] == [11, 5, None, None]  # on 4 cores
+
+
+def test_reference_pairs_are_read_once_and_dealt_to_tasks(spark):
+    seen = [("a", "x", i % 5) for i in range(12)] + [("a", "y", 9), (None, "y", 7), (None, "y", 3)]
+    df = spark.createDataFrame(seen, "from_path string, to_path string, observation_id long")
+    want = [(None, "y", 2, [3, 7]), ("a", "x", 12, [0, 0, 0, 1]), ("a", "y", 1, [9])]
+    for tasks in (None, 7):
+        got = derive.reference_pairs(df, 4, tasks)
+        assert rows(got, "from_path", "to_path") == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 0 and _tasks(got, "from_path", "to_path") == [7]  # one branch, no count joined to a list
