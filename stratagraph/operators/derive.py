@@ -190,17 +190,17 @@ def migration_front(imports: DataFrame, old: Column, new: Column) -> DataFrame:
     return per.select("path", F.when(F.col("o") & F.col("n"), "Straddling").when(F.col("n"), "Migrated").otherwise("Not migrated").alias("state"))
 
 
-def coverage_functions(regions: DataFrame) -> DataFrame:
-    """path, function -> start, end, fraction (covered regions of all) of regions (path, function, start, end, hits)."""
-    return regions.groupBy("path", "function").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.count_if(F.col("hits") > 0) / F.count(F.lit(1))).alias("fraction"))
+def coverage_functions(regions: DataFrame, tasks: int | None = None) -> DataFrame:
+    """path, function -> start, end, fraction (covered regions of all) of regions (path, function, start, end, hits). tasks: how many to deal the regions to."""
+    return dealt(regions, tasks, "path", "function").groupBy("path", "function").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.count_if(F.col("hits") > 0) / F.count(F.lit(1))).alias("fraction"))
 
 
-def coverage_merge(*reports: DataFrame) -> DataFrame:
-    """The best fraction of each path and span over several reports."""
+def coverage_merge(*reports: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The best fraction of each path and span over several reports. tasks: how many to deal the reports' rows to."""
     merged = reports[0]
     for r in reports[1:]:
         merged = merged.unionByName(r)
-    return merged.groupBy("path", "start", "end").agg(F.max("fraction").alias("fraction"))
+    return dealt(merged, tasks, "path", "start", "end").groupBy("path", "start", "end").agg(F.max("fraction").alias("fraction"))
 
 
 def reference_coverage(declaring: DataFrame, touched: DataFrame) -> DataFrame:

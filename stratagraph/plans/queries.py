@@ -267,10 +267,11 @@ def migration_front(t: Tables) -> DataFrame:
 SELECT path, s AS "start", e AS "end", round(max(fraction), 6) AS fraction FROM (SELECT path, s, e, fraction FROM f UNION ALL SELECT path, s, e, 0.5 FROM f WHERE function % 2 = 0) GROUP BY path, s, e""")
 def coverage_fold(t: Tables) -> DataFrame:
     regions = t.lineitem.select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("function"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 3).alias("end"), (F.col("l_quantity") > 25).cast("int").alias("hits"))
-    one = derive.coverage_functions(regions)
+    n = t.tasks("lineitem")
+    one = derive.coverage_functions(regions, n)
     other = one.where("function % 2 = 0").withColumn("fraction", F.lit(0.5))
     cols = ["path", "start", "end", "fraction"]
-    return derive.coverage_merge(one.select(*cols), other.select(*cols)).withColumn("fraction", F.round("fraction", 6))
+    return derive.coverage_merge(one.select(*cols), other.select(*cols), tasks=n).withColumn("fraction", F.round("fraction", 6))
 
 
 @query("SELECT round((SELECT count(*) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)) / count(*), 9) AS coverage FROM part")

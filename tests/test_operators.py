@@ -281,3 +281,13 @@ def test_reference_pairs_are_read_once_and_dealt_to_tasks(spark):
         assert rows(got, "from_path", "to_path") == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 0 and _tasks(got, "from_path", "to_path") == [7]  # one branch, no count joined to a list
+
+
+def test_coverage_is_dealt_to_tasks(spark):
+    seen = [(1, 1, 1, 4, 1), (1, 1, 2, 5, 0), (1, 2, 1, 5, 1), (2, 1, 1, 4, 0), (None, 1, 1, 4, 1)]
+    df = spark.createDataFrame(seen, "path long, function long, start long, end long, hits long")
+    for tasks in (None, 7):
+        one = derive.coverage_functions(df, tasks)
+        got = derive.coverage_merge(one.drop("function"), one.drop("function").where("path = 2").withColumn("fraction", F.lit(0.25)), tasks=tasks)
+        assert rows(got, "path") == [(None, 1, 4, 1.0), (1, 1, 5, 1.0), (2, 1, 4, 0.25)]
+    assert _tasks(got, "path", "function") == [7, 7] and _tasks(got, "path", "start", "end") == [7]  # no exchange by the session's number
