@@ -163,18 +163,17 @@ def flow_tracker(t: Tables) -> DataFrame:
     """When each step of a flow became active, of events as the log lines of a run each, by the tracker in event time; a last run's line closes the stream."""
     spark = t.spark
     flow = [("t", "push", 0, "entry"), ("g0", "a", 0, "group"), ("s0", "view", 0, "step"), ("s1", "click", 0, "step"), ("g1", "b", 1, "group"), ("s2", "signup", 1, "step"), ("s3", "purchase", 1, "step"), ("s4", "error", 1, "step")]
-    nodes = F.array(*[F.struct(F.lit(n).alias("node"), F.lit(label).alias("label"), F.lit(row).alias("row"), F.lit(role).alias("role")) for n, label, row, role in flow])
     shape = lambda rows: rows.select(F.col("user_id").cast("string").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("number"), F.concat("event_type", F.lit(" now")).alias("line"), F.lit(None).cast("int").alias("exit"))
     at = f"{_tables(t).root}/log"
-    shape(t.events).repartition(3).write.parquet(at)  # in no order
+    shape(t.events).repartition("number").write.parquet(at)  # in no order
     end = spark.createDataFrame([("~", 0, "end", 0)], "run string, number long, line string, exit int").join(t.events.agg((F.max("ts") + F.expr("interval 400 days")).cast("timestamp").alias("ts")))  # one row
     end.select("run", "ts", "number", "line", "exit").write.mode("append").parquet(at)
-    stream = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at).withColumn("flow", nodes)
+    stream = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
     out, store_of = f"{at}-out", "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store_of)
     spark.conf.set(store_of, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        q = builds.track_flow(stream, "365 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start()
+        q = builds.track_flow(stream, "365 days", flow).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start()
     finally:
         spark.conf.set(store_of, before)
     q.awaitTermination()

@@ -3,21 +3,27 @@
 A run's lines wait as list state until the watermark has passed their time; a timer then takes all that are due in order of time, number and line. So
 the transitions are those of the sorted log, as long as no line comes later than the watermark allows (Spark drops those that do). A finished run
 keeps no state: a line after the exit that the watermark still lets in starts the run anew.
+
+The lines of a batch wait as one value of text, with the flow, and what changes leaves a run as one text, which Spark writes and reads: each value of state
+costs a call and an encoding, and each column of a run's frame a conversion.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-TRANSITIONS = "run string, node string, state string, at timestamp"
+TRANSITIONS = "run: string, node: string, state: string, at: long"  # at: microseconds
 #: A flow's nodes, in order: label is the program that a step runs; role is step, group (a lane or target over the steps of its row) or entry (what triggers it).
 FLOW = "array<struct<node:string,label:string,row:int,role:string>>"
-_LINE = "ts timestamp, number long, line string, exit int"
+_LINES = "flow string, lines string"  # JSON of FLOW; of a list of lines (at: microseconds, number, line, exit)
 _WAITING, _PROGRESS = "waiting", "progress"
+_NAMES = ("run", "node", "state", "at")
 
 
 class FlowRun:
@@ -87,33 +93,33 @@ class FlowRun:
 
 
 class _Tracker(StatefulProcessor):
+    def __init__(self, flow: str | None = None):
+        self.flow = flow
+
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState(_WAITING, _LINE)
-        self.progress = handle.getValueState(_PROGRESS, f"flow {FLOW}, states array<string>, frontier int")
+        self.waiting = handle.getListState(_WAITING, _LINES)
+        self.progress = handle.getValueState(_PROGRESS, "flow string, states string, frontier int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for pdf in rows:
-            if not self.progress.exists():
-                flow = [(n["node"], n["label"], int(n["row"]), n["role"]) for n in pdf["flow"].iloc[0]]
-                self.progress.update((flow, [], 0))
-            lines = [(ts.to_pydatetime(), int(n), line, None if pd.isna(code) else int(code)) for ts, n, line, code in zip(pdf["ts"], pdf["number"], pdf["line"], pdf["exit"], strict=True)]
-            self.waiting.appendList(lines)
-            first = int(pdf["ts"].min().timestamp() * 1000)
+            self.waiting.appendValue((self.flow or pdf["flow"].iloc[0], f"[{','.join(pdf['line'])}]"))
+            first = int(pdf["due"].min())
             earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
             self.handle.registerTimer(earliest)
-        yield _frame([])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        lines = sorted(((ts, n, line or "", code) for ts, n, line, code in self.waiting.get()), key=lambda x: (x[0], x[1], x[2]))
-        due = [x for x in lines if _ms(x[0]) <= mark]
+        waiting = list(self.waiting.get())
+        lines = sorted(((x["at"], x["number"], x.get("line") or "", x.get("exit")) for _, some in waiting for x in json.loads(some)), key=lambda x: x[:3])
+        due = [x for x in lines if x[0] // 1000 <= mark]
         out: list[tuple] = []
         if due:
-            flow, states, frontier = self.progress.get()
-            flow = [tuple(n) for n in flow]
+            shape, states, frontier = self.progress.get() or (waiting[0][0], "[]", 0)
+            flow, states = [(n.get("node"), n.get("label"), n.get("row"), n.get("role")) for n in json.loads(shape)], json.loads(states)
             run = FlowRun(flow, dict(zip([n[0] for n in flow], states, strict=True)) if states else None, frontier)
             if not states:
                 out += [(key[0], *c, due[0][0]) for c in run.start()]
@@ -128,30 +134,29 @@ class _Tracker(StatefulProcessor):
                 self.waiting.clear()
                 self.progress.clear()
             else:
-                self.waiting.put([(ts, n, line, code) for ts, n, line, code in rest]) if rest else self.waiting.clear()
-                self.progress.update((flow, [run.states[n[0]] for n in flow], len(run.steps) if ended else run.frontier))
+                kept = [dict(zip(("at", "number", "line", "exit"), x, strict=True)) for x in rest]
+                self.waiting.put([(shape, json.dumps(kept))]) if rest else self.waiting.clear()
+                self.progress.update((shape, json.dumps([run.states[n[0]] for n in flow]), len(run.steps) if ended else run.frontier))
                 if rest:
-                    self.handle.registerTimer(_ms(rest[0][0]))
-        yield _frame(out)
+                    self.handle.registerTimer(rest[0][0] // 1000)
+        if out:
+            yield pd.DataFrame({"changes": [json.dumps([dict(zip(_NAMES, x, strict=True)) for x in out])]})
 
     def close(self) -> None:
         pass
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = ["run", "node", "state"]
-    return pd.DataFrame({**{c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(names)}, "at": pd.Series([r[3] for r in rows], dtype="datetime64[us]")})
-
-
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).timestamp() * 1000)
-
-
-def track_flow(log: DataFrame, late: str = "10 minutes") -> DataFrame:
+def track_flow(log: DataFrame, late: str = "10 minutes", flow: Sequence[tuple[str, str, int, str]] | None = None) -> DataFrame:
     """run, node, state, at: every transition of the flow's nodes, of a stream of log lines (run, ts, number, line, exit, flow).
 
-    number orders lines of one time; a row with `exit` (the exit code) ends its run; flow (see FLOW) is that of the run's first row. late: how long
-    after newer lines a line may come. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    number orders lines of one time; a row with `exit` (the exit code) ends its run; flow (see FLOW) is that of the run's first row; one given here is
+    that of all runs, and the log needs no such column. late: how long after newer lines a line may come. Needs the RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass).
     """
-    rows = log.select("run", "ts", "number", "line", "exit", "flow").withWatermark("ts", late)
-    return rows.groupBy("run").transformWithStateInPandas(statefulProcessor=_Tracker(), outputStructType=TRANSITIONS, outputMode="Append", timeMode="EventTime")
+    line = F.to_json(F.struct(F.unix_micros("ts").alias("at"), "number", "line", "exit"))
+    own = [F.to_json("flow").alias("flow")] if flow is None else []
+    rows = log.select("run", "ts", F.unix_millis("ts").alias("due"), line.alias("line"), *own).withWatermark("ts", late)
+    tracker = _Tracker(None if flow is None else json.dumps([dict(zip(("node", "label", "row", "role"), n, strict=True)) for n in flow]))
+    found = rows.groupBy("run").transformWithStateInPandas(statefulProcessor=tracker, outputStructType="changes string", outputMode="Append", timeMode="EventTime")
+    changes = found.select(F.explode(F.from_json("changes", f"array<struct<{TRANSITIONS}>>")).alias("c"))
+    return changes.select("c.run", "c.node", "c.state", F.timestamp_micros("c.at").alias("at"))

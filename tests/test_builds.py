@@ -1,6 +1,7 @@
 """The build tracker by event time: shuffled micro-batches give the transitions of the sorted log."""
 
 import datetime as dt
+import json
 import random
 
 from stratagraph.streaming import builds
@@ -62,3 +63,58 @@ def test_shuffled_batches_equal_the_sorted_log(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.run != "zz")
     assert got == _plain(log) and len(got) > 15
     assert rows_left[-1] < max(rows_left)  # finished runs leave nothing behind
+
+
+class _State:
+    """A value or list of state in memory, which keeps what was written."""
+
+    def __init__(self):
+        self.kept = []
+
+    def get(self):
+        return self.kept
+
+    def appendValue(self, value):
+        self.kept.append(value)
+
+
+def test_lines_of_a_batch_wait_as_one_value():
+    import pandas as pd
+
+    class Handle:
+        timers = []
+
+        def getListState(self, name, schema):
+            return _State()
+
+        def getValueState(self, name, schema):
+            return _State()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    tracker = builds._Tracker()
+    tracker.init(Handle())
+    said = [{"at": 1_000_000 + i, "number": i, "line": f'a "{i}" \u00e9\n'} for i in range(500)]
+    pdf = pd.DataFrame({"run": "r", "due": [x["at"] // 1000 for x in said], "line": [json.dumps(x) for x in said], "flow": "[]"})
+    assert list(tracker.handleInputRows(("r",), iter([pdf[:300], pdf[300:]]), None)) == []  # no frame that says nothing
+    assert [json.loads(lines) for _, lines in tracker.waiting.kept] == [said[:300], said[300:]] and Handle.timers == [1000]
+
+
+def test_a_flow_of_all_runs_and_times_of_another_zone(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    schema, store = "run string, ts timestamp, number long, line string, exit int", "spark.sql.streaming.stateStore.providerClass"
+    before = {k: spark.conf.get(k) for k in (store, "spark.sql.session.timeZone")}
+    log = [("a", t0, 1, "upload x", None), ("a", t0, 2, 'say "\u00e9"', None), ("a", t0 + dt.timedelta(microseconds=7), 0, None, 1), ("zz", t0 + dt.timedelta(days=1), 0, "end", 0)]
+    spark.createDataFrame(log, schema).write.parquet(f"{tmp_path}/log")
+    want = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/log").where("run = 'a'").selectExpr("number", "unix_micros(ts)").orderBy("number").collect()]
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        builds.track_flow(spark.readStream.schema(schema).parquet(f"{tmp_path}/log"), "1 hour", FLOW).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").where("run = 'a' and state in ('active', 'failed')").selectExpr("node", "state", "unix_micros(at)").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    (_, end), (_, began), _ = want
+    assert {x for x in got if x[1] == "failed"} == {("g1", "failed", end), ("s3", "failed", end)} and {x[2] for x in got if x[1] == "active"} == {began}
