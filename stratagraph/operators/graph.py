@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,6 +183,138 @@ def strong_components(edges: DataFrame, group: str | None = None) -> DataFrame:
     return done.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _knots(edges: pa.Table) -> pa.Table:
+    """node, component (any of its nodes) of the strong components of two nodes at least of one block's edges (src, dst): Tarjan's, with a stack of its own."""
+    both = pa.concat_arrays([c for name in ("src", "dst") for c in edges[name].chunks]).dictionary_encode()
+    codes, n = both.indices.to_numpy(), len(both.dictionary)
+    src, dst = codes[: len(codes) // 2], codes[len(codes) // 2 :]
+    order = np.argsort(src, kind="stable")
+    heads, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    at, number, low, part, open_, count = first[:], [0] * n, [0] * n, [-1] * n, [], 0
+    for root in range(n):
+        way = [] if number[root] else [root]
+        while way:
+            v = way[-1]
+            if not number[v]:
+                count += 1
+                number[v] = low[v] = count
+                open_.append(v)
+            if at[v] < first[v + 1]:
+                w = heads[at[v]]
+                at[v] += 1
+                if not number[w]:
+                    way.append(w)
+                elif part[w] < 0:
+                    low[v] = min(low[v], number[w])
+                continue
+            way.pop()
+            if low[v] == number[v]:
+                while part[v] < 0:
+                    part[open_.pop()] = v
+            elif way:
+                low[way[-1]] = min(low[way[-1]], low[v])
+    part = np.array(part, dtype=np.int64)
+    several = np.flatnonzero(np.bincount(part, minlength=n)[part] > 1)
+    return pa.table({"node": both.dictionary.take(pa.array(several)), "component": both.dictionary.take(pa.array(part[several]))})
+
+
+def relabelled(edges: DataFrame, components: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """edges with the columns a and b: the components of their ends, or the ends themselves that have none."""
+    for end, name in ((src, "a"), (dst, "b")):
+        edges = edges.join(components.select(F.col("node").alias(end), F.col("component").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+    return edges
+
+
+#: Edges of a block that one task searches.
+BLOCK_ROWS = 250_000
+
+
+def knots(edges: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """node, component (one of its nodes, which may be without a row) of the strong components of two nodes at least.
+
+    A search level by level takes as many steps as the graph is wide. So nodes are first cut, in their order, into blocks of about `rows` edges; what is strongly
+    connected within a block is so in the graph, and becomes one node. That is repeated as long as it halves the edges, and the graph that is left is searched whole.
+    """
+    rest, found = settled(edges.where("src <> dst").select("src", "dst").distinct()), None
+    size = rest.count()
+    while size:
+        blocks = -(-size // rows)
+        cuts = rest.select("src").repartitionByRange(blocks, "src").groupBy(F.spark_partition_id().alias("p")).agg(F.min("src").alias("least")).collect()  # a row a block
+        bounds = F.array(*(F.lit(r.least) for r in cuts))
+        block = lambda end: F.size(F.filter(bounds, lambda b: b <= F.col(end)))  # noqa: B023, E731
+        kind = rest.schema["src"].dataType.simpleString()
+        tied = settled(rest.withColumn("block", block("src")).where(F.col("block") == block("dst")).groupBy("block").applyInArrow(_knots, f"node {kind}, component {kind}"))
+        found = tied if found is None else _renamed(found, tied)
+        rest = settled(relabelled(rest, tied).where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        before, size = size, rest.count()
+        if blocks == 1 or size > before / 2:
+            break
+    if found is None:
+        return rest.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    return _renamed(found, strong_components(rest).where("node <> component")) if size and blocks > 1 else found
+
+
+def _renamed(found: DataFrame, onto: DataFrame) -> DataFrame:
+    """found (node, component) after its components, and other nodes, became part of those of `onto` (node, component)."""
+    onto = settled(onto)
+    moved = found.join(onto.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return settled(moved.unionByName(onto.join(found, "node", "left_anti").select("node", "component")))
+
+
+def reached_masks(hops: DataFrame, start: DataFrame) -> DataFrame:
+    """node, mask: in which of some graphs the start (node, mask) reaches a node, itself included. hops: src, dst, mask (settled): a bit for each graph that has the edge."""
+    front = settled(start.select("node", "mask"))
+    known, rows = [front], front.count()
+    upto = lambda: _together(known).groupBy("node").agg(F.bit_or("mask").alias("mask"))
+    while rows:
+        near = front.withColumnsRenamed({"node": "src", "mask": "m"})
+        got = hops.join(F.broadcast(near) if rows <= FRONT_ROWS else near, "src").select(F.col("dst").alias("node"), F.col("mask").bitwiseAND(F.col("m")).alias("mask")).where("mask <> 0").groupBy("node").agg(F.bit_or("mask").alias("mask"))
+        front = settled(got.join(upto().withColumnRenamed("mask", "old"), "node", "left").select("node", F.expr("mask & ~coalesce(old, 0)").alias("mask")).where("mask <> 0"))
+        rows = front.count()
+        if rows:
+            known.append(front)
+        if len(known) > LEVELS:
+            known = [settled(upto())]
+    return settled(upto())
+
+
+def cyclic_masks(edges: DataFrame, n: int) -> DataFrame:
+    """src, dst, mask: in which of n graphs (62 at most) an edge lies within a strong component, or leads from a node to itself; not those for which it is none. edges: src,
+    dst, mask (settled, one row an edge): a bit for each graph that has it.
+
+    All graphs are searched at once. What is strongly connected by edges that all have is so in each, and becomes one node; then the busiest node's component is found in all
+    graphs by masks, and edges without a way in or a way out lose those bits. Only the edges that then are left are searched with a row for each graph.
+    """
+    joined = settled(relabelled(edges, knots(edges.where(F.col("mask") == (1 << n) - 1))))
+    inside, across = joined.where("a = b").select("src", "dst", "mask"), joined.where("a <> b")
+    g = settled(across.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.bit_or("mask").alias("mask")))
+    bits = F.sum(F.bit_count("mask"))
+    busy = g.groupBy(F.col("src").alias("node")).agg(bits.alias("o")).join(g.groupBy(F.col("dst").alias("node")).agg(bits.alias("i")), "node")
+    pivot = settled(busy.agg(F.max_by("node", F.struct(F.col("o") * F.col("i"), "node")).alias("node")).where("node is not null").withColumn("mask", F.lit((1 << n) - 1).cast("long")))  # one row
+    if pivot.isEmpty():
+        return inside
+    ahead, back = reached_masks(g, pivot), reached_masks(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "mask"), pivot)
+    held = ahead.join(back.withColumnRenamed("mask", "m"), "node").select("node", F.col("mask").bitwiseAND(F.col("m")).alias("mask")).where("mask <> 0")
+    ends = g.join(held.select(F.col("node").alias("src"), F.col("mask").alias("s")), "src", "left").join(held.select(F.col("node").alias("dst"), F.col("mask").alias("d")), "dst", "left").na.fill(0, ["s", "d"])
+    ends = settled(ends.select("src", "dst", F.expr("mask & s & d").alias("cyclic"), F.expr("mask & ~(s | d)").alias("mask")))
+    found, rest = ends.where("cyclic <> 0").select("src", "dst", F.col("cyclic").alias("mask")), ends.where("mask <> 0").select("src", "dst", "mask")
+    size = rest.agg(bits).first()[0] or 0
+    while size:
+        into, out = rest.groupBy(F.col("dst").alias("src")).agg(F.bit_or("mask").alias("i")), rest.groupBy(F.col("src").alias("dst")).agg(F.bit_or("mask").alias("o"))
+        rest = settled(rest.join(into, "src").join(out, "dst").select("src", "dst", F.expr("mask & i & o").alias("mask")).where("mask <> 0"))
+        before, size = size, rest.agg(bits).first()[0] or 0
+        if size > 0.9 * before:
+            break
+    if size:
+        each = rest.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bit"), "mask").where("mask & shiftleft(1L, bit) <> 0")
+        key = lambda end: F.concat_ws("|", "bit", end).alias(f"k{end}")
+        keyed = settled(each.select("src", "dst", "bit", key("src"), key("dst")))
+        parts = relabelled(keyed, strong_components(keyed.select(F.col("ksrc").alias("src"), F.col("kdst").alias("dst"), "bit"), "bit"), "ksrc", "kdst")
+        found = found.unionByName(parts.where("a = b").groupBy("src", "dst").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
+    same = found.groupBy("src", "dst").agg(F.bit_or("mask").alias("m")).withColumnsRenamed({"src": "a", "dst": "b"})
+    return inside.unionByName(across.join(same, ["a", "b"]).select("src", "dst", F.col("mask").bitwiseAND(F.col("m")).alias("mask")).where("mask <> 0"))
+
+
 def cyclic_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Distinct edges within a component of several nodes, and self edges."""
     e = edges.select("src", "dst").distinct()

@@ -1,14 +1,12 @@
-"""Metrics of a versioned graph at many revisions in one run: by events and running sums, and strong components keyed by epoch.
+"""Metrics of a versioned graph at many revisions in one run: by events and running sums, and by masks with a bit for each revision.
 
-Nodes, edges and orphans are sums of changes by revision. Cyclic edges need components: an edge can only be cyclic at some of the revisions if it lies in
-a strong component of the union of all of them, so that union is searched once; of each of its components only epochs (times between changes of its own
-edges) that a revision falls in are searched, all of them in one graph whose nodes are keyed by component, epoch and node. A component that does not change
-between two revisions is not searched again.
+Nodes and edges are sums of changes by revision. Orphans and cyclic edges are found for up to 62 revisions at once: each edge is one row with a mask of the revisions at which
+it is there, whatever its versions, so the graph is searched once for all of them and not once for each (graph.cyclic_masks).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -27,47 +25,48 @@ def running(events: DataFrame, revisions: DataFrame, name: str) -> DataFrame:
     return steps.withColumn(name, F.sum("d").over(Window.orderBy("r"))).where("asked").select(F.col("r").alias("revision"), name)
 
 
-def orphan_events(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """r, d: by how much the number of orphans changes: nodes (node, interval) that are there, and that no edge (src, dst, interval) touches."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), "valid_from", "valid_to")
-    alive, touched = _events(nodes, "node").withColumn("e", F.lit(0).cast("long")), _events(ends, "node").withColumn("e", F.col("d")).withColumn("d", F.lit(0).cast("long"))
-    both = alive.unionByName(touched).groupBy("node", "r").agg(F.sum("d").alias("d"), F.sum("e").alias("e"))  # a row a node and revision that changes it
-    upto = Window.partitionBy("node").orderBy("r")
-    lonely: Column = ((F.sum("d").over(upto) > 0) & (F.sum("e").over(upto) == 0)).cast("int")
-    steps = both.select("node", "r", lonely.alias("now")).withColumn("d", F.col("now") - F.coalesce(F.lag("now").over(upto), F.lit(0)))
-    return steps.groupBy("r").agg(F.sum("d").alias("d"))
-
-
-def cyclic_counts(edges: DataFrame, revisions: DataFrame) -> DataFrame:
-    """revision, cyclic: distinct edges (src, dst, interval) within a strong component of the graph at the revision, or from a node to itself; revisions
-    without any are left out. revisions: some, a row each."""
-    ends = revisions.agg(F.min("revision").alias("lo"), F.max("revision").alias("hi")).first()
-    if ends.lo is None:
-        return revisions.select("revision", F.lit(0).cast("long").alias("cyclic")).limit(0)
-    lo, hi = ends.lo, ends.hi
-    alive = edges.where((F.col("valid_from") <= hi) & (F.col("valid_to").isNull() | (F.col("valid_to") > lo))).select("src", "dst", "valid_from", "valid_to")
-    parts = graph.strong_components(alive)
-    inner = alive.join(parts.select(F.col("node").alias("src"), F.col("component").alias("part")), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("part = other").drop("other")
-    inner = graph.settled(inner)
-    points = inner.select("part", F.greatest("valid_from", F.lit(lo)).alias("epoch")).unionByName(inner.where(F.col("valid_to") <= hi).select("part", F.col("valid_to").alias("epoch"))).distinct()
-    asked = points.join(F.broadcast(revisions.select("revision").distinct()), F.col("epoch") <= F.col("revision")).groupBy("part", "revision").agg(F.max("epoch").alias("epoch"))  # the revisions asked for
-    asked = graph.settled(asked)
-    needed = asked.select("part", "epoch").distinct()
-    then = inner.join(needed, "part").where("valid_from <= epoch and (valid_to is null or valid_to > epoch)").select("part", "epoch", "src", "dst").distinct()
-    key = lambda node: F.concat_ws("|", "part", "epoch", node)
-    keyed = graph.settled(then.select("part", "epoch", key("src").alias("src"), key("dst").alias("dst")))
-    found = graph.strong_components(keyed.withColumn("at", F.concat_ws("|", "part", "epoch")), "at")
-    within = keyed.join(found.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(found.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").where("a = b")
-    counts = within.groupBy("part", "epoch").agg(F.count(F.lit(1)).alias("n"))
-    return asked.join(counts, ["part", "epoch"]).groupBy("revision").agg(F.sum("n").alias("cyclic"))
+#: Revisions that one mask holds.
+BITS = 62
+
+
+def _masked(rows: DataFrame, revisions: list[int], *key: str) -> DataFrame:
+    """key, mask: at which of some revisions (in order, BITS at most) a row of that key is valid, a bit each; keys that are at none are left out."""
+    asked = F.array(*(F.lit(r).cast("long") for r in revisions))
+    before = lambda c: F.size(F.filter(asked, lambda r: r < F.col(c)))
+    upto = F.coalesce(F.when(F.col("valid_to").isNotNull(), before("valid_to")), F.lit(len(revisions)))
+    spans = rows.select(*key, before("valid_from").alias("i"), upto.alias("j")).where("i < j")
+    return spans.groupBy(*key).agg(F.bit_or(F.expr("shiftleft(1L, j) - shiftleft(1L, i)")).alias("mask"))
+
+
+def _counted(masks: DataFrame, revisions: list[int], name: str) -> DataFrame:
+    """revision, name: how many masks (mask) have its bit."""
+    sums = F.array(*(F.coalesce(F.sum(F.expr(f"shiftright(mask, {i}) & 1L")), F.lit(0)) for i in range(len(revisions))))
+    one = masks.agg(sums.alias("n")).select(F.posexplode("n").alias("i", name))
+    return one.select(F.element_at(F.array(*(F.lit(r).cast("long") for r in revisions)), F.col("i") + 1).alias("revision"), name)
+
+
+def orphan_masks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """mask of each node (node, mask) without the bits at which an edge (src, dst, mask) touches it."""
+    touched = edges.select(F.explode(F.array("src", "dst")).alias("node"), "mask").groupBy("node").agg(F.bit_or("mask").alias("touched"))
+    return nodes.join(touched, "node", "left").select(F.expr("mask & ~coalesce(touched, 0)").alias("mask"))
 
 
 def metrics_trend(nodes: DataFrame, edges: DataFrame, revisions: DataFrame) -> DataFrame:
-    """revision, nodes, edges, cyclic, orphans at each of some revisions: what scenes.metrics() says of the graph then. nodes: node, valid_from, valid_to (no two
-    versions of a node at once); edges: src, dst, valid_from, valid_to."""
-    revisions = revisions.select("revision").distinct()
+    """revision, nodes, edges, cyclic, orphans at each of some revisions (a row each): what scenes.metrics() says of the graph then. nodes: node, valid_from, valid_to (no two
+    versions of a node at once); edges: src, dst, valid_from, valid_to. Cyclic are distinct edges within a strong component at the revision, or from a node to itself."""
+    asked = sorted(r.revision for r in revisions.select("revision").distinct().collect())
+    lo, hi = (asked[0], asked[-1]) if asked else (0, -1)
+    edges = graph.settled(edges.where((F.col("valid_from") <= hi) & (F.col("valid_to").isNull() | (F.col("valid_to") > lo))).select("src", "dst", "valid_from", "valid_to"))
+    revisions = edges.sparkSession.createDataFrame([(r,) for r in asked], "revision long")
     n = running(_events(nodes.select("valid_from", "valid_to")), revisions, "nodes")
     m = running(_events(edges.select("valid_from", "valid_to")), revisions, "edges")
-    o = running(orphan_events(nodes, edges), revisions, "orphans")
-    c = cyclic_counts(edges, revisions)
-    return n.join(m, "revision").join(o, "revision").join(c, "revision", "left").select("revision", "nodes", "edges", F.coalesce("cyclic", F.lit(0)).cast("long").alias("cyclic"), "orphans")
+    found = n.join(m, "revision")
+    parts = []
+    for start in range(0, len(asked), BITS):
+        some = asked[start : start + BITS]
+        masks = graph.settled(_masked(edges, some, "src", "dst"))
+        orphans = _counted(orphan_masks(_masked(nodes, some, "node"), masks), some, "orphans")
+        parts.append(orphans.join(_counted(graph.cyclic_masks(masks, len(some)), some, "cyclic"), "revision"))
+    if not parts:
+        return found.select("revision", "nodes", "edges", F.lit(0).cast("long").alias("cyclic"), F.lit(0).cast("long").alias("orphans"))
+    return found.join(graph._together(parts), "revision").select("revision", "nodes", "edges", "cyclic", "orphans")

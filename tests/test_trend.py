@@ -58,3 +58,39 @@ def test_system_modules_are_a_fixed_list(spark):
     rows = spark.createDataFrame([("python", "os.path"), ("python", "__future__"), ("python", "numpy"), ("python", "Foundation"), ("swift", "Foundation"), ("c", "sys/types.h"), ("c", "os"), ("rust", "std")], "lang string, name string")
     got = [r.s for r in rows.select("lang", "name", scenes.is_system_module(F.col("lang"), F.col("name")).alias("s")).collect()]
     assert got == [True, True, False, False, True, True, False, False]
+
+
+def test_knots_of_blocks_are_those_of_the_graph(spark):
+    """A ring that runs through many blocks, with rings beside it and ways that lead nowhere, in blocks of a few edges, over numbers and texts."""
+    from stratagraph.operators import graph
+
+    edges = [(i, (i + 1) % 8) for i in range(8)] + [(100 + 3 * k + i, 100 + 3 * k + (i + 1) % 3) for k in range(5) for i in range(3)] + [(100 + 3 * k, 103 + 3 * k) for k in range(4)] + [(5, 5), (7, 100), (200, 201), (202, 202)]
+    want = {frozenset(range(8)), *(frozenset(range(100 + 3 * k, 103 + 3 * k)) for k in range(5))}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for of, least in ((df, 1000), (df.selectExpr("'n' || src as src", "'n' || dst as dst"), 6)):
+        parts = {}
+        for r in graph.knots(of, least).collect():
+            parts.setdefault(r.component, {r.component}).add(r.node)
+        assert {frozenset(int(str(x).lstrip("n")) for x in p) for p in parts.values()} == want
+    assert graph.knots(df.where("src > 199"), 6).collect() == []
+
+
+def test_the_graph_is_searched_once_for_all_revisions(spark, monkeypatch):
+    """Seventy revisions, more than a mask holds, of a graph whose core stays: no search has a row for each of them."""
+    from stratagraph.operators import graph
+
+    searched = []
+    whole = graph.strong_components
+    monkeypatch.setattr(graph, "strong_components", lambda e, group=None: (searched.append(e.count()), whole(e, group))[1])
+    edges = [(i, (i + k) % 40, 1, None) for i in range(40) for k in (1, 7)] + [(50, 0, r, r + 1) for r in range(1, 80)] + [(r % 40, 50, r, r + 2) for r in range(3, 79)] + [(60, 61, 5, 9), (61, 60, 7, 12), (62, 62, 9, 9)]
+    e = spark.createDataFrame(edges, "src long, dst long, valid_from long, valid_to long")
+    n = spark.createDataFrame([(i, 1, None if i < 40 else 60) for i in range(64)], "node long, valid_from long, valid_to long")
+    last = 70
+    got = {r.revision: tuple(r) for r in trend.metrics_trend(n, e, spark.range(1, last + 1).withColumnRenamed("id", "revision")).collect()}
+    want = {}
+    for r in range(1, last + 1):
+        now = [(s, d) for s, d, a, b in edges if a <= r and (b is None or b > r)]
+        alive = set(range(40 if r >= 60 else 64))
+        want[r] = (r, len(alive), len(now), sum(s == d or s in _reach(now, d) for s, d in set(now)), len(alive - {x for p in now for x in p}))
+    assert got == want
+    assert sum(searched) < len(edges)
