@@ -179,6 +179,21 @@ def test_a_template_that_looks_back_to_the_first_turn(spark):
     assert all(whole[r.text_start : r.text_end] == f"t{r.position}" for r in got)
 
 
+def test_every_prefix_is_rendered_whole_unless_a_bound_is_known(spark, tmp_path, monkeypatch):
+    """The query too follows a template that numbers its turns from the first: none of 300 turns is left out of a prefix."""
+    from stratagraph.llm import queries
+
+    counted = lambda messages: "".join(f"<{i}|{t}>" for i, (_, t) in enumerate(messages))
+    template = chat.Template(counted, lambda s: [], lambda t: t)
+    rows = [(1, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(300)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    render, read = chat.format_turns, chat.read_back
+    monkeypatch.setattr(chat, "format_turns", lambda df, *args, **named: render(df, template, *args, **named))
+    monkeypatch.setattr(chat, "read_back", lambda df: read(df, template))
+    got = {r.conv_id: (r.formatted_chars, r.loss_sha256) for r in queries.op12_chat_format(spark, str(tmp_path)).collect()}
+    assert got[1] == (len(counted([r[2:] for r in rows])), _sha("".join(f"t{i}" for i in range(0, 300, 2))))
+
+
 # ---- divergence
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
